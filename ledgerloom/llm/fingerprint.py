@@ -27,7 +27,7 @@ from .common import texts
 
 SEALS, LANES = 8, 256
 # A paragraph ends at a line break; long lines are cut further at the end of a sentence, and runs without one every 8 words.
-_PARTS = regex.compile(r"\S+(?:[^\S\n]+\S+){0,7}?(?:[.!?]+(?=\s|$)|(?=\s*\n)|(?=\s*$))|\S+(?:[^\S\n]+\S+){0,11}")
+_PARTS = regex.compile(r"\S+(?:[^\S\n]+\S+){0,7}?(?:[.!?]+(?=\s|$)|(?=\s*\n)|(?=\s*$))|\S+(?:[^\S\n]+\S+){0,7}")
 
 
 def paragraphs(text: str) -> list[str]:

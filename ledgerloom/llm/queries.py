@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, mixing, quality, secrets, tokencount
+from . import bpe, embeddings, fingerprint, jaccard, mixing, quality, secrets, tokencount
 from .common import table
 
 
@@ -40,9 +40,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.col("source"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op6_quality, op7_mixing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts)}
 ORACLES: dict[str, str] = {}

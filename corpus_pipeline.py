@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, mixing, quality, secrets
+from ledgerloom.llm import bpe, jaccard, mixing, quality, secrets
 from ledgerloom.llm.common import scratch, table
 from ledgerloom.llm.queries import vocabulary
 
@@ -16,6 +16,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__good")), "left_semi")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class that shingles link at 0.8 or more."""
+    return jaccard.keep_one(docs)
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark."""
     return secrets.redact(docs)
@@ -31,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("quality classifier", drop_low_quality), ("secret scans", hide_secrets), ("mixing sources", mix_sources), ("BPE encoding", encode)]
+STAGES = [("quality classifier", drop_low_quality), ("n-gram Jaccard join", drop_near_copies), ("secret scans", hide_secrets), ("mixing sources", mix_sources), ("BPE encoding", encode)]
 
 #: SQL can express neither the classifier nor the encoder; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, jaccard, mixing, quality, secrets, tokencount
+from . import bpe, embeddings, fingerprint, jaccard, mixing, quality, secrets, suffix, tokencount
 from .common import table
 
 
@@ -48,5 +48,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, jaccard, mixing, quality, secrets, suffix, tokencount
+from . import bpe, compaction, embeddings, fingerprint, jaccard, mixing, quality, secrets, suffix, tokencount
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +56,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op5_sharding, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}

@@ -14,6 +14,7 @@ task is first split by what its windows must all contain.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, forget, texts
 
 LENGTH = 400
 GRAM = 128
@@ -91,7 +92,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return first, stop, anchor[first], h[anchor[first]]
 
 
-ROWS = "key long, content binary, tid binary, doc_id long, start int, stop int, anchor int, n long"
+ROWS = "key long, c1 long, c2 long, doc_id long, tid long, start int, stop int, anchor int, n int"
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -143,17 +144,19 @@ def _segment_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
                     seen.setdefault((o, k, content), []).append((a + at, b + at, c + at))
                 for (o, k, content), places in seen.items():
                     i, t, _, _ = group[o]
-                    out.append((k, content, t, i, *places[0], len(places)))
+                    c1, c2 = struct.unpack(_TWO, content)
+                    out.append((k, c1, c2, i, t, *places[0], len(places)))
                     if len(places) > 1:
                         for a, b in _merged([(a, b + length - 1) for a, b, _ in places]):
-                            out.append((None, None, t, i, a, b, 0, 0))
+                            out.append((None, None, None, i, t, a, b, 0, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), TYPES)] if out else [pa.array([], t) for t in TYPES], names=NAMES)
 
     return source.select("doc_id", "tid", "text").mapInArrow(run, ROWS)
 
 
+_TWO = "<qq"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
-TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+TYPES = [*[pa.int64()] * 5, *[pa.int32()] * 4]
 
 
 def two_stage_suffixes(t: np.ndarray, depth: int) -> np.ndarray:
@@ -233,9 +236,13 @@ def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     return [hit[b : b + max(0, s - length + 1)] for b, s in zip(begin.tolist(), sizes.tolist())]
 
 
+HIT = "doc_id long, tid long, start int, end int"
+PART = "key long, c1 long, c2 long, doc_id long, tid long, start int, anchor int, n int, part binary"
+_HITS = [("doc_id", pa.int64()), ("tid", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
+
+
 def _sorted_hits(parts: DataFrame, length: int) -> DataFrame:
-    """``(tid, start, end)``: what repeats in segments that differ from others of their key. ``parts``: ``key, content, tid, start, n, part``."""
-    fields = [("tid", pa.binary()), ("start", pa.int32()), ("end", pa.int32())]
+    """What repeats (``HIT``) in segments that differ from others of their key (``PART``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -243,37 +250,39 @@ def _sorted_hits(parts: DataFrame, length: int) -> DataFrame:
 
         def work(rows: list[tuple]) -> pa.RecordBatch:
             out = []
-            for (_, _, tid, start, n, _), hit in zip(rows, repeated_windows([x[5] for x in rows], length)):
+            for (_, _, _, i, tid, start, _, n, _), hit in zip(rows, repeated_windows([x[8] for x in rows], length)):
                 if n > 1:
                     continue  # known to repeat as a whole
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                out += [(tid, start + a, start + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(fields)], names=[x for x, _ in fields])
+                out += [(i, tid, start + a, start + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(_HITS)], names=[x for x, _ in _HITS])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if held and row[:2] == held[-1][:2]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if held and row[:3] == held[-1][:3]:
                     continue  # another row of the same text
                 if size >= SORTED and row[0] != last:
                     yield work(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[8])
                 last = row[0]
         if held:
             yield work(held)
 
-    return parts.select("key", "content", "tid", "start", "n", "part").repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, "tid binary, start int, end int")
+    tasks = 4 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.select(*[x.split()[0] for x in PART.split(", ")]).repartition(tasks, "key").sortWithinPartitions("key", "c1", "c2")
+    return dealt.mapInArrow(run, HIT)
 
 
 def _split_hot(parts: DataFrame, width: int, length: int) -> DataFrame:
     """Segments of hot keys in pieces of ``width`` windows that lie alike to the anchor, keyed by what all windows of the piece contain."""
-    fields = [("key", pa.int64()), ("content", pa.binary()), ("tid", pa.binary()), ("start", pa.int32()), ("anchor", pa.int32()), ("n", pa.int64()), ("part", pa.binary())]
+    names, types = [x.split()[0] for x in PART.split(", ")], [*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, tid, start, anchor, n, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for key, i, tid, start, anchor, n, part in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 at, windows = anchor - start, len(part) - length + 1  # windows lie from at down to at - windows + 1 before the anchor
                 for cell in range((at - windows + 1) // width, at // width + 1):
                     lo, hi = max(0, at - (cell + 1) * width + 1), min(windows - 1, at - cell * width)
@@ -281,60 +290,68 @@ def _split_hot(parts: DataFrame, width: int, length: int) -> DataFrame:
                     core = part[at - cell * width : at - (cell + 1) * width + 1 + length]
                     name = xxhash.xxh3_128_digest(b"%d %d " % (key, cell) + core)
                     piece = part[lo : hi + length]
-                    content = xxhash.xxh3_128_digest(name + b"%d " % (at - cell * width - lo) + piece)
-                    out.append((int.from_bytes(name[:8], "little", signed=True), content, tid, start + lo, anchor, n, piece))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(fields)], names=[x for x, _ in fields])
+                    c1, c2 = struct.unpack(_TWO, xxhash.xxh3_128_digest(name + b"%d " % (at - cell * width - lo) + piece))
+                    out.append((struct.unpack(_TWO, name)[0], c1, c2, i, tid, start + lo, anchor, n, piece))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+
+    return parts.select("key", "doc_id", "tid", "start", "anchor", "n", "part").mapInArrow(run, PART)
+
+
+def _same(k: str = "k", a: str = "a1", b: str = "a2"):
+    return (F.col("key") == F.col(k)) & (F.col("c1") == F.col(a)) & (F.col("c2") == F.col(b))
+
 
-    return parts.select("key", "tid", "start", "anchor", "n", "part").mapInArrow(run, "key long, content binary, tid binary, start int, anchor int, n long, part binary")
+_RENAMED = {"key": "k", "c1": "a1", "c2": "a2"}
 
 
 def _settle_hot(parts: DataFrame, length: int, hot: int) -> list[DataFrame]:
-    """``(tid, start, end)`` for segments of hot keys, split until equal pieces can be counted and the rest fits a task."""
+    """Hits for segments of hot keys, split until equal pieces can be counted and the rest fits a task."""
     found = []
     for width in (FINE, 1):
         pieces = cut(_split_hot(parts, width, length))
-        contents = cut(pieces.groupBy("key", "content").agg(F.sum("n").alias("total")))
-        often = contents.where("total > 1").select(F.col("key").alias("k"), F.col("content").alias("c"))
-        equal = pieces.where("n = 1").join(often, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c")))
-        found.append(equal.select("tid", "start", (F.col("start") + F.length("part")).alias("end")))
-        keys = cut(contents.groupBy("key").agg(F.count("*").alias("m"), F.min("total").alias("least")).where("m > 1 AND least = 1").select(F.col("key").alias("k"), "m"))
+        contents = cut(pieces.groupBy("key", "c1", "c2").agg(F.sum("n").alias("total")))
+        often = contents.where("total > 1").select("key", "c1", "c2").withColumnsRenamed(_RENAMED)
+        found.append(pieces.where("n = 1").join(often, _same()).select("doc_id", "tid", "start", (F.col("start") + F.length("part")).alias("end")))
+        keys = cut(contents.groupBy("key").agg(F.count("*").alias("m"), F.min("total").alias("least")).where("m > 1 AND least = 1").select(F.col("key").alias("of"), "m"))
         if not keys.head(1):
             return found
-        once = pieces.join(keys, F.col("key") == F.col("k")).join(contents.withColumnsRenamed({"key": "k2", "content": "c2"}), (F.col("key") == F.col("k2")) & (F.col("content") == F.col("c2")))
-        once = cut(once.select("key", "content", "tid", "start", "anchor", F.col("total").alias("n"), "part", "m").dropDuplicates(["key", "content"]))
+        once = pieces.join(keys, F.col("key") == F.col("of")).join(contents.withColumnsRenamed(_RENAMED), _same())
+        once = cut(once.select("key", "c1", "c2", "doc_id", "tid", "start", "anchor", F.col("total").cast("int").alias("n"), "part", "m").dropDuplicates(["key", "c1", "c2"]))
         found.append(_sorted_hits(once.where(F.col("m") <= hot), length))
         parts = once.where(F.col("m") > hot)
     return found
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``(tid, start, end)``: byte ranges, which may overlap, that strings of ``length`` bytes cover that also start elsewhere.
+    """Byte ranges (``HIT``), which may overlap, that strings of ``length`` bytes cover that also start elsewhere, gathered for each row as ``doc_id, tid, runs``.
 
-    ``docs``: ``doc_id, tid, text``; ``tid`` names the text. Ranges are the
-    same for all rows of a text.
+    ``docs``: ``doc_id, tid, text``; ``tid`` is a hash of the text that tells rows of one ``doc_id`` apart.
     """
     rows = cut(_segment_rows(docs.select("doc_id", "tid", "text"), length, gram))
-    found = [rows.where("key IS NULL").select("tid", "start", F.col("stop").alias("end"))]
-    rows = rows.where("key IS NOT NULL")
-    contents = cut(rows.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "tid", "start", "stop", "anchor")).alias("at")))
+    found = [rows.where("key IS NULL").select("doc_id", "tid", "start", F.col("stop").alias("end"))]
+    keyed = rows.where("key IS NOT NULL")
+    contents = cut(keyed.groupBy("key", "c1", "c2").agg(F.sum("n").cast("int").alias("n"), *[F.first(x).alias(x) for x in ("doc_id", "tid", "start", "stop", "anchor")]))
     # Equal segments repeat as a whole.
-    often = cut(contents.where("n > 1").select(F.col("key").alias("k"), F.col("content").alias("c")))
-    found.append(rows.join(often, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c"))).select("tid", "start", (F.col("stop") - 1 + length).alias("end")))
+    often = contents.where("n > 1").select("key", "c1", "c2").withColumnsRenamed(_RENAMED)
+    found.append(keyed.select("key", "c1", "c2", "doc_id", "tid", "start", "stop").join(often, _same()).select("doc_id", "tid", "start", (F.col("stop") - 1 + length).alias("end")))
     # Of keys with different segments, each one's text goes on once, unless all of them repeat already.
     keys = cut(contents.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select(F.col("key").alias("k"), "m"))
-    wanted = contents.join(keys, F.col("key") == F.col("k")).select("at.doc_id", "at.tid", F.struct("key", "content", "n", "m", "at.start", "at.stop", "at.anchor").alias("s"))
-    wanted = wanted.groupBy("doc_id", "tid").agg(F.collect_list("s").alias("segments")).withColumnsRenamed({"doc_id": "d", "tid": "t"})
+    wanted = contents.join(keys, F.col("key") == F.col("k")).select("doc_id", "tid", F.struct("key", "c1", "c2", "n", "m", "start", "stop", "anchor").alias("s"))
+    wanted = cut(wanted.groupBy("doc_id", "tid").agg(F.collect_list("s").alias("segments"))).withColumnsRenamed({"doc_id": "d", "tid": "t"})
     cuts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")))
-    cuts = cuts.select(F.explode(F.expr(f"transform(segments, s -> named_struct('key', s.key, 'content', s.content, 'tid', tid, 'start', s.start, 'anchor', s.anchor, 'n', s.n, 'm', s.m, 'part', substring(cast(text AS binary), s.start + 1, s.stop - s.start - 1 + {length})))")).alias("p")).select("p.*")
-    parts = cut(cuts)
+    taken = f"""transform(segments, s -> named_struct('key', s.key, 'c1', s.c1, 'c2', s.c2, 'doc_id', doc_id, 'tid', tid, 'start', s.start, 'anchor', s.anchor, 'n', s.n, 'm', s.m,
+                'part', substring(cast(text AS binary), s.start + 1, s.stop - s.start - 1 + {length})))"""
+    parts = cut(cuts.select(F.explode(F.expr(taken)).alias("p")).select("p.*"))
     found.append(_sorted_hits(parts.where(F.col("m") <= hot), length))
     large = parts.where(F.col("m") > hot)
     if large.head(1):
-        found += _settle_hot(large.dropDuplicates(["key", "content"]), length, hot)
+        found += _settle_hot(large.dropDuplicates(["key", "c1", "c2"]), length, hot)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    runs = cut(out.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "end")).alias("runs")))
+    forget(rows, contents, keys, parts)
+    return runs
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -355,10 +372,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """
     if not 8 <= gram <= length:
         raise ValueError("an anchor must fit a string, and have 8 bytes")
-    source = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tid", F.expr("substring(unhex(sha2(text, 256)), 1, 16)"))
+    source = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tid", F.xxhash64("text"))
     runs = repeated_runs(source, length, gram, hot)
-    runs = cut(runs.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("runs"))).withColumnRenamed("tid", "of")
-    joined = source.join(runs, F.col("tid") == F.col("of"), "left").select("doc_id", "text", "runs")
+    runs = runs.withColumnsRenamed({"doc_id": "d", "tid": "t"}).hint("shuffle_hash")
+    joined = source.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left").select("doc_id", "text", "runs")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

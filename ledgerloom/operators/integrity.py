@@ -75,7 +75,7 @@ def best_model(board: DataFrame, ratios: DataFrame, gate: float = 3.0) -> DataFr
 def fold_stability(preds: DataFrame) -> DataFrame:
     """Per model: folds, mean MAE, its coefficient of variation (sample), slope over folds relative to the mean, risk. ``preds`` have ``fold_id``."""
     folds = preds.groupBy("series_id", "model", "fold_id").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
-    out = folds.groupBy("series_id", "model").agg(F.count("*").alias("n_folds"), F.avg("mae").alias("mean_mae"), (F.stddev_samp("mae") / F.avg("mae")).alias("cv"), (F.regr_slope("mae", "fold_id") / F.avg("mae")).alias("slope"))
+    out = folds.groupBy("series_id", "model").agg(F.count("*").alias("n_folds"), F.avg("mae").alias("mean_mae"), F.try_divide(F.stddev_samp("mae"), F.avg("mae")).alias("cv"), F.try_divide(F.regr_slope("mae", "fold_id"), F.avg("mae")).alias("slope"))
     risk = F.when((F.col("cv") > 0.5) | (F.col("slope") > 0.25), "high").when((F.col("cv") > 0.25) | (F.col("slope") > 0.1), "medium").otherwise("low")
     return out.withColumn("risk", risk)
 

@@ -154,7 +154,7 @@ def signal_control(panel: DataFrame, train_end, horizon: int, seed: int = 5) ->
             errors.append(fitted.transform(test).agg(F.avg(F.abs(F.col("label") - F.col("raw"))).alias("mae")))
         own = errors[0].withColumnRenamed("mae", "mae_true").crossJoin(errors[1].withColumnRenamed("mae", "mae_shuffled")).select(F.lit(name).alias("probe"), "mae_true", "mae_shuffled")
         out = own if out is None else out.unionByName(own)
-    ratio = F.col("mae_shuffled") / F.col("mae_true")
+    ratio = F.when(F.col("mae_true") > 0, F.col("mae_shuffled") / F.col("mae_true")).otherwise(float("inf"))
     return out.withColumn("ratio", ratio).withColumns({"has_signal": F.col("ratio") >= 1.5, "alarm": F.col("ratio") >= 20})
 
 

@@ -1,0 +1,44 @@
+"""The pipeline's stages against plain rules on small tables."""
+
+from collections import Counter
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "secret scans", "mixing sources", "BPE encoding"]
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_each_stage(spark, data, tmp_path):
+    from ledgerloom.llm import bpe, jaccard, mixing, quality, queries, secrets
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    columns = docs.columns
+    kept = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, data).write.parquet(str(tmp_path / str(i)))
+        before, docs = docs, spark.read.parquet(str(tmp_path / str(i)))
+        kept.append((before, docs))
+        if i < 4:
+            assert docs.columns == columns
+    (d0, d1), (_, d2), (_, d3), (_, d4), (_, d5) = kept
+    scores = quality.classify(d0, spark.read.parquet(f"{data}/labels.parquet"))
+    assert {r[0] for r in scores.where("predicted = 1").select("doc_id").collect()} == {r[0] for r in d1.select("doc_id").collect()}
+    classes = jaccard.jaccard_join(d1).collect()
+    assert Counter(r["doc_id"] for r in classes if r["kept"]) == Counter(r[0] for r in d2.select("doc_id").collect())
+    assert d3.count() == d2.count()
+    assert all(not secrets.find_secrets(r["text"] or "") or "[SECRET]" in r["text"] for r in d3.collect())
+    times = {r["doc_id"]: r["copies"] for r in mixing.mix(d3).collect()}
+    assert Counter(r[0] for r in d4.select("doc_id").collect()) == Counter({i: n for i, n in times.items() if n})
+    codec = bpe.WordCodec(queries.vocabulary("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] for r in d4.collect()}
+    for r in d5.collect():
+        ids, decoded, n = codec.encode([texts[r["doc_id"]] or ""])[0]
+        assert (" ".join(map(str, r["ids"])), r["decoded"], r["n_tokens"]) == (ids, decoded, n)
+
+
+def test_run(spark, data):
+    assert corpus_pipeline.run(spark, data).count() > 0

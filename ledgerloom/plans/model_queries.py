@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, models
+from ..operators import metrics, models, runs
 from .feature_queries import rounded
 from .registry import BUSINESS, HORIZON, business_panel, query
 
@@ -73,3 +74,24 @@ def grouped_forecasts(spark, sf_dir):
 def scaler_statistics(spark, sf_dir):
     out = models.scaler_statistics(business_panel(spark, sf_dir), FOLDS[0][1], HORIZON)
     return rounded(out.where(F.col("feature").isin("lag_1", "lag_20", "now", "dow", "month")), 3, "mean", "std")
+
+
+@query("ablation")
+def ablation(spark, sf_dir):
+    return runs.ablation(business_panel(spark, sf_dir), *FOLDS[0][1:], HORIZON)
+
+
+@query("daily_run")
+def daily_run(spark, sf_dir):
+    return runs.daily_run(business_panel(spark, sf_dir), HORIZON, "2001-01-01", tempfile.mkdtemp(prefix="ledgerloom-"), {"horizon": str(HORIZON)})
+
+
+@query("log_times", """SELECT event_type AS log, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS started, CAST(date_trunc('second', max(ts)) AS VARCHAR) AS finished,
+  CAST(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1""")
+def log_times(spark, sf_dir):
+    """Event rows as lines of a log; some lines have no time stamp."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = rows.select("event_type", F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] INFO user "), F.col("user_id")).alias("line"))
+    lines = lines.unionByName(rows.where("event_id % 7 = 0").select("event_type", F.lit("  continued, no time").alias("line")))
+    out = runs.log_times(lines, "event_type", "line")
+    return out.select("log", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "finished")], "seconds")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import calendar as cal
-from ledgerloom.operators import clean, features, folds, integrity, metrics, models, panel as pn
+from ledgerloom.operators import clean, features, folds, integrity, metrics, models, panel as pn, runs
 from ledgerloom.sources import ledger, runlog
 from ledgerloom.streaming import rollup
 
@@ -147,6 +147,26 @@ def test_provenance_ignores_order(spark):
         runlog.verify(a.where("x = 1"), "ds", h)
 
 
+def test_holdout_is_locked(series, tmp_path):
+    with pytest.raises(PermissionError):
+        runs.read_holdout(series, "2020-06-01", "2020-07-01", " ", str(tmp_path / "log"))
+    assert runs.read_holdout(series, "2020-06-01", "2020-06-30", "final score", str(tmp_path / "log")).count() == 22
+    assert series.sparkSession.read.json(str(tmp_path / "log")).count() == 1
+
+
+def test_small_checks(spark, series):
+    assert runs.schema_difference(series, series.drop("y").withColumn("pos", F.lit("1")).withColumn("z", F.lit(1))) == {"missing": ["y"], "extra": ["z"], "changed": ["pos"]}
+    assert runs.first_columns(series, ["series_id"], 2).columns == ["series_id", "ds", "pos"]
+    assert runs.drop_raw_year(series.withColumn("year", F.lit(1))).columns == series.columns
+
+
+def test_daily_run(spark, series, tmp_path):
+    summary = runs.daily_run(series, 5, "2020-08-01", str(tmp_path))
+    assert {r["family"] for r in summary.collect()} == {"naive", "average", "statistical", "ensemble"}
+    assert runs.report(summary).count("\n") == 5
+    assert runlog.check_log(spark, str(tmp_path / "log")).count() == 0
+
+
 def test_stream_equals_batch(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))

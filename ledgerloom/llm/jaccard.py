@@ -7,14 +7,15 @@ place, and all sets go to the child that their token there names; sets that
 share a child may be similar. Runs are repeated until a pair at the threshold
 is missed less often than the target recall allows: a run misses it with
 probability ``1 - threshold``. Children with more than ``LEAF`` sets are split
-again on further sampled places; the others are compared by brute force, first
-by embedding, then by the sets themselves.
+again on further sampled places, unless that would keep most of them together:
+such sets are alike, so more splits would only copy them. The others are
+compared by brute force, first by embedding, then by the sets themselves.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,13 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Of pairs right at the threshold, the share that at least one run brings together.
 RECALL = 0.99999
-WIDTH = 128
+WIDTH = 256
 #: Sets that are compared with each other by brute force.
 LEAF = 1000
 #: Times that a large child is split before its sets are compared block by block.
-DEPTH = 4
+DEPTH = 6
 #: Places sampled for each further split.
-FURTHER = 4
+FURTHER = 2
 MEMO = 500_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -121,48 +122,16 @@ def _alike(threshold: float) -> int:
     return math.floor(WIDTH * threshold - 4 * math.sqrt(WIDTH * threshold * (1 - threshold)))
 
 
-def _compare(leaves: DataFrame, threshold: float, first: bool) -> DataFrame:
-    """``(a, b)``: pairs of sets of one leaf that agree on enough places.
-
-    ``leaves``: ``leaf, run, sid, paths, sig, big``. ``big`` has a bit for each run
-    whose child is split again. A pair comes out of the first run's leaf that
-    it shares; of deeper leaves (``first`` false) only if it shares no leaf of
-    the first split.
-    """
-    least = _alike(threshold)
-
-    def group(run: int, sid: list, sig: np.ndarray, paths: np.ndarray, big: np.ndarray, side: np.ndarray, a: list, b: list) -> None:
-        for lo in range(0, len(sid), 64):
-            close = (sig[lo : lo + 64, None, :] == sig[None, lo:, :]).sum(axis=2, dtype=np.int16) >= least
-            i, j = np.nonzero(close)
-            i, j = i + lo, j + lo
-            keep = (i < j) & ~((side[i] == side[j]) & (side[i] > 0))
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            same = (paths[i] == paths[j]) & (((big[i, None] >> np.arange(paths.shape[1])) & 1) == 0)
-            fresh = ~(same[:, :run] if first else same).any(axis=1)
-            for x, y in zip(i[fresh].tolist(), j[fresh].tolist()):
-                p, q = sid[x], sid[y]
-                if p != q:
-                    a.append(min(p, q))
-                    b.append(max(p, q))
+def _by_leaf(leaves: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` over rows that lie together by ``leaf``, with the places where leaves begin (and the end); a leaf never lies in two calls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def work(table: pa.Table) -> pa.RecordBatch:
-            a, b = [], []
-            leaf = table.column("leaf").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]]))
-            sid = table.column("sid").to_pylist()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(leaf), WIDTH)
-            paths = np.array(table.column("paths").to_pylist(), np.int64)
-            big, runs, side = (table.column(x).to_numpy() for x in ("big", "run", "side"))
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo > 1:
-                    group(int(runs[lo]), sid[lo:hi], sig[lo:hi], paths[lo:hi], big[lo:hi], side[lo:hi], a, b)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            leaf = rows.column("leaf").to_numpy()
+            return work(rows, np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]])))
 
         for batch in batches:
             if not batch.num_rows:
@@ -172,105 +141,223 @@ def _compare(leaves: DataFrame, threshold: float, first: bool) -> DataFrame:
                 rows = pa.concat_tables([held, rows])
             leaf = rows.column("leaf").to_numpy()
             ends = np.flatnonzero(leaf[1:] != leaf[:-1])
-            if not len(ends):
+            if len(ends):
+                cut_at = int(ends[-1]) + 1
+                yield done(rows.slice(0, cut_at))
+                held = rows.slice(cut_at)
+            else:
                 held = rows
-                continue
-            done = int(ends[-1]) + 1
-            held = rows.slice(done)
-            yield work(rows.slice(0, done).combine_chunks())
         if held is not None:
-            yield work(held.combine_chunks())
+            yield done(held)
 
-    return leaves.select("leaf", "run", "sid", "paths", "sig", "big", "side").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a binary, b binary")
+    return leaves.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, schema)
+
+
+MEMBER = "leaf long, run int, sid binary, sig binary, paths array<long>, big int, side int"
+
+
+class _Pairs:
+    """Pairs of one leaf that agree on enough places and that no earlier leaf has compared.
+
+    ``big`` has a bit for each run whose child was split; what meets in another
+    run's child is compared there, so a pair belongs to the first such run that
+    it shares. A pair of deeper leaves belongs to none.
+    """
+
+    def __init__(self, rows: pa.Table, threshold: float, first: bool):
+        self.least, self.first = _alike(threshold), first
+        self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(rows.num_rows, WIDTH)
+        self.paths = rows.column("paths").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        self.big, self.run, self.side = (rows.column(x).to_numpy() for x in ("big", "run", "side"))
+        self.sid = np.frombuffer(b"".join(rows.column("sid").to_pylist()), "<u8").reshape(rows.num_rows, 2)
+
+    def of(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        runs = int(self.run[lo]) if self.first else self.paths.shape[1]
+        if hi - lo < 2 or runs == 0 and hi - lo == 2 and (self.sig[lo] == self.sig[lo + 1]).sum() < self.least:
+            return
+        for at in range(lo, hi, 64):
+            close = (self.sig[at : min(hi, at + 64), None, :] == self.sig[None, at:hi, :]).sum(axis=2, dtype=np.int16) >= self.least
+            i, j = np.nonzero(close)
+            i, j = i + at, j + at
+            keep = (i < j) & ~((self.side[i] == self.side[j]) & (self.side[i] > 0)) & (self.sid[i] != self.sid[j]).any(axis=1)
+            i, j = i[keep], j[keep]
+            if len(i):
+                whole = ((self.big[i, None] >> np.arange(runs)) & 1) == 0
+                fresh = ~((self.paths[i, :runs] == self.paths[j, :runs]) & whole).any(axis=1)
+                if fresh.any():
+                    yield i[fresh], j[fresh]
+
+
+def _marked(leaves: DataFrame, threshold: float, first: bool) -> DataFrame:
+    """Members (``MEMBER``) that have a candidate partner in their leaf."""
+    names = [x.split()[0] for x in MEMBER.split(", ")]
+
+    def work(rows: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        pairs, hit = _Pairs(rows, threshold, first), np.zeros(rows.num_rows, bool)
+        for lo, hi in zip(begins.tolist(), begins[1:].tolist()):
+            for i, j in pairs.of(lo, hi):
+                hit[i] = True
+                hit[j] = True
+        return rows.filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else pa.RecordBatch.from_pylist([], rows.schema)
+
+    return _by_leaf(leaves.select(*names), work, MEMBER)
+
+
+LINK = "a binary, b binary, n long"
+
+
+def _linked(members: DataFrame, threshold: float, first: bool) -> DataFrame:
+    """Exact links (``LINK``) of marked members, whose ``shingles`` and ``copies`` lie beside them.
+
+    Of first leaves: rows without ``b`` that count the copies linked to ``a``,
+    and a forest of edges without ``n`` that connects what is linked. Of deeper
+    leaves, which may share a pair: the pairs, without ``n``.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
+
+    def work(rows: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        pairs = _Pairs(rows, threshold, first)
+        sid, copies = rows.column("sid").to_pylist(), rows.column("copies").to_numpy()
+        shingles = rows.column("shingles").combine_chunks()
+        flat, offsets = shingles.flatten().to_numpy(), shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
+        count, a, b = np.zeros(rows.num_rows, np.int64), [], []
+        for lo, hi in zip(begins.tolist(), begins[1:].tolist()):
+            bits, label = None, np.arange(lo, hi)
+            for i, j in pairs.of(lo, hi):
+                if bits is None:  # the leaf's sets as bit rows over its shingles
+                    size = np.diff(offsets[lo : hi + 1])
+                    _, code = np.unique(flat[offsets[lo] : offsets[hi]], return_inverse=True)
+                    width = -(-(int(code.max()) + 1) // 64) * 8
+                    bits = np.zeros((hi - lo, width), np.uint8)
+                    np.bitwise_or.at(bits, (np.repeat(np.arange(hi - lo), size), code >> 3), (1 << (code & 7)).astype(np.uint8))
+                    bits = bits.view(np.uint64)
+                for at in range(0, len(i), 2048):
+                    x, y = i[at : at + 2048] - lo, j[at : at + 2048] - lo
+                    shared = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+                    ok = shared >= threshold * (size[x] + size[y] - shared) - 1e-9
+                    x, y = x[ok], y[ok]
+                    if not first:
+                        a += [min(sid[lo + p], sid[lo + q]) for p, q in zip(x.tolist(), y.tolist())]
+                        b += [max(sid[lo + p], sid[lo + q]) for p, q in zip(x.tolist(), y.tolist())]
+                        continue
+                    np.add.at(count, lo + x, copies[lo + y])
+                    np.add.at(count, lo + y, copies[lo + x])
+                    apart = label[x] != label[y]
+                    for p, q in zip(x[apart].tolist(), y[apart].tolist()):
+                        if label[p] != label[q]:
+                            label[label == label[q]] = label[p]
+                            a.append(sid[lo + p])
+                            b.append(sid[lo + q])
+        some = np.flatnonzero(count)
+        columns = [[sid[k] for k in some.tolist()] + a, [None] * len(some) + b, count[some].tolist() + [None] * len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types)], schema=schema)
+
+    return _by_leaf(members, work, LINK)
 
 
 def _children(members: DataFrame, depth: int) -> DataFrame:
-    """Every member of a large child, once for each of its next children."""
+    """Every member of a large child, once for each of its next children, with the child they come from and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = batch.column(0).to_numpy().view(np.uint64)
             sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(len(leaf), WIDTH)
-            out = []
             for k in range(FURTHER):
                 place = (_mix(leaf + np.uint64(depth * 64 + k + 1) * _M1) % np.uint64(WIDTH)).astype(np.int64)
                 token = sig[np.arange(len(leaf)), place].astype(np.uint64)
-                out.append(_mix(leaf * _M3 + (token + np.uint64(1)) * _M2 + place.astype(np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x) for x in out]), *[pa.concat_arrays([batch.column(i)] * FURTHER) for i in range(1, 6)]], names=["leaf", "run", "sid", "sig", "paths", "big"])
+                child = _mix(leaf * _M3 + (token + np.uint64(1)) * _M2 + place.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(child), *[batch.column(i) for i in range(1, 5)], batch.column(0), batch.column(5)], names=["leaf", "run", "sid", "sig", "paths", "parent", "was"])
+
+    return members.select("leaf", "run", "sid", "sig", "paths", "n").mapInArrow(run, "leaf long, run int, sid binary, sig binary, paths array<long>, parent long, was long")
+
 
-    return members.select("leaf", "run", "sid", "sig", "paths", "big").mapInArrow(run, "leaf long, run int, sid binary, sig binary, paths array<long>, big int")
+def _blocks(members: DataFrame, leaf: int) -> DataFrame:
+    """Members of large children as pairs of blocks, each a leaf of its own; in a pair of different blocks only members of different sides meet."""
+    blocks = F.ceil(F.col("n") / leaf).cast("int")
+    met = members.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return met.withColumns({"side": side, "leaf": F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other"))}).drop("own", "other")
 
 
-def candidate_pairs(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF) -> DataFrame:
-    """``(a, b)``, ``a < b``, each once: sets that some leaf brings together and whose embeddings are close enough.
+def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """Members of leaves with candidate partners, of first leaves and of deeper ones (None without any).
 
     ``classes``: ``sid, paths, sig``, one row for each set.
     """
     at = classes.select("sid", F.posexplode("paths").alias("run", "leaf"))
     nodes = cut(at.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
     members = cut(at.join(nodes.withColumnRenamed("leaf", "node"), F.col("leaf") == F.col("node")).select("sid", "run", "leaf", "n"))
-    masks = members.where(F.col("n") > leaf).groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, run)")).alias("big"))
-    rows = members.join(classes, "sid").join(masks, "sid", "left").withColumn("big", F.coalesce("big", F.lit(0)))
-    rows = cut(rows)
-    side = F.lit(0).alias("side")
-    found = [_compare(rows.where(F.col("n") <= leaf).select("*", side), threshold, True)]
-    large = rows.where(F.col("n") > leaf).select("leaf", "run", "sid", "sig", "paths", "big")
-    for depth in range(DEPTH):
-        if not large.head(1):
-            break
-        kids = cut(_children(large, depth))
-        sizes = cut(kids.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
-        kids = cut(kids.join(sizes.withColumnRenamed("leaf", "node"), F.col("leaf") == F.col("node")).drop("node"))
-        found.append(_compare(kids.where(F.col("n") <= leaf).select("*", side), threshold, False))
-        large = kids.where(F.col("n") > leaf)
-    else:
-        # Sets that splitting doesn't tell apart: every two blocks of each such child meet once.
-        if large.head(1):
-            blocks = F.ceil(F.col("n") / leaf).cast("int")
-            own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-            met = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            met = met.withColumn("leaf", F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other")))
-            # Within a pair of different blocks only members of different sides are compared.
-            met = met.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
-            found.append(_compare(met, threshold, False))
-    if len(found) == 1:
-        return found[0]
-    deep = found[1]
-    for x in found[2:]:
-        deep = deep.unionByName(x)
-    return found[0].unionByName(deep.distinct())
-
-
-def similar_pairs(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, jaccard)``: candidates whose sets, made again from whole texts, are as similar as asked.
-
-    Only texts that stand for a candidate are shuffled.
+    known = classes.select("sid", "sig", "paths")
+    rows = members.where(F.col("n") <= leaf).join(known, "sid").withColumn("side", F.lit(0))
+    names = ["leaf", "run", "sid", "sig", "paths", "side"]
+    large, deep, split = members.where(F.col("n") > leaf), None, None
+    if large.head(1):
+        large = cut(large.join(known, "sid"))
+        tight, kids = _split(large, 0)
+        rows = rows.select(*names).unionByName(_blocks(large.join(F.broadcast(tight), "leaf"), leaf).select(*names))
+        split = cut(large.join(F.broadcast(tight), "leaf", "left_anti").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, run)")).alias("big")))
+        for depth in range(1, DEPTH + 1):
+            kids = cut(kids)
+            below = kids.where(F.col("n") <= leaf).withColumn("side", F.lit(0)).select(*names)
+            large = kids.where(F.col("n") > leaf)
+            more = bool(large.head(1))
+            if more:
+                tight, kids = _split(large, depth)
+                if depth == DEPTH:
+                    tight = large.select("leaf").distinct()
+                below = below.unionByName(_blocks(large.join(F.broadcast(tight), "leaf"), leaf).select(*names))
+            own = cut(_marked(below.join(split, "sid"), threshold, False))
+            deep = own if deep is None else deep.unionByName(own)
+            if not more:
+                break
+    rows = rows.withColumn("big", F.lit(0)) if split is None else rows.join(split, "sid", "left").withColumn("big", F.coalesce("big", F.lit(0)))
+    return cut(_marked(rows, threshold, True)), deep
+
+
+def _split(large: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Large children that stay together when split (``leaf``, at most one for each ``leaf`` members of the input), and the members of the others' children."""
+    sizes = cut(large.select("leaf", "run", "sid", "sig", "paths", "n").transform(lambda x: _children(x, depth)))
+    counts = cut(sizes.groupBy("leaf", "parent", "was").agg(F.count("*").alias("n")))
+    tight = cut(counts.groupBy("parent").agg(F.max("n").alias("most"), F.max("was").alias("was")).where("most * 2 > was").select(F.col("parent").alias("leaf")))
+    loose = counts.where("n > 1").join(F.broadcast(tight.withColumnRenamed("leaf", "of")), F.col("parent") == F.col("of"), "left_anti").select(F.col("leaf").alias("node"), "n")
+    kids = sizes.drop("parent", "was").join(loose, F.col("leaf") == F.col("node")).drop("node")
+    return tight, kids
+
+
+def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF) -> DataFrame:
+    """Exact links between sets (``LINK``): counts of linked copies by set, and edges that connect what is linked.
+
+    Sets are made again from whole texts, of candidates only; ``classes`` are
+    ``sid, doc, copies, paths, sig``. Pairs stay inside a leaf's task.
     """
-    pairs = cut(candidate_pairs(classes, threshold))
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = cut(wanted.join(classes.select("sid", "doc"), "sid"))
-    rows = texts(docs).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("doc"))).select("sid", "text")
+    first, deep = candidates(classes, threshold, leaf)
+    wanted = first.select("sid") if deep is None else first.select("sid").unionByName(deep.select("sid"))
+    wanted = cut(wanted.distinct().join(classes.select("sid", "doc", "copies"), "sid"))
+    rows = texts(docs).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("doc"))).select("sid", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            sids, sets = [], []
-            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keep, sets = [], []
+            for k, (sid, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 s = shingle(text)
                 if set_id(s) == sid:  # rows that share an id may differ in text
-                    sids.append(sid)
+                    keep.append(k)
                     sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "shingles"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "copies", "shingles"])
 
-    sets = cut(rows.mapInArrow(run, "sid binary, shingles array<long>").dropDuplicates(["sid"]))
-    left, right = (sets.select(F.col("sid").alias(f"{x}id"), F.col("shingles").alias(f"{x}s")) for x in "ab")
-    both = pairs.join(left, F.col("a") == F.col("aid")).drop("aid").join(right, F.col("b") == F.col("bid"))
-    shared = F.size(F.array_intersect("as", "bs"))
-    scored = both.select("a", "b", (shared / (F.size("as") + F.size("bs") - shared)).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
+    sets = cut(rows.mapInArrow(run, "sid binary, copies long, shingles array<long>").dropDuplicates(["sid"]))
+    out = _linked(first.join(sets, "sid"), threshold, True)
+    if deep is None:
+        return out
+    pairs = cut(_linked(deep.join(sets, "sid"), threshold, False).distinct())
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = ends.join(classes.select("sid", "copies"), F.col("b") == F.col("sid")).groupBy("a").agg(F.sum("copies").alias("n"))
+    return out.unionByName(pairs).unionByName(counted.select("a", F.lit(None).cast("binary").alias("b"), "n"))
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """Classes of documents that five-word shingles link at the threshold or above.
 
     :param docs: needs ``doc_id`` and ``text``; other columns are ignored.
@@ -288,11 +375,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     rows = cut(_signatures(docs, runs_for(threshold, recall)))
     full = rows.where("sid IS NOT NULL")
     classes = cut(full.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sig").alias("sig")))
-    links = cut(similar_pairs(docs, classes, threshold).select("a", "b"))
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = cut(links(docs, classes, threshold, leaf))
     known = classes.select("sid", "doc", "copies")
-    counts = ends.join(known, F.col("b") == F.col("sid")).groupBy("a").agg(F.sum("copies").alias("others"))
-    parts = cut(connected_components(links))
+    counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
+    parts = cut(connected_components(found.where("b IS NOT NULL")))
     heads = parts.join(known, F.col("id") == F.col("sid")).groupBy("component").agg(F.min("doc").alias("head")).withColumnRenamed("component", "of")
     reach = parts.join(heads, F.col("component") == F.col("of")).select("id", "head")
     info = known.join(counts, F.col("sid") == F.col("a"), "left").join(reach, F.col("sid") == F.col("id"), "left")

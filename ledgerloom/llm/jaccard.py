@@ -294,8 +294,8 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEA
     if large.head(1):
         large = cut(large.join(known, "sid"))
         tight, kids = _split(large, 0)
-        rows = rows.select(*names).unionByName(_blocks(large.join(F.broadcast(tight), "leaf"), leaf).select(*names))
-        split = cut(large.join(F.broadcast(tight), "leaf", "left_anti").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, run)")).alias("big")))
+        rows = rows.select(*names).unionByName(_blocks(large.join(tight, "leaf"), leaf).select(*names))
+        split = cut(large.join(tight, "leaf", "left_anti").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, run)")).alias("big")))
         for depth in range(1, DEPTH + 1):
             kids = cut(kids)
             below = kids.where(F.col("n") <= leaf).withColumn("side", F.lit(0)).select(*names)
@@ -305,7 +305,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEA
                 tight, kids = _split(large, depth)
                 if depth == DEPTH:
                     tight = large.select("leaf").distinct()
-                below = below.unionByName(_blocks(large.join(F.broadcast(tight), "leaf"), leaf).select(*names))
+                below = below.unionByName(_blocks(large.join(tight, "leaf"), leaf).select(*names))
             own = cut(_marked(below.join(split, "sid"), threshold, False))
             deep = own if deep is None else deep.unionByName(own)
             if not more:
@@ -319,7 +319,7 @@ def _split(large: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     sizes = cut(large.select("leaf", "run", "sid", "sig", "paths", "n").transform(lambda x: _children(x, depth)))
     counts = cut(sizes.groupBy("leaf", "parent", "was").agg(F.count("*").alias("n")))
     tight = cut(counts.groupBy("parent").agg(F.max("n").alias("most"), F.max("was").alias("was")).where("most * 2 > was").select(F.col("parent").alias("leaf")))
-    loose = counts.where("n > 1").join(F.broadcast(tight.withColumnRenamed("leaf", "of")), F.col("parent") == F.col("of"), "left_anti").select(F.col("leaf").alias("node"), "n")
+    loose = counts.where("n > 1").join(tight.withColumnRenamed("leaf", "of"), F.col("parent") == F.col("of"), "left_anti").select(F.col("leaf").alias("node"), "n")
     kids = sizes.drop("parent", "was").join(loose, F.col("leaf") == F.col("node")).drop("node")
     return tight, kids
 

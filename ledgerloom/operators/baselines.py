@@ -90,7 +90,7 @@ def spread_month(panel: DataFrame, monthly: DataFrame, back: int = 3) -> DataFra
 def history_before(panel: DataFrame, preds: DataFrame, days: int) -> DataFrame:
     """Actuals of the days before each series' first forecast."""
     first = preds.groupBy("series_id").agg(F.min("target_date").alias("first"))
-    return panel.join(F.broadcast(first), "series_id").where((F.col("ds") < F.col("first")) & (F.col("ds") >= F.date_sub("first", days))).select("series_id", "ds", "y")
+    return panel.join(first, "series_id").where((F.col("ds") < F.col("first")) & (F.col("ds") >= F.date_sub("first", days))).select("series_id", "ds", "y")
 
 
 def kpis(panel: DataFrame, mean_rows: int = 30, std_rows: int = 90) -> DataFrame:

@@ -39,9 +39,9 @@ def validity_report(panel: DataFrame, factor: float = 10.0, examples: int = 10)
 def clip_mad(panel: DataFrame, k: float = 6.0) -> DataFrame:
     """Values clipped to ``k`` scaled median absolute deviations around the median, or to the 99th percentile of absolute values where that deviation is 0 (an explicit option: it looks at the whole series)."""
     middle = panel.groupBy("series_id").agg(F.median("y").alias("med"), F.percentile(F.abs("y"), F.lit(0.99)).alias("p99"))
-    rows = panel.join(F.broadcast(middle), "series_id")
+    rows = panel.join(middle, "series_id")
     spread = rows.groupBy("series_id").agg(F.median(F.abs(F.col("y") - F.col("med"))).alias("mad"))
-    rows = rows.join(F.broadcast(spread), "series_id")
+    rows = rows.join(spread, "series_id")
     limit = F.lit(1.4826 * k) * F.col("mad")
     low, high = F.when(F.col("mad") > 0, F.col("med") - limit).otherwise(-F.col("p99")), F.when(F.col("mad") > 0, F.col("med") + limit).otherwise(F.col("p99"))
     return rows.withColumn("clipped", F.greatest(F.least("y", high), low)).drop("med", "p99", "mad")

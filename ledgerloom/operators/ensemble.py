@@ -22,7 +22,7 @@ def ensembles(preds: DataFrame, top: int = 3) -> DataFrame:
     errors = model_errors(preds)
     place = F.row_number().over(Window.partitionBy("series_id", "horizon").orderBy("mae", "model"))
     ranked = errors.withColumn("place", place)
-    rows = preds.join(F.broadcast(ranked), KEYS)
+    rows = preds.join(ranked, KEYS)
     w = 1 / F.greatest("mae", F.lit(1e-9))
     best = F.col("place") <= top
     out = rows.groupBy(*AT).agg(

@@ -101,7 +101,7 @@ def log_standardise(panel: DataFrame, fit: Column) -> DataFrame:
     """``log1p`` of the value, at least 0, standardised by mean and population deviation of the rows where ``fit`` holds; with its inverse."""
     z = F.log1p(F.greatest("y", F.lit(0.0)))
     stats = panel.where(fit).groupBy("series_id").agg(F.avg(z).alias("mu"), F.stddev_pop(z).alias("sd")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
-    out = panel.join(F.broadcast(stats), "series_id").withColumn("z", (z - F.col("mu")) / F.col("sd"))
+    out = panel.join(stats, "series_id").withColumn("z", (z - F.col("mu")) / F.col("sd"))
     return out.withColumn("back", F.expm1(F.col("z") * F.col("sd") + F.col("mu")))
 
 

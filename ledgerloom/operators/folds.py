@@ -23,7 +23,7 @@ def yearly_folds(panel: DataFrame, min_train_years: int = 4, last: int | None =
 def tiled_blocks(panel: DataFrame, horizon: int, start: str) -> DataFrame:
     """Blocks of ``horizon`` positions from the first row at or after ``start``."""
     first = panel.where(F.col("ds") >= F.lit(start).cast("date")).groupBy("series_id").agg(F.min("pos").alias("p0"))
-    rows = panel.join(F.broadcast(first), "series_id").where(F.col("pos") >= F.col("p0"))
+    rows = panel.join(first, "series_id").where(F.col("pos") >= F.col("p0"))
     rows = rows.withColumn("block", F.floor((F.col("pos") - F.col("p0")) / horizon).cast("int"))
     return rows.groupBy("series_id", "block").agg(F.min("ds").alias("first_day"), F.max("ds").alias("last_day"), F.count("*").alias("n"))
 
@@ -47,7 +47,7 @@ def last_window(panel: DataFrame, horizon: int) -> DataFrame:
 def fold_rows(rows: DataFrame, folds: DataFrame, date: str = "ds") -> DataFrame:
     """Each row with the folds whose evaluation range holds its date: an equi-join on the series with a range on top."""
     f = folds.select(F.col("series_id").alias("__s"), "fold_id", "train_end", "eval_start", "eval_end")
-    return rows.join(F.broadcast(f), (F.col("series_id") == F.col("__s")) & F.col(date).between(F.col("eval_start"), F.col("eval_end"))).drop("__s")
+    return rows.join(f, (F.col("series_id") == F.col("__s")) & F.col(date).between(F.col("eval_start"), F.col("eval_end"))).drop("__s")
 
 
 def tail_splits(panel: DataFrame, validation: float = 0.1, calibration: float = 0.1) -> DataFrame:

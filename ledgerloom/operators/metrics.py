@@ -75,7 +75,7 @@ def mase(preds: DataFrame, panel: DataFrame, train_end: str, season: int) -> Dat
     before = F.lag("y", season).over(Window.partitionBy("series_id").orderBy("pos"))
     scale = panel.where(F.col("ds") <= F.lit(train_end).cast("date")).withColumn("__b", before).groupBy("series_id").agg(F.avg(F.abs(F.col("y") - F.col("__b"))).alias("scale"))
     own = preds.groupBy(*KEYS).agg(F.avg(F.abs(_error())).alias("mae"))
-    return own.join(F.broadcast(scale), "series_id").withColumn("mase", F.when(F.col("scale") > 0, F.col("mae") / F.col("scale")))
+    return own.join(scale, "series_id").withColumn("mase", F.when(F.col("scale") > 0, F.col("mae") / F.col("scale")))
 
 
 def pinball(y: str, q_hat: str, q: float) -> Column:

@@ -76,7 +76,7 @@ def suspicious_zeros(panel: DataFrame, last: int = 10) -> DataFrame:
     """Zeros among a series' last points become null if its usual value isn't zero."""
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("pos").desc()))
     usual = panel.groupBy("series_id").agg(F.median(F.abs("y")).alias("__usual"))
-    out = panel.withColumn("__r", rank).join(F.broadcast(usual), "series_id")
+    out = panel.withColumn("__r", rank).join(usual, "series_id")
     return out.withColumn("y", F.when((F.col("__r") <= last) & (F.col("y") == 0) & (F.col("__usual") > 0), None).otherwise(F.col("y"))).drop("__r", "__usual")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..sources import ledger, runlog
 from ..streaming import rollup
 from .feature_queries import rounded
-from .registry import FORECASTS, PANEL, forecasts, order_panel, query, table
+from .registry import FORECASTS, PANEL, forecasts, order_panel, query, table, work_folder
 
 
 @query("wide_ledger", "SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, sum(round(o_totalprice)) AS y FROM orders WHERE year(o_orderdate) IN (1998, 1999) GROUP BY 1, 2")
@@ -62,7 +60,7 @@ def tail_sample(spark, sf_dir):
 @query("csv_round_trip", "SELECT series_id, ds, y FROM panel", PANEL)
 def csv_round_trip(spark, sf_dir):
     """A panel through CSV and back by the reader for text."""
-    path = tempfile.mkdtemp(prefix="ledgerloom-") + "/panel.csv"
+    path = work_folder(spark) + "/panel.csv"
     order_panel(spark, sf_dir).write.csv(path, header=True)
     rows = ledger.read_any(spark, path)
     return rows.select("series_id", F.to_date("ds").alias("ds"), F.expr("try_cast(y AS double)").alias("y"))
@@ -70,14 +68,14 @@ def csv_round_trip(spark, sf_dir):
 
 @query("saved_runs", "SELECT model, 'daily' AS cadence, 'r1' AS run, count(*) AS n FROM preds GROUP BY 1", *FORECASTS)
 def saved_runs(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="ledgerloom-") + "/daily/run_id=r1"
+    path = work_folder(spark) + "/daily/run_id=r1"
     runlog.write_table(forecasts(spark, sf_dir), path, "model")
     return ledger.load_runs(spark, path).groupBy("model", "cadence", "run").agg(F.count("*").alias("n"))
 
 
 @query("experiment_log", "SELECT target, count(*) AS n, count(DISTINCT model) AS n_models FROM (SELECT series_id AS target, model FROM preds GROUP BY 1, 2 UNION ALL SELECT DISTINCT series_id, 'persistence' FROM preds) GROUP BY 1", *FORECASTS)
 def experiment_log(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="ledgerloom-") + "/log"
+    path = work_folder(spark) + "/log"
     runlog.append_log(runlog.log_rows(metrics.leaderboard(forecasts(spark, sf_dir)), {"window": "20"}), path)
     if runlog.check_log(spark, path).head(1):
         raise ValueError("an id repeats in the log")
@@ -86,7 +84,7 @@ def experiment_log(spark, sf_dir):
 
 @query("integrity_report", "SELECT series_id, count(*) AS n FROM preds GROUP BY 1", *FORECASTS)
 def integrity_report(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="ledgerloom-") + "/report"
+    path = work_folder(spark) + "/report"
     runlog.write_report(forecasts(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("n")), path)
     return spark.read.schema("series_id string, n long").json(path)
 
@@ -98,7 +96,7 @@ def provenance(spark, sf_dir):
 
 @query("stream_rollup", "SELECT event_type AS series_id, CAST(ts AS DATE) AS ds, count(*) AS n, sum(round(value)) AS y FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events) GROUP BY 1, 2")
 def stream_rollup(spark, sf_dir):
-    top = tempfile.mkdtemp(prefix="ledgerloom-")
+    top = work_folder(spark)
     table(spark, sf_dir, "events").write.parquet(f"{top}/in")
     return rollup.run_rollup(spark, f"{top}/in", f"{top}/out", f"{top}/checkpoint")
 

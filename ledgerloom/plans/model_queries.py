@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from ..operators import metrics, models, runs
 from .feature_queries import rounded
-from .registry import BUSINESS, HORIZON, business_panel, query
+from .registry import BUSINESS, HORIZON, business_panel, query, work_folder
 
 FOLDS = [(2000, date(1999, 12, 31), date(2000, 1, 1), date(2000, 12, 31)), (2001, date(2000, 12, 31), date(2001, 1, 1), date(2001, 7, 31))]
 
@@ -83,7 +82,7 @@ def ablation(spark, sf_dir):
 
 @query("daily_run")
 def daily_run(spark, sf_dir):
-    return runs.daily_run(business_panel(spark, sf_dir), HORIZON, "2001-01-01", tempfile.mkdtemp(prefix="ledgerloom-"), {"horizon": str(HORIZON)})
+    return runs.daily_run(business_panel(spark, sf_dir), HORIZON, "2001-01-01", work_folder(spark), {"horizon": str(HORIZON)})
 
 
 @query("log_times", """SELECT event_type AS log, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS started, CAST(date_trunc('second', max(ts)) AS VARCHAR) AS finished,

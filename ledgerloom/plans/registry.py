@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below ``spark.checkpoint.dir``; a temporary one where that is unset (local runs)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+
+
 def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order value by day and priority, in whole units so that sums are exact in any order."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("ds"), F.round("o_totalprice").alias("y"))

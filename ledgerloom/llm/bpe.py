@@ -188,15 +188,13 @@ def _ranges(found: list[int]) -> str:
 
 
 def unicode_gaps() -> tuple[dict[str, str], dict[int, str]]:
-    """Where this Python's Unicode tables differ from those of the ``tokenizers`` library, if that is installed.
+    """Where this Python's Unicode tables differ from those of the ``tokenizers`` library.
 
     :return: for ``L`` and ``N`` the characters that only Python counts in, as
         a character class; lower-case forms that only the library has.
     """
-    try:
-        from tokenizers import Regex, normalizers, pre_tokenizers
-    except ImportError:
-        return {}, {}
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
     every = "".join(chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000)
     more = {}
     for kind in "LN":

@@ -23,6 +23,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,8 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
         self.end = end
         letters = byte_letters()
-        table = np.zeros((1024, 1024), dtype=bool)
-        table[0, 0] = True  # the start state; its row is shared by every label nothing has restricted yet
+        table = np.zeros((1024, 256), np.uint8)  # a bit for each label class, the first one highest
+        table[0, 0] = 128  # the start state; its row is shared by every label nothing has restricted yet
         rows, cols = 2, 1  # row 1: nothing may follow, after a symbol that ends its word
         state, column = {}, {}
         row_users, col_users = [2, 2], [2]  # the start state always counts as one more user
@@ -84,11 +85,13 @@ class MergeAutomaton:
                 col_users[0] += 1
         for a, b in merges:
             c = a + b
-            if a not in state or b not in state or not table[state[a], column[b]]:
+            if a not in state or b not in state or not table[state[a], column[b] >> 3] >> (7 - (column[b] & 7)) & 1:
                 continue  # a is never followed by b here, so the merge never applies
             after_b, r, k = state[b], state[a], column[b]
-            if rows == table.shape[0] or cols == table.shape[1]:
-                table = np.pad(table, ((0, rows // 2), (0, cols // 2)))
+            if rows == table.shape[0]:
+                table = np.pad(table, ((0, rows // 4), (0, 0)))
+            if cols == 8 * table.shape[1]:
+                table = np.pad(table, ((0, 0), (0, table.shape[1] // 4)))
             if row_users[r] > 1 or a == b:
                 table[rows] = table[r]
                 row_users[r] -= 1
@@ -96,17 +99,17 @@ class MergeAutomaton:
                 r, rows = rows, rows + 1
                 state[a] = r
             if col_users[k] > 1:
-                table[:, cols] = table[:, k]
+                table[:, cols >> 3] |= ((table[:, k >> 3] >> (7 - (k & 7))) & 1) << (7 - (cols & 7))
                 col_users[k] -= 1
                 col_users.append(1)
                 k, cols = cols, cols + 1
                 column[b] = k
-            table[r, k] = False
+            table[r, k >> 3] &= 255 ^ (128 >> (k & 7))
             state[c], column[c] = after_b, column[a]
             row_users[after_b] += 1
             col_users[column[a]] += 1
         self.shape = (rows, cols)
-        self.bits = np.packbits(table[:rows, :cols], axis=1)
+        self.bits = table[:rows, : -(-cols // 8)].copy()
         known = [x for x in state if x in vocab]
         self.names, self.ids = known, np.array([vocab[x] for x in known], np.int32)
         self.to, self.column = (np.array([m[x] for x in known], np.int32) for m in (state, column))
@@ -280,6 +283,12 @@ class WordCodec:
         return out
 
 
+@lru_cache(maxsize=2)
+def codec_for(path: str) -> WordCodec:
+    """The codec of a vocabulary file, built once in a driver."""
+    return WordCodec(path)
+
+
 def encode_documents(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -294,7 +303,7 @@ def encode_documents(docs: DataFrame, path: str, keep_text: bool = True) -> Data
     at white space, so very long ones need memory for their pieces only.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(WordCodec(path))
+    shared = spark.sparkContext.broadcast(codec_for(path))
     source = texts(docs)
     key = source.schema["doc_id"].dataType.simpleString()
 

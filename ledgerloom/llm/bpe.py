@@ -34,7 +34,7 @@ from .common import texts
 from .lookup import IntTable
 
 #: Entries of a task's memo of words and of pieces; it is emptied when full, which costs time only.
-MEMO = 400_000
+MEMO = 250_000
 #: Characters of text that are encoded side by side.
 SLICE = 2_000_000
 
@@ -310,13 +310,17 @@ def encode_documents(docs: DataFrame, path: str, keep_text: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = shared.value, hashlib.sha256
         for batch in batches:
-            coded = [x for part in slices(batch.column(1).to_pylist()) for x in codec.encode(part)]
-            out = [batch.column(0), pa.array([x[2] for x in coded], pa.int64()), pa.array([sha(x[0].encode()).hexdigest() for x in coded], pa.string()), pa.array([sha(x[1].encode()).hexdigest() for x in coded], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_text:
-                out += [pa.array([[int(i) for i in x[0].split()] for x in coded], pa.list_(pa.int32())), pa.array([x[1] for x in coded], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            lo = 0
+            for part in slices(batch.column(1).to_pylist()):  # what a slice gives goes on before the next is encoded
+                coded = codec.encode(part)
+                out = [batch.column(0).slice(lo, len(part)), pa.array([x[2] for x in coded], pa.int64()), pa.array([sha(x[0].encode()).hexdigest() for x in coded], pa.string()), pa.array([sha(x[1].encode()).hexdigest() for x in coded], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_text:
+                    ids = [np.fromstring(x[0], np.int32, sep=" ") if x[0] else np.zeros(0, np.int32) for x in coded]
+                    out += [pa.array(ids, pa.list_(pa.int32())), pa.array([x[1] for x in coded], pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+                lo += len(part)
 
     schema = f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, schema + (", ids array<int>, decoded string" if keep_text else ""))

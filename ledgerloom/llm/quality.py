@@ -29,7 +29,7 @@ SAMPLE = 24_000
 #: Learners whose weights are averaged; each takes its share of the sample.
 SHARDS = 4
 EPOCHS = 4
-MEMO = 400_000
+MEMO = 250_000
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _RUN = regex.compile(r"(\p{Lu})+|(\p{L})+|(\p{N})+|(.)", regex.S)

@@ -19,20 +19,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
 
 SEALS, LANES = 8, 256
-# A paragraph ends at a line break; long lines are cut further at the end of a sentence, and runs without one every 8 words.
-_PARTS = regex.compile(r"\S+(?:[^\S\n]+\S+){0,7}?(?:[.!?]+(?=\s|$)|(?=\s*\n)|(?=\s*$))|\S+(?:[^\S\n]+\S+){0,7}")
+#: Words after which a run without a sentence end is cut.
+WORDS = 8
 
 
 def paragraphs(text: str) -> list[str]:
-    """The units that are hashed: lines, cut at sentence ends and after 8 words."""
-    return _PARTS.findall(text)
+    """The units that are hashed: lines, cut at sentence ends and after ``WORDS`` words. They hold the text but for the spaces between them and line breaks before the first."""
+    out, lines = [], text.split("\n")
+    for k, line in enumerate(lines):
+        unit: list[str] = []
+        for word in line.split(" "):
+            unit.append(word)
+            if len(unit) == WORDS or word[-1:] in (".", "!", "?"):
+                out.append(" ".join(unit))
+                unit = []
+        last = k == len(lines) - 1
+        if unit and unit != [""]:
+            out.append(" ".join(unit) + ("" if last else "\n"))
+        elif not last and out:
+            out[-1] += "\n"  # a line break alone is no unit
+    return out
 
 
 class MultisetHash:
@@ -88,7 +100,7 @@ def _dealt(docs: DataFrame, runs: int) -> DataFrame:
     """
     ids = docs.select("doc_id")
     probs = [i / runs for i in range(1, runs)]
-    bounds = sorted({int(x) for x in ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", probs, 0.001)}) if probs else []
+    bounds = sorted({int(x) for x in ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", probs, min(0.001, 0.05 / runs))}) if probs else []
     # The run of an id: how many bounds lie below it, counted from the top, as documents go in descending order.
     run = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("doc_id"))))
     heads = [r for r in ids.groupBy(run.cast("int").alias("run")).agg(F.max("doc_id").alias("head")).collect()]  # one row for each run

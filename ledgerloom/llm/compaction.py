@@ -23,7 +23,7 @@ TARGET = 128 << 20
 FANOUT = 4
 #: Runs below this size are one tier; each further tier is ``FANOUT`` times larger.
 BASE = 1 << 20
-MANIFEST = "run string, bytes long, tier int"
+MANIFEST = "run string, bytes long, tier int, files long, merged boolean"
 
 
 class CommitConflict(RuntimeError):
@@ -59,7 +59,7 @@ class ShardStore:
     def commit(self, runs: list[dict], based_on: int) -> int:
         """Make ``runs`` the version after ``based_on``, or raise ``CommitConflict``."""
         aside, final = f"{self.root}/manifests/_{uuid.uuid4().hex}", f"{self.root}/manifests/v{based_on + 1:08d}"
-        self.spark.createDataFrame([(r["run"], r["bytes"], r["tier"]) for r in runs], MANIFEST).coalesce(1).write.json(aside)
+        self.spark.createDataFrame([(r["run"], r["bytes"], r["tier"], r["files"], r["merged"]) for r in runs], MANIFEST).coalesce(1).write.json(aside)
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
@@ -73,15 +73,20 @@ class ShardStore:
             raise
         return based_on + 1
 
-    def _size(self, run: str) -> int:
-        return self._fs.getContentSummary(self._path(f"{self.root}/runs/{run}")).getLength()
+    def _sizes(self, run: str) -> list[int]:
+        """Bytes of each data file of a run."""
+        return [x.getLen() for x in self._fs.listStatus(self._path(f"{self.root}/runs/{run}")) if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
 
     def _tier(self, size: int) -> int:
         return 0 if size < self.base else 1 + int(math.log(size / self.base) / math.log(self.fanout) + 1e-9)
 
-    def _entry(self, run: str) -> dict:
-        size = self._size(run)
-        return {"run": run, "bytes": size, "tier": self._tier(size)}
+    def _entry(self, run: str, merged: bool = False) -> dict:
+        sizes = self._sizes(run)
+        return {"run": run, "bytes": sum(sizes), "tier": self._tier(sum(sizes)), "files": len(sizes), "merged": merged}
+
+    def _files(self, size: int) -> int:
+        """Target-sized files that hold so many bytes."""
+        return max(1, -(-size // self.target))
 
     def append(self, rows: DataFrame, arrival=None) -> int:
         """Add ``rows`` as one run, or as one run for each value of the column expression ``arrival``, in one commit.
@@ -100,17 +105,30 @@ class ShardStore:
         return self.commit(self.manifest(based_on) + [self._entry(x) for x in new], based_on)
 
     def plan(self, runs: list[dict]) -> list[list[dict]]:
-        """Groups of ``fanout`` runs of one tier, oldest first, that are due to be merged; runs of target size or more rest."""
+        """Groups of ``fanout`` runs of one tier, oldest first, that are due to be merged, and runs that are due to be rewritten alone.
+
+        A merged run of ``fanout`` target sizes or more rests: it lies in
+        target-sized files. An appended one of any size is in the files that
+        its tasks wrote; where it has more of them than target-sized files
+        would be and no group takes it, it is rewritten alone, once.
+        """
         due = []
         tiers: dict[int, list[dict]] = {}
         for r in runs:
             if r["bytes"] < self.target * self.fanout:
                 tiers.setdefault(r["tier"], []).append(r)
+            elif self._scattered(r):
+                due.append([r])
         for tier in sorted(tiers):
             own = sorted(tiers[tier], key=lambda r: (len(r["run"]), r["run"]))
-            due += [own[i : i + self.fanout] for i in range(0, len(own) - self.fanout + 1, self.fanout)]
+            full = len(own) // self.fanout * self.fanout
+            due += [own[i : i + self.fanout] for i in range(0, full, self.fanout)]
+            due += [[r] for r in own[full:] if r["bytes"] >= self.target and self._scattered(r)]
         return due
 
+    def _scattered(self, r: dict) -> bool:
+        return not r["merged"] and r["files"] > self._files(r["bytes"])
+
     def compact(self) -> int:
         """Merge until no tier is full; each round is one commit. Returns the newest version."""
         while due := self.plan(self.manifest()):
@@ -118,11 +136,11 @@ class ShardStore:
             runs = {r["run"]: r for r in self.manifest(based_on)}
             for i, group in enumerate(due):
                 name = f"m{based_on + 1:08d}-{i:04d}"
-                files = max(1, -(-sum(r["bytes"] for r in group) // self.target))
+                files = self._files(sum(r["bytes"] for r in group))
                 self.scan([r["run"] for r in group]).coalesce(files).write.parquet(f"{self.root}/runs/{name}")
                 for r in group:
                     del runs[r["run"]]
-                runs[name] = self._entry(name)
+                runs[name] = self._entry(name, merged=True)
             self.commit(list(runs.values()), based_on)
         return self.version()
 
@@ -155,11 +173,22 @@ class ShardStore:
                     self._fs.delete(self._path(f"{self.root}/runs/{run}"), True)
 
 
+def stored_bytes(rows: DataFrame) -> int:
+    """Bytes of the files that ``rows`` are read from; 0 where they come from none."""
+    spark, jvm = rows.sparkSession, rows.sparkSession.sparkContext._jvm
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in rows.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
 def shard_documents(docs: DataFrame, arrivals: int = 10, target: int = TARGET, fanout: int = FANOUT, base: int = BASE, root: str | None = None) -> DataFrame:
     """Documents as a store holds them after their arrivals have been appended and compacted.
 
     :param docs: all columns are stored; ``doc_id`` and ``text`` are returned with their place.
-    :param arrivals: a hash of the id says in which arrival a row came.
+    :param arrivals: a hash of the id says in which arrival a row came; at least so many, and more where the input's
+        files would make arrivals of over ``fanout`` target sizes.
     :param root: where the store lies; None: a new folder below the shared one.
     :return: ``doc_id, n_bytes, run, tier, version``, one row for each input row.
 
@@ -170,6 +199,7 @@ def shard_documents(docs: DataFrame, arrivals: int = 10, target: int = TARGET, f
     """
     spark = docs.sparkSession
     store = ShardStore(spark, root or scratch(spark, "shards"), target, fanout, base)
+    arrivals = max(arrivals, -(-stored_bytes(docs) // (target * fanout)))
     store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)))
     store.compact()
     store.vacuum()

@@ -223,6 +223,29 @@ def test_compaction(spark, docs, edge, empty, tmp_path):
     assert compaction.shard_documents(empty).count() == 0
 
 
+def test_compaction_of_large_arrivals(spark, tmp_path):
+    """Arrivals beyond ``fanout`` target sizes, in many small files each, end in target-sized files."""
+    target = 1 << 15
+    text = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)).cast("string"), 512) for k in range(8)])
+    path = str(tmp_path / "in")
+    spark.range(1500).repartition(12).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(path)
+    docs = spark.read.option("pathGlobFilter", "*.parquet").parquet(path).repartition(12)
+    store = compaction.ShardStore(spark, str(tmp_path / "s"), target=target, fanout=4, base=1 << 10)
+    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(10)))
+    before = store.manifest()
+    assert all(r["bytes"] > 4 * target and r["files"] == 12 for r in before)
+    small = [x for r in before for x in store._sizes(r["run"])]
+    store.append(docs.where("doc_id < 70").repartition(9))  # between target and ``fanout`` of them, alone in its tier
+    store.compact()
+    live = store.manifest()
+    assert all(r["files"] <= store._files(r["bytes"]) + 1 for r in live) and not store.plan(live)
+    assert max(small) < target
+    assert store.read().exceptAll(docs.unionByName(docs.where("doc_id < 70"))).count() == 0
+    got = compaction.shard_documents(spark.read.parquet(path), 2, target=target, root=str(tmp_path / "d"))
+    assert got.count() == 1500 and compaction.stored_bytes(spark.read.parquet(path)) > 40 * target
+    assert not any(r["bytes"] >= target and r["files"] > store._files(r["bytes"]) + 1 for r in compaction.ShardStore(spark, str(tmp_path / "d")).manifest())
+
+
 # 6
 
 

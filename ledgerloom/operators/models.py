@@ -13,6 +13,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
 from .panel import by_series
 
 LAGS, WINDOWS = [1, 2, 5, 10, 20], [5, 20]
@@ -252,31 +253,146 @@ def _arx(y: np.ndarray, h: int, order: int = 5, season: int = 5) -> np.ndarray:
     return np.array(v[-h:])
 
 
-def grouped_forecasts(panel: DataFrame, horizon: int, names: list[str] | None = None, origins: int = 20, every: int = 5, memory: int = 400) -> DataFrame:
-    """Registry forecasters, refitted at every ``every``-th of the last origins of each series, in parallel over (series, origin).
+# The same forecasters at many origins of one series: (values, horizon, ends) -> last forecast from each ``values[:end]``.
+# What a fit needs of the past is carried forward from origin to origin, so each value is visited once; the result is that of a refit.
 
-    Each group gets the last ``memory`` values before its origin, so its size is
-    bounded, whatever the series' length; the rows are made by a window, not by
-    collecting a series.
+Rolling = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
+ROLLING: dict[str, Rolling] = {}
+
+
+def rolling(name: str):
+    def add(f: Rolling) -> Rolling:
+        ROLLING[name] = f
+        return f
+
+    return add
+
+
+def _mean_of_last(y: np.ndarray, n: int, season: int) -> float:
+    return y[max(0, n - season) : n].mean()
+
+
+@rolling("naive_last")
+def _naive_rolling(y: np.ndarray, h: int, ends: np.ndarray) -> np.ndarray:
+    return y[ends - 1]
+
+
+@rolling("ets")
+def _ets_rolling(y: np.ndarray, h: int, ends: np.ndarray, season: int = 5) -> np.ndarray:
+    """All weights of the grid side by side; at an origin those with the least squared errors so far are taken."""
+    a, b, g = (np.array(x) for x in zip(*[(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.1) for g in (0.0, 0.1, 0.3)]))
+    damped, found = sum(0.9**j for j in range(1, h + 1)), {int(n): _mean_of_last(y, n, season) for n in ends if n < 3 * season}
+    wanted, first = {int(n) for n in ends}, y[:season].mean()
+    level, trend, sse = np.full(len(a), first), np.zeros(len(a)), np.zeros(len(a))
+    s = np.repeat((y[:season] - first)[:, None], len(a), axis=1)
+    for t in range(season, int(max(ends, default=0))):
+        k = t % season
+        e = y[t] - (level + 0.9 * trend + s[k])
+        sse += e * e
+        level, trend = level + 0.9 * trend + a * e, 0.9 * trend + a * b * e
+        s[k] += g * (1 - a) * e
+        if t + 1 in wanted and t + 1 >= 3 * season:
+            best = int(sse.argmin())
+            found[t + 1] = level[best] + trend[best] * damped + s[(t + h) % season, best]
+    return np.array([found[int(n)] for n in ends])
+
+
+@rolling("theta")
+def _theta_rolling(y: np.ndarray, h: int, ends: np.ndarray, alpha: float = 0.3) -> np.ndarray:
+    t = np.arange(len(y), dtype=float)
+    levels = np.empty(len(y))
+    levels[0] = y[0]
+    for i in range(1, len(y)):
+        levels[i] = levels[i - 1] + alpha * (y[i] - levels[i - 1])
+    n, z = ends.astype(float), y - y[0]  # sums of what is left stay small
+    st, sy, sty, stt = (np.cumsum(x)[ends - 1] for x in (t, z, t * z, t * t))
+    spread = n * stt - st * st
+    slope = np.where(spread > 0, (n * sty - st * sy) / np.where(spread > 0, spread, 1), 0.0)
+    return levels[ends - 1] + 0.5 * slope * h
+
+
+@rolling("arx")
+def _arx_rolling(y: np.ndarray, h: int, ends: np.ndarray, order: int = 5, season: int = 5) -> np.ndarray:
+    at, out, done = order, [], np.argsort(ends, kind="stable")
+    row = lambda v, t: np.concatenate([v[t - order : t][::-1], np.eye(season)[t % season]])
+    xx, xy = np.zeros((order + season,) * 2), np.zeros(order + season)
+    for n in ends[done]:
+        if n < 40:
+            out.append(y[:n].mean())
+            continue
+        for t in range(at, n):
+            x = row(y, t)
+            xx += np.outer(x, x)
+            xy += x * y[t]
+        at = max(at, int(n))
+        coef = np.linalg.lstsq(xx + 1e-3 * np.eye(len(xx)), xy, rcond=None)[0]
+        v = list(y[n - order : n])
+        for k in range(h):
+            v.append(float(np.concatenate([v[-order:][::-1], np.eye(season)[(n + k) % season]]) @ coef))
+        out.append(v[-1])
+    return np.array(out)[np.argsort(done, kind="stable")]
+
+
+@rolling("seasonal_ar")
+def _seasonal_ar_rolling(y: np.ndarray, h: int, ends: np.ndarray, season: int = 5, order: int = 3) -> np.ndarray:
+    base = np.array([y[t - season :: -season][:8].mean() if t >= season else y[:season].mean() for t in range(len(y))])
+    rest, at, out, done = y - base, order, [], np.argsort(ends, kind="stable")
+    xx, xy = np.zeros((order, order)), np.zeros(order)
+    for n in ends[done]:
+        if n < 10 * season:
+            out.append(_mean_of_last(y, n, season))
+            continue
+        for t in range(at, n):
+            x = rest[t - order : t][::-1]
+            xx += np.outer(x, x)
+            xy += x * rest[t]
+        at = max(at, int(n))
+        coef = np.linalg.solve(xx + 1e-6 * np.eye(order) * max(1.0, float(np.trace(xx)) / (order * (n - order))), xy)
+        past, values = list(rest[n - order : n]), list(y[max(0, n - 8 * season) : n])
+        for _ in range(h):
+            r = float(np.dot(coef, past[-1 : -order - 1 : -1]))
+            past.append(r)
+            values.append(float(np.mean(values[-season :: -season][:8])) + r)
+        out.append(values[-1])
+    return np.array(out)[np.argsort(done, kind="stable")]
+
+
+def evaluation_start(panel: DataFrame, horizon: int) -> DataFrame:
+    """``series_id, first``: start of each series' first yearly fold; of its last window where it has too few years for one."""
+    yearly = folds.yearly_folds(panel).groupBy("series_id").agg(F.min("eval_start").alias("__y"))
+    short = folds.last_window(panel, horizon).select("series_id", F.col("eval_start_pos").alias("pos"))
+    short = panel.join(short, ["series_id", "pos"]).select("series_id", F.col("ds").alias("__w"))
+    return short.join(yearly, "series_id", "left").select("series_id", F.coalesce("__y", "__w").alias("first"))
+
+
+def grouped_forecasts(panel: DataFrame, horizon: int, names: list[str] | None = None, since: str | None = None) -> DataFrame:
+    """Registry forecasters, refitted at every origin of the evaluation range on the whole history up to it, in parallel over series.
+
+    The range has all targets from ``since`` on; None: those of all yearly
+    folds. A group is one series, a row for each day; forecasters with a form
+    in ``ROLLING`` visit each value once, others are refitted at each origin.
+    Null values are passed over, as history and as origins.
     """
     chosen = names or sorted(REGISTRY)
-    w = by_series()
-    back = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("pos").desc())) - 1
-    rows = panel.withColumns({"past": F.collect_list("y").over(w.rowsBetween(-(memory - 1), 0)), "y_true": F.lead("y", horizon).over(w), "target_date": F.lead("ds", horizon).over(w), "back": back})
-    rows = rows.where((F.col("back") >= horizon) & ((F.col("back") - horizon) % every == 0) & (F.col("back") < horizon + origins * every))
-    table = dict(REGISTRY)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                y = np.asarray(r.past, dtype=float)
-                for name in chosen:
-                    out.append((r.series_id, name, horizon, r.ds, r.target_date, float(y[-1]), r.y_true, float(table[name](y, horizon)[-1])))
-            yield pd.DataFrame(out, columns=["series_id", "model", "horizon", "origin_date", "target_date", "origin_value", "y_true", "y_pred"])
-
-    cells = rows.select("series_id", "ds", "past", "y_true", "target_date").repartition(F.col("series_id"), F.col("ds"))
-    return cells.mapInPandas(run, "series_id string, model string, horizon int, origin_date date, target_date date, origin_value double, y_true double, y_pred double")
+    if since is None:
+        rows = panel.join(evaluation_start(panel, horizon), "series_id")
+    else:
+        rows = panel.withColumn("first", F.lit(since).cast("date"))
+    single, many = dict(REGISTRY), dict(ROLLING)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        y, days = pdf["y"].to_numpy(dtype=float), pdf["ds"].to_numpy()
+        there = ~np.isnan(y)
+        at = np.array([i for i in range(len(y) - horizon) if there[i] and days[i + horizon] >= pdf["first"].iloc[0]], dtype=int)
+        values, ends, parts = y[there], np.cumsum(there)[at], []
+        for name in chosen if len(at) else []:
+            got = many[name](values, horizon, ends) if name in many else np.array([single[name](values[:n], horizon)[-1] for n in ends])
+            parts.append(pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "model": name, "horizon": horizon, "origin_date": days[at], "target_date": days[at + horizon], "origin_value": y[at], "y_true": [None if np.isnan(v) else v for v in y[at + horizon]], "y_pred": got}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("series_id", "model", "horizon", "origin_date", "target_date", "origin_value", "y_true", "y_pred")})
+
+    cells = rows.select("series_id", "pos", "ds", "y", "first")
+    return cells.groupBy("series_id").applyInPandas(run, "series_id string, model string, horizon int, origin_date date, target_date date, origin_value double, y_true double, y_pred double")
 
 
 def recursive_forecast(step: Callable[[DataFrame], DataFrame], panel: DataFrame, horizon: int, most: int = 20) -> DataFrame:

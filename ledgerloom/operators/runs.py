@@ -72,7 +72,7 @@ def daily_run(panel: DataFrame, horizon: int, since: str, out: str, params: dict
     """
     spark = panel.sparkSession
     windows = baselines.window_forecasts(panel, horizon).where(F.col("target_date") >= F.lit(since).cast("date"))
-    grouped = models.grouped_forecasts(panel, horizon, ["ets", "theta", "arx"]).withColumns({"y_lo": F.lit(None).cast("double"), "y_hi": F.lit(None).cast("double")})
+    grouped = models.grouped_forecasts(panel, horizon, ["ets", "theta", "arx"], since).withColumns({"y_lo": F.lit(None).cast("double"), "y_hi": F.lit(None).cast("double")})
     rows = windows.unionByName(grouped.select(*windows.columns)).unionByName(ensemble.ensembles(windows).select(*windows.columns))
     family = F.coalesce(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])[F.col("model")], F.lit("ensemble"))
     runlog.write_table(rows.withColumn("family", family), f"{out}/predictions", "family")

@@ -119,6 +119,32 @@ def test_registry_forecasters_return_all_steps():
     assert abs(models.REGISTRY["arx"](y, 5) - y[:5]).max() < 0.5
 
 
+def test_rolling_forecasts_equal_refits():
+    import numpy as np
+
+    y = np.random.default_rng(3).normal(size=120).cumsum() + np.tile([0.0, 3, 1, 5, 2], 24) + 50
+    ends = np.arange(1, 121)
+    assert set(models.ROLLING) == set(models.REGISTRY)
+    for name, f in models.ROLLING.items():
+        for h in (1, 5, 7):
+            assert np.allclose(f(y, h, ends), [models.REGISTRY[name](y[:n], h)[-1] for n in ends], rtol=1e-6), (name, h)
+
+
+def test_grouped_forecasts_have_every_origin(spark):
+    days = weekdays(1500)
+    rows = [("a", d, i, float((i * 37) % 101 + (i > 600) * 50)) for i, d in enumerate(days)] + [("b", d, i, float(i)) for i, d in enumerate(days[:30])]
+    panel = spark.createDataFrame(rows, "series_id string, ds date, pos int, y double")
+    got = models.grouped_forecasts(panel, 5, ["naive_last", "theta"]).collect()
+    a = {r["target_date"]: r for r in got if r["series_id"] == "a" and r["model"] == "theta"}
+    assert set(a) == {d for d in days if d.year >= 2024}  # four years before the first fold, and all after
+    y = [r[3] for r in rows[:1500]]
+    import numpy as np
+
+    k = days.index(max(a)) - 5
+    assert a[max(a)]["origin_date"] == days[k] and abs(a[max(a)]["y_pred"] - models.REGISTRY["theta"](np.array(y[: k + 1]), 5)[-1]) < 1e-6
+    assert {r["target_date"] for r in got if r["series_id"] == "b"} == set(days[23:30])
+
+
 def test_wide_reader(spark):
     wide = spark.createDataFrame([("Revenue", "1.5", "x", "n")], "metric string, `2024-01-01` string, `2024-01-02` string, note string")
     assert [tuple(r) for r in ledger.wide_to_long(wide, "metric").orderBy("ds").collect()] == [("Revenue", date(2024, 1, 1), 1.5), ("Revenue", date(2024, 1, 2), None)]

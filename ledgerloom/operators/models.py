@@ -92,7 +92,9 @@ def quantile_forest(panel: DataFrame, train_end, start, end, horizon: int, quant
     """
     rows, names = supervised(panel, horizon)
     rows = rows.where("label IS NOT NULL")
-    train, scored = rows.where(F.col("target_date") <= F.lit(train_end)), rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
+    scored = rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
+    first = scored.agg(F.min("origin_date")).first()[0]
+    train = rows.where(F.col("target_date") <= F.lit(min(train_end, first) if first is not None else train_end))
     forest = RandomForestRegressor(numTrees=trees, maxDepth=6, minInstancesPerNode=10, seed=7, featuresCol="features", labelCol="label", predictionCol="raw", leafCol="leaves")
     fitted = pipeline(names, forest).fit(train)
     leaves = lambda df, *cols: fitted.transform(df).select(*cols, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))

@@ -3,60 +3,80 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, models, runs
+from ..operators import folds, metrics, models, runs
 from .feature_queries import rounded
 from .registry import BUSINESS, HORIZON, business_panel, query, work_folder
 
-FOLDS = [(2000, date(1999, 12, 31), date(2000, 1, 1), date(2000, 12, 31)), (2001, date(2000, 12, 31), date(2001, 1, 1), date(2001, 7, 31))]
+#: The training end of queries that fit once and score nothing by fold.
+TRAIN_END = date(1999, 12, 31)
+
+
+def yearly(panel):
+    """``(fold_id, train_end, eval_start, eval_end)`` of all yearly folds over the panel's series: a row for each year."""
+    own = folds.yearly_folds(panel).groupBy("fold_id").agg(F.max("train_end").alias("t"), F.min("eval_start").alias("a"), F.max("eval_end").alias("b"))
+    return sorted(tuple(r) for r in own.collect())
+
+
+def fitted(spark, sf_dir, names, **more):
+    panel = business_panel(spark, sf_dir)
+    return models.fold_forecasts(panel, yearly(panel), HORIZON, names, **more)
+
+
+def by_fold(panel, make):
+    """Rows that ``make`` gives for each fold, with the fold's number."""
+    return reduce(DataFrame.unionByName, [make(*dates).withColumn("fold_id", F.lit(fold_id)) for fold_id, *dates in yearly(panel)])
 
 
 @query("linear_forecasts")
 def linear_forecasts(spark, sf_dir):
-    return models.fold_forecasts(business_panel(spark, sf_dir), FOLDS[:1], HORIZON, ["ridge", "lasso", "elastic_net"])
+    return fitted(spark, sf_dir, ["ridge", "lasso", "elastic_net"])
 
 
 @query("forest_forecasts")
 def forest_forecasts(spark, sf_dir):
-    return models.fold_forecasts(business_panel(spark, sf_dir), FOLDS[:1], HORIZON, ["random_forest"])
+    return fitted(spark, sf_dir, ["random_forest"])
 
 
 @query("boosted_forecasts")
 def boosted_forecasts(spark, sf_dir):
-    return models.fold_forecasts(business_panel(spark, sf_dir), FOLDS[:1], HORIZON, ["boosted_l2"])
+    return fitted(spark, sf_dir, ["boosted_l2"])
 
 
 @query("delta_forecasts")
 def delta_forecasts(spark, sf_dir):
-    return models.fold_forecasts(business_panel(spark, sf_dir), FOLDS[:1], HORIZON, ["ridge"], delta=True)
+    return fitted(spark, sf_dir, ["ridge"], delta=True)
 
 
 @query("fitted_leaderboard")
 def fitted_leaderboard(spark, sf_dir):
-    return metrics.leaderboard(models.fold_forecasts(business_panel(spark, sf_dir), FOLDS[:1], HORIZON, ["ridge", "random_forest"]))
+    return metrics.leaderboard(fitted(spark, sf_dir, ["ridge", "random_forest"]))
 
 
 @query("residual_bands")
 def residual_bands(spark, sf_dir):
-    preds = models.fold_forecasts(business_panel(spark, sf_dir), FOLDS[:1], HORIZON, ["random_forest"])
+    preds = fitted(spark, sf_dir, ["random_forest"])
     return models.residual_bands(preds, date(2000, 6, 30))
 
 
 @query("quantile_forest")
 def quantile_forest(spark, sf_dir):
-    return models.quantile_forest(business_panel(spark, sf_dir), *FOLDS[0][1:], HORIZON)
+    panel = business_panel(spark, sf_dir)
+    return by_fold(panel, lambda *dates: models.quantile_forest(panel, *dates, HORIZON))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    return models.importances(business_panel(spark, sf_dir), FOLDS[0][1], HORIZON)
+    return models.importances(business_panel(spark, sf_dir), TRAIN_END, HORIZON)
 
 
 @query("signal_control")
 def signal_control(spark, sf_dir):
-    return models.signal_control(business_panel(spark, sf_dir), FOLDS[0][1], HORIZON)
+    return models.signal_control(business_panel(spark, sf_dir), TRAIN_END, HORIZON)
 
 
 @query("grouped_forecasts")
@@ -71,13 +91,14 @@ def grouped_forecasts(spark, sf_dir):
     *BUSINESS,
 )
 def scaler_statistics(spark, sf_dir):
-    out = models.scaler_statistics(business_panel(spark, sf_dir), FOLDS[0][1], HORIZON)
+    out = models.scaler_statistics(business_panel(spark, sf_dir), TRAIN_END, HORIZON)
     return rounded(out.where(F.col("feature").isin("lag_1", "lag_20", "now", "dow", "month")), 3, "mean", "std")
 
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    return runs.ablation(business_panel(spark, sf_dir), *FOLDS[0][1:], HORIZON)
+    panel = business_panel(spark, sf_dir)
+    return by_fold(panel, lambda *dates: runs.ablation(panel, *dates, HORIZON))
 
 
 @query("daily_run")

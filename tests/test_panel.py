@@ -145,6 +145,15 @@ def test_grouped_forecasts_have_every_origin(spark):
     assert {r["target_date"] for r in got if r["series_id"] == "b"} == set(days[23:30])
 
 
+def test_fitted_queries_score_all_folds(spark, data):
+    from ledgerloom.plans import QUERIES, model_queries
+
+    years = [f[0] for f in model_queries.yearly(model_queries.business_panel(spark, data))]
+    assert years == [1999, 2000, 2001]
+    for name in ("delta_forecasts", "ablation", "quantile_forest"):
+        assert {r["fold_id"] for r in QUERIES[name](spark, data).select("fold_id").distinct().collect()} == set(years), name
+
+
 def test_wide_reader(spark):
     wide = spark.createDataFrame([("Revenue", "1.5", "x", "n")], "metric string, `2024-01-01` string, `2024-01-02` string, note string")
     assert [tuple(r) for r in ledger.wide_to_long(wide, "metric").orderBy("ds").collect()] == [("Revenue", date(2024, 1, 1), 1.5), ("Revenue", date(2024, 1, 2), None)]

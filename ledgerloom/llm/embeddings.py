@@ -39,16 +39,14 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np
     return centres
 
 
-def margin(threshold: float, dims: int, sigmas: float = 4.0) -> float:
-    """How far from the border of a cell a vector is compared in that cell too.
+def margin(threshold: float) -> float:
+    """How far from the border of a cell a vector is compared in that cell too: ``sin(acos(threshold))``.
 
-    A partner lies within ``sin(acos(threshold))`` of a vector, so no partner is
-    further across a border than that. In many dimensions only about one part in
-    ``sqrt(dims)`` of a displacement points across a given border; ``sigmas``
-    times that is enough. With 16 dimensions or fewer the margin is exact.
+    Borders are planes through the origin. A partner across one is within
+    ``acos(threshold)``, so no vector further off than that has one there,
+    however the vectors spread.
     """
-    reach = math.sqrt(max(0.0, 1 - threshold * threshold))
-    return reach * min(1.0, sigmas / math.sqrt(max(1, dims)))
+    return math.sqrt(1 - threshold * threshold) if threshold > 0 else 1.0
 
 
 def _links(home: np.ndarray, home_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +130,7 @@ def _compare(spark: SparkSession, units: DataFrame, dims: int, n: int, threshold
     points /= np.abs(points).max(axis=1, keepdims=True)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     centres = fit_cells(points, min(MOST_CELLS, -(-n // cell)))
-    near, shared = margin(threshold, dims), spark.sparkContext.broadcast(centres)
+    near, shared = margin(threshold), spark.sparkContext.broadcast(centres)
     gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 1024 else None
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

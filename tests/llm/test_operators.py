@@ -73,6 +73,18 @@ def test_embeddings_equal_brute_force(spark):
     assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == want
 
 
+def test_embeddings_of_low_rank(spark):
+    """Vectors of 64 dimensions that lie in a plane: links cross borders at their full reach."""
+    rng = np.random.default_rng(5)
+    plane = np.linalg.qr(rng.normal(size=(64, 2)))[0]
+    angle = rng.uniform(0, 2 * np.pi, 240)
+    v = np.stack([np.cos(angle), np.sin(angle)], axis=1) @ plane.T
+    near = v @ v.T
+    assert np.abs(near - 0.9).min() > 1e-9
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), cell=20).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(((near >= 0.9).sum(axis=1) - 1).tolist()))
+
+
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).collect() == []

@@ -116,8 +116,9 @@ def residual_bands(preds: DataFrame, calibration_end, low: float = 0.1, high: fl
     e = F.col("y_true") - F.col("y_pred")
     keys = ["series_id", "model"]
     bands = preds.where(F.col("target_date") <= F.lit(calibration_end)).groupBy(*keys).agg(F.percentile(e, F.lit(low)).alias("__lo"), F.percentile(e, F.lit(high)).alias("__hi"))
-    out = preds.where(F.col("target_date") > F.lit(calibration_end)).join(bands, keys)
-    return out.withColumns({"y_lo": F.least("y_pred", F.col("y_pred") + F.col("__lo")), "y_hi": F.greatest("y_pred", F.col("y_pred") + F.col("__hi"))}).drop("__lo", "__hi")
+    out = preds.where(F.col("target_date") > F.lit(calibration_end)).join(bands, keys, "left")
+    held = F.col("__lo").isNotNull()  # no bounds without a tail
+    return out.withColumns({"y_lo": F.when(held, F.least("y_pred", F.col("y_pred") + F.col("__lo"))), "y_hi": F.when(held, F.greatest("y_pred", F.col("y_pred") + F.col("__hi")))}).drop("__lo", "__hi")
 
 
 def importances(panel: DataFrame, train_end, horizon: int, top: int = 10) -> DataFrame:

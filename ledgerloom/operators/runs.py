@@ -62,18 +62,36 @@ def ablation(panel: DataFrame, train_end, start, end, horizon: int, model: str =
 
 
 FAMILIES = {"naive_last": "naive", "weekday_mean": "average", "moving_average_20": "average", "ets": "statistical", "theta": "statistical", "arx": "statistical", "seasonal_ar": "statistical"}
+FAMILIES |= {"ridge": "fitted", "random_forest": "fitted", "boosted_l2": "fitted", "quantile_forest": "quantile"}
 
 
-def daily_run(panel: DataFrame, horizon: int, since: str, out: str, params: dict[str, str] | None = None) -> DataFrame:
+def daily_run(panel: DataFrame, horizon: int, since: str, out: str, params: dict[str, str] | None = None, folds: list[tuple] | None = None) -> DataFrame:
     """All families in one application: forecasts, ensembles, scores, board and log are written below ``out``; the family summary is returned.
 
-    What several tables read is written once and read back, partitioned by
-    family.
+    ``folds`` (as ``models.fold_forecasts`` has them) cover the targets from
+    ``since`` on; without them the fitted and quantile families, which must be
+    trained, are left out. All models forecast the same targets. Statistical
+    models have bounds from the residuals of the year before. What several
+    tables read is written once and read back, partitioned by family.
     """
     spark = panel.sparkSession
-    windows = baselines.window_forecasts(panel, horizon).where(F.col("target_date") >= F.lit(since).cast("date"))
-    grouped = models.grouped_forecasts(panel, horizon, ["ets", "theta", "arx"], since).withColumns({"y_lo": F.lit(None).cast("double"), "y_hi": F.lit(None).cast("double")})
-    rows = windows.unionByName(grouped.select(*windows.columns)).unionByName(ensemble.ensembles(windows).select(*windows.columns))
+    scored = F.col("target_date") >= F.lit(since).cast("date")
+    windows = baselines.window_forecasts(panel, horizon).where(scored)
+    first = windows.agg(F.min("origin_date")).first()[0]
+    before = spark.range(1).select(F.add_months(F.lit(since).cast("date"), -12)).first()[0].isoformat()
+    grouped = models.grouped_forecasts(panel, horizon, [n for n, f in FAMILIES.items() if f == "statistical"], before)
+    members = windows.unionByName(models.residual_bands(grouped, first).where(scored).select(*windows.columns))
+    if folds:
+        none = {"y_lo": F.lit(None).cast("double"), "y_hi": F.lit(None).cast("double")}
+        fitted = models.fold_forecasts(panel, folds, horizon, [n for n, f in FAMILIES.items() if f == "fitted"]).withColumns(none)
+        members = members.unionByName(fitted.where(scored).select(*windows.columns))
+        for _, *dates in folds:
+            own = models.quantile_forest(panel, *dates, horizon).withColumns({"model": F.lit("quantile_forest"), "horizon": F.lit(horizon)})
+            own = own.withColumnsRenamed({"p50": "y_pred", "p10": "y_lo", "p90": "y_hi"})
+            members = members.unionByName(own.where(scored).select(*windows.columns))
+    members.write.parquet(f"{out}/members")
+    members = spark.read.parquet(f"{out}/members")
+    rows = members.unionByName(ensemble.ensembles(members).select(*windows.columns))
     family = F.coalesce(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])[F.col("model")], F.lit("ensemble"))
     runlog.write_table(rows.withColumn("family", family), f"{out}/predictions", "family")
     preds = spark.read.parquet(f"{out}/predictions").drop("family")

@@ -103,7 +103,9 @@ def ablation(spark, sf_dir):
 
 @query("daily_run")
 def daily_run(spark, sf_dir):
-    return runs.daily_run(business_panel(spark, sf_dir), HORIZON, "2001-01-01", work_folder(spark), {"horizon": str(HORIZON)})
+    panel, since = business_panel(spark, sf_dir), date(2001, 1, 1)
+    current = [f for f in yearly(panel) if f[3] >= since]
+    return runs.daily_run(panel, HORIZON, since.isoformat(), work_folder(spark), {"horizon": str(HORIZON)}, current)
 
 
 @query("log_times", """SELECT event_type AS log, CAST(date_trunc('second', min(ts)) AS VARCHAR) AS started, CAST(date_trunc('second', max(ts)) AS VARCHAR) AS finished,

@@ -202,6 +202,16 @@ def test_daily_run(spark, series, tmp_path):
     assert runlog.check_log(spark, str(tmp_path / "log")).count() == 0
 
 
+def test_daily_run_has_all_families(spark, series, tmp_path):
+    days = weekdays(200)
+    summary = runs.daily_run(series, 5, "2020-09-01", str(tmp_path), folds=[(2020, date(2020, 8, 31), date(2020, 9, 1), days[-1])])
+    assert {r["family"] for r in summary.collect()} == {"naive", "average", "statistical", "fitted", "quantile", "ensemble"}
+    preds = spark.read.parquet(f"{tmp_path}/predictions")
+    targets = {r["model"]: r["d"] for r in preds.groupBy("model").agg(F.sort_array(F.collect_list("target_date")).alias("d")).collect()}
+    assert set(targets) >= set(runs.FAMILIES) and all(d == targets["naive_last"] for d in targets.values())
+    assert preds.where("family IN ('statistical', 'quantile') AND (y_lo IS NULL OR y_hi IS NULL)").count() == 0
+
+
 def test_stream_equals_batch(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))

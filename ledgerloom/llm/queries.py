@@ -53,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op5_sharding, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts, op10_suffix_dedup)}

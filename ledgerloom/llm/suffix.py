@@ -33,6 +33,8 @@ HOT = 400
 FINE = 16
 #: Bytes that are hashed, and bytes that are sorted, at once.
 SLICE, SORTED = 1 << 19, 1 << 18
+#: Bytes of texts whose rows leave a task at once.
+REPLY = 8 << 20
 
 _RNG = np.random.default_rng(31)
 _OF_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,10 +111,11 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _segment_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
     """Segments of every text (``ROWS``). Those that repeat within a text come once, with their number, and with rows without a key that say what they cover."""
 
-    def slices(ids: list, tids: list, found: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes, int]]]:
-        """(doc_id, tid, bytes, offset) of texts side by side; a longer text in parts that overlap by a window less one."""
+    def slices(ids: pa.Array, tids: pa.Array, found: pa.Array) -> Iterator[list[tuple[int, int, memoryview, int]]]:
+        """(doc_id, tid, bytes, offset) of texts side by side; a longer text in parts that overlap by a window less one. Bytes are views of the batch."""
         held, size = [], 0
-        for i, t, x in zip(ids, tids, found):
+        for i, t, x in zip(ids.to_pylist(), tids.to_pylist(), found):
+            x = memoryview(x.as_buffer())
             if len(x) < length:
                 continue
             for at in range(0, len(x) - length + 1, SLICE):
@@ -129,8 +132,7 @@ def _segment_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.encode() for x in batch.column(2).to_pylist()]
-            for group in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
+            for group in slices(*(batch.column(i) for i in range(3))):
                 whole = b"".join([x[2] for x in group])
                 ends = np.cumsum([len(x[2]) for x in group])
                 first, stop, anchor, key = segments(np.frombuffer(whole, np.uint8), ends, length, gram)
@@ -354,12 +356,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return runs
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: bool = True) -> DataFrame:
     """Texts without the bytes that repeated strings cover.
 
     :param docs: needs ``doc_id`` and ``text``; other columns are ignored.
     :param length: bytes of a string that counts as repeated if it starts at any other place, of the same text or another.
     :param gram: bytes of the anchors; less than ``length``.
+    :param keep: return ``kept`` too.
     :return: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``,
         one row for each input row: the maximal removed runs as (start, end) in
         bytes, and the bytes that stay (binary, as a cut may split a character).
@@ -377,20 +380,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     runs = runs.withColumnsRenamed({"doc_id": "d", "tid": "t"}).hint("shuffle_hash")
     joined = source.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left").select("doc_id", "text", "runs")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", spans), ("kept", pa.binary())]
+    fields = fields if keep else fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, number, digest, where, kept = [], [], [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode()
-                gone = _merged([(x["start"], x["end"]) for x in found or ()])
-                left = b"".join([data[a:b] for a, b in zip([0, *[x[1] for x in gone]], [*[x[0] for x in gone], len(data)])])
-                n.append(len(data)), removed.append(len(data) - len(left)), number.append(len(gone))
-                digest.append(hashlib.sha256(left).hexdigest()), kept.append(left)
-                where.append([{"start": a, "end": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, number)], pa.array(digest, pa.string()), pa.array(where, spans), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
-            )
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary")
+            out, size = [], 0
+            for doc_id, text, found in zip(*(batch.column(i) for i in range(3))):
+                data = memoryview(text.as_buffer())
+                gone = _merged([(x["start"], x["end"]) for x in found.as_py() or ()])
+                left, digest = [data[a:b] for a, b in zip([0, *[x[1] for x in gone]], [*[x[0] for x in gone], len(data)])], hashlib.sha256()
+                for x in left:
+                    digest.update(x)
+                row = (doc_id.as_py(), len(data), sum(b - a for a, b in gone), len(gone), digest.hexdigest(), [{"start": a, "end": b} for a, b in gone])
+                out.append((*row, b"".join(left)) if keep else row)
+                size += len(data)
+                if size > REPLY:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out), fields)], names=[x for x, _ in fields])
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out), fields)], names=[x for x, _ in fields])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+    return joined.mapInArrow(run, schema + ", kept binary" * keep)

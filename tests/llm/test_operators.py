@@ -85,6 +85,31 @@ def test_embeddings_of_low_rank(spark):
     assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(((near >= 0.9).sum(axis=1) - 1).tolist()))
 
 
+@pytest.mark.parametrize("recall", [embeddings.RECALL, 1.0])
+@pytest.mark.parametrize("shape", ["spread", "clustered"])
+def test_embeddings_of_many_cells(spark, shape, recall):
+    """Pairs planted at cosines of 0.90 to 0.93 in 64 dimensions, over 40 cells: all are found, from both ends."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(1000, 64))) if shape == "spread" else unit(unit(rng.normal(size=(50, 64)))[rng.integers(0, 50, 1000)] + rng.normal(scale=0.15, size=(1000, 64)))
+    away = rng.normal(size=base.shape)
+    away = unit(away - (away * base).sum(axis=1, keepdims=True) * base)
+    c = rng.uniform(0.90, 0.93, (1000, 1))
+    v = np.vstack([base, c * base + np.sqrt(1 - c * c) * away])
+    near = v @ v.T >= 0.9
+    assert near.sum() >= 3990
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), cell=50, recall=recall).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    assert all(r["component_id"] <= i % 1000 for i, r in zip([r["vec_id"] for r in got], got))
+
+
+def test_embeddings_that_share_an_id(spark):
+    """Different vectors of one id are compared each for itself."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.1])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).collect() == []

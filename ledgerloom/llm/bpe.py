@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -190,31 +189,26 @@ def _ranges(found: list[int]) -> str:
     return "".join(out)
 
 
-def unicode_gaps() -> tuple[dict[str, str], dict[int, str]]:
-    """Where this Python's Unicode tables differ from those of the ``tokenizers`` library.
+def unicode_gaps() -> dict[str, str]:
+    """For ``L`` and ``N`` the characters, as a character class, that this Python's Unicode tables count in and those of the ``tokenizers`` library don't."""
+    from tokenizers import Regex, pre_tokenizers
 
-    :return: for ``L`` and ``N`` the characters that only Python counts in, as
-        a character class; lower-case forms that only the library has.
-    """
-    from tokenizers import Regex, normalizers, pre_tokenizers
-
-    every = "".join(chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000)
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
     more = {}
     for kind in "LN":
         own = regex.findall(rf"\p{{{kind}}}", every)
         found = {x for run, _ in pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str("".join(own)) for x in run}
         if extra := sorted(ord(x) for x in own if x not in found):
             more[kind] = _ranges(extra)
-    cased = [x for x in every if unicodedata.category(x) in ("Lu", "Lt", "Cn") and regex.match(r"\p{L}", x)]
-    lower = dict(zip(cased, normalizers.Lowercase().normalize_str("\n".join(cased)).split("\n")))
-    return more, {ord(x): y for x, y in lower.items() if y != x.replace("Σ", "σ").lower()}
+    return more
 
 
 class WordCodec:
     """A word-level vocabulary file: normalise, split into words, encode by the automaton, decode by its labels.
 
     Normalisation (NFC, lower case, white space dropped) and the split pattern
-    are those that the file states.
+    are those that the file states; both are done by the Unicode tables of the
+    ``tokenizers`` library, which may be older or newer than Python's.
     """
 
     def __init__(self, path: str):
@@ -224,24 +218,26 @@ class WordCodec:
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        gaps, self.lower = unicode_gaps()
-        for kind, extra in gaps.items():
+        for kind, extra in unicode_gaps().items():
             self.pattern = self.pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{extra}]]")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._memo = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_memo": None}
+        return {k: v for k, v in self.__dict__.items() if k != "_normal"} | {"_memo": None}  # opened again where it arrives
 
     def _open(self) -> None:
         if self._memo is None:
+            from tokenizers import normalizers
+
+            self._normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
             self._split = regex.compile(self.pattern, regex.V1)
             self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
             self._ids, self._memo, self._words = [str(i) for i in self.automaton.ids.tolist()], {}, {}
 
     def _learn(self, pieces: set[str]) -> None:
         """Put pieces without white space into the memo: ids and labels, each joined by a space, and their number."""
-        split = {x: self._split.findall(unicodedata.normalize("NFC", x).replace("Σ", "σ").translate(self.lower).lower()) for x in pieces}
+        split = {x: self._split.findall(x.lower() if x.isascii() else self._normal(x)) for x in pieces}
         new = list({w for x in split.values() for w in x}.difference(self._words))
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]

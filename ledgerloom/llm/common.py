@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one where it is unset (local runs, tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
         kept = spark.sparkContext.getCheckpointDir()
+        if kept is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = kept or tempfile.mkdtemp(prefix="ledgerloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -41,8 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` has written and nothing reads any more."""
+    """Delete tables that ``cut`` has written and nothing reads any more; others are passed over."""
     for t in tables:
+        if not hasattr(t, "written_to"):
+            continue
         spark = t.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -53,6 +57,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_bytes(rows: DataFrame) -> int:
+    """Bytes of the files that ``rows`` are read from; 0 where they come from none."""
+    spark, jvm = rows.sparkSession, rows.sparkSession.sparkContext._jvm
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in rows.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, text)`` with a null text as the empty one; every other column, whatever its name, stays behind."""
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

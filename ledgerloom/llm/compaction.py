@@ -4,25 +4,34 @@ Arrivals are appended as runs of small immutable files. Runs of similar size
 form a tier; as soon as a tier has enough of them they are merged, without a
 shuffle, into one run of target-sized files. What is live is said by a
 versioned manifest: a version is written aside and renamed into place, which
-one writer only can do, so readers see the old state or the new one. Data files
-are never changed; files that no kept version names are removed by ``vacuum``.
+one writer only can do, so readers see the old state or the new one; the other
+writer starts again from what it finds. Runs have names of their own, so what a
+lost writer leaves behind is in nobody's way. Data files are never changed;
+``vacuum`` removes old files that no kept version names.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored_bytes
 
 TARGET = 128 << 20
 FANOUT = 4
 #: Runs below this size are one tier; each further tier is ``FANOUT`` times larger.
 BASE = 1 << 20
+#: Merges that are submitted at once, and times that a commit is tried again on top of another writer's.
+AT_ONCE, ATTEMPTS = 4, 20
+#: Seconds that a version stays readable after a newer one, and that a run may wait for its commit.
+RETENTION = 7 * 24 * 3600.0
 MANIFEST = "run string, bytes long, tier int, files long, merged boolean"
 
 
@@ -88,13 +97,26 @@ class ShardStore:
         """Target-sized files that hold so many bytes."""
         return max(1, -(-size // self.target))
 
+    def _change(self, gone: set[str], new: list[dict]) -> int:
+        """Commit the newest version less ``gone`` and with ``new``, again if another writer was first. Raises if it has taken ``gone`` away."""
+        for attempt in range(ATTEMPTS):
+            based_on = self.version()
+            live = {r["run"]: r for r in self.manifest(based_on)}
+            if not gone <= live.keys():
+                raise CommitConflict("another writer has merged the same runs")
+            try:
+                return self.commit([r for name, r in live.items() if name not in gone] + new, based_on)
+            except CommitConflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
     def append(self, rows: DataFrame, arrival=None) -> int:
         """Add ``rows`` as one run, or as one run for each value of the column expression ``arrival``, in one commit.
 
         Nothing is shuffled: each task writes its own small files.
         """
-        based_on = self.version()
-        name = f"r{based_on + 1:08d}"
+        name = f"r{self.version() + 1:08d}-{uuid.uuid4().hex[:12]}"
         if arrival is None:
             rows.write.parquet(f"{self.root}/runs/{name}")
             new = [name]
@@ -102,7 +124,7 @@ class ShardStore:
             rows.withColumn("__arrival", arrival).write.partitionBy("__arrival").parquet(f"{self.root}/runs/{name}")
             parts = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/runs/{name}")) if x.isDirectory()]
             new = [f"{name}/{x}" for x in sorted(parts, key=lambda x: (len(x), x))]
-        return self.commit(self.manifest(based_on) + [self._entry(x) for x in new], based_on)
+        return self._change(set(), [self._entry(x) for x in new])
 
     def plan(self, runs: list[dict]) -> list[list[dict]]:
         """Groups of ``fanout`` runs of one tier, oldest first, that are due to be merged, and runs that are due to be rewritten alone.
@@ -129,19 +151,22 @@ class ShardStore:
     def _scattered(self, r: dict) -> bool:
         return not r["merged"] and r["files"] > self._files(r["bytes"])
 
+    def _merge(self, group: list[dict], name: str) -> dict:
+        files = self._files(sum(r["bytes"] for r in group))
+        self.scan([r["run"] for r in group]).coalesce(files).write.parquet(f"{self.root}/runs/{name}")
+        return self._entry(name, merged=True)
+
     def compact(self) -> int:
-        """Merge until no tier is full; each round is one commit. Returns the newest version."""
+        """Merge until no tier is full; each round is one commit, its merges are submitted a few at once. Returns the newest version."""
         while due := self.plan(self.manifest()):
-            based_on = self.version()
-            runs = {r["run"]: r for r in self.manifest(based_on)}
-            for i, group in enumerate(due):
-                name = f"m{based_on + 1:08d}-{i:04d}"
-                files = self._files(sum(r["bytes"] for r in group))
-                self.scan([r["run"] for r in group]).coalesce(files).write.parquet(f"{self.root}/runs/{name}")
-                for r in group:
-                    del runs[r["run"]]
-                runs[name] = self._entry(name, merged=True)
-            self.commit(list(runs.values()), based_on)
+            stem = f"m{self.version() + 1:08d}-{uuid.uuid4().hex[:12]}"
+            work: list[Callable] = [lambda g=g, i=i: self._merge(g, f"{stem}-{i:04d}") for i, g in enumerate(due)]
+            with ThreadPool(AT_ONCE) as pool:
+                new = pool.map(inheritable_thread_target(lambda f: f()), work)
+            try:
+                self._change({r["run"] for g in due for r in g}, new)
+            except CommitConflict:
+                continue  # plan again from what the other writer has left
         return self.version()
 
     def scan(self, runs: list[str]) -> DataFrame:
@@ -153,36 +178,37 @@ class ShardStore:
         live = self.manifest(version)
         if not live:
             return None
+        rows = self.scan([r["run"] for r in live])
         if not placed:
-            return self.scan([r["run"] for r in live])
-        parts = [self.scan([r["run"]]).withColumns({"run": F.lit(r["run"]), "tier": F.lit(r["tier"]), "version": F.lit(version).cast("long")}) for r in live]
-        return reduce(DataFrame.unionByName, parts)
+            return rows
+        own = ["run", "tier", "version"]
+        at = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifests/v{version:08d}").select(F.col("run").alias("__of"), F.col("tier").alias("__tier"))
+        rows = rows.withColumn("__run", F.regexp_extract(F.col("_metadata.file_path"), "/runs/(.+)/[^/]+$", 1)).join(at, F.col("__run") == F.col("__of"))
+        return rows.select(*[c for c in rows.columns if c not in (*own, "__run", "__of", "__tier")], F.col("__run").alias("run"), F.col("__tier").alias("tier"), F.lit(version).cast("long").alias("version"))
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Drop all but the newest ``keep`` versions, and the runs that only they name."""
-        kept = self.versions()[-keep:]
+    def vacuum(self, keep: int = 1, older_than: float = RETENTION) -> None:
+        """Drop versions that are neither among the newest ``keep`` nor younger than ``older_than`` seconds, and runs as old that no version left names.
+
+        A run that another writer has yet to commit is younger than that, and a
+        reader of an old version has as long to finish.
+        """
+        limit = (time.time() - older_than) * 1000
+        every = self.versions()
+        kept = [v for v in every if v in every[-keep:] or self._fs.getFileStatus(self._path(f"{self.root}/manifests/v{v:08d}")).getModificationTime() > limit]
         live = {r["run"] for v in kept for r in self.manifest(v)}
-        for v in self.versions():
+        for v in every:
             if v not in kept:
                 self._fs.delete(self._path(f"{self.root}/manifests/v{v:08d}"), True)
         for top in self._fs.listStatus(self._path(f"{self.root}/runs")):
-            name = top.getPath().getName()
-            inner = [x.getPath().getName() for x in self._fs.listStatus(top.getPath()) if x.isDirectory()]
+            name, below = top.getPath().getName(), self._fs.listStatus(top.getPath())
+            if max([top.getModificationTime(), *[x.getModificationTime() for x in below]]) > limit:
+                continue
+            inner = [x.getPath().getName() for x in below if x.isDirectory()]
             for run in [f"{name}/{x}" for x in inner] or [name]:
                 if run not in live:
                     self._fs.delete(self._path(f"{self.root}/runs/{run}"), True)
 
 
-def stored_bytes(rows: DataFrame) -> int:
-    """Bytes of the files that ``rows`` are read from; 0 where they come from none."""
-    spark, jvm = rows.sparkSession, rows.sparkSession.sparkContext._jvm
-    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for name in rows.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
 def shard_documents(docs: DataFrame, arrivals: int = 10, target: int = TARGET, fanout: int = FANOUT, base: int = BASE, root: str | None = None) -> DataFrame:
     """Documents as a store holds them after their arrivals have been appended and compacted.
 
@@ -202,7 +228,7 @@ def shard_documents(docs: DataFrame, arrivals: int = 10, target: int = TARGET, f
     arrivals = max(arrivals, -(-stored_bytes(docs) // (target * fanout)))
     store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)))
     store.compact()
-    store.vacuum()
+    store.vacuum()  # what an earlier call has left in ``root``; nothing of this one
     out = store.read(placed=True)
     if out is None:
         out = docs.withColumns({"run": F.lit(""), "tier": F.lit(0), "version": F.lit(store.version()).cast("long")}).limit(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         # Now every edge goes from a node to a smaller one.
         floor = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(floor, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        pairs = cut(small.where("u <> v").distinct())
+        before, pairs = pairs, cut(small.where("u <> v").distinct())
+        forget(before)
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == (now["n"], now["h"]):
             break

@@ -15,7 +15,7 @@ from .common import cut
 from .components import connected_components
 
 #: Vectors for each cell, about.
-CELL = 1500
+CELL = 400
 #: Most cells; beyond it cells grow and are dealt out in more blocks.
 MOST_CELLS = 8192
 #: Vectors that k-means and the margin are fitted to, at most; picked by a hash of their content.
@@ -23,7 +23,7 @@ SAMPLE = 20_000
 #: Independent sets of cells. A pair is missed only if it meets in none of them.
 TABLES = 2
 #: Of pairs right at the threshold, the share that must meet; 1: all, by the exact margin.
-RECALL = 0.99999
+RECALL = 0.999
 #: Home vectors and compared vectors of a block.
 BLOCK = 2048
 

@@ -19,19 +19,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored_bytes, texts
 
 SEALS, LANES = 8, 256
 #: Words after which a run without a sentence end is cut.
 WORDS = 8
+#: Stored bytes of documents for a run of ids, and the most runs.
+RUN, MOST_RUNS = 32 << 20, 4096
 
 
 def paragraphs(text: str) -> list[str]:
-    """The units that are hashed: lines, cut at sentence ends and after ``WORDS`` words. They hold the text but for the spaces between them and line breaks before the first."""
-    out, lines = [], text.split("\n")
+    """The units that are hashed: lines, cut at sentence ends and after ``WORDS`` words. They hold the whole text but for single spaces between them."""
+    body = text.lstrip("\n")
+    if not body:
+        return [text] if text else []
+    ahead = text[: len(text) - len(body)]  # line breaks alone are no unit: these belong to the first one
+    out, lines = [], body.split("\n")
     for k, line in enumerate(lines):
         unit: list[str] = []
         for word in line.split(" "):
@@ -42,8 +48,9 @@ def paragraphs(text: str) -> list[str]:
         last = k == len(lines) - 1
         if unit and unit != [""]:
             out.append(" ".join(unit) + ("" if last else "\n"))
-        elif not last and out:
-            out[-1] += "\n"  # a line break alone is no unit
+        else:
+            out[-1] += " " * (unit == [""] and line != "") + "\n" * (not last)
+    out[0] = ahead + out[0]
     return out
 
 
@@ -93,6 +100,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _below(bounds: list[int], x: Column, step: int = 64) -> Column:
+    """How many of the rising bounds are less than ``x``: among every ``step``-th, then among those between two."""
+    if not bounds:
+        return F.lit(0)
+    count = lambda found: F.size(F.filter(found, lambda b: b < x))
+    coarse = bounds[step - 1 :: step]
+    passed = F.lit(step) * count(F.lit(coarse)) if coarse else F.lit(0)
+    return passed + count(F.slice(F.lit(bounds), passed + 1, F.lit(step)))
+
+
 def _dealt(docs: DataFrame, runs: int) -> DataFrame:
     """``(run, doc_id, text, own)``: documents in runs of consecutive ids, each with the first row of the run that follows it, ``own`` false.
 
@@ -102,7 +119,7 @@ def _dealt(docs: DataFrame, runs: int) -> DataFrame:
     probs = [i / runs for i in range(1, runs)]
     bounds = sorted({int(x) for x in ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", probs, min(0.001, 0.05 / runs))}) if probs else []
     # The run of an id: how many bounds lie below it, counted from the top, as documents go in descending order.
-    run = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("doc_id"))))
+    run = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - _below(bounds, F.col("doc_id")))
     heads = [r for r in ids.groupBy(run.cast("int").alias("run")).agg(F.max("doc_id").alias("head")).collect()]  # one row for each run
     heads.sort(key=lambda r: r["run"])
     before = {heads[i]["head"]: heads[i - 1]["run"] for i in range(len(heads))}  # a head also goes to the run before
@@ -119,7 +136,7 @@ def fingerprint_edits(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     :param docs: needs ``doc_id`` and ``text``; other columns are ignored.
-    :param runs: number of runs of consecutive ids; None: as many as shuffle partitions.
+    :param runs: number of runs of consecutive ids; None: twice the shuffle partitions, more where the stored input's size asks for it.
     :return: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     The next document is the next in descending ``doc_id`` (null last; rows of
@@ -130,7 +147,7 @@ def fingerprint_edits(docs: DataFrame, runs: int | None = None) -> DataFrame:
     one. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    runs = runs or 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = runs or max(2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), min(MOST_RUNS, -(-stored_bytes(docs) // RUN)))
     source = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = _dealt(source, runs)
     rows = rows.repartition(runs, "run").sortWithinPartitions(F.col("run"), F.col("own").desc(), F.col("doc_id").desc_nulls_last(), F.col("text"))

@@ -127,12 +127,12 @@ class FtrlProximal:
         return p
 
 
-def fit(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
+def fit(labelled: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (2**bits and the bias last) from ``doc_id, text, label``.
 
     :param labelled: rows with a label of 0 or 1; others are left out.
-    :param sample: a hash of the id keeps about so many rows; the features of
-        the sample are shuffled, not its texts.
+        They must be a bounded sample (see ``training_rows``): their features,
+        not their texts, are shuffled to ``shards`` learners.
 
     Every shard learns from its rows in an order set by hashes of their ids;
     the shards' weights are averaged, weighted by their rows. Without rows of
@@ -140,10 +140,6 @@ def fit(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE, shards: int
     """
     spark = labelled.sparkSession
     rows = labelled.where("label IN (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    total = rows.count()
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20))
-    if total > sample:
-        rows = rows.where(spot < int((1 << 20) * sample / total))
     rows = rows.withColumn("spot", F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +152,7 @@ def fit(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE, shards: int
             )
 
     made = rows.mapInArrow(features, "label int, spot long, index array<int>, value array<float>")
-    made = made.repartition(shards, F.pmod("spot", F.lit(shards))).sortWithinPartitions("spot", "label")
+    made = made.repartitionById(shards, F.pmod("spot", F.lit(shards)).cast("int")).sortWithinPartitions("spot", "label")
     size = 1 << bits
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,14 +165,15 @@ def fit(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE, shards: int
                 model.update(i, v.astype(np.float64), y)
         w = model.weights(slice(None))
         some = np.flatnonzero(w)
-        yield pd.DataFrame({"index": some, "weighted": w[some] * len(own)})
+        # Below 0: rows learnt from, and those of them with label 1.
+        yield pd.DataFrame({"index": np.append(some, [-1, -2]), "weighted": np.append(w[some] * len(own), [len(own), sum(y for _, _, y in own)])})
 
     learnt = made.mapInPandas(learn, "index long, weighted double").groupBy("index").agg(F.sum("weighted").alias("weighted"))
-    n = made.agg(F.count("*").alias("n"), F.countDistinct("label").alias("kinds")).first() if total else None
+    found = {r["index"]: r["weighted"] for r in learnt.collect()}  # as many rows as there are weights, at most 2**bits + 3
+    n, ones = found.pop(-1, 0.0), found.pop(-2, 0.0)
     out = np.zeros(size + 1)
-    if n is not None and n["kinds"] == 2:
-        for r in learnt.toLocalIterator():  # as many rows as there are weights, at most 2**bits + 1
-            out[r["index"]] = r["weighted"] / n["n"]
+    if 0 < ones < n:
+        out[list(found)] = np.array(list(found.values())) / n
     return out
 
 
@@ -205,13 +202,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, text, label`` of labelled documents that aren't held out, bounded by ``sample`` before texts are read into a join."""
+    """``doc_id, text, label`` of labelled documents that aren't held out; a hash of the id keeps about nineteen twentieths of ``sample`` of them, which many labels can't exceed. The labels kept are broadcast, so no text is shuffled."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     total = known.count()
     if total > sample:
-        known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * sample / total))
+        known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * 0.95 * sample / total))
     known = known.withColumnRenamed("doc_id", "labelled")
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -223,5 +220,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     Repeated rows get equal scores; a null ``doc_id`` isn't held out; an empty
     table gives an empty one; without labels every score is 0.5.
     """
-    weights = fit(training_rows(docs, labels, sample), sample=sample)
+    weights = fit(training_rows(docs, labels, sample))
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

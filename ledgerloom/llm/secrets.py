@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import cut, scratch, texts
 
 # The rules, in the order in which kinds are listed.
 RULES = {
@@ -44,23 +44,29 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     return [(kinds[k], a, b) for a, k, b in sorted(found)]
 
 
+def _blob(text: str = "text"):
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def versions(history: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """``(path, blob)`` of each row of a history: every version of a path keeps a row of its own."""
-    return history.select(F.col(path).alias("path"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("blob"))
+    return history.select(F.col(path).alias("path"), _blob(text).alias("blob"))
 
 
-def scan_unseen(history: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_unseen(history: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", pairs: DataFrame | None = None) -> DataFrame:
     """New rows of the ledger: each blob that it lacks under the rules as they are now, scanned once.
 
+    :param pairs: ``versions`` of the history, where they are known.
+
     One path stands for all that hold the blob; the narrow ``(path, blob)``
     pairs decide which, and only its text is shuffled and scanned. Paths held
     by several versions are told apart by the blob too.
     """
-    pairs = versions(history, path, text)
+    pairs = versions(history, path, text) if pairs is None else pairs
     if ledger is not None:
         pairs = pairs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     unseen = pairs.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("none"), "path")).alias("at")).select("blob", F.col("at.path").alias("path"), F.col("at.none").alias("none"))
-    rows = history.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("own", F.unhex(F.sha2("text", 256)))
+    rows = history.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("own", _blob())
     rows = rows.join(unseen.hint("shuffle_hash"), (rows["path"].eqNullSafe(unseen["path"])) & (F.col("own") == F.col("blob"))).select("blob", "text")
 
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -88,13 +94,34 @@ def secret_findings(history: DataFrame, ledger: DataFrame | None = None, path: s
     repeated; a null path keeps its findings; an empty table gives empty ones.
     Texts are scanned whole, whatever their length.
     """
-    new = scan_unseen(history, ledger, path, text)
+    pairs = versions(history, path, text)
+    new = scan_unseen(history, ledger, path, text, pairs)
     known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).unionByName(new)
+    return _at_paths(pairs, known), new
+
+
+def _at_paths(pairs: DataFrame, known: DataFrame) -> DataFrame:
     found = known.where(F.size("spans") > 0).select("blob", "spans")
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    paths = versions(history, path, text)
     # Few blobs hold secrets. The skewed side (a blob with many paths) is the left one, which adaptive execution can split.
-    return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans")), new
+    return pairs.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
+
+
+def scan_into(history: DataFrame, folder: str, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """Findings of every path (as ``secret_findings`` has them), over a ledger that is kept in ``folder`` and grows by what this history adds.
+
+    New rows are appended in one job before findings are read, so a scan that
+    is lost adds none of them or all, and the next one scans what is missing.
+    Where two scans have added one blob, the ledger holds it twice and it
+    counts once.
+    """
+    spark = history.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    pairs = cut(versions(history, path, text))
+    scan_unseen(history, spark.read.schema(LEDGER).parquet(folder) if there else None, path, text, pairs).write.mode("append").parquet(folder)
+    known = spark.read.schema(LEDGER).parquet(folder).where(F.col("rule_version") == RULE_VERSION)
+    return _at_paths(pairs, known.where(F.size("spans") > 0).dropDuplicates(["blob"]))
 
 
 def digest(findings: DataFrame) -> DataFrame:
@@ -111,21 +138,30 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Overlapping spans are replaced as one. Texts without a secret, found over
     the ledger as above, pass as they are.
     """
-    blobs = scan_unseen(docs).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.transform("spans", lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b"))).alias("__spans"))
-    rows = docs.withColumn("__own", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    rows = rows.join(blobs, F.col("__own") == F.col("__blob"), "left")
+    own, blob, spans = (_unused(docs, x) for x in ("__own", "__blob", "__spans"))
+    blobs = scan_unseen(docs).where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.transform("spans", lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b"))).alias(spans))
+    rows = docs.withColumn(own, _blob())
+    rows = rows.join(blobs, F.col(own) == F.col(blob), "left")
     # Spans in order of start: the text up to each, where the last one ended before it, then the mark.
     cleaned = F.expr(
-        f"""aggregate(__spans, named_struct('out', '', 'at', 0),
+        f"""aggregate(`{spans}`, named_struct('out', '', 'at', 0),
                 (acc, s) -> CASE WHEN s.a >= acc.at THEN named_struct('out', concat(acc.out, substring(text, acc.at + 1, s.a - acc.at), '{mark}'), 'at', s.b)
                                  ELSE named_struct('out', acc.out, 'at', greatest(acc.at, s.b)) END,
                 acc -> concat(acc.out, substring(text, acc.at + 1)))"""
     )
-    out = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cleaned))
+    out = rows.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cleaned))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
-def documents_digest(docs: DataFrame) -> DataFrame:
-    return digest(secret_findings(texts(docs))[0])
+def _unused(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` don't have."""
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
+def documents_digest(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Digest of every document, over the ledger in ``folder`` (None: a new one below the shared folder)."""
+    return digest(scan_into(texts(docs), folder or scratch(docs.sparkSession, "secret-ledger")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import KEYS, leaderboard, skill
+from . import integrity
+from .metrics import KEYS, intervals, leaderboard, monthly_tolerance, point, skill
 
 AT = ["series_id", "horizon", "origin_date", "target_date", "origin_value", "y_true"]
 
@@ -32,17 +33,41 @@ def ensembles(preds: DataFrame, top: int = 3) -> DataFrame:
     return out.withColumn("m", F.explode(parts)).select("series_id", "m.model", "horizon", "origin_date", "target_date", "origin_value", "y_true", "m.y_pred", "y_lo", "y_hi")
 
 
-def scorecard(scores: DataFrame) -> DataFrame:
-    """Points out of 100, a letter, and risk flags for each row of ``metrics.block``."""
-    good = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce("skill", F.lit(0.0)) * 2))
-    cover = F.when(F.col("coverage").isNull(), 50.0).otherwise(F.greatest(F.lit(0.0), 100 - 400 * F.abs(F.col("coverage") - 0.9)))
-    points = 0.6 * good + 0.2 * cover + 20 * F.coalesce("monthly_tol10", F.lit(0.0))
-    letter = F.when(F.col("points") >= 80, "A").when(F.col("points") >= 65, "B").when(F.col("points") >= 50, "C").when(F.col("points") >= 35, "D").otherwise("F")
-    flags = F.array_compact(F.array(F.when(F.col("skill") < 0, "worse_than_persistence"), F.when(F.col("coverage") < 0.7, "narrow_intervals"), F.when(F.col("r2") < 0, "negative_r2"), F.when(F.col("coverage").isNull(), "no_intervals")))
-    out = scores.withColumn("points", points)
-    # Without skill no grade is better than D.
-    graded = F.when((F.coalesce("skill", F.lit(0.0)) <= 0) & letter.isin("A", "B", "C"), "D").otherwise(letter)
-    return out.select(*KEYS, "points", graded.alias("grade"), F.array_join(flags, ",").alias("flags"))
+def recommend(preds: DataFrame, shifts: DataFrame | None = None, folds: int = 1, gate: float = 5.0) -> DataFrame:
+    """Best model of each series and horizon, its scorecard, a letter, risk flags, tips and next steps, as codes.
+
+    :param shifts: ``integrity.shift_diagnostic`` of the same forecasts; a best shift other than 0 is a risk where the gate fails.
+    :param folds: folds of the run that made the forecasts.
+
+    Best is the lowest MAE (ties by name) among models that aren't baselines,
+    among all if there is no other. The letter goes by sMAPE and R2, by R2
+    alone never, as sMAPE is always there; N/A without R2. Skill over
+    persistence below ``gate`` makes it F, whatever it was; tips go by the
+    letter before that.
+    """
+    rows = preds.where("y_true IS NOT NULL AND y_pred IS NOT NULL")
+    e, base = F.abs(F.col("y_true") - F.col("y_pred")), F.col("model").rlike("(?i)baseline|persistence")
+    own = rows.groupBy(*KEYS).agg(
+        *point(), F.avg(e / F.greatest(F.abs("y_true"), F.lit(1e-9))).alias("mape"), F.avg(2 * e / (F.abs("y_true") + F.abs("y_pred") + 1e-9)).alias("smape"), *intervals(), F.avg(F.abs(F.col("y_true") - F.col("origin_value"))).alias("persistence_mae")
+    )
+    first = F.row_number().over(Window.partitionBy("series_id", "horizon").orderBy(base, "mae", "model"))
+    out = own.withColumn("place", first).where("place = 1").drop("place").join(monthly_tolerance(rows), KEYS).withColumn("skill", skill("mae", "persistence_mae"))
+    if shifts is None:
+        out = out.withColumn("best_shift", F.lit(0))
+    else:
+        out = out.join(shifts.select(*KEYS, "best_shift"), KEYS, "left").withColumn("best_shift", F.coalesce("best_shift", F.lit(0)))
+    tiers = [("A", 0.05, 0.95), ("B", 0.10, 0.85), ("C", 0.20, 0.70), ("D", 0.35, 0.50)]  # fixed values: sMAPE below, R2 above
+    letter = F.when(F.col("r2").isNull(), "N/A")
+    for name, error, fit in tiers:
+        letter = letter.when((F.col("smape") < error) & (F.col("r2") > fit), name)
+    out = out.withColumns({"letter": letter.otherwise("F"), "gate_failed": F.coalesce(F.col("skill") < gate, F.lit(False))})
+    failed, low = F.col("gate_failed"), F.col("letter").isin("D", "F")
+    joined = lambda pairs: F.array_join(F.array_compact(F.array(*[F.when(c, n) for c, n in pairs])), ",")
+    flags = [(failed & (F.col("skill") < 0), "worse_than_persistence"), (failed & (F.col("skill") >= 0), "below_gate"), (failed & (F.col("best_shift") != 0), "shifted"), (F.col("r2") < 0, "negative_r2"), (F.col("coverage") < 0.8, "narrow_intervals"), (F.col("monthly_tol10") < 0.5, "poor_months")]
+    tips = [(low, "low_accuracy"), (F.col("letter") == "C", "room_to_improve"), (F.col("coverage") > 0.98, "wide_intervals"), (F.col("monthly_tol10") >= 0.8, "good_months"), (F.col("horizon") >= 10, "long_horizon")]
+    good = F.col("letter").isin("A", "B")
+    steps = [(F.lit(folds <= 1), "more_folds"), (F.lit(folds > 1) & good, "ensemble_of_best"), (F.lit(folds > 1) & ~good, "compare_models")]
+    return out.select("series_id", "horizon", F.col("model").alias("best"), "n", "mae", "rmse", "mape", "smape", "r2", "monthly_tol10", "coverage", "width", "skill", F.when(failed, "F").otherwise(F.col("letter")).alias("grade"), "gate_failed", joined(flags).alias("flags"), joined(tips).alias("tips"), joined(steps).alias("next_steps"))
 
 
 def podium(preds: DataFrame, places: int = 3) -> DataFrame:
@@ -64,12 +89,42 @@ def quality_gate(scores: DataFrame, least_skill: float = 5.0) -> DataFrame:
     return scores.select(*KEYS, "skill", status.alias("status"))
 
 
-def family_summary(scores: DataFrame, families: dict[str, str]) -> DataFrame:
-    """Per family of models: count, best model, its skill, reasons against it and a verdict."""
+def model_checks(preds: DataFrame, most: int) -> DataFrame:
+    """``series_id, horizon, model, leaks, shifted``: forecasts made at or after their target, and those that repeat the series (by shift, by nearness to the naive error, or as a lagged copy)."""
+    shift = integrity.shift_diagnostic(preds, most).select(*KEYS, ((F.col("shift_class") != "ok") | F.col("naive_equivalent")).alias("__shift"))
+    copies = integrity.lagged_copy(preds).select(*KEYS, "is_copy")
+    out = integrity.temporal_leaks(preds).join(shift, KEYS, "left").join(copies, KEYS, "left")
+    return out.select(*KEYS, (F.col("n_leaks") > 0).alias("leaks"), (F.coalesce("__shift", F.lit(False)) | F.coalesce("is_copy", F.lit(False))).alias("shifted"))
+
+
+def family_summary(scores: DataFrame, families: dict[str, str], checks: DataFrame | None = None, quantile: tuple[str, ...] = ("quantile",)) -> DataFrame:
+    """Per family of models: count, best model, its skill and coverage, reasons against it and a verdict.
+
+    :param checks: ``model_checks`` of the forecasts, with ``has_signal`` where the control was run.
+
+    Best is the lowest MAE of models that aren't baselines. A family fails for
+    a skill of its best below 5 (quantile families: a coverage outside 0.7 to
+    0.9 too), a leak, a target that shuffles as well as it is, or forecasts
+    that repeat the series. Without checks nothing has been verified, which
+    must not look like a pass.
+    """
     family = F.coalesce(F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col("model")], F.lit("other"))
-    own = scores.withColumn("family", family).groupBy("family").agg(F.count("*").alias("n"), F.min_by("model", F.struct("mae", "model")).alias("best"), F.max("skill").alias("best_skill"), F.avg("coverage").alias("coverage"))
-    reasons = F.array_compact(F.array(F.when(F.col("best_skill") < 5, "skill_below_5"), F.when(F.col("coverage").isNull(), "no_intervals"), F.when(~F.col("coverage").between(0.7, 0.9), "coverage_out_of_range")))
-    return own.withColumn("reasons", F.array_join(reasons, ",")).withColumn("verdict", F.when(F.col("reasons") == "", "pass").otherwise("review"))
+    rows = scores.withColumn("family", family)
+    if checks is not None:
+        rows = rows.join(checks, KEYS, "left")
+    for name in ("leaks", "shifted", "has_signal"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("boolean"))
+    order = F.struct(F.col("model").rlike("(?i)baseline"), "mae", "model", "series_id", "horizon")
+    best = lambda c: F.min_by(c, order)
+    own = rows.groupBy("family").agg(
+        F.count("*").alias("n"), best("model").alias("best"), best("skill").alias("best_skill"), best("coverage").alias("coverage"), F.coalesce(F.bool_or("leaks"), F.lit(False)).alias("leaks"), F.coalesce(F.bool_or("shifted"), F.lit(False)).alias("shifted"), F.coalesce(~F.bool_or("has_signal"), F.lit(False)).alias("silent")
+    )
+    covered = F.coalesce(F.col("coverage").between(0.7, 0.9), F.lit(False))
+    failed = F.coalesce(F.col("best_skill") < 5, F.lit(True)) | (F.col("family").isin(*quantile) & ~covered)
+    reasons = F.array_compact(F.array(F.when(failed, "failed_quality"), F.when(F.col("leaks"), "leakage"), F.when(F.col("silent"), "no_signal"), F.when(F.col("shifted"), "persistence_like")))
+    verdict = F.when(F.col("reasons") != "", "fail").otherwise("pass" if checks is not None else "unverified")
+    return own.withColumn("reasons", F.array_join(reasons, ",")).withColumn("verdict", verdict).drop("leaks", "shifted", "silent")
 
 
 def best_by_run(preds: DataFrame) -> DataFrame:
@@ -77,4 +132,4 @@ def best_by_run(preds: DataFrame) -> DataFrame:
     return board.groupBy("series_id", "horizon").agg(F.min_by("model", F.struct("mae", "model")).alias("best"), F.min("mae").alias("mae"))
 
 
-__all__ = ["best_by_run", "ensembles", "family_summary", "interval_gate", "model_errors", "podium", "quality_gate", "scorecard", "skill"]
+__all__ = ["best_by_run", "ensembles", "family_summary", "interval_gate", "model_checks", "model_errors", "podium", "quality_gate", "recommend", "skill"]

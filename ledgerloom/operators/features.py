@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .panel import by_series
+from .panel import by_series, correlation
 
 
 def lags(panel: DataFrame, steps: list[int]) -> DataFrame:
@@ -32,16 +32,25 @@ def robust_trailing(panel: DataFrame, windows: tuple[int, ...] = (5, 21, 63)) ->
     return panel.withColumns(out)
 
 
-def ewma(panel: DataFrame, half_lives: tuple[int, ...] = (5, 21), reach: int = 12) -> DataFrame:
-    """Exponentially weighted mean up to yesterday, weights normalised, null values with weight 0; ``reach`` half-lives back (2**-reach of the weight is left out)."""
-    out = panel
+def ewma(panel: DataFrame, half_lives: tuple[int, ...] = (5, 21)) -> DataFrame:
+    """Exponentially weighted mean of all values up to yesterday, weights normalised, null values with weight 0; null before two values.
+
+    Positions are cut into blocks of a hundred half-lives. Within a block
+    weights that grow by position are summed as the window goes, and what
+    earlier blocks add is carried over as one number for each block.
+    """
+    out, past = panel, by_series().rowsBetween(Window.unboundedPreceding, -1)
     for h in half_lives:
-        frame = by_series().rowsBetween(-h * reach, -1)
-        rows = F.collect_list(F.struct(F.col("pos").alias("p"), F.col("y").alias("v"))).over(frame)
-        num = F.expr(f"aggregate(__r, 0D, (a, x) -> a + IF(x.v IS NULL, 0D, pow(0.5D, (pos - x.p) / {h}D) * x.v))")
-        den = F.expr(f"aggregate(__r, 0D, (a, x) -> a + IF(x.v IS NULL, 0D, pow(0.5D, (pos - x.p) / {h}D)))")
-        n = F.expr("size(filter(__r, x -> x.v IS NOT NULL))")
-        out = out.withColumn("__r", rows).withColumn(f"ewm_{h}", F.when(n >= 2, num / den)).drop("__r")
+        up = F.when(F.col("y").isNotNull(), F.pow(F.lit(2.0), (F.col("pos") - F.col("__b") * (100 * h)) / h))
+        rows = out.withColumn("__b", F.floor(F.col("pos") / (100 * h)))
+        ends = rows.groupBy("series_id", "__b").agg(F.coalesce(F.sum(up * F.col("y")), F.lit(0.0)).alias("v"), F.coalesce(F.sum(up), F.lit(0.0)).alias("w"))
+        earlier = F.collect_list(F.struct("__b", "v", "w")).over(Window.partitionBy("series_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+        carry = [F.expr(f"aggregate(__e, 0D, (a, x) -> a + x.{c} * pow(2D, -100D * (__b - x.__b)))").alias(f"__{c}") for c in "vw"]
+        carried = ends.withColumn("__e", earlier).select("series_id", "__b", *carry)
+        inside = Window.partitionBy("series_id", "__b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        sums = [F.coalesce(F.sum(x).over(inside), F.lit(0.0)) for x in (up * F.col("y"), up)]
+        rows = rows.withColumns({"__n": F.count("y").over(past), "__sv": sums[0], "__sw": sums[1]}).join(carried, ["series_id", "__b"])
+        out = rows.withColumn(f"ewm_{h}", F.when(F.col("__n") >= 2, (F.col("__sv") + F.col("__v")) / (F.col("__sw") + F.col("__w")))).select(*out.columns, f"ewm_{h}")
     return out
 
 
@@ -82,7 +91,7 @@ def exogenous_ranking(panel: DataFrame, target: str, top: int) -> DataFrame:
     """Series most correlated with ``target`` by absolute value, over the rows given (select inside a fold)."""
     aim = panel.where(F.col("series_id") == target).select("ds", F.col("y").alias("t"))
     both = panel.where(F.col("series_id") != target).join(aim, "ds")
-    out = both.groupBy("series_id").agg(F.corr("y", "t").alias("corr"))
+    out = both.groupBy("series_id").agg(correlation("y", "t").alias("corr"))
     place = F.row_number().over(Window.orderBy(F.abs("corr").desc_nulls_last(), "series_id"))
     return out.withColumn("rank", place).where(F.col("rank") <= top)
 

@@ -57,9 +57,32 @@ def tail_splits(panel: DataFrame, validation: float = 0.1, calibration: float =
     return panel.withColumn("part", part)
 
 
-#: Horizons, sequence lengths and lags by cadence.
+def blocks_from_end(panel: DataFrame, horizon: int, folds: int | None = None, min_train_years: int = 4) -> DataFrame:
+    """Blocks of ``horizon`` positions counted back from each series' end, the last ``folds`` of them (None: all), numbered from the earliest: ``fold_id, train_end_pos, eval_start_pos, eval_end_pos``.
+
+    A block needs more than ``max(252 * min_train_years, horizon, 30)`` rows before it.
+    """
+    least = max(252 * min_train_years, horizon, 30)
+    size = panel.groupBy("series_id").agg((F.max("pos") + 1).alias("size"))
+    fit = F.greatest(F.floor((F.col("size") - least - 1) / horizon), F.lit(0)).cast("int")
+    n = fit if folds is None else F.least(fit, F.lit(folds))
+    out = size.withColumn("n", n).where("n > 0").withColumn("fold_id", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    start = F.col("size") - (F.col("n") + 1 - F.col("fold_id")) * horizon
+    return out.select("series_id", "fold_id", (start - 1).cast("int").alias("train_end_pos"), start.cast("int").alias("eval_start_pos"), (start + horizon - 1).cast("int").alias("eval_end_pos"))
+
+
+#: Horizons, sequence lengths, lags and windows by cadence.
 RECIPES = {
-    "daily": {"horizons": [1, 5, 20], "lookback": 64, "lags": [1, 2, 3, 5, 10, 20], "windows": [5, 20]},
-    "weekly": {"horizons": [1, 4, 13], "lookback": 52, "lags": [1, 2, 4, 13, 26], "windows": [4, 13]},
-    "monthly": {"horizons": [1, 3, 6], "lookback": 36, "lags": [1, 2, 3, 6, 12], "windows": [3, 12]},
+    "daily": {"horizons": [1, 5, 20], "lookback": 64, "lags": [1, 3, 7, 14], "windows": [3, 7, 14]},
+    "weekly": {"horizons": [1, 4, 12], "lookback": 52, "lags": [1, 4, 12], "windows": [4, 8, 12]},
+    "monthly": {"horizons": [1, 3, 6], "lookback": 36, "lags": [1, 12], "windows": [3, 6, 12]},
 }
+
+
+def recipe_targets(panel: DataFrame, cadence: str) -> DataFrame:
+    """``series_id, cadence, horizon, lookback, n``: origins of a panel at this cadence that have a whole sequence before them and a target, by horizon of the recipe."""
+    own = RECIPES[cadence]
+    size = panel.groupBy("series_id").agg((F.max("pos") + 1).alias("size"))
+    out = size.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in own["horizons"]])))
+    n = F.greatest(F.lit(0), F.col("size") - own["lookback"] + 1 - F.col("horizon")).cast("long")
+    return out.select("series_id", F.lit(cadence).alias("cadence"), "horizon", F.lit(own["lookback"]).alias("lookback"), n.alias("n"))

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import folds
 from .panel import by_series
 
 LAGS, WINDOWS = [1, 2, 5, 10, 20], [5, 20]
+#: Features that series are hashed to, however many there are.
+HASHED = 64
+#: Fits that are submitted at once.
+AT_ONCE = 4
 
 
 def supervised(panel: DataFrame, horizon: int, delta: bool = False) -> tuple[DataFrame, list[str]]:
@@ -46,69 +52,152 @@ def estimators(seed: int = 13) -> dict[str, object]:
 
 
 def pipeline(names: list[str], estimator) -> Pipeline:
-    """Median imputation, scaling (fitted on the training rows alone), series as one-hot, then the estimator."""
+    """Median imputation, scaling (fitted on the training rows alone), the series' hashed marks, then the estimator."""
     filled = [f"{n}_f" for n in names]
     return Pipeline(
         stages=[
             Imputer(strategy="median", inputCols=names, outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="numbers"),
             StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-            StringIndexer(inputCol="series_id", outputCol="series_no", handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=["series_no"], outputCols=["series_hot"], handleInvalid="keep"),
+            FeatureHasher(inputCols=["series_id"], outputCol="series_hot", numFeatures=HASHED),
             VectorAssembler(inputCols=["scaled", "series_hot"], outputCol="features"),
             estimator,
         ]
     )
 
 
+def together(work: list[Callable]) -> list:
+    """What the calls return, a few of them submitted at once so that small fits share the cluster."""
+    with ThreadPool(AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(lambda f: f()), work)
+
+
+def _parted(rows: DataFrame, train_end, start, end) -> tuple[DataFrame, DataFrame]:
+    """Training and scored rows: labels end before the first scored origin."""
+    scored = rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
+    first = scored.agg(F.min("origin_date")).first()[0]
+    return rows.where(F.col("target_date") <= F.lit(min(train_end, first) if first is not None else train_end)), scored
+
+
+SCORED = ["series_id", "origin_date", "target_date", "origin_value", "y_true"]
+
+
 def fold_forecasts(panel: DataFrame, folds: list[tuple], horizon: int, models: list[str], delta: bool = False) -> DataFrame:
     """Forecasts of each model for each fold's evaluation range: fitted once per fold, all origins scored in one pass.
 
     ``folds``: ``(fold_id, train_end, eval_start, eval_end)``. Training labels
-    end before the first scored origin, so nothing known later is learnt.
+    end before the first scored origin, so nothing known later is learnt. A
+    fold's training rows are kept while its models are fitted, and released.
     """
     rows, names = supervised(panel, horizon, delta)
-    rows = rows.where("label IS NOT NULL").cache()
+    rows = rows.where("label IS NOT NULL")
     made, out = estimators(), None
     for fold_id, train_end, start, end in folds:
-        scored = rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
-        first = scored.agg(F.min("origin_date")).first()[0]
-        limit = min(train_end, first) if first is not None else train_end
-        train = rows.where(F.col("target_date") <= F.lit(limit))
-        for name in models:
-            fitted = pipeline(names, made[name]).fit(train)
-            value = F.col("raw") + F.col("y") if delta else F.col("raw")
-            own = fitted.transform(scored).select("series_id", F.lit(name).alias("model"), F.lit(horizon).alias("horizon"), F.lit(fold_id).alias("fold_id"), "origin_date", "target_date", "origin_value", "y_true", value.alias("y_pred"))
+        train, scored = _parted(rows, train_end, start, end)
+        train = train.persist()
+        fitted = together([lambda name=name: pipeline(names, made[name]).fit(train) for name in models])
+        train.unpersist()
+        value = F.col("raw") + F.col("y") if delta else F.col("raw")
+        for name, model in zip(models, fitted):
+            own = model.transform(scored).select("series_id", F.lit(name).alias("model"), F.lit(horizon).alias("horizon"), F.lit(fold_id).alias("fold_id"), "origin_date", "target_date", "origin_value", "y_true", value.alias("y_pred"))
             out = own if out is None else out.unionByName(own)
     return out
 
 
-def quantile_forest(panel: DataFrame, train_end, start, end, horizon: int, quantiles=(0.1, 0.5, 0.9), trees: int = 10) -> DataFrame:
-    """Quantiles of the training targets that share a row's leaves.
+def quantile_forest(panel: DataFrame, train_end, start, end, horizon: int, quantiles=(0.1, 0.5, 0.9), trees: int = 10, points: int = 100) -> DataFrame:
+    """Quantiles of the training targets that share a row's leaves; each tree weighs the same.
 
-    Trees assign leaves to training and scored rows; targets are first pooled
-    to an array for each (tree, leaf), so the join has a row for each scored
-    row and tree, not for each pair of rows.
+    Trees assign leaves to training and scored rows. The targets of a (tree,
+    leaf) are summed up by ``points`` quantiles, so the table that is joined
+    has at most ``trees`` times 64 rows of fixed size, whatever the input, and
+    the join a row for each scored row and tree.
     """
     rows, names = supervised(panel, horizon)
-    rows = rows.where("label IS NOT NULL")
-    scored = rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
-    first = scored.agg(F.min("origin_date")).first()[0]
-    train = rows.where(F.col("target_date") <= F.lit(min(train_end, first) if first is not None else train_end))
+    train, scored = _parted(rows.where("label IS NOT NULL"), train_end, start, end)
     forest = RandomForestRegressor(numTrees=trees, maxDepth=6, minInstancesPerNode=10, seed=7, featuresCol="features", labelCol="label", predictionCol="raw", leafCol="leaves")
     fitted = pipeline(names, forest).fit(train)
     leaves = lambda df, *cols: fitted.transform(df).select(*cols, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
-    pooled = leaves(train, "label").groupBy("tree", "leaf").agg(F.collect_list("label").alias("pool"))
-    at = leaves(scored, "series_id", "origin_date", "target_date", "origin_value", "y_true")
-    joined = at.join(F.broadcast(pooled), ["tree", "leaf"])  # as many rows as trees have leaves
-    flat = joined.groupBy("series_id", "origin_date", "target_date", "origin_value", "y_true").agg(F.array_sort(F.flatten(F.collect_list("pool"))).alias("pool"))
+    steps = F.array(*[F.lit((k + 0.5) / points) for k in range(points)])
+    pooled = leaves(train, "label").groupBy("tree", "leaf").agg(F.percentile_approx("label", steps, F.lit(1000)).alias("pool"))
+    joined = leaves(scored, *SCORED).join(F.broadcast(pooled), ["tree", "leaf"])  # bounded by the forest's leaves
+    flat = joined.groupBy(*SCORED).agg(F.array_sort(F.flatten(F.collect_list("pool"))).alias("pool"))
+
     # Linear interpolation between the order statistics, as percentiles have it.
     def at_q(q):
         k = (F.size("pool") - 1) * F.lit(q)
         lo, hi = F.get("pool", F.floor(k).cast("int")), F.get("pool", F.ceil(k).cast("int"))
         return lo + (hi - lo) * (k - F.floor(k))
 
-    return flat.select("series_id", "origin_date", "target_date", "origin_value", "y_true", *[at_q(q).alias(f"p{int(q * 100)}") for q in quantiles])
+    return flat.select(*SCORED, *[at_q(q).alias(f"p{int(q * 100)}") for q in quantiles])
+
+
+def monotone(columns: list[str]) -> dict[str, Column]:
+    """The columns, each at least as large as those before it."""
+    return {c: F.greatest(*columns[: i + 1]) if i else F.col(c) for i, c in enumerate(columns)}
+
+
+def boosted_quantiles(panel: DataFrame, train_end, start, end, horizon: int, quantiles=(0.1, 0.5, 0.9), rounds: int = 8, rate: float = 0.3, depth: int = 3) -> DataFrame:
+    """Quantiles by gradient boosting under the pinball loss, in order.
+
+    A model starts at the quantile of the training labels. In each round a tree
+    is fitted to the sign by which rows lie above (``q``) or below (``q - 1``)
+    the model so far; each of its leaves, of which there are at most
+    ``2**depth``, then moves by ``rate`` times the quantile of the residuals in
+    it. The models of the quantiles are fitted side by side.
+    """
+    rows, names = supervised(panel, horizon)
+    train, scored = _parted(rows.where("label IS NOT NULL"), train_end, start, end)
+    prepared = Pipeline(stages=pipeline(names, None).getStages()[:-1]).fit(train)
+    kept = [*SCORED, "label", "features"]
+    train, scored = prepared.transform(train).select(kept).persist(), prepared.transform(scored).select(kept)
+
+    def grown(q: float) -> Callable[[DataFrame], DataFrame]:
+        first = train.agg(F.percentile("label", F.lit(q))).first()[0]
+        steps, apply = [], lambda df: df.withColumn("f", F.lit(first))
+        for _ in range(rounds):
+            now = apply(train)
+            aim = now.withColumn("sign", F.when(F.col("label") >= F.col("f"), q).otherwise(q - 1))
+            tree = DecisionTreeRegressor(featuresCol="features", labelCol="sign", predictionCol="__raw", leafCol="__leaf", maxDepth=depth, minInstancesPerNode=10, seed=11).fit(aim)
+            by_leaf = tree.transform(now).groupBy("__leaf").agg(F.percentile(F.col("label") - F.col("f"), F.lit(q)).alias("move")).collect()  # as many rows as the tree has leaves
+            moves = F.create_map(*[F.lit(x) for r in by_leaf for x in (float(r["__leaf"]), rate * r["move"])])
+            steps.append((tree, moves))
+
+            def apply(df, own=tuple(steps)):
+                df = df.withColumn("f", F.lit(first))
+                for t, m in own:
+                    df = t.transform(df).withColumn("f", F.col("f") + F.coalesce(m[F.col("__leaf")], F.lit(0.0))).drop("__raw", "__leaf")
+                return df
+
+        return apply
+
+    made = together([lambda q=q: grown(q) for q in quantiles])
+    train.unpersist()
+    cols, out = [f"p{int(q * 100)}" for q in quantiles], scored
+    for c, apply in zip(cols, made):
+        out = apply(out).withColumnRenamed("f", c)
+    return out.withColumns(monotone(cols)).select(*SCORED, *cols)
+
+
+def out_of_bag_bands(panel: DataFrame, train_end, start, end, horizon: int, quantiles=(0.1, 0.5, 0.9), bags: int = 5) -> DataFrame:
+    """A forest's forecast moved by quantiles of residuals of rows that its trees didn't see, in order.
+
+    Rows are dealt to bags by a hash; each bag is scored by a forest grown on
+    the others, as Spark's forests don't say which rows a tree left out. In-sample
+    residuals would make the bands far too narrow.
+    """
+    rows, names = supervised(panel, horizon)
+    train, scored = _parted(rows.where("label IS NOT NULL"), train_end, start, end)
+    train = train.withColumn("bag", F.pmod(F.xxhash64("series_id", "origin_date"), F.lit(bags))).persist()
+    forest = lambda: pipeline(names, estimators()["random_forest"])
+    *parts, whole = together([*[lambda k=k: forest().fit(train.where(F.col("bag") != k)) for k in range(bags)], lambda: forest().fit(train)])
+    cols, resid = [f"p{int(q * 100)}" for q in quantiles], None
+    for k, model in enumerate(parts):
+        own = model.transform(train.where(F.col("bag") == k)).select((F.col("label") - F.col("raw")).alias("e"))
+        resid = own if resid is None else resid.unionByName(own)
+    moves = resid.agg(*[F.percentile("e", F.lit(q)).alias(c) for q, c in zip(quantiles, cols)]).first()
+    train.unpersist()
+    out = whole.transform(scored).select(*SCORED, *[(F.col("raw") + F.lit(moves[c])).alias(c) for c in cols])
+    return out.withColumns(monotone(cols))
 
 
 def residual_bands(preds: DataFrame, calibration_end, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -127,14 +216,14 @@ def importances(panel: DataFrame, train_end, horizon: int, top: int = 10) -> Dat
     rows = rows.where("label IS NOT NULL").where(F.col("target_date") <= F.lit(train_end))
     fitted = pipeline(names, RandomForestRegressor(numTrees=20, maxDepth=6, seed=3, featuresCol="features", labelCol="label")).fit(rows)
     weights = fitted.stages[-1].featureImportances.toArray()
-    labels = names + [f"series_{i}" for i in range(len(weights) - len(names))]
+    labels = names + [f"series_mark_{i}" for i in range(len(weights) - len(names))]
     table = rows.sparkSession.createDataFrame([(n, float(x)) for n, x in zip(labels, weights)], "feature string, importance double")
     place = F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))
     return table.withColumn("rank", place).where(F.col("rank") <= top)
 
 
 def signal_control(panel: DataFrame, train_end, horizon: int, seed: int = 5) -> DataFrame:
-    """Whether features carry signal: error with a shuffled target over error with the true one, for a linear and a tree probe.
+    """Whether features carry signal: error with a shuffled target over error with the true one, for a linear, a tree and a forest probe.
 
     The shuffle pairs the row numbers by position and by hash. A gap of
     ``horizon`` rows parts training and test. A ratio of 1.5 or more says
@@ -143,21 +232,26 @@ def signal_control(panel: DataFrame, train_end, horizon: int, seed: int = 5) ->
     rows, names = supervised(panel, horizon)
     rows = rows.where("label IS NOT NULL")
     w = Window.partitionBy("series_id")
-    rows = rows.withColumns({"n1": F.row_number().over(w.orderBy("pos")), "n2": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "pos")))}).cache()
+    rows = rows.withColumns({"n1": F.row_number().over(w.orderBy("pos")), "n2": F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "pos")))})
     other = rows.select("series_id", F.col("n2").alias("n1"), F.col("label").alias("shuffled"))
     both = rows.join(other, ["series_id", "n1"])
-    train = both.where(F.col("target_date") <= F.lit(train_end))
+    train = both.where(F.col("target_date") <= F.lit(train_end)).persist()
     last = train.agg(F.max("pos")).first()[0]
     test = both.where(F.col("pos") > last + horizon)
-    out = None
-    for name, probe in (("linear", LinearRegression(regParam=1.0)), ("tree", DecisionTreeRegressor(maxDepth=6, minInstancesPerNode=10, seed=1))):
-        probe = probe.copy().setFeaturesCol("features").setLabelCol("label").setPredictionCol("raw")
-        errors = []
-        for label in ("label", "shuffled"):
-            fitted = pipeline(names, probe).fit(train.withColumn("label", F.col(label)))
-            errors.append(fitted.transform(test).agg(F.avg(F.abs(F.col("label") - F.col("raw"))).alias("mae")))
-        own = errors[0].withColumnRenamed("mae", "mae_true").crossJoin(errors[1].withColumnRenamed("mae", "mae_shuffled")).select(F.lit(name).alias("probe"), "mae_true", "mae_shuffled")
-        out = own if out is None else out.unionByName(own)
+    probes = {"linear": LinearRegression(regParam=1.0), "tree": DecisionTreeRegressor(maxDepth=6, minInstancesPerNode=10, seed=1), "forest": RandomForestRegressor(numTrees=20, maxDepth=6, minInstancesPerNode=5, seed=1)}
+    cases = [(name, label) for name in probes for label in ("label", "shuffled")]
+
+    def fit(name: str, label: str):
+        probe = probes[name].copy().setFeaturesCol("features").setLabelCol("label").setPredictionCol("raw")
+        return pipeline(names, probe).fit(train.withColumn("label", F.col(label)))
+
+    fitted = together([lambda c=c: fit(*c) for c in cases])
+    train.unpersist()
+    errors = None
+    for (name, label), model in zip(cases, fitted):
+        own = model.transform(test.withColumn("label", F.col(label))).select(F.lit(name).alias("probe"), F.lit(label).alias("aim"), F.abs(F.col("label") - F.col("raw")).alias("e"))
+        errors = own if errors is None else errors.unionByName(own)
+    out = errors.groupBy("probe").agg(F.avg(F.when(F.col("aim") == "label", F.col("e"))).alias("mae_true"), F.avg(F.when(F.col("aim") == "shuffled", F.col("e"))).alias("mae_shuffled"))
     ratio = F.when(F.col("mae_true") > 0, F.col("mae_shuffled") / F.col("mae_true")).otherwise(float("inf"))
     return out.withColumn("ratio", ratio).withColumns({"has_signal": F.col("ratio") >= 1.5, "alarm": F.col("ratio") >= 20})
 
@@ -171,8 +265,13 @@ def scaler_statistics(panel: DataFrame, train_end, horizon: int) -> DataFrame:
     return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"))
 
 
-# Per-series forecasters: (values, horizon) -> forecasts for 1..horizon
+# Per-series forecasters at many origins of one series: (values, horizon, ends, calendar, ahead) -> the forecast ``horizon`` steps on from each ``values[:end]``.
+# What a fit needs of the past is carried forward from origin to origin, so each value is visited once; the result is that of a refit.
+# ``calendar`` has a row for each value, ``ahead`` the rows of the steps after each origin; both may be None.
 
+Rolling = Callable[..., np.ndarray]
+ROLLING: dict[str, Rolling] = {}
+#: By name: (values, horizon) -> forecasts of the next steps. A plug-in needs no more than this.
 Forecaster = Callable[[np.ndarray, int], np.ndarray]
 REGISTRY: dict[str, Forecaster] = {}
 
@@ -185,87 +284,12 @@ def register(name: str):
     return add
 
 
-@register("naive_last")
-def _naive(y: np.ndarray, h: int) -> np.ndarray:
-    return np.full(h, y[-1])
-
-
-@register("ets")
-def _ets(y: np.ndarray, h: int, season: int = 5) -> np.ndarray:
-    """Additive level, damped trend and season; the smoothing weights of a fixed grid with the least squared one-step errors."""
-    if len(y) < 3 * season:
-        return np.full(h, y[-min(len(y), season) :].mean())
-    best, chosen = np.inf, None
-    for a in (0.1, 0.3, 0.6):
-        for b in (0.0, 0.1):
-            for g in (0.0, 0.1, 0.3):
-                level, trend, s, sse = y[:season].mean(), 0.0, list(y[:season] - y[:season].mean()), 0.0
-                for t in range(season, len(y)):
-                    e = y[t] - (level + 0.9 * trend + s[t - season])
-                    sse += e * e
-                    old = level
-                    level = old + 0.9 * trend + a * e
-                    trend = 0.9 * trend + a * b * e
-                    s.append(s[t - season] + g * (1 - a) * e)
-                if sse < best:
-                    best, chosen = sse, (level, trend, s[-season:])
-    level, trend, s = chosen
-    return np.array([level + trend * sum(0.9**j for j in range(1, k + 1)) + s[(k - 1) % season] for k in range(1, h + 1)])
-
-
-@register("seasonal_ar")
-def _seasonal_ar(y: np.ndarray, h: int, season: int = 5, order: int = 3) -> np.ndarray:
-    """Mean of the last eight values of a weekday, an autoregression of what is left, by normal equations."""
-    if len(y) < 10 * season:
-        return np.full(h, y[-min(len(y), season) :].mean())
-    base = np.array([y[max(0, t - 8 * season) : t : 1][(t - np.arange(max(0, t - 8 * season), t)) % season == 0].mean() if t >= season else y[:season].mean() for t in range(len(y))])
-    rest = y - base
-    x = np.stack([rest[order - k - 1 : len(rest) - k - 1] for k in range(order)], axis=1)
-    coef = np.linalg.solve(x.T @ x + 1e-6 * np.eye(order) * max(1.0, float((x * x).mean())), x.T @ rest[order:])
-    past, values = list(rest), list(y)
-    for _ in range(h):
-        r = float(np.dot(coef, past[-1 : -order - 1 : -1]))
-        own = np.array(values[-8 * season :])
-        past.append(r)
-        values.append(own[(len(own) - np.arange(len(own))) % season == 0].mean() + r)
-    return np.array(values[-h:])
-
-
-@register("theta")
-def _theta(y: np.ndarray, h: int, alpha: float = 0.3) -> np.ndarray:
-    """Exponential smoothing plus half of the linear trend."""
-    t = np.arange(len(y))
-    slope = np.polyfit(t, y, 1)[0] if len(y) > 1 else 0.0
-    level = y[0]
-    for v in y[1:]:
-        level += alpha * (v - level)
-    return level + 0.5 * slope * np.arange(1, h + 1)
-
-
-@register("arx")
-def _arx(y: np.ndarray, h: int, order: int = 5, season: int = 5) -> np.ndarray:
-    """Conditional least squares on lags and the weekday."""
-    if len(y) < 40:
-        return np.full(h, y.mean())
-    row = lambda v, t: np.concatenate([v[t - order : t][::-1], np.eye(season)[t % season]])
-    x = np.stack([row(y, t) for t in range(order, len(y))])
-    coef = np.linalg.lstsq(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ y[order:], rcond=None)[0]
-    v = list(y)
-    for _ in range(h):
-        v.append(float(row(np.array(v), len(v)) @ coef))
-    return np.array(v[-h:])
-
-
-# The same forecasters at many origins of one series: (values, horizon, ends) -> last forecast from each ``values[:end]``.
-# What a fit needs of the past is carried forward from origin to origin, so each value is visited once; the result is that of a refit.
-
-Rolling = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
-ROLLING: dict[str, Rolling] = {}
-
-
 def rolling(name: str):
+    """Register a forecaster in its rolling form; its plain one follows."""
+
     def add(f: Rolling) -> Rolling:
         ROLLING[name] = f
+        REGISTRY[name] = lambda y, h: np.array([f(y, k, np.array([len(y)]))[0] for k in range(1, h + 1)])
         return f
 
     return add
@@ -276,70 +300,115 @@ def _mean_of_last(y: np.ndarray, n: int, season: int) -> float:
 
 
 @rolling("naive_last")
-def _naive_rolling(y: np.ndarray, h: int, ends: np.ndarray) -> np.ndarray:
+def _naive(y, h, ends, calendar=None, ahead=None):
     return y[ends - 1]
 
 
 @rolling("ets")
-def _ets_rolling(y: np.ndarray, h: int, ends: np.ndarray, season: int = 5) -> np.ndarray:
-    """All weights of the grid side by side; at an origin those with the least squared errors so far are taken."""
-    a, b, g = (np.array(x) for x in zip(*[(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.1) for g in (0.0, 0.1, 0.3)]))
-    damped, found = sum(0.9**j for j in range(1, h + 1)), {int(n): _mean_of_last(y, n, season) for n in ends if n < 3 * season}
+def _ets(y, h, ends, calendar=None, ahead=None, season: int = 5):
+    """Exponential smoothing: level alone, with a damped trend, or with trend and additive season, each over a grid of weights, all side by side; at an origin that with the least AIC of its one-step errors so far is taken."""
+    grid = [(a, 0.0, 0.0, 0, 2) for a in (0.1, 0.3, 0.6, 0.9)]
+    grid += [(a, b, 0.0, 0, 5) for a in (0.1, 0.3, 0.6) for b in (0.05, 0.2)]
+    grid += [(a, b, g, 1, 6 + season) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.1) for g in (0.05, 0.1, 0.3)]
+    a, b, g, seasonal, params = (np.array(x) for x in zip(*grid))
+    damping = np.where(params > 2, 0.9, 0.0)
+    damped = np.array([sum(d**j for j in range(1, h + 1)) for d in damping])
+    found = {int(n): _mean_of_last(y, n, season) for n in ends if n < 3 * season}
     wanted, first = {int(n) for n in ends}, y[:season].mean()
     level, trend, sse = np.full(len(a), first), np.zeros(len(a)), np.zeros(len(a))
-    s = np.repeat((y[:season] - first)[:, None], len(a), axis=1)
+    s = (y[:season] - first)[:, None] * seasonal
     for t in range(season, int(max(ends, default=0))):
         k = t % season
-        e = y[t] - (level + 0.9 * trend + s[k])
+        e = y[t] - (level + damping * trend + s[k])
         sse += e * e
-        level, trend = level + 0.9 * trend + a * e, 0.9 * trend + a * b * e
+        level, trend = level + damping * trend + a * e, damping * trend + a * b * e
         s[k] += g * (1 - a) * e
         if t + 1 in wanted and t + 1 >= 3 * season:
-            best = int(sse.argmin())
-            found[t + 1] = level[best] + trend[best] * damped + s[(t + h) % season, best]
+            m = t + 1 - season
+            best = int((m * np.log(np.maximum(sse, 1e-12) / m) + 2 * params).argmin())
+            found[t + 1] = level[best] + trend[best] * damped[best] + s[(t + h) % season, best]
     return np.array([found[int(n)] for n in ends])
 
 
 @rolling("theta")
-def _theta_rolling(y: np.ndarray, h: int, ends: np.ndarray, alpha: float = 0.3) -> np.ndarray:
-    t = np.arange(len(y), dtype=float)
-    levels = np.empty(len(y))
-    levels[0] = y[0]
-    for i in range(1, len(y)):
-        levels[i] = levels[i - 1] + alpha * (y[i] - levels[i - 1])
-    n, z = ends.astype(float), y - y[0]  # sums of what is left stay small
-    st, sy, sty, stt = (np.cumsum(x)[ends - 1] for x in (t, z, t * z, t * t))
+def _theta(y, h, ends, calendar=None, ahead=None, season: int = 5):
+    """Exponential smoothing of the deseasonalised values, with the weight of least squared errors so far, plus half of their linear trend and the season.
+
+    The season of a value is what the mean of its phase was above the mean of
+    all, as known before it.
+    """
+    phase, count = np.zeros(season), np.zeros(season)
+    off = lambda k: phase[k] / count[k] - phase.sum() / count.sum() if count[k] >= 2 else 0.0
+    z, ahead_of = np.empty(len(y)), {}
+    wanted = {int(n) for n in ends}
+    for t, v in enumerate(y[: int(max(ends, default=0))]):
+        z[t] = v - off(t % season)
+        phase[t % season] += v
+        count[t % season] += 1
+        if t + 1 in wanted:
+            ahead_of[t + 1] = off((t + h) % season)
+    weights = np.array([0.1, 0.2, 0.3, 0.5, 0.7])
+    level, sse, levels = np.full(len(weights), z[0]), np.zeros(len(weights)), {1: z[0]}
+    for t in range(1, len(ahead_of) and max(wanted)):
+        e = z[t] - level
+        sse += e * e
+        level = level + weights * e
+        if t + 1 in wanted:
+            levels[t + 1] = level[int(sse.argmin())]
+    n, at, own = ends.astype(float), np.arange(len(y), dtype=float), np.where(np.arange(len(y)) < max(wanted, default=0), z - z[0], 0.0)  # sums of what is left stay small
+    st, sy, sty, stt = (np.cumsum(x)[ends - 1] for x in (at, own, at * own, at * at))
     spread = n * stt - st * st
     slope = np.where(spread > 0, (n * sty - st * sy) / np.where(spread > 0, spread, 1), 0.0)
-    return levels[ends - 1] + 0.5 * slope * h
+    return np.array([levels[int(k)] + ahead_of[int(k)] for k in ends]) + 0.5 * slope * h
 
 
 @rolling("arx")
-def _arx_rolling(y: np.ndarray, h: int, ends: np.ndarray, order: int = 5, season: int = 5) -> np.ndarray:
-    at, out, done = order, [], np.argsort(ends, kind="stable")
-    row = lambda v, t: np.concatenate([v[t - order : t][::-1], np.eye(season)[t % season]])
-    xx, xy = np.zeros((order + season,) * 2), np.zeros(order + season)
-    for n in ends[done]:
+def _arx(y, h, ends, calendar=None, ahead=None, orders: tuple[int, ...] = (1, 5), season: int = 5):
+    """Conditional least squares on lags and the calendar of each step (its phase of the season without one); of the numbers of lags that with the least AIC so far is taken."""
+    order, out, done = max(orders), [], np.argsort(ends, kind="stable")
+    if calendar is None:
+        calendar = np.eye(season)[np.arange(len(y)) % season]
+        ahead = np.eye(season)[(ends[:, None] + np.arange(h)) % season]
+    scale = max(1e-9, float(np.abs(y[:40]).mean()))  # known to all origins that are fitted
+    v = y / scale
+    width = order + calendar.shape[1]
+    xx, xy, yy, at = np.zeros((width, width)), np.zeros(width), 0.0, order
+    for n, future in zip(ends[done], ahead[done]):
         if n < 40:
             out.append(y[:n].mean())
             continue
         for t in range(at, n):
-            x = row(y, t)
+            x = np.concatenate([v[t - order : t][::-1], calendar[t]])
             xx += np.outer(x, x)
-            xy += x * y[t]
-        at = max(at, int(n))
-        coef = np.linalg.lstsq(xx + 1e-3 * np.eye(len(xx)), xy, rcond=None)[0]
-        v = list(y[n - order : n])
+            xy += x * v[t]
+            yy += v[t] * v[t]
+        at, m, best = max(at, int(n)), n - order, None
+        for p in orders:
+            use = np.r_[0:p, order:width]
+            part = xx[np.ix_(use, use)] + 1e-6 * np.eye(len(use))
+            coef = np.linalg.solve(part, xy[use])
+            sse = max(1e-12, float(yy - 2 * coef @ xy[use] + coef @ part @ coef))
+            aic = m * np.log(sse / m) + 2 * len(use)
+            if best is None or aic < best[0]:
+                best = aic, p, coef
+        _, p, coef = best
+        past = list(v[n - order : n])
         for k in range(h):
-            v.append(float(np.concatenate([v[-order:][::-1], np.eye(season)[(n + k) % season]]) @ coef))
-        out.append(v[-1])
+            past.append(float(np.concatenate([past[-1 : -p - 1 : -1], future[k]]) @ coef))
+        out.append(past[-1] * scale)
     return np.array(out)[np.argsort(done, kind="stable")]
 
 
 @rolling("seasonal_ar")
-def _seasonal_ar_rolling(y: np.ndarray, h: int, ends: np.ndarray, season: int = 5, order: int = 3) -> np.ndarray:
-    base = np.array([y[t - season :: -season][:8].mean() if t >= season else y[:season].mean() for t in range(len(y))])
-    rest, at, out, done = y - base, order, [], np.argsort(ends, kind="stable")
+def _seasonal_ar(y, h, ends, calendar=None, ahead=None, season: int = 5, order: int = 3):
+    """Trend (mean of the last four seasons), season (mean of the last eight values of a phase less their trend), and an autoregression of what is left; trend and season stay as they are at the origin."""
+    total = np.concatenate([[0.0], np.cumsum(y)])
+    lo = np.maximum(0, np.arange(len(y) + 1) - 4 * season)
+    width = np.arange(len(y) + 1) - lo
+    trend = np.where(width > 0, (total - total[lo]) / np.maximum(1, width), y[0])  # of what comes after ``t`` values
+    d = y - trend[:-1]
+    rest = d - np.array([d[t - season :: -season][:8].mean() if t >= season else 0.0 for t in range(len(y))])
+    at, out, done = order, [], np.argsort(ends, kind="stable")
     xx, xy = np.zeros((order, order)), np.zeros(order)
     for n in ends[done]:
         if n < 10 * season:
@@ -351,15 +420,24 @@ def _seasonal_ar_rolling(y: np.ndarray, h: int, ends: np.ndarray, season: int =
             xy += x * rest[t]
         at = max(at, int(n))
         coef = np.linalg.solve(xx + 1e-6 * np.eye(order) * max(1.0, float(np.trace(xx)) / (order * (n - order))), xy)
-        past, values = list(rest[n - order : n]), list(y[max(0, n - 8 * season) : n])
+        past = list(rest[n - order : n])
         for _ in range(h):
-            r = float(np.dot(coef, past[-1 : -order - 1 : -1]))
-            past.append(r)
-            values.append(float(np.mean(values[-season :: -season][:8])) + r)
-        out.append(values[-1])
+            past.append(float(np.dot(coef, past[-1 : -order - 1 : -1])))
+        last = n + h - 1 - season * (-(-h // season))  # of the same phase, before the origin ends
+        out.append(trend[n] + d[last::-season][:8].mean() + past[-1])
     return np.array(out)[np.argsort(done, kind="stable")]
 
 
+def calendar_rows(days: np.ndarray) -> np.ndarray:
+    """Regressors of each day: its weekday, and whether it is the last business day of a month or quarter."""
+    d = days.astype("datetime64[D]")
+    weekday = (d.astype(int) + 3) % 7
+    following = d + np.where(weekday == 4, 3, 1)
+    month = d.astype("datetime64[M]")
+    ends = following.astype("datetime64[M]") != month
+    return np.column_stack([np.eye(7)[weekday], ends, ends & (month.astype(int) % 3 == 2)]).astype(float)
+
+
 def evaluation_start(panel: DataFrame, horizon: int) -> DataFrame:
     """``series_id, first``: start of each series' first yearly fold; of its last window where it has too few years for one."""
     yearly = folds.yearly_folds(panel).groupBy("series_id").agg(F.min("eval_start").alias("__y"))
@@ -389,8 +467,10 @@ def grouped_forecasts(panel: DataFrame, horizon: int, names: list[str] | None =
         there = ~np.isnan(y)
         at = np.array([i for i in range(len(y) - horizon) if there[i] and days[i + horizon] >= pdf["first"].iloc[0]], dtype=int)
         values, ends, parts = y[there], np.cumsum(there)[at], []
+        calendar = calendar_rows(days)
+        ahead = calendar[at[:, None] + np.arange(1, horizon + 1)] if len(at) else None
         for name in chosen if len(at) else []:
-            got = many[name](values, horizon, ends) if name in many else np.array([single[name](values[:n], horizon)[-1] for n in ends])
+            got = many[name](values, horizon, ends, calendar[there], ahead) if name in many else np.array([single[name](values[:n], horizon)[-1] for n in ends])
             parts.append(pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "model": name, "horizon": horizon, "origin_date": days[at], "target_date": days[at + horizon], "origin_value": y[at], "y_true": [None if np.isnan(v) else v for v in y[at + horizon]], "y_pred": got}))
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("series_id", "model", "horizon", "origin_date", "target_date", "origin_value", "y_true", "y_pred")})
 

@@ -72,12 +72,19 @@ def last_months(panel: DataFrame, months: int) -> DataFrame:
     return panel.withColumn("__from", F.add_months(end, -months)).where(F.col("ds") >= F.col("__from")).drop("__from")
 
 
-def suspicious_zeros(panel: DataFrame, last: int = 10) -> DataFrame:
-    """Zeros among a series' last points become null if its usual value isn't zero."""
+def correlation(a: str, b: str) -> Column:
+    """Of two columns over the rows that hold both; null where one doesn't vary, which the built-in takes for an error."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
+def suspicious_zeros(panel: DataFrame, last: int = 10, level: bool = False) -> DataFrame:
+    """Zeros among a series' last points become null: those of a level always, those of a flow if its median is above zero."""
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("pos").desc()))
-    usual = panel.groupBy("series_id").agg(F.median(F.abs("y")).alias("__usual"))
+    usual = panel.groupBy("series_id").agg(F.median("y").alias("__usual"))
     out = panel.withColumn("__r", rank).join(usual, "series_id")
-    return out.withColumn("y", F.when((F.col("__r") <= last) & (F.col("y") == 0) & (F.col("__usual") > 0), None).otherwise(F.col("y"))).drop("__r", "__usual")
+    return out.withColumn("y", F.when((F.col("__r") <= last) & (F.col("y") == 0) & (F.lit(level) | (F.col("__usual") > 0)), None).otherwise(F.col("y"))).drop("__r", "__usual")
 
 
 def running_balance(panel: DataFrame, order: str = "ds") -> DataFrame:

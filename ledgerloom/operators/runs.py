@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import runlog
-from . import baselines, ensemble, metrics, models
+from . import baselines, ensemble, integrity, metrics, models
 
 #: Feature groups by prefix of the columns that ``models.supervised`` makes.
 GROUPS = {"lags": ("lag_", "now"), "rolling": ("mean_", "std_"), "calendar": ("dow", "dom", "month")}
@@ -46,15 +46,16 @@ def log_times(lines: DataFrame, key: str, text: str) -> DataFrame:
 def ablation(panel: DataFrame, train_end, start, end, horizon: int, model: str = "ridge", groups: dict = GROUPS) -> DataFrame:
     """MAE with all feature groups and without each one, and the change that leaving it out makes."""
     rows, names = models.supervised(panel, horizon)
-    rows = rows.where("label IS NOT NULL").cache()
+    rows = rows.where("label IS NOT NULL")
     scored = rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
     # Labels known by the first scored origin only.
     first = scored.agg(F.min("origin_date")).first()[0]
-    train = rows.where(F.col("target_date") <= F.lit(min(train_end, first) if first else train_end))
+    train = rows.where(F.col("target_date") <= F.lit(min(train_end, first) if first else train_end)).persist()
+    cases = {without: [n for n in names if without is None or not n.startswith(groups[without])] for without in (None, *groups)}
+    made = models.together([lambda kept=kept: models.pipeline(kept, models.estimators()[model]).fit(train) for kept in cases.values()])
+    train.unpersist()
     out = None
-    for without in (None, *groups):
-        kept = [n for n in names if without is None or not n.startswith(groups[without])]
-        fitted = models.pipeline(kept, models.estimators()[model]).fit(train)
+    for (without, kept), fitted in zip(cases.items(), made):
         own = fitted.transform(scored).agg(F.lit(without or "nothing").alias("without"), F.lit(len(kept)).alias("n_features"), F.avg(F.abs(F.col("y_true") - F.col("raw"))).alias("mae"))
         out = own if out is None else out.unionByName(own)
     whole = F.max(F.when(F.col("without") == "nothing", F.col("mae"))).over(Window.partitionBy())
@@ -100,13 +101,22 @@ def daily_run(panel: DataFrame, horizon: int, since: str, out: str, params: dict
     scores = spark.read.parquet(f"{out}/metrics").select(scores.columns)
     board = metrics.leaderboard(preds)
     runlog.append_log(runlog.log_rows(board, params or {}), f"{out}/log")
-    return ensemble.family_summary(scores, FAMILIES | {f"ensemble_{n}": "ensemble" for n in ("median", "top", "weighted")})
+    checks = ensemble.model_checks(preds, integrity.reach(horizon))
+    return ensemble.family_summary(scores, FAMILIES | {f"ensemble_{n}": "ensemble" for n in ("median", "top", "weighted")}, checks)
 
 
-def report(summary: DataFrame, most: int = 50) -> str:
-    """The family summary as Markdown: a row for each family."""
+def report(summary: DataFrame, split: str = "", most: int = 50) -> str:
+    """The family summary as Markdown: a row for each family, those that fail struck through, and a bottom line."""
     rows = summary.orderBy("family").limit(most).collect()
-    show = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows])
-
+    show = lambda v: "n/a" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
+    words = {"pass": "USABLE", "unverified": "UNVERIFIED"}
+    lines = ["# Backtest", *([f"Data split: {split}"] if split else []), "", "| family | models | best | skill | coverage | verdict |", "|---|---|---|---|---|---|"]
+    for r in rows:
+        best = f"~~{r['best']}~~" if r["verdict"] == "fail" else r["best"]
+        lines.append(f"| {r['family']} | {r['n']} | {best} | {show(r['best_skill'])} | {show(r['coverage'])} | {words.get(r['verdict'], 'NOT USABLE (' + r['reasons'].replace(',', '; ') + ')')} |")
+    named = lambda verdict: ", ".join(r["family"] for r in rows if r["verdict"] == verdict)
+    flags = lambda reason: sum(reason in r["reasons"].split(",") for r in rows)
+    lines += ["", f"- Passing the gate: {named('pass') or 'none'}"]
+    lines += [f"- Withheld: {named('fail')}"] if named("fail") else []
+    lines.append(f"- Flags: {flags('leakage')} leakage, {flags('persistence_like')} shift, {flags('failed_quality')} quality")
+    return "\n".join(lines)

@@ -70,17 +70,17 @@ def last_months(spark, sf_dir):
 
 
 @query("suspicious_zeros", """SELECT b.series_id, pos, CASE WHEN r <= 10 AND y = 0 AND usual > 0 THEN NULL ELSE y END AS y FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos DESC) AS r FROM biz) b
-  JOIN (SELECT series_id, median(abs(y)) AS usual FROM biz GROUP BY 1) u ON u.series_id = b.series_id""", *BUSINESS)
+  JOIN (SELECT series_id, median(y) AS usual FROM biz GROUP BY 1) u ON u.series_id = b.series_id""", *BUSINESS)
 def suspicious_zeros(spark, sf_dir):
     return pn.suspicious_zeros(business_panel(spark, sf_dir)).select("series_id", "pos", "y")
 
 
 @query("running_balance", """SELECT f.series_id, f.ds, sum(f.y - coalesce(s.y, 0.0)) OVER (PARTITION BY f.series_id ORDER BY f.ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y
-  FROM (SELECT 'all' AS series_id, ds, sum(y) AS y FROM panel GROUP BY 2) f LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS ds, sum(round(l_extendedprice)) AS y FROM lineitem GROUP BY 1) s ON s.ds = f.ds""", PANEL)
+  FROM (SELECT 'all' AS series_id, coalesce(a.ds, b.ds) AS ds, coalesce(a.y, 0.0) AS y FROM (SELECT ds, sum(y) AS y FROM panel GROUP BY 1) a FULL JOIN shipped b ON b.ds = a.ds) f LEFT JOIN shipped s ON s.ds = f.ds""", PANEL, "shipped AS (SELECT CAST(l_shipdate AS DATE) AS ds, sum(round(l_extendedprice)) AS y FROM lineitem GROUP BY 1)")
 def running_balance(spark, sf_dir):
-    value = order_panel(spark, sf_dir).groupBy(F.lit("all").alias("series_id"), "ds").agg(F.sum("y").alias("f"))
+    value = order_panel(spark, sf_dir).groupBy("ds").agg(F.sum("y").alias("f"))
     out = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("ds")).agg(F.sum(F.round("l_extendedprice")).alias("s"))
-    return pn.running_balance(value.join(out, "ds", "left").select("series_id", "ds", (F.col("f") - F.coalesce("s", F.lit(0.0))).alias("y")))
+    return pn.running_balance(value.join(out, "ds", "full").select(F.lit("all").alias("series_id"), "ds", (F.coalesce("f", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))).alias("y")))
 
 
 @query("first_difference", "SELECT series_id, ds, y, y - lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS diff FROM panel", PANEL)
@@ -170,10 +170,10 @@ def normalise_ledger(spark, sf_dir):
     return pn.normalise_ledger(rows)
 
 
-@query("missing_days", """SELECT DISTINCT a.ds FROM (SELECT ds FROM daysp WHERE series_id = '1-URGENT' EXCEPT SELECT ds FROM panel WHERE series_id = '1-URGENT') a""", PANEL, DAYS)
+@query("missing_days", "SELECT series_id, ds FROM daysp EXCEPT SELECT series_id, ds FROM panel", PANEL, DAYS)
 def missing_days(spark, sf_dir):
-    panel = order_panel(spark, sf_dir).where("series_id = '1-URGENT'")
-    return pn.spine(panel, False).select("ds").exceptAll(panel.select("ds"))
+    panel = order_panel(spark, sf_dir)
+    return pn.spine(panel, False).select("series_id", "ds").exceptAll(panel.select("series_id", "ds"))
 
 
 @query("common_days", "SELECT ds FROM panel WHERE series_id = '1-URGENT' INTERSECT SELECT ds FROM panel WHERE series_id = '5-LOW'", PANEL)

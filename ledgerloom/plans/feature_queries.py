@@ -37,7 +37,7 @@ def robust_features(spark, sf_dir):
 
 
 def _ewm(h: int) -> str:
-    return f"(SELECT CASE WHEN count(*) >= 2 THEN round(sum(pow(0.5, (b.pos - x.pos) / {h}.0) * x.y) / sum(pow(0.5, (b.pos - x.pos) / {h}.0)), 2) END FROM biz x WHERE x.series_id = b.series_id AND x.pos BETWEEN b.pos - {12 * h} AND b.pos - 1) AS ewm_{h}"
+    return f"(SELECT CASE WHEN count(*) >= 2 THEN round(sum(pow(0.5, (b.pos - x.pos) / {h}.0) * x.y) / sum(pow(0.5, (b.pos - x.pos) / {h}.0)), 2) END FROM biz x WHERE x.series_id = b.series_id AND x.pos < b.pos) AS ewm_{h}"
 
 
 @query("ewma_features", f"SELECT b.series_id, b.pos, {_ewm(5)}, {_ewm(21)} FROM biz b", *BUSINESS)

@@ -192,6 +192,21 @@ def tail_splits(spark, sf_dir):
     return folds.tail_splits(business_panel(spark, sf_dir)).groupBy("series_id", "part").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
+@query("blocks_from_end", """SELECT series_id, CAST(k AS INTEGER) AS fold_id, CAST(size - (n + 1 - k) * 5 - 1 AS INTEGER) AS train_end_pos, CAST(size - (n + 1 - k) * 5 AS INTEGER) AS eval_start_pos, CAST(size - (n + 1 - k) * 5 + 4 AS INTEGER) AS eval_end_pos
+  FROM (SELECT series_id, size, n, unnest(generate_series(1, n)) AS k FROM (SELECT series_id, size, CAST(greatest(floor((size - 1009) / 5.0), 0) AS INTEGER) AS n FROM (SELECT series_id, max(pos) + 1 AS size FROM biz GROUP BY 1)) WHERE n > 0)""", *BUSINESS)
+def blocks_from_end(spark, sf_dir):
+    return folds.blocks_from_end(business_panel(spark, sf_dir), 5)
+
+
+@query("cadence_recipes", """SELECT series_id, cadence, horizon, lookback, CAST(greatest(0, size - lookback + 1 - horizon) AS BIGINT) AS n FROM (SELECT series_id, 'daily' AS cadence, 64 AS lookback, unnest([1, 5, 20]) AS horizon, max(pos) + 1 AS size FROM biz GROUP BY 1
+  UNION ALL SELECT series_id, 'monthly', 36, unnest([1, 3, 6]), count(DISTINCT date_trunc('month', ds)) FROM biz GROUP BY 1)""", *BUSINESS)
+def cadence_recipes(spark, sf_dir):
+    daily = business_panel(spark, sf_dir)
+    months = daily.groupBy("series_id", F.last_day("ds").alias("ds")).agg(F.sum("y").alias("y"))
+    months = months.withColumn("pos", F.row_number().over(pn.by_series("ds")) - 1)
+    return folds.recipe_targets(daily, "daily").unionByName(folds.recipe_targets(months, "monthly"))
+
+
 # Integrity
 
 
@@ -201,34 +216,42 @@ def alignment_check(spark, sf_dir):
 
 
 _SHIFT = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY target_date) AS i FROM preds),
-shifts AS (SELECT a.series_id, a.horizon, a.model, CAST(k AS INTEGER) AS shift, avg(abs(b.y_true - a.y_pred)) AS mae, corr(a.y_pred, b.y_true) AS corr FROM numbered a, (SELECT unnest(generate_series(-6, 6)) AS k), numbered b
+shifts AS (SELECT a.series_id, a.horizon, a.model, CAST(k AS INTEGER) AS shift, avg(abs(b.y_true - a.y_pred)) AS mae, corr(a.y_pred, b.y_true) AS corr FROM numbered a, (SELECT unnest(generate_series(-10, 10)) AS k), numbered b
   WHERE b.series_id = a.series_id AND b.model = a.model AND b.i = a.i + k GROUP BY 1, 2, 3, 4)"""
+_DIAGNOSED = f"""best AS (SELECT {_BY}, arg_min(shift, row(mae, shift <> 0, shift)) AS s, min(mae) AS bm, max(mae) FILTER (shift = 0) AS m0, max(mae) FILTER (shift = -5) AS mh FROM shifts GROUP BY 1, 2, 3),
+diagnosed AS (SELECT {_BY}, s AS best_shift, CASE WHEN abs(s) <= 1 THEN 'ok' WHEN abs(s + 5) <= 1 THEN 'persistence_like' WHEN abs(s + 6) <= 1 THEN 'missing_lag_0' WHEN s < -5 THEN 'backward' WHEN s > 0 THEN 'forward' ELSE 'ok' END AS shift_class,
+  CASE WHEN m0 > 0 THEN 100 * (m0 - bm) / m0 ELSE 0 END AS improvement_pct, coalesce(abs(m0 - mh) / greatest(m0, mh, 1) < 0.1, false) AS naive_equivalent FROM best)"""
+_COPIES = f"""backs AS (SELECT {_BY}, -shift AS back, round(corr, 6) AS r FROM shifts WHERE abs(shift) <= 3 AND corr IS NOT NULL AND NOT isnan(corr) AND NOT regexp_matches(lower(model), 'baseline|naive|persistence')),
+chosen AS (SELECT {_BY}, arg_max(back, row(r, -back)) AS best_shift, max(r) AS corr_best, max(r) FILTER (back = 0) AS corr_0 FROM backs GROUP BY 1, 2, 3),
+lagged AS (SELECT {_BY}, count(*) AS n, avg(abs(y_true - y_pred)) AS mae, avg(abs(y_true - b)) AS mae_lag_1 FROM (SELECT *, lag(y_true) OVER (PARTITION BY {_BY} ORDER BY target_date) AS b FROM preds) GROUP BY 1, 2, 3),
+copies AS (SELECT c.*, l.mae, l.mae_lag_1, coalesce(c.best_shift <> 0 AND c.corr_best - c.corr_0 > 0.05 AND l.mae >= 0.99 * l.mae_lag_1, false) AS is_copy FROM chosen c JOIN lagged l ON l.series_id = c.series_id AND l.horizon = c.horizon AND l.model = c.model WHERE l.n >= 8)"""
 
 
 @query("shift_errors", f"SELECT {_BY}, shift, round(mae, 3) AS mae FROM shifts", *FORECASTS, _SHIFT)
 def shift_errors(spark, sf_dir):
-    return rounded(integrity.shift_errors(forecasts(spark, sf_dir), 6), 3, "mae").withColumn("shift", F.col("shift").cast("int"))
+    return rounded(integrity.shift_errors(forecasts(spark, sf_dir), integrity.reach(5)), 3, "mae").withColumn("shift", F.col("shift").cast("int"))
 
 
-@query("shift_diagnostic", f"""SELECT {_BY}, best_shift, CASE WHEN best_shift = 0 THEN 'aligned' WHEN best_shift = -5 THEN 'naive_copy' WHEN best_shift = -6 THEN 'missing_lag_0' ELSE 'offset' END AS shift_class, abs(m0 - mh) / greatest(m0, mh, 1) < 0.1 AS naive_equivalent
-  FROM (SELECT {_BY}, arg_min(shift, mae) AS best_shift, max(CASE WHEN shift = 0 THEN mae END) AS m0, max(CASE WHEN shift = -5 THEN mae END) AS mh FROM shifts GROUP BY 1, 2, 3)""", *FORECASTS, _SHIFT)
+@query("shift_diagnostic", f"SELECT {_BY}, best_shift, shift_class, round(improvement_pct, 4) AS improvement_pct, naive_equivalent FROM diagnosed", *FORECASTS, _SHIFT, _DIAGNOSED)
 def shift_diagnostic(spark, sf_dir):
-    return integrity.shift_diagnostic(forecasts(spark, sf_dir), 6).select(*metrics.KEYS, "best_shift", "shift_class", "naive_equivalent")
+    out = integrity.shift_diagnostic(forecasts(spark, sf_dir), integrity.reach(5))
+    return rounded(out, 4, "improvement_pct").select(*metrics.KEYS, "best_shift", "shift_class", "improvement_pct", "naive_equivalent")
 
 
-@query("lagged_copy", f"""SELECT {_BY}, shift AS best_shift, r AS best_corr, shift < 0 AND r > 0.9 AS is_copy FROM (SELECT {_BY}, shift, round(corr, 6) AS r, row_number() OVER (PARTITION BY {_BY} ORDER BY round(corr, 6) DESC NULLS LAST, abs(shift), shift DESC) AS n FROM shifts WHERE abs(shift) <= 3) WHERE n = 1""", *FORECASTS, _SHIFT)
+@query("lagged_copy", f"SELECT {_BY}, best_shift, corr_best, corr_0, round(mae, 3) AS mae, round(mae_lag_1, 3) AS mae_lag_1, is_copy FROM copies", *FORECASTS, _SHIFT, _COPIES)
 def lagged_copy(spark, sf_dir):
-    return integrity.lagged_copy(forecasts(spark, sf_dir))
+    return rounded(integrity.lagged_copy(forecasts(spark, sf_dir)), 3, "mae", "mae_lag_1")
 
 
-@query("feature_leakage", """SELECT series_id, feature, round(corr(value, target), 5) AS corr, regexp_matches(lower(feature), 'target|future|lead|y_true') AS suspicious_name, coalesce(abs(corr(value, target)) > 0.99, false) AS leaks FROM (
-  UNPIVOT (SELECT series_id, pos, lead(y, 5) OVER w AS target, y AS same_day, lag(y, 1) OVER w AS lag_1, lead(y, 5) OVER w AS future_value FROM biz WINDOW w AS (PARTITION BY series_id ORDER BY pos)) ON same_day, lag_1, future_value INTO NAME feature VALUE value) WHERE target IS NOT NULL GROUP BY 1, 2""", *BUSINESS)
+@query("feature_leakage", """SELECT series_id, feature, count(*) AS n, round(corr(value, target), 5) AS corr, contains(feature, 'shift(-') OR contains(feature, 'lag_-') AS suspicious_name, contains(feature, 'shift(-') OR contains(feature, 'lag_-') OR coalesce(abs(corr(value, target)) > 0.99 AND count(*) > 10, false) AS leaks FROM (
+  UNPIVOT (SELECT series_id, pos, lead(y, 5) OVER w AS target, y AS same_day, lag(y, 1) OVER w AS lag_1, lead(y, 2) OVER w AS "lag_-2", lead(y, 5) OVER w AS peek FROM biz WINDOW w AS (PARTITION BY series_id ORDER BY pos)) ON same_day, lag_1, "lag_-2", peek INTO NAME feature VALUE value) WHERE target IS NOT NULL GROUP BY 1, 2""", *BUSINESS)
 def feature_leakage(spark, sf_dir):
     from ..operators.features import unpivot_features
 
     rows = pn.horizon_target(business_panel(spark, sf_dir), 5)
-    rows = rows.withColumns({"same_day": F.col("y"), "lag_1": F.lag("y", 1).over(pn.by_series()), "future_value": F.lead("y", 5).over(pn.by_series())})
-    return rounded(integrity.feature_leakage(unpivot_features(rows, ["same_day", "lag_1", "future_value"]), rows.where("target IS NOT NULL")), 5, "corr")
+    w = pn.by_series()
+    rows = rows.withColumns({"same_day": F.col("y"), "lag_1": F.lag("y", 1).over(w), "lag_-2": F.lead("y", 2).over(w), "peek": F.lead("y", 5).over(w)})
+    return rounded(integrity.feature_leakage(unpivot_features(rows, ["same_day", "lag_1", "lag_-2", "peek"]), rows.where("target IS NOT NULL")), 5, "corr")
 
 
 @query("temporal_leaks", f"SELECT {_BY}, count(*) FILTER (origin_date >= target_date) AS n_leaks FROM preds GROUP BY 1, 2, 3", *FORECASTS)
@@ -236,14 +259,20 @@ def temporal_leaks(spark, sf_dir):
     return integrity.temporal_leaks(forecasts(spark, sf_dir))
 
 
-_FS = "fs AS (SELECT p.series_id, model, fold_id, avg(abs(y_true - y_pred)) AS mae FROM preds p JOIN folds f ON f.series_id = p.series_id AND p.target_date BETWEEN f.eval_start AND f.eval_end GROUP BY 1, 2, 3)"
+_FS = """fs AS (SELECT p.series_id, model, fold_id, avg(abs(y_true - y_pred)) AS mae FROM preds p JOIN folds f ON f.series_id = p.series_id AND p.target_date BETWEEN f.eval_start AND f.eval_end GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+tr AS (SELECT p.series_id, model, fold_id, avg(abs(y_true - y_pred)) AS train_mae FROM preds p JOIN folds f ON f.series_id = p.series_id AND p.target_date <= f.train_end GROUP BY 1, 2, 3),
+fr AS (SELECT fs.*, fs.mae / nullif(train_mae, 0) AS ratio, row_number() OVER (PARTITION BY fs.series_id, fs.model ORDER BY fs.fold_id) - 1.0 AS k FROM fs LEFT JOIN tr ON tr.series_id = fs.series_id AND tr.model = fs.model AND tr.fold_id = fs.fold_id),
+st AS (SELECT series_id, model, count(*) AS n_folds, avg(mae) AS mean_mae, stddev_samp(mae) / avg(mae) AS cv, CASE WHEN count(*) >= 3 THEN regr_slope(mae, k) * (count(*) - 1) / avg(mae) END AS slope, max(ratio) AS worst_ratio, min(ratio) AS least_ratio FROM fr GROUP BY 1, 2)"""
 
 
-@query("fold_stability", """SELECT series_id, model, count(*) AS n_folds, round(avg(mae), 3) AS mean_mae, round(stddev_samp(mae) / avg(mae), 6) AS cv, round(regr_slope(mae, fold_id) / avg(mae), 6) AS slope,
-  CASE WHEN stddev_samp(mae) / avg(mae) > 0.5 OR regr_slope(mae, fold_id) / avg(mae) > 0.25 THEN 'high' WHEN stddev_samp(mae) / avg(mae) > 0.25 OR regr_slope(mae, fold_id) / avg(mae) > 0.1 THEN 'medium' ELSE 'low' END AS risk FROM fs GROUP BY 1, 2""", *FORECASTS, _FOLDS, _FS)
+@query("fold_stability", """SELECT series_id, model, n_folds, round(mean_mae, 3) AS mean_mae, round(cv, 6) AS cv, round(slope, 6) AS slope, round(worst_ratio, 6) AS worst_ratio,
+  CASE WHEN cv > 0.5 OR slope > 0.5 OR worst_ratio > 2 THEN 'high' WHEN cv > 0.3 OR slope > 0.25 OR least_ratio < 0.5 THEN 'medium' ELSE 'low' END AS risk FROM st""", *FORECASTS, _FOLDS, _FS)
 def fold_stability(spark, sf_dir):
-    rows = folds.fold_rows(forecasts(spark, sf_dir), _folds(spark, sf_dir), "target_date")
-    return rounded(rounded(integrity.fold_stability(rows), 3, "mean_mae"), 6, "cv", "slope")
+    preds, years = forecasts(spark, sf_dir), _folds(spark, sf_dir)
+    rows = folds.fold_rows(preds, years, "target_date")
+    before = preds.join(years.select(F.col("series_id").alias("s"), "fold_id", "train_end"), (F.col("series_id") == F.col("s")) & (F.col("target_date") <= F.col("train_end")))
+    training = before.groupBy("series_id", "model", "fold_id").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("train_mae"))
+    return rounded(rounded(integrity.fold_stability(rows, training), 3, "mean_mae"), 6, "cv", "slope", "worst_ratio")
 
 
 _RATIO = "tv AS (SELECT model, avg(abs(y_true - y_pred)) FILTER (year(target_date) = 1999) AS tm, avg(abs(y_true - y_pred)) FILTER (year(target_date) = 2000) AS vm FROM preds GROUP BY 1)"
@@ -258,11 +287,22 @@ def best_model(spark, sf_dir):
     return integrity.best_model(ensemble.model_errors(rows), integrity.overfit_ratios(scores), 1.02)
 
 
-@query("preflight", """SELECT series_id, first_day, last_day, n_rows, round(missing, 6) AS missing, n_repeated, n_gaps, is_constant, concat_ws(',', CASE WHEN n_rows < 30 THEN 'too_short' END, CASE WHEN is_constant THEN 'constant' END, CASE WHEN missing > 0.5 THEN 'mostly_missing' END) AS blockers,
-  concat_ws(',', CASE WHEN n_repeated > 0 THEN 'repeated_dates' END, CASE WHEN n_gaps > 0 THEN 'gaps' END, CASE WHEN missing > 0 THEN 'missing_values' END) AS warnings FROM (SELECT series_id, min(ds) AS first_day, max(ds) AS last_day, count(*) AS n_rows, count(*) FILTER (y IS NULL) / count(*) AS missing,
-  count(*) FILTER (gap = 0) AS n_repeated, count(*) FILTER (gap > 5) AS n_gaps, min(y) = max(y) AS is_constant FROM (SELECT *, ds - lag(ds) OVER (PARTITION BY series_id ORDER BY ds) AS gap FROM panel) GROUP BY 1)""", PANEL)
+_RAW = """raw AS (SELECT series_id, CASE WHEN y % 97 = 0 THEN 'n/a' ELSE CAST(ds AS VARCHAR) END AS day, CASE WHEN y % 89 = 0 THEN 'unknown' WHEN y % 83 = 0 THEN NULL ELSE CAST(y AS VARCHAR) END AS amount FROM panel),
+parsed AS (SELECT series_id, TRY_CAST(day AS DATE) AS ds, amount, TRY_CAST(amount AS DOUBLE) AS v FROM raw),
+judged AS (SELECT *, ds - lag(ds) OVER (PARTITION BY series_id ORDER BY ds NULLS FIRST) AS gap FROM parsed),
+zs AS (SELECT series_id, count(*) FILTER (n >= 20 AND sd > 0 AND abs((v - m) / sd) > 4) AS n_outliers FROM (SELECT series_id, v, count(*) OVER w AS n, avg(v) OVER w AS m, stddev_samp(v) OVER w AS sd FROM parsed WHERE v IS NOT NULL AND ds IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) GROUP BY 1),
+flight AS (SELECT series_id, count(*) AS n_rows, count(*) FILTER (ds IS NULL) AS n_undated, min(ds) AS first_day, max(ds) AS last_day, count(v) AS n_values, count(*) FILTER (v IS NULL AND amount IS NOT NULL) AS n_text, count(*) FILTER (v IS NULL) AS n_missing,
+  stddev_samp(v) AS sd, count(*) FILTER (gap = 0) AS n_repeated, count(*) FILTER (gap > 5) AS n_gaps, CAST(max(gap) AS INTEGER) AS longest_gap FROM judged GROUP BY 1)"""
+
+
+@query("preflight", """SELECT f.series_id, n_rows, n_undated, first_day, last_day, n_values, n_text, n_missing, round(sd, 2) AS std, n_repeated, n_gaps, longest_gap, coalesce(n_outliers, 0) AS n_outliers, concat_ws(',', CASE WHEN n_text > 0.5 * n_rows THEN 'not_numeric' END, CASE WHEN n_values < 45 THEN 'too_short' END, CASE WHEN sd = 0 THEN 'constant' END) AS blockers,
+  concat_ws(',', CASE WHEN n_undated > 0 THEN 'undated_rows' END, CASE WHEN 100 * n_missing > 5 * n_rows THEN 'missing_values' END, CASE WHEN n_repeated > 0 THEN 'repeated_dates' END, CASE WHEN n_gaps > 0 THEN 'gaps' END, CASE WHEN n_values > 60 AND n_outliers > 0 THEN 'outliers' END) AS warnings FROM flight f LEFT JOIN zs ON zs.series_id = f.series_id""", PANEL, _RAW)
 def preflight(spark, sf_dir):
-    return rounded(integrity.preflight(order_panel(spark, sf_dir)), 6, "missing").drop("step_days")
+    """Order values as text, some without a date, some that aren't numbers, some missing."""
+    y = F.col("y")
+    raw = order_panel(spark, sf_dir).select("series_id", F.when(y % 97 == 0, "n/a").otherwise(F.col("ds").cast("string")).alias("day"), F.when(y % 89 == 0, "unknown").when(y % 83 != 0, F.format_string("%.1f", "y")).alias("amount"))
+    out = integrity.preflight(raw, "day", "amount", 5)
+    return rounded(out, 2, "std").select("series_id", "n_rows", "n_undated", "first_day", "last_day", "n_values", "n_text", "n_missing", "std", "n_repeated", "n_gaps", "longest_gap", "n_outliers", "blockers", "warnings")
 
 
 @query("freshness", "SELECT series_id, max(ds) AS last_day, CAST(DATE '2001-08-10' - max(ds) AS INTEGER) AS age_days, DATE '2001-08-10' - max(ds) > 7 AS is_stale FROM panel GROUP BY 1", PANEL)
@@ -288,13 +328,21 @@ def podium(spark, sf_dir):
     return rounded(rounded(ensemble.podium(forecasts(spark, sf_dir)), 3, "mae"), 4, "better_pct").withColumn("place", F.col("place").cast("int"))
 
 
-_CARD = f"""card AS (SELECT *, 0.6 * greatest(0.0, least(100.0, coalesce(skill, 0.0) * 2)) + 0.2 * CASE WHEN coverage IS NULL THEN 50.0 ELSE greatest(0.0, 100 - 400 * abs(coverage - 0.9)) END + 20 * coalesce(monthly_tol10, 0.0) AS points FROM scores),
-graded AS (SELECT *, CASE WHEN points >= 80 THEN 'A' WHEN points >= 65 THEN 'B' WHEN points >= 50 THEN 'C' WHEN points >= 35 THEN 'D' ELSE 'F' END AS letter FROM card)"""
+_CARD = f"""cards AS (SELECT p.{_BY.replace(', ', ', p.')}, count(*) AS n, avg(abs(y_true - y_pred)) AS mae, avg(2 * abs(y_true - y_pred) / (abs(y_true) + abs(y_pred) + 1e-9)) AS smape, CASE WHEN var_pop(y_true) > 0 THEN 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*)) END AS r2,
+  avg(CASE WHEN y_lo IS NOT NULL THEN CASE WHEN y_true BETWEEN y_lo AND y_hi THEN 1.0 ELSE 0.0 END END) AS coverage, 100 * (avg(abs(y_true - origin_value)) - avg(abs(y_true - y_pred))) / avg(abs(y_true - origin_value)) AS skill, any_value(t.monthly_tol10) AS tol
+  FROM preds p JOIN tol t ON t.series_id = p.series_id AND t.horizon = p.horizon AND t.model = p.model GROUP BY 1, 2, 3),
+graded AS (SELECT c.*, d.best_shift, CASE WHEN r2 IS NULL THEN 'N/A' WHEN smape < 0.05 AND r2 > 0.95 THEN 'A' WHEN smape < 0.1 AND r2 > 0.85 THEN 'B' WHEN smape < 0.2 AND r2 > 0.7 THEN 'C' WHEN smape < 0.35 AND r2 > 0.5 THEN 'D' ELSE 'F' END AS letter,
+  row_number() OVER (PARTITION BY c.series_id, c.horizon ORDER BY regexp_matches(lower(c.model), 'baseline|persistence'), mae, c.model) AS place FROM cards c JOIN diagnosed d ON d.series_id = c.series_id AND d.horizon = c.horizon AND d.model = c.model)"""
 
 
-@query("scorecard", f"""SELECT {_BY}, round(points, 3) AS points, CASE WHEN coalesce(skill, 0) <= 0 AND letter IN ('A', 'B', 'C') THEN 'D' ELSE letter END AS grade, concat_ws(',', CASE WHEN skill < 0 THEN 'worse_than_persistence' END, CASE WHEN coverage < 0.7 THEN 'narrow_intervals' END, CASE WHEN r2 < 0 THEN 'negative_r2' END, CASE WHEN coverage IS NULL THEN 'no_intervals' END) AS flags FROM graded""", *FORECASTS, _TOL, _SCORES, _CARD)
+@query("scorecard", """SELECT series_id, horizon, model AS best, n, round(mae, 3) AS mae, round(smape, 6) AS smape, round(r2, 5) AS r2, round(tol, 6) AS monthly_tol10, round(coverage, 6) AS coverage, round(skill, 4) AS skill, CASE WHEN skill < 5 THEN 'F' ELSE letter END AS grade, coalesce(skill < 5, false) AS gate_failed,
+  concat_ws(',', CASE WHEN skill < 0 THEN 'worse_than_persistence' END, CASE WHEN skill >= 0 AND skill < 5 THEN 'below_gate' END, CASE WHEN skill < 5 AND best_shift <> 0 THEN 'shifted' END, CASE WHEN r2 < 0 THEN 'negative_r2' END, CASE WHEN coverage < 0.8 THEN 'narrow_intervals' END, CASE WHEN tol < 0.5 THEN 'poor_months' END) AS flags,
+  concat_ws(',', CASE WHEN letter IN ('D', 'F') THEN 'low_accuracy' END, CASE WHEN letter = 'C' THEN 'room_to_improve' END, CASE WHEN coverage > 0.98 THEN 'wide_intervals' END, CASE WHEN tol >= 0.8 THEN 'good_months' END) AS tips, CASE WHEN letter IN ('A', 'B') THEN 'ensemble_of_best' ELSE 'compare_models' END AS next_steps
+  FROM graded WHERE place = 1""", *FORECASTS, _TOL, _SHIFT, _DIAGNOSED, _CARD)
 def scorecard(spark, sf_dir):
-    return rounded(ensemble.scorecard(metrics.block(forecasts(spark, sf_dir))), 3, "points")
+    rows = forecasts(spark, sf_dir)
+    out = ensemble.recommend(rows, integrity.shift_diagnostic(rows, integrity.reach(5)), folds=3).drop("rmse", "mape", "width")
+    return rounded(rounded(rounded(rounded(out, 3, "mae"), 5, "r2"), 6, "smape", "coverage", "monthly_tol10"), 4, "skill")
 
 
 @query("interval_gate", """SELECT series_id, horizon, count(*) FILTER (ok) AS n_passed, arg_min(model, row(NOT ok, mae)) AS best FROM (SELECT *, coalesce(skill >= 5 AND coverage BETWEEN 0.7 AND 0.99, false) AS ok FROM scores) GROUP BY 1, 2""", *FORECASTS, _TOL, _SCORES)
@@ -307,11 +355,16 @@ def quality_gate(spark, sf_dir):
     return rounded(ensemble.quality_gate(metrics.block(forecasts(spark, sf_dir))), 4, "skill")
 
 
-@query("family_summary", """SELECT family, n, best, round(best_skill, 4) AS best_skill, reasons, CASE WHEN reasons = '' THEN 'pass' ELSE 'review' END AS verdict FROM (SELECT family, n, best, best_skill, concat_ws(',', CASE WHEN best_skill < 5 THEN 'skill_below_5' END, CASE WHEN coverage IS NULL THEN 'no_intervals' END, CASE WHEN NOT coverage BETWEEN 0.7 AND 0.9 THEN 'coverage_out_of_range' END) AS reasons
-  FROM (SELECT CASE model WHEN 'naive_last' THEN 'naive' ELSE 'average' END AS family, count(*) AS n, arg_min(model, row(mae, model)) AS best, max(skill) AS best_skill, avg(coverage) AS coverage FROM scores GROUP BY 1))""", *FORECASTS, _TOL, _SCORES)
+_FAMILIES = f"""checked AS (SELECT s.*, CASE s.model WHEN 'naive_last' THEN 'naive' ELSE 'average' END AS family, l.leaks, d.shift_class <> 'ok' OR d.naive_equivalent OR coalesce(c.is_copy, false) AS shifted FROM scores s
+  JOIN (SELECT {_BY}, count(*) FILTER (origin_date >= target_date) > 0 AS leaks FROM preds GROUP BY 1, 2, 3) l ON l.series_id = s.series_id AND l.model = s.model JOIN diagnosed d ON d.series_id = s.series_id AND d.model = s.model LEFT JOIN copies c ON c.series_id = s.series_id AND c.model = s.model),
+fam AS (SELECT family, count(*) AS n, arg_min(model, row(mae, model, series_id)) AS best, arg_min(skill, row(mae, model, series_id)) AS best_skill, arg_min(coverage, row(mae, model, series_id)) FILTER (coverage IS NOT NULL) AS coverage, bool_or(leaks) AS leaks, bool_or(shifted) AS shifted FROM checked GROUP BY 1)"""
+
+
+@query("family_summary", """SELECT family, n, best, round(best_skill, 4) AS best_skill, round(coverage, 6) AS coverage, reasons, CASE WHEN reasons = '' THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT *, concat_ws(',', CASE WHEN coalesce(best_skill < 5, true) THEN 'failed_quality' END, CASE WHEN leaks THEN 'leakage' END, CASE WHEN shifted THEN 'persistence_like' END) AS reasons FROM fam)""", *FORECASTS, _TOL, _SCORES, _SHIFT, _DIAGNOSED, _COPIES, _FAMILIES)
 def family_summary(spark, sf_dir):
-    families = {"naive_last": "naive", "weekday_mean": "average", "moving_average_20": "average"}
-    return rounded(ensemble.family_summary(metrics.block(forecasts(spark, sf_dir)), families), 4, "best_skill").drop("coverage")
+    rows, families = forecasts(spark, sf_dir), {"naive_last": "naive", "weekday_mean": "average", "moving_average_20": "average"}
+    out = ensemble.family_summary(metrics.block(rows), families, ensemble.model_checks(rows, integrity.reach(5)))
+    return rounded(rounded(out, 4, "best_skill"), 6, "coverage")
 
 
 @query("best_by_run", f"SELECT series_id, horizon, arg_min(model, row(mae, model)) AS best, round(min(mae), 3) AS mae FROM ranked GROUP BY 1, 2", *FORECASTS, _ENS)

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..functions import calendar
+from ..operators import baselines, metrics
+from ..operators.panel import holiday_flag
 from ..sources import ledger, runlog
 from ..streaming import rollup
-from .feature_queries import rounded
-from .registry import FORECASTS, PANEL, forecasts, order_panel, query, table, work_folder
+from .feature_queries import _MONTHLY, _SPREAD, rounded
+from .forecast_queries import _OPS
+from .registry import BUSINESS, CAL, FORECASTS, PANEL, business_panel, forecasts, order_panel, query, table, work_folder
 
 
-@query("wide_ledger", "SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, sum(round(o_totalprice)) AS y FROM orders WHERE year(o_orderdate) IN (1998, 1999) GROUP BY 1, 2")
+@query("wide_ledger", "SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, sum(round(o_totalprice)) AS y FROM orders GROUP BY 1, 2")
 def wide_ledger(spark, sf_dir):
-    """Two yearly sheets with months as columns, joined and turned long; cells that are blank stay out."""
+    """A sheet for each year of the table, with months as columns, joined and turned long; cells that are blank stay out."""
     rows = order_panel(spark, sf_dir).withColumn("m", F.date_format("ds", "yyyy-MM-01"))
-    sheets = [rows.groupBy("series_id").pivot("m", [f"{y}-{m:02d}-01" for m in range(1, 13)]).agg(F.sum("y")) for y in (1998, 1999)]
+    span = rows.agg(F.min(F.year("ds")).alias("a"), F.max(F.year("ds")).alias("b")).first()
+    sheets = [rows.groupBy("series_id").pivot("m", [f"{y}-{m:02d}-01" for m in range(1, 13)]).agg(F.sum("y")) for y in range(span["a"], span["b"] + 1)]
     return ledger.wide_to_long(ledger.union_years(*sheets), "series_id").where("y IS NOT NULL")
 
 
@@ -27,10 +31,10 @@ def coerce_text(spark, sf_dir):
     return rows.groupBy("ds").agg(F.count("*").alias("n"), F.count("value").alias("n_value"))
 
 
-@query("guess_date_column", """SELECT 'o_orderdate' AS "column", CAST(1 AS DOUBLE) AS parsed UNION ALL SELECT c, CAST(0 AS DOUBLE) FROM (VALUES ('o_custkey'), ('o_orderstatus'), ('o_orderpriority'), ('o_totalprice')) t(c)""")
+@query("guess_date_column", """SELECT 'o_orderdate' AS "column", CAST(1 AS DOUBLE) AS parsed, round(avg(CASE WHEN up THEN 1.0 ELSE 0.0 END), 6) AS rising FROM (SELECT o_orderdate >= lag(o_orderdate) OVER (ORDER BY o_orderkey) AS up FROM orders) WHERE up IS NOT NULL UNION ALL SELECT c, CAST(0 AS DOUBLE), NULL FROM (VALUES ('o_custkey'), ('o_orderstatus'), ('o_orderpriority'), ('o_totalprice')) t(c)""")
 def guess_date_column(spark, sf_dir):
     out = ledger.date_shares(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"), "o_orderkey")
-    return out.select("column", "parsed")
+    return rounded(out, 6, "rising").select("column", "parsed", "rising")
 
 
 @query("guess_value_column", """SELECT * FROM (SELECT 'o_totalprice' AS "column", CAST(1 AS DOUBLE) AS numeric, round(quantile_cont(abs(o_totalprice), 0.9), 3) AS p90, 1 AS rank FROM orders
@@ -40,7 +44,10 @@ def guess_value_column(spark, sf_dir):
     return rounded(out, 3, "p90").withColumn("rank", F.col("rank").cast("int"))
 
 
-@query("pick_by_name")
+_PICKED = [("orders", "o_orderdate", "o_totalprice"), ("lineitem", "l_shipdate", "l_extendedprice"), ("events", "ts", "value")]
+
+
+@query("pick_by_name", " UNION ALL ".join(f"""SELECT '{t}' AS "table", '{d}' AS date_column, '{v}' AS value_column, CAST(min({d}) AS DATE) AS first_day, CAST(max({d}) AS DATE) AS last_day FROM {t}""" for t, d, v in _PICKED))
 def pick_by_name(spark, sf_dir):
     """Tables' date and value columns by name, and the days they span."""
     out = None
@@ -73,6 +80,33 @@ def saved_runs(spark, sf_dir):
     return ledger.load_runs(spark, path).groupBy("model", "cadence", "run").agg(F.count("*").alias("n"))
 
 
+@query("discover_runs", "SELECT 'one' AS run, 'daily' AS cadence, model, count(*) AS n FROM preds GROUP BY model UNION ALL SELECT 'two', '', model, count(*) FROM preds WHERE model = 'naive_last' GROUP BY model", *FORECASTS)
+def discover_runs(spark, sf_dir):
+    """Two runs, one with its outputs by cadence, one with them at the top, found and read back."""
+    root, rows = work_folder(spark), forecasts(spark, sf_dir)
+    rows.write.parquet(f"{root}/one/outputs/daily/predictions")
+    rows.where("model = 'naive_last'").write.parquet(f"{root}/two/outputs/predictions")
+    return ledger.load_outputs(spark, root).groupBy("run", "cadence", "model").agg(F.count("*").alias("n"))
+
+
+@query("holiday_list", "SELECT b.series_id, b.ds, CAST(h.ds IS NOT NULL AS INTEGER) AS is_holiday FROM biz b LEFT JOIN hols h ON h.ds = b.ds", *BUSINESS, CAL)
+def holiday_list(spark, sf_dir):
+    """A list of holidays with repeats and a row that is no date, written as text, read and joined to the panel."""
+    path, days = work_folder(spark) + "/holidays.csv", calendar.holidays(spark, 1995, 2001)
+    rows = days.select(F.col("ds").cast("string").alias("Date")).unionByName(days.where("day(ds) = 1").select(F.col("ds").cast("string").alias("Date"))).unionByName(spark.range(1).select(F.lit("not known").alias("Date")))
+    rows.write.csv(path, header=True)
+    return holiday_flag(business_panel(spark, sf_dir), ledger.read_holidays(spark, path)).select("series_id", "ds", "is_holiday")
+
+
+@query("ops_weekly", "SELECT series_id, CAST(ds + CAST((5 - isodow(ds) + 7) % 7 AS INTEGER) AS DATE) AS ds, round(sum(round(baseline)), 2) AS baseline FROM ops WHERE baseline IS NOT NULL GROUP BY 1, 2", *FORECASTS, _MONTHLY, _SPREAD, _OPS)
+def ops_weekly(spark, sf_dir):
+    """The daily operational baseline as files of text by series, read back as weeks."""
+    path, panel = work_folder(spark) + "/ops.csv", business_panel(spark, sf_dir)
+    daily = baselines.spread_month(panel, baselines.monthly_baseline(panel)).where("baseline IS NOT NULL")
+    daily.select("series_id", F.col("ds").alias("date"), F.round("baseline").alias("forecast")).write.partitionBy("series_id").csv(path, header=True)
+    return rounded(ledger.read_ops(spark, path, cadence="weekly"), 2, "baseline")
+
+
 @query("experiment_log", "SELECT target, count(*) AS n, count(DISTINCT model) AS n_models FROM (SELECT series_id AS target, model FROM preds GROUP BY 1, 2 UNION ALL SELECT DISTINCT series_id, 'persistence' FROM preds) GROUP BY 1", *FORECASTS)
 def experiment_log(spark, sf_dir):
     path = work_folder(spark) + "/log"

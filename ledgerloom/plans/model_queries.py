@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import folds, metrics, models, runs
@@ -44,7 +44,7 @@ def forest_forecasts(spark, sf_dir):
 
 @query("boosted_forecasts")
 def boosted_forecasts(spark, sf_dir):
-    return fitted(spark, sf_dir, ["boosted_l2"])
+    return fitted(spark, sf_dir, ["boosted_l2", "boosted_l1"])
 
 
 @query("delta_forecasts")
@@ -69,6 +69,39 @@ def quantile_forest(spark, sf_dir):
     return by_fold(panel, lambda *dates: models.quantile_forest(panel, *dates, HORIZON))
 
 
+@query("boosted_quantiles")
+def boosted_quantiles(spark, sf_dir):
+    panel = business_panel(spark, sf_dir)
+    return by_fold(panel, lambda *dates: models.boosted_quantiles(panel, *dates, HORIZON))
+
+
+@query("out_of_bag_bands")
+def out_of_bag_bands(spark, sf_dir):
+    panel = business_panel(spark, sf_dir)
+    return by_fold(panel, lambda *dates: models.out_of_bag_bands(panel, *dates, HORIZON))
+
+
+_NEXT = "CAST(CASE WHEN isodow(ds) = 5 THEN ds + 3 ELSE ds + 1 END AS DATE)"
+
+
+@query("recursive_forecasts", "SELECT series_id, ds, pos, y FROM s1 UNION ALL SELECT series_id, ds, pos, y FROM s2 UNION ALL SELECT series_id, ds, pos, y FROM s3", *BUSINESS,
+       "last5 AS (SELECT series_id, max(ds) AS d, max(pos) AS p, list(y ORDER BY pos) AS v FROM (SELECT *, max(pos) OVER (PARTITION BY series_id) AS m FROM biz) WHERE pos > m - 5 GROUP BY 1)",
+       f"s1 AS (SELECT series_id, {_NEXT.replace('ds', 'd')} AS ds, p + 1 AS pos, round(list_sum(v) / 5) AS y, v FROM last5)",
+       f"s2 AS (SELECT series_id, {_NEXT} AS ds, pos + 1 AS pos, round(list_sum(v[2:5] || [y]) / 5) AS y, v[2:5] || [y] AS v FROM s1)",
+       f"s3 AS (SELECT series_id, {_NEXT} AS ds, pos + 1 AS pos, round(list_sum(v[2:5] || [y]) / 5) AS y FROM s2)")
+def recursive_forecasts(spark, sf_dir):
+    """Three steps ahead, each the rounded mean of the five values before it, forecasts among them."""
+    panel = business_panel(spark, sf_dir).select("series_id", "ds", "pos", "y")
+
+    def step(rows):
+        place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("pos").desc()))
+        recent = rows.withColumn("__r", place).where("__r <= 5").groupBy("series_id").agg(F.max("ds").alias("d"), F.max("pos").alias("p"), F.round(F.sum("y") / 5).alias("y"))
+        return recent.select("series_id", F.date_add("d", F.when(F.weekday("d") == 4, 3).otherwise(1)).alias("ds"), (F.col("p") + 1).alias("pos"), "y")
+
+    out = models.recursive_forecast(step, panel, 3)
+    return out.join(panel.groupBy("series_id").agg(F.max("pos").alias("__last")), "series_id").where("pos > __last").drop("__last")
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     return models.importances(business_panel(spark, sf_dir), TRAIN_END, HORIZON)

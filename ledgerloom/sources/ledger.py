@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.panel import bucket_end
+
 # Names under which dates and values are found, exact first, then contained.
 DATE_NAMES = ["date", "ds", "day", "orderdate", "shipdate", "timestamp", "ts", "datum", "fecha", "дата"]
 VALUE_NAMES = ["balance", "value", "amount", "price", "y", "betrag", "importe", "сумма"]
@@ -39,16 +41,28 @@ def coerce(rows: DataFrame, date: str, values: list[str]) -> DataFrame:
 
 
 def date_shares(rows: DataFrame, order: str) -> DataFrame:
-    """Of each column: share that reads as a date, share of steps in file order that don't go back, and their score. One pass over all columns."""
+    """Of each column: share that reads as a date, share of steps in file order that don't go back, and their score.
+
+    Rows are dealt out by ranges of ``order``; steps are counted within ranges,
+    then between the last row of a range and the first of the next (a row for
+    each range).
+    """
     columns = [c for c in rows.columns if c != order]
     at = {c: F.expr(f"try_cast(cast(`{c}` AS string) AS timestamp)") for c in columns}
     # Bare numbers aren't dates, though a year would read as one.
     at = {c: F.when(~F.col(f"`{c}`").cast("string").rlike(r"^[-+]?[0-9.]+$"), t) for c, t in at.items()}
-    parsed = rows.select(order, *[t.alias(c) for c, t in at.items()])
-    w = Window.orderBy(order)
-    steps = parsed.select(*[F.struct(F.col(f"`{c}`").isNotNull().cast("int").alias("ok"), (F.col(f"`{c}`") >= F.lag(f"`{c}`").over(w)).cast("int").alias("up")).alias(c) for c in columns])
-    one = steps.agg(*[F.struct(F.avg(f"`{c}`.ok").alias("parsed"), F.avg(f"`{c}`.up").alias("rising")).alias(c) for c in columns])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`.parsed").alias("parsed"), F.col(f"`{c}`.rising").alias("rising")) for c in columns])).alias("x")).select("x.*")
+    parsed = rows.select(F.col(order).alias("__o"), *[t.alias(c) for c, t in at.items()]).repartitionByRange("__o").withColumn("__range", F.spark_partition_id())
+    w, col = Window.partitionBy("__range").orderBy("__o"), lambda c: F.col(f"`{c}`")
+    stepped = parsed.withColumns({f"__up_{i}": (col(c) >= F.lag(col(c)).over(w)).cast("int") for i, c in enumerate(columns)})
+    parts = [F.struct(F.count("*").alias("n"), F.count(col(c)).alias("ok"), F.sum(f"__up_{i}").alias("up"), F.count(f"__up_{i}").alias("steps"), F.min_by(col(c), "__o").alias("first"), F.max_by(col(c), "__o").alias("last")).alias(c) for i, c in enumerate(columns)]
+    ranges = stepped.groupBy("__range").agg(F.min("__o").alias("__at"), *parts)
+    edge = Window.orderBy("__at")
+    edges = ranges.withColumns({f"__edge_{i}": (F.col(f"`{c}`.first") >= F.lag(F.col(f"`{c}`.last")).over(edge)).cast("int") for i, c in enumerate(columns)})
+    shares = []
+    for i, c in enumerate(columns):
+        up, steps = (F.coalesce(F.sum(x), F.lit(0)) for x in (F.coalesce(F.col(f"`{c}`.up"), F.lit(0)) + F.coalesce(f"__edge_{i}", F.lit(0)), F.col(f"`{c}`.steps") + F.col(f"__edge_{i}").isNotNull().cast("int")))
+        shares.append(F.struct(F.lit(c).alias("column"), (F.sum(F.col(f"`{c}`.ok")) / F.sum(F.col(f"`{c}`.n"))).alias("parsed"), F.when(steps > 0, up / steps).alias("rising")))
+    long = edges.agg(F.array(*shares).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     return long.withColumn("score", F.when(F.col("parsed") >= 0.6, 0.7 * F.col("parsed") + 0.3 * F.coalesce("rising", F.lit(0.0))))
 
 
@@ -77,5 +91,48 @@ def load_runs(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.withColumns({"cadence": F.regexp_extract("__p", r"(daily|weekly|monthly)", 1), "run": F.regexp_extract("__p", r"run_id=([^/]+)", 1)}).drop("__p")
 
 
+def read_holidays(spark: SparkSession, path: str) -> DataFrame:
+    """``ds``: the days of a list, each once, from its column named ``date``; no day without such a column. Rows that hold no date are left out."""
+    rows = read_any(spark, path)
+    date = next((c for c in rows.columns if c.strip().lower() == "date"), None)
+    if date is None:
+        return spark.createDataFrame([], "ds date")
+    return rows.select(F.to_date(F.try_to_timestamp(F.col(f"`{date}`").cast("string"))).alias("ds")).where("ds IS NOT NULL").distinct()
+
+
+def read_ops(spark: SparkSession, *paths: str, cadence: str = "daily") -> DataFrame:
+    """``series_id, ds, baseline`` of operational baselines (columns ``date, forecast``) in folders ``series_id=...``, summed to weeks (to Friday) or months where asked."""
+    rows = None
+    for path in paths:
+        own = read_any(spark, path)
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.select(F.col("series_id").cast("string").alias("series_id"), F.to_date(F.try_to_timestamp(F.col("date").cast("string"))).alias("ds"), F.expr("try_cast(forecast AS double)").alias("baseline")).where("ds IS NOT NULL")
+    if cadence == "daily":
+        return rows
+    return rows.groupBy("series_id", bucket_end(cadence).alias("ds")).agg(F.sum("baseline").alias("baseline"))
+
+
+def discover_runs(spark: SparkSession, root: str, name: str = "predictions") -> list[tuple[str, str, str]]:
+    """``(run, cadence, path)`` of each run folder below ``root`` that holds ``outputs/name`` or ``outputs/<cadence>/name``; cadence is empty for the former."""
+    jvm, out = spark.sparkContext._jvm, []
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for pattern in (f"{root.rstrip('/')}/*/outputs/{name}", f"{root.rstrip('/')}/*/outputs/{{daily,weekly,monthly}}/{name}"):
+        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []:
+            parts = found.getPath().toString().split("/")
+            cadence = parts[-2] if parts[-3] == "outputs" else ""
+            out.append((parts[-4] if cadence else parts[-3], cadence, found.getPath().toString()))
+    return sorted(out)
+
+
+def load_outputs(spark: SparkSession, root: str, name: str = "predictions") -> DataFrame | None:
+    """One output of all runs below ``root`` as a table with ``run`` and ``cadence``; None without any."""
+    out = None
+    for run, cadence, path in discover_runs(spark, root, name):
+        own = spark.read.parquet(path).withColumns({"run": F.lit(run), "cadence": F.lit(cadence)})
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
 def tail_sample(rows: DataFrame, n: int, order: str = "ds") -> DataFrame:
     return rows.orderBy(F.col(order).desc(), *[c for c in rows.columns if c != order]).limit(n)

@@ -30,7 +30,7 @@ def _value(v):
 
 def _close(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return abs(a - b) <= 2e-3 * max(1.0, abs(a)) if abs(a) < 1 else abs(a - b) <= 2e-3 + 1e-6 * abs(a)
+        return abs(a - b) <= 1e-9 * max(1.0, abs(a))  # both sides are rounded in the query
     return a == b
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import calendar as cal
-from ledgerloom.operators import clean, features, folds, integrity, metrics, models, panel as pn, runs
+from ledgerloom.operators import clean, ensemble, features, folds, integrity, metrics, models, panel as pn, runs
 from ledgerloom.sources import ledger, runlog
 from ledgerloom.streaming import rollup
 
@@ -79,14 +79,199 @@ def _preds(series, shift):
     return rows.where("y_true IS NOT NULL AND y_pred IS NOT NULL").select("series_id", F.lit("m").alias("model"), F.lit(5).alias("horizon"), F.col("ds").alias("origin_date"), "target_date", F.col("y").alias("origin_value"), "y_true", "y_pred")
 
 
-@pytest.mark.parametrize("shift,kind", [(0, "aligned"), (-5, "naive_copy"), (-6, "missing_lag_0"), (-2, "offset")])
+@pytest.mark.parametrize("shift,kind", [(0, "ok"), (1, "ok"), (-1, "ok"), (-4, "persistence_like"), (-5, "persistence_like"), (-6, "persistence_like"), (-7, "missing_lag_0"), (-9, "backward"), (-2, "ok"), (3, "forward")])
 def test_shift_classes(series, shift, kind):
-    assert integrity.shift_diagnostic(_preds(series, shift), 7).first()["shift_class"] == kind
+    got = integrity.shift_diagnostic(_preds(series, shift), integrity.reach(5)).first()
+    assert (got["best_shift"], got["shift_class"]) == (shift, kind)
+    assert got["naive_equivalent"] == (got["mae_0"] == 0 == got["mae_h"]) or abs(got["mae_0"] - got["mae_h"]) < 0.1 * max(got["mae_0"], got["mae_h"], 1)
+    assert integrity.reach(5) == 10 and integrity.reach(20) == 25
 
 
-def test_lagged_copy_controls(series):
-    assert integrity.lagged_copy(_preds(series, -1)).first()["is_copy"]
+def test_lagged_copy_controls(spark, series):
+    copy = integrity.lagged_copy(_preds(series, -1)).first()
+    assert copy["is_copy"] and copy["best_shift"] == 1
     assert not integrity.lagged_copy(_preds(series, 0)).first()["is_copy"]
+    # A shifted forecast that still beats the day before isn't a copy, nor is one without a better shift; baselines and short series say nothing.
+    rows = [(i, float(100 * (i % 7 == 0) + i % 3)) for i in range(80)]
+    good = spark.createDataFrame([("a", "m", 5, date(2024, 1, 1) + timedelta(days=i), y, y * 0.9) for i, y in rows], "series_id string, model string, horizon int, target_date date, y_true double, y_pred double")
+    assert not integrity.lagged_copy(good).first()["is_copy"]
+    assert integrity.lagged_copy(good.withColumn("model", F.lit("Naive_last"))).count() == 0
+    assert integrity.lagged_copy(good.limit(7)).count() == 0 and integrity.lagged_copy(good.limit(8)).count() == 1
+
+
+def _folds(spark, maes, model="m", train=None):
+    rows = [("s", model, k, 0.0, float(e) * sign) for k, e in enumerate(maes) for sign in (1.0, -1.0)]
+    preds = spark.createDataFrame(rows, "series_id string, model string, fold_id int, y_true double, y_pred double")
+    training = None if train is None else spark.createDataFrame([("s", model, k, float(t)) for k, t in enumerate(train)], "series_id string, model string, fold_id int, train_mae double")
+    return integrity.fold_stability(preds, training).collect()
+
+
+@pytest.mark.parametrize("maes,train,risk", [
+    ([10, 10, 10], None, "low"), ([10, 14, 12], None, "low"), ([10, 20], None, "medium"), ([10, 30], None, "high"), ([10, 11.5, 13], None, "medium"), ([10, 14, 18], None, "high"),
+    ([10, 10], [4, 9], "high"), ([10, 10], [21, 10], "medium"), ([10, 10], [6, 9], "low"), ([10], [0.0], "low"),
+])
+def test_fold_stability_levels(spark, maes, train, risk):
+    got = _folds(spark, maes, train=train)[0]
+    assert got["risk"] == risk and got["n_folds"] == len(maes)
+    if len(maes) > 2:
+        import numpy as np
+
+        assert abs(got["slope"] - np.polyfit(np.arange(len(maes)) / (len(maes) - 1), np.array(maes) / np.mean(maes), 1)[0]) < 1e-9
+    else:
+        assert got["slope"] is None
+    assert _folds(spark, maes, "a baseline") == []
+
+
+def test_preflight_rules(spark):
+    day = lambda i: str(date(2024, 1, 1) + timedelta(days=i))
+    check = lambda rows, **kw: integrity.preflight(spark.createDataFrame([("s", d, v) for d, v in rows], "series_id string, day string, amount string"), kw.pop("date", "day"), kw.pop("value", "amount"), 5, **kw).first()
+    fine = [(day(i), str(100 + i % 5)) for i in range(100)]
+    got = check(fine)
+    assert (got["blockers"], got["warnings"], got["n_values"], got["step_days"]) == ("", "", 100, 1)
+    assert check(fine, date="none")["blockers"] == "no_date_column"
+    assert check(fine, value="none")["blockers"] == "no_value_column"
+    assert check([("x", "1")] * 50)["blockers"] == "no_dates"
+    assert check([(d, "n/a") for d, _ in fine])["blockers"] == "not_numeric"
+    assert check(fine[:44])["blockers"] == "too_short" and check(fine[:45])["blockers"] == ""
+    assert check([(d, "7") for d, _ in fine])["blockers"] == "constant"
+    assert check(fine + [("?", "1")])["warnings"] == "undated_rows"
+    assert check([(d, None if i % 10 == 0 else v) for i, (d, v) in enumerate(fine)])["warnings"] == "missing_values"
+    assert check(fine + fine[:1])["warnings"] == "repeated_dates"
+    apart = fine[:50] + [(day(i + 10), v) for i, (_, v) in enumerate(fine[50:], 50)]
+    assert check(apart)["warnings"] == "gaps" and check(apart, cadence="weekly")["warnings"] == ""
+    assert check([(d, "9999" if i == 90 else v) for i, (d, v) in enumerate(fine)])["warnings"] == "outliers"
+
+
+def test_feature_leaks(spark):
+    rows = [("s", f, i, v) for i in range(12) for f, v in (("lag_1", float(i % 3)), ("lag_-1", 0.0), ("y.shift(-2)", 1.0), ("knows", 2.0 * (i * 7 % 5)))]
+    aim = spark.createDataFrame([("s", i, float(i * 7 % 5)) for i in range(12)], "series_id string, pos int, target double")
+    got = {r["feature"]: (r["suspicious_name"], r["leaks"]) for r in integrity.feature_leakage(spark.createDataFrame(rows, "series_id string, feature string, pos int, value double"), aim).collect()}
+    assert got == {"lag_1": (False, False), "lag_-1": (True, True), "y.shift(-2)": (True, True), "knows": (False, True)}
+    assert not any(r["leaks"] for r in integrity.feature_leakage(spark.createDataFrame([r for r in rows if r[1] == "knows" and r[2] < 10], "series_id string, feature string, pos int, value double"), aim).collect())
+
+
+def test_recommendations(spark):
+    import math
+
+    def made(error, model="m", horizon=5, band=None):
+        days = weekdays(120)
+        y = [1000 + 300 * math.sin(i / 3) for i in range(125)]
+        rows = [("s", model, horizon, days[i], days[i], y[i], y[i + 5], y[i + 5] * (1 + error * (-1) ** i), *((None, None) if band is None else (y[i + 5] - band, y[i + 5] + band))) for i in range(115)]
+        return spark.createDataFrame(rows, "series_id string, model string, horizon int, origin_date date, target_date date, origin_value double, y_true double, y_pred double, y_lo double, y_hi double")
+
+    grade = lambda e, **kw: ensemble.recommend(made(e, **kw), folds=3).first()
+    assert [grade(e)["grade"] for e in (0.02, 0.06, 0.1, 0.14, 0.3)] == ["A", "B", "C", "D", "F"]
+    a = grade(0.02, horizon=20, band=1.0)
+    assert (a["flags"], a["tips"], a["next_steps"], a["gate_failed"]) == ("", "wide_intervals,good_months,long_horizon", "ensemble_of_best", False)
+    worse = made(0.0).withColumn("y_pred", F.col("origin_value") * 0.5)
+    got = ensemble.recommend(worse, integrity.shift_diagnostic(worse, 10)).first()
+    assert got["grade"] == "F" and got["gate_failed"] and {"worse_than_persistence", "negative_r2", "shifted"} <= set(got["flags"].split(",")) and got["next_steps"] == "more_folds"
+    both = made(0.1).unionByName(made(0.0, "a baseline"))
+    assert ensemble.recommend(both).first()["best"] == "m" and ensemble.recommend(made(0.0, "Persistence")).first()["best"] == "Persistence"
+
+
+def test_family_verdicts(spark):
+    scores = spark.createDataFrame([("s", 5, "m", 1.0, 20.0, 0.85), ("s", 5, "q", 1.0, 20.0, 0.5), ("s", 5, "bad", 1.0, 2.0, None), ("s", 5, "leak", 1.0, 30.0, None), ("s", 5, "copy", 1.0, 30.0, None)], "series_id string, horizon int, model string, mae double, skill double, coverage double")
+    checks = scores.select("series_id", "horizon", "model", (F.col("model") == "leak").alias("leaks"), (F.col("model") == "copy").alias("shifted"), F.when(F.col("model") == "bad", False).alias("has_signal"))
+    names = {"m": "fitted", "q": "quantile", "bad": "weak", "leak": "leaky", "copy": "lagged"}
+    got = {r["family"]: (r["reasons"], r["verdict"]) for r in ensemble.family_summary(scores, names, checks).collect()}
+    assert got == {"fitted": ("", "pass"), "quantile": ("failed_quality", "fail"), "weak": ("failed_quality,no_signal", "fail"), "leaky": ("leakage", "fail"), "lagged": ("persistence_like", "fail")}
+    assert {r["family"]: r["verdict"] for r in ensemble.family_summary(scores, names).collect()}["fitted"] == "unverified"
+    text = runs.report(ensemble.family_summary(scores, names, checks), "train to 1999")
+    assert "- Passing the gate: fitted" in text and "~~leak~~" in text and "1 leakage, 1 shift, 2 quality" in text and "Data split: train to 1999" in text
+
+
+def test_exact_ewma(spark):
+    """All values count, over nulls and over many blocks of positions, as pandas has it."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(2)
+    y = pd.Series(r.normal(size=1500)).mask(pd.Series(r.random(1500) < 0.2))
+    y[:3] = np.nan
+    y[200:900] = np.nan
+    panel = spark.createDataFrame([("a", i, None if np.isnan(v) else float(v)) for i, v in enumerate(y)], "series_id string, pos int, y double")
+    got = {row["pos"]: row["ewm_2"] for row in features.ewma(panel, (2,)).collect()}
+    want = y.shift(1).ewm(halflife=2, min_periods=2).mean()
+    for i, w in enumerate(want):
+        n = y[:i].notna().sum()
+        assert (got[i] is None) == (n < 2)
+        if n >= 2 and i < 300 or i > 905:
+            assert abs(got[i] - w) < 1e-9
+
+
+def test_date_shares_by_ranges(spark):
+    """Steps are counted over the whole file order, however rows are dealt out."""
+    days = [date(2020, 1, 1) + timedelta(days=(i * 7) % 50) for i in range(400)]
+    rows = spark.createDataFrame([(i, str(d), None if i % 3 else str(d), "x") for i, d in enumerate(days)], "n int, a string, b string, c string").repartition(7)
+    got = {r["column"]: r for r in ledger.date_shares(rows, "n").collect()}
+    want = sum(x <= y for x, y in zip(days, days[1:])) / 399
+    assert abs(got["a"]["rising"] - want) < 1e-12 and got["a"]["parsed"] == 1.0 and abs(got["a"]["score"] - (0.7 + 0.3 * want)) < 1e-12
+    assert got["b"]["score"] is None and got["c"]["parsed"] == 0.0
+
+
+def test_suspicious_zeros_of_levels_and_flows(spark):
+    rows = [("pos", i, 0.0 if i == 29 else 5.0) for i in range(30)] + [("neg", i, 0.0 if i == 29 else -5.0) for i in range(30)]
+    panel = spark.createDataFrame(rows, "series_id string, pos int, y double")
+    blank = lambda **kw: {r["series_id"] for r in pn.suspicious_zeros(panel, **kw).where("y IS NULL").collect()}
+    assert blank() == {"pos"} and blank(level=True) == {"pos", "neg"}
+
+
+def test_ops_and_holidays(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01", "x"), ("2024-01-01", "y"), ("soon", "z"), (None, "w")], "Date string, name string").write.csv(str(tmp_path / "h.csv"), header=True)
+    assert [r["ds"] for r in ledger.read_holidays(spark, str(tmp_path / "h.csv")).collect()] == [date(2024, 1, 1)]
+    spark.createDataFrame([(1,)], "other int").write.parquet(str(tmp_path / "none"))
+    assert ledger.read_holidays(spark, str(tmp_path / "none")).count() == 0
+    assert ledger.load_outputs(spark, str(tmp_path)) is None
+
+
+@pytest.fixture(scope="module")
+def wave(spark):
+    import math
+
+    days = weekdays(420)
+    return spark.createDataFrame([(s, d, i, 100.0 + 40 * math.sin(i / 5) + (i * 37 % 11) + k) for k, s in enumerate("ab") for i, d in enumerate(days)], "series_id string, ds date, pos int, y double"), days
+
+
+@pytest.mark.parametrize("make", [models.boosted_quantiles, models.out_of_bag_bands, models.quantile_forest])
+def test_quantile_models(wave, make):
+    """Quantiles are in order, cover about what they say, and every target of the range has one row."""
+    panel, days = wave
+    got = make(panel, days[319], days[320], days[-1], 5).collect()
+    assert len(got) == 200 and all(r["p10"] <= r["p50"] <= r["p90"] for r in got)
+    inside = sum(r["p10"] <= r["y_true"] <= r["p90"] for r in got) / 200
+    assert 0.5 <= inside <= 1.0 and sum(abs(r["p50"] - r["y_true"]) for r in got) / 200 < 15
+
+
+def test_boosting_by_absolute_error(wave):
+    panel, days = wave
+    fold = [(1, days[319], days[320], days[-1])]
+    got = models.fold_forecasts(panel, fold, 5, ["boosted_l1", "ridge"])
+    mae = {r["model"]: r["mae"] for r in ensemble.model_errors(got).groupBy("model").agg(F.avg("mae").alias("mae")).collect()}
+    assert got.groupBy("series_id", "model").count().where("count <> 100").count() == 0 and mae["boosted_l1"] < 15
+
+
+def test_monotone(spark):
+    got = spark.createDataFrame([(3.0, 1.0, 2.0)], "a double, b double, c double").withColumns(models.monotone(["a", "b", "c"])).first()
+    assert tuple(got) == (3.0, 3.0, 3.0)
+
+
+def test_calendar_regressors():
+    import numpy as np
+
+    got = models.calendar_rows(np.array(["2024-03-28", "2024-03-29", "2024-04-30", "2024-05-01"], "datetime64[D]"))
+    assert got[:, 7].tolist() == [0, 1, 1, 0] and got[:, 8].tolist() == [0, 1, 0, 0] and got[:, :7].argmax(axis=1).tolist() == [3, 4, 1, 2]
+
+
+def test_ets_chooses_by_evidence():
+    """A season, a trend, or neither, as the values have it."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    season = 50 + np.tile([0.0, 8, -3, 5, -10], 40) + r.normal(scale=0.3, size=200)
+    assert abs(models.REGISTRY["ets"](season, 5) - (50 + np.array([0.0, 8, -3, 5, -10]))).max() < 2
+    flat = 50 + r.normal(size=200)
+    assert abs(models.REGISTRY["ets"](flat, 5) - 50).max() < 1.5 and np.ptp(models.REGISTRY["ets"](flat, 5)) < 1e-9
 
 
 def test_misaligned_rows_are_found(series):
@@ -198,7 +383,7 @@ def test_small_checks(spark, series):
 def test_daily_run(spark, series, tmp_path):
     summary = runs.daily_run(series, 5, "2020-08-01", str(tmp_path))
     assert {r["family"] for r in summary.collect()} == {"naive", "average", "statistical", "ensemble"}
-    assert runs.report(summary).count("\n") == 5
+    assert runs.report(summary).count("\n| ") == 5
     assert runlog.check_log(spark, str(tmp_path / "log")).count() == 0
 
 

@@ -162,7 +162,7 @@ class ShardStore:
             stem = f"m{self.version() + 1:08d}-{uuid.uuid4().hex[:12]}"
             work: list[Callable] = [lambda g=g, i=i: self._merge(g, f"{stem}-{i:04d}") for i, g in enumerate(due)]
             with ThreadPool(AT_ONCE) as pool:
-                new = pool.map(inheritable_thread_target(lambda f: f()), work)
+                new = pool.map(inheritable_thread_target(self.spark)(lambda f: f()), work)
             try:
                 self._change({r["run"] for g in due for r in g}, new)
             except CommitConflict:

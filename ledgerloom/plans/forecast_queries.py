@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baselines, ensemble, folds, integrity, metrics, panel as pn
 from .feature_queries import _MONTHLY, _SPREAD, rounded
-from .registry import BUSINESS, FORECASTS, PANEL, business_panel, forecasts, order_panel, query
+from .registry import BUSINESS, FORECASTS, PANEL, SEGMENTS, business_panel, forecasts, order_panel, query, segment_panel
 
 _POINT = "count(*) AS n, round(avg(abs(y_true - y_pred)), 3) AS mae, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 3) AS rmse, round(CASE WHEN var_pop(y_true) > 0 THEN 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(*)) END, 5) AS r2"
 _BY = "series_id, horizon, model"
@@ -18,6 +18,14 @@ def persistence_leaderboard(spark, sf_dir):
     return rounded(rounded(metrics.leaderboard(forecasts(spark, sf_dir)), 3, "mae"), 4, "skill")
 
 
+@query("segment_leaderboard", f"""SELECT {_BY}, round(mae, 3) AS mae, round(CASE WHEN b > 0 THEN 100 * (b - mae) / b END, 4) AS skill, CAST(row_number() OVER (PARTITION BY series_id, horizon ORDER BY mae, model) AS INTEGER) AS rank FROM e
+  UNION ALL SELECT series_id, horizon, 'persistence', round(min(b), 3), 0.0, 0 FROM e GROUP BY 1, 2""", SEGMENTS, *FORECASTS[1:], f"e AS (SELECT {_BY}, avg(abs(y_true - round(y_pred))) AS mae, avg(abs(y_true - origin_value)) AS b FROM preds GROUP BY 1, 2, 3)")
+def segment_leaderboard(spark, sf_dir):
+    """The leaderboard of a series for each nation and market segment; forecasts in whole units, so that equal errors tie."""
+    preds = baselines.window_forecasts(pn.business_index(segment_panel(spark, sf_dir)), 5).where("target_date >= DATE '1999-01-01'").withColumn("y_pred", F.round("y_pred"))
+    return rounded(rounded(metrics.leaderboard(preds), 3, "mae"), 4, "skill")
+
+
 @query("predictions_long", f"SELECT {_BY}, origin_date, target_date, origin_value, y_true, round(y_pred, 4) AS y_pred, round(y_lo, 2) AS y_lo, round(y_hi, 2) AS y_hi FROM preds", *FORECASTS)
 def predictions_long(spark, sf_dir):
     return rounded(rounded(forecasts(spark, sf_dir), 4, "y_pred"), 2, "y_lo", "y_hi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, metrics, models, runs
 from .feature_queries import rounded
-from .registry import BUSINESS, HORIZON, business_panel, query, work_folder
+from .registry import BUSINESS, FORECASTS, HORIZON, business_panel, query, work_folder
 
 #: The training end of queries that fit once and score nothing by fold.
 TRAIN_END = date(1999, 12, 31)
@@ -117,6 +117,18 @@ def grouped_forecasts(spark, sf_dir):
     return models.grouped_forecasts(business_panel(spark, sf_dir), HORIZON)
 
 
+@query("grouped_forecast_rows", "SELECT series_id, model, origin_date, target_date, origin_value, y_true FROM prows, (VALUES ('arx'), ('ets'), ('naive_last'), ('seasonal_ar'), ('theta')) m(model) WHERE y_true IS NOT NULL AND target_date >= DATE '1999-01-01'", *FORECASTS)
+def grouped_forecast_rows(spark, sf_dir):
+    """What the statistical forecasters forecast: every origin of all yearly folds, without the forecasts themselves."""
+    return models.grouped_forecasts(business_panel(spark, sf_dir), HORIZON).select("series_id", "model", "origin_date", "target_date", "origin_value", "y_true")
+
+
+@query("fitted_forecast_rows", "SELECT series_id, CAST(year(target_date) AS INTEGER) AS fold_id, origin_date, target_date, origin_value, y_true FROM prows WHERE y_true IS NOT NULL AND target_date >= DATE '1999-01-01'", *FORECASTS)
+def fitted_forecast_rows(spark, sf_dir):
+    """What the fitted models forecast, by fold, without the forecasts themselves."""
+    return fitted(spark, sf_dir, ["ridge"]).select("series_id", "fold_id", "origin_date", "target_date", "origin_value", "y_true")
+
+
 @query(
     "scaler_statistics",
     """SELECT feature, round(avg(value), 3) AS mean, round(CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END, 3) AS std FROM (UNPIVOT (SELECT lag(y, 1) OVER w AS lag_1, lag(y, 20) OVER w AS lag_20, y AS now, CAST(isodow(ds) - 1 AS DOUBLE) AS dow, CAST(month(ds) AS DOUBLE) AS month, lead(ds, 5) OVER w AS t FROM biz WINDOW w AS (PARTITION BY series_id ORDER BY pos))

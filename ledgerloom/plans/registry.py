@@ -54,6 +54,13 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy("series_id", "ds").agg(F.sum("y").alias("y"))
 
 
+def segment_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order value by day, for each nation and market segment: the panel with many series."""
+    who = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("series_id"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("ds"), F.round("o_totalprice").alias("y"))
+    return orders.join(who, F.col("o_custkey") == F.col("c_custkey")).groupBy("series_id", "ds").agg(F.sum("y").alias("y"))
+
+
 def business_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business_index(order_panel(spark, sf_dir))
 
@@ -91,3 +98,4 @@ cal1 AS (SELECT c.ds, CAST(isodow(c.ds) - 1 AS INTEGER) AS dow, CAST(isodow(c.ds
 cal AS (SELECT *, CAST(is_weekend = 0 AND is_holiday = 0 AS INTEGER) AS is_bday, CAST(sum(CASE WHEN is_weekend = 0 AND is_holiday = 0 THEN 1 ELSE 0 END) OVER (ORDER BY ds) AS INTEGER) AS bpos FROM cal1)"""
 BUSINESS = (PANEL, DAYS, BIZ)
 FORECASTS = (PANEL, DAYS, BIZ, PREDS)
+SEGMENTS = "panel AS (SELECT concat_ws('-', c_nationkey, c_mktsegment) AS series_id, CAST(o_orderdate AS DATE) AS ds, SUM(round(o_totalprice)) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"

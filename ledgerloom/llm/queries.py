@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, compaction, embeddings, fingerprint, jaccard, mixing, neighbours, quality, secrets, suffix, tokencount
+from . import alignment, bpe, compaction, embeddings, fingerprint, jaccard, mixing, neighbours, quality, repair, secrets, suffix, tokencount
 from .common import table
 
 
@@ -60,9 +60,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep_groups=False)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op5_sharding, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts, op10_suffix_dedup, op11_alignment, op13_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_bpe, op4_fingerprints, op5_sharding, op6_quality, op7_mixing, op8_jaccard_join, op9_token_counts, op10_suffix_dedup, op11_alignment, op12_repair, op13_neighbours)}
 ORACLES: dict[str, str] = {}

@@ -27,13 +27,15 @@ from .common import cut, texts
 ENTRIES = 2_000_000
 #: Characters of a task's memo; it is emptied when full, which costs time only.
 MEMO_CHARS = 32_000_000
-#: Parts that are tokenized in one call.
-AT_ONCE = 20_000
+#: Parts that are learnt at once, and that are tokenized as one text.
+AT_ONCE, RUN = 20_000, 2_000
 #: Bits of the second tokenizer's ids in a pair.
 BITS = 20
 #: A single space between two characters that aren't white space: both tokenizers start a token there (``check_cuts``).
 _EDGE = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 
+_WHITE = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
+
 
 def check_cuts(pieces: list[str]) -> None:
     """Raise where an entry of the sentence-piece vocabulary has a space after another character: texts couldn't be cut at spaces then."""
@@ -97,58 +99,66 @@ class Aligner:
     def align(self, parts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of each part: counts (tokens of both, groups, links; -1 where the bytes of either's tokens aren't those of the part), its groups, and its links as pairs with the part's index.
 
-        Every part starts with the space that the second tokenizer puts before its text itself.
+        Parts are what is between spaces; both tokenizers see each one behind a
+        space. Those that may stand side by side in a text are tokenized as one.
         """
-        counts, strings = np.full((len(parts), 4), -1, np.int64), [""] * len(parts)
-        first = self._a.encode_batch(parts, add_special_tokens=False)
-        second = self._b.encode([x[1:] for x in parts], return_type="proto", num_threads=1)
-        data = [x.encode() for x in parts]
-        ids_a, ids_b = [e.ids for e in first], [[p.id for p in x.pieces] for x in second]
-        whole_a, whole_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        fit = [i for i, d in enumerate(data) if b"".join(map(whole_a, ids_a[i])) == d and b"".join(map(whole_b, ids_b[i])) == d]
-        none = np.zeros(0, np.int64)
-        if not fit:
-            return counts, strings, none, none
-        size = np.array([len(data[i]) for i in fit], np.int64)
-        stop = np.cumsum(size)
-        base = stop - size
-        everything = np.frombuffer(b"".join([data[i] for i in fit]), np.uint8)
-        # Where each character starts, in bytes, over all parts in a row.
-        character = np.append(np.flatnonzero(everything & 0xC0 != 0x80), stop[-1])
-        character_base = np.concatenate([[0], np.cumsum([len(parts[i]) for i in fit])[:-1]])
-
-        def cuts(ids: list[list[int]], sizes: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Tokens in a row, the byte at which each one ends, and how many each part has."""
-            n = np.array([len(ids[i]) for i in fit], np.int64)
-            flat = np.array([t for i in fit for t in ids[i]], np.int64)
-            decoded = np.cumsum(sizes[flat])  # parts are covered without a gap, so this runs on over them
+        alone = [i for i, x in enumerate(parts) if not x or x[0].isspace() or x[-1].isspace()]
+        side = sorted(set(range(len(parts))).difference(alone))
+        runs = [[i] for i in alone] + [side[lo : lo + RUN] for lo in range(0, len(side), RUN)]
+        counts, strings, links, of = np.full((len(parts), 4), -1, np.int64), [""] * len(parts), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while runs:
+            run = runs.pop()
+            found = self._run([parts[i] for i in run])
+            if found is None:
+                if len(run) > 1:  # one of them at least differs in bytes
+                    runs += [run[: len(run) // 2], run[len(run) // 2 :]]
+                continue
+            where = np.array(run, np.int64)
+            counts[where], own, pairs, at = found
+            for i, x in zip(run, own):
+                strings[i] = x
+            links.append(pairs), of.append(where[at])
+        of = np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        return counts, strings, np.concatenate(links)[order], of[order]
+
+    def _run(self, parts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray] | None:
+        """``align`` of parts as one text; None where its bytes aren't those of the tokens."""
+        text = " " + " ".join(parts)
+        data = text.encode()
+        first, second = self._a.encode(text, add_special_tokens=False), self._b.encode(text[1:], return_type="proto").pieces
+        ids_a, ids_b = first.ids, [p.id for p in second]
+        if b"".join([self.bytes_a[i] for i in ids_a]) != data or b"".join([self.bytes_b[i] for i in ids_b]) != data:
+            return None
+        flat_a, flat_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        stop = np.cumsum([1 + len(x.encode()) for x in parts])
+        if len(text) == len(data):
+            character = np.arange(len(data) + 1)
+        else:  # where each character starts, in bytes
+            character = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
+        ends = []
+        for flat, sizes, spans in ((flat_a, self.size_a, character[np.array([e for _, e in first.offsets], np.int64)]), (flat_b, self.size_b, 1 + np.array([p.end for p in second], np.int64))):
+            decoded = np.cumsum(sizes[flat])
             inside = spans != decoded  # tokens that share a character
             spans[inside] = decoded[inside]
-            return flat, spans, n
-
-        n = np.array([len(ids_a[i]) for i in fit], np.int64)
-        spans = np.array([e for i in fit for _, e in first[i].offsets], np.int64)
-        flat_a, ends_a, n_a = cuts(ids_a, self.size_a, character[np.repeat(character_base, n) + spans])
-        n = np.array([len(ids_b[i]) for i in fit], np.int64)
-        spans = np.array([p.end for i in fit for p in second[i].pieces], np.int64)
-        flat_b, ends_b, n_b = cuts(ids_b, self.size_b, np.repeat(base, n) + 1 + spans)
+            ends.append(spans)
+        ends_a, ends_b = ends
         # Between two neighbouring cuts of either tokenizer, one token of each lies over the other.
         cells = np.union1d(ends_a, ends_b)
         links = flat_a[np.searchsorted(ends_a, cells)] << BITS | flat_b[np.searchsorted(ends_b, cells)]
-        of_link = np.searchsorted(stop, cells)
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        of_group = np.searchsorted(stop, both)
-        counts[fit] = np.stack([n_a, n_b, np.bincount(of_group, minlength=len(fit)), np.bincount(of_link, minlength=len(fit))], axis=1)
-        name_a, name_b = [str(x) for x in flat_a.tolist()], [str(x) for x in flat_b.tolist()]
+        of = [np.searchsorted(stop, x) for x in (ends_a, ends_b, both, cells)]
+        counts = np.stack([np.bincount(x, minlength=len(parts)) for x in of], axis=1)
+        name_a, name_b = list(map(str, ids_a)), list(map(str, ids_b))
         groups, lo_a, lo_b = [], 0, 0
         for hi_a, hi_b in zip((np.searchsorted(ends_a, both) + 1).tolist(), (np.searchsorted(ends_b, both) + 1).tolist()):
-            groups.append(",".join(name_a[lo_a:hi_a]) + "|" + ",".join(name_b[lo_b:hi_b]))
+            groups.append((name_a[lo_a] if hi_a == lo_a + 1 else ",".join(name_a[lo_a:hi_a])) + "|" + (name_b[lo_b] if hi_b == lo_b + 1 else ",".join(name_b[lo_b:hi_b])))
             lo_a, lo_b = hi_a, hi_b
-        lo = 0
-        for i, hi in zip(fit, np.searchsorted(of_group, np.arange(len(fit)), "right").tolist()):
-            strings[i] = ";".join(groups[lo:hi])
+        strings, lo = [], 0
+        for hi in np.cumsum(counts[:, 2]).tolist():
+            strings.append(";".join(groups[lo:hi]))
             lo = hi
-        return counts, strings, links, np.array(fit, np.int64)[of_link]
+        return counts, strings, links, of[3]
 
     def _number(self, links: np.ndarray) -> np.ndarray:
         distinct, where = np.unique(links, return_inverse=True)
@@ -187,7 +197,7 @@ class Aligner:
         link = self._links[np.arange(int(width.sum())) - np.repeat(total - width - self._starts[kept], width)]
         of = np.repeat(at, width)
         for i in odd.tolist():
-            own, strings, links, _ = self.align([" " + batch[i]])
+            own, strings, links, _ = self.align([batch[i]])
             counts[i], groups[i] = (own[0], strings[0]) if own[0, 0] > 0 else (0, "")
             if own[0, 0] > 0:
                 link, of = np.concatenate([link, self._number(links)]), np.concatenate([of, np.full(len(links), i)])
@@ -196,11 +206,12 @@ class Aligner:
 
     @staticmethod
     def _parts(text: str) -> list[str]:
-        parts = text.split(" ")
-        if not all(parts) or any([x[0].isspace() or x[-1].isspace() for x in parts]):
-            parts = _EDGE.split(" " + text)
-            return [parts[0], *[" " + x for x in parts[1:]]]
-        return [" " + x for x in parts]
+        """The text between single spaces that stand between two characters that aren't white space."""
+        white = _WHITE.intersection(text)
+        if text[0] in white or text[-1] in white or any([" " + x in text or x + " " in text for x in white]):
+            first, *rest = _EDGE.split(" " + text)
+            return [first[1:], *rest]
+        return text.split(" ")
 
 
 def align_documents(docs: DataFrame, byte_path: str, piece_path: str, keep_groups: bool = True) -> DataFrame:

@@ -72,5 +72,13 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_1``, ``name_2`` ... that no column has (Spark doesn't tell case apart)."""
+    taken, n = {c.lower() for c in rows.columns}, 0
+    while (found := f"{name}_{n}" if n else name).lower() in taken:
+        n += 1
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

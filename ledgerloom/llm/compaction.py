@@ -22,7 +22,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored_bytes
+from .common import scratch, stored_bytes, unused
 
 TARGET = 128 << 20
 FANOUT = 4
@@ -121,7 +121,8 @@ class ShardStore:
             rows.write.parquet(f"{self.root}/runs/{name}")
             new = [name]
         else:
-            rows.withColumn("__arrival", arrival).write.partitionBy("__arrival").parquet(f"{self.root}/runs/{name}")
+            column = unused(rows, "__arrival")
+            rows.withColumn(column, arrival).write.partitionBy(column).parquet(f"{self.root}/runs/{name}")
             parts = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/runs/{name}")) if x.isDirectory()]
             new = [f"{name}/{x}" for x in sorted(parts, key=lambda x: (len(x), x))]
         return self._change(set(), [self._entry(x) for x in new])
@@ -173,7 +174,7 @@ class ShardStore:
         return self.spark.read.parquet(*[f"{self.root}/runs/{x}" for x in runs])
 
     def read(self, version: int | None = None, placed: bool = False) -> DataFrame | None:
-        """Rows of a version (None if it has no run); with ``placed`` also ``run``, ``tier`` and ``version``."""
+        """Rows of a version (None if it has no run); with ``placed`` also ``run`` (its place in the manifest, from 0), ``tier`` and ``version``."""
         version = self.version() if version is None else version
         live = self.manifest(version)
         if not live:
@@ -182,9 +183,12 @@ class ShardStore:
         if not placed:
             return rows
         own = ["run", "tier", "version"]
-        at = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifests/v{version:08d}").select(F.col("run").alias("__of"), F.col("tier").alias("__tier"))
-        rows = rows.withColumn("__run", F.regexp_extract(F.col("_metadata.file_path"), "/runs/(.+)/[^/]+$", 1)).join(at, F.col("__run") == F.col("__of"))
-        return rows.select(*[c for c in rows.columns if c not in (*own, "__run", "__of", "__tier")], F.col("__run").alias("run"), F.col("__tier").alias("tier"), F.lit(version).cast("long").alias("version"))
+        at = self.spark.createDataFrame([(r["run"], place, r["tier"]) for place, r in enumerate(live)], "of string, run long, tier int")
+        found, place, of = (unused(rows, x) for x in ("__run", "__at", "__of"))
+        at = at.select(F.struct("run", "tier").alias(place), F.col("of").alias(of))
+        kept = [c for c in rows.columns if c not in own]
+        rows = rows.withColumn(found, F.regexp_extract(F.col("_metadata.file_path"), "/runs/(.+)/[^/]+$", 1)).join(at, F.col(found) == F.col(of))
+        return rows.select(*kept, F.col(f"{place}.run").alias("run"), F.col(f"{place}.tier").alias("tier"), F.lit(version).cast("long").alias("version"))
 
     def vacuum(self, keep: int = 1, older_than: float = RETENTION) -> None:
         """Drop versions that are neither among the newest ``keep`` nor younger than ``older_than`` seconds, and runs as old that no version left names.
@@ -213,8 +217,8 @@ def shard_documents(docs: DataFrame, arrivals: int = 10, target: int = TARGET, f
     """Documents as a store holds them after their arrivals have been appended and compacted.
 
     :param docs: all columns are stored; ``doc_id`` and ``text`` are returned with their place.
-    :param arrivals: a hash of the id says in which arrival a row came; at least so many, and more where the input's
-        files would make arrivals of over ``fanout`` target sizes.
+    :param arrivals: at most so many, and more where the input's files would make arrivals of over ``fanout`` target
+        sizes. A task's rows come in ``fanout`` arrivals at most, so files grow in proportion to the input.
     :param root: where the store lies; None: a new folder below the shared one.
     :return: ``doc_id, n_bytes, run, tier, version``, one row for each input row.
 
@@ -226,10 +230,10 @@ def shard_documents(docs: DataFrame, arrivals: int = 10, target: int = TARGET, f
     spark = docs.sparkSession
     store = ShardStore(spark, root or scratch(spark, "shards"), target, fanout, base)
     arrivals = max(arrivals, -(-stored_bytes(docs) // (target * fanout)))
-    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)))
+    store.append(docs, F.pmod(F.spark_partition_id() * fanout + F.pmod(F.xxhash64("doc_id"), F.lit(fanout)), F.lit(arrivals)))
     store.compact()
     store.vacuum()  # what an earlier call has left in ``root``; nothing of this one
     out = store.read(placed=True)
     if out is None:
-        out = docs.withColumns({"run": F.lit(""), "tier": F.lit(0), "version": F.lit(store.version()).cast("long")}).limit(0)
+        out = docs.withColumns({"run": F.lit(0).cast("long"), "tier": F.lit(0), "version": F.lit(store.version()).cast("long")}).limit(0)
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "run", "tier", "version")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, texts
+from .common import cut, forget, texts, unused
 from .components import connected_components
 
 WORDS = 5
@@ -37,8 +37,8 @@ LEAF = 1000
 DEPTH = 6
 #: Bits of a leaf's sets that lie in memory at once, and its shingles that are numbered at once.
 BITS, NUMBERED = 1 << 28, 1 << 20
-#: Places sampled for each further split.
-FURTHER = 2
+#: Of pairs right at the threshold, the share that a further split keeps together, at least.
+KEPT = 0.96
 MEMO = 500_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -55,7 +55,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def runs_for(threshold: float, recall: float) -> int:
     """Runs after which a pair at the threshold has been missed by all with probability ``1 - recall`` at most."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    if runs > WIDTH:
+        raise ValueError(f"{runs} runs are more than the {WIDTH} places of an embedding; ask for a lower recall or a higher threshold")
+    return runs
+
+
+def further_for(threshold: float) -> int:
+    """Places sampled for each further split, of which a pair at the threshold agrees on none with probability ``1 - KEPT`` at most."""
+    return max(1, math.ceil(math.log(1 - KEPT) / math.log(1 - threshold) - 1e-9))
 
 
 class Shingler:
@@ -155,13 +163,15 @@ def _by_leaf(leaves: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Record
     return leaves.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, schema)
 
 
-MEMBER = "leaf long, run int, sid binary, sig binary, paths array<long>, big int, side int"
+MEMBER = "leaf long, run int, sid binary, sig binary, paths array<long>, big array<long>, side int"
+#: Runs that one number of ``big`` has bits for.
+_WORD = 32
 
 
 class _Pairs:
     """Pairs of one leaf that agree on enough places and that no earlier leaf has compared.
 
-    ``big`` has a bit for each run whose child was split; what meets in another
+    ``big`` has a bit for each run whose child was split (``_WORD`` of them in each number); what meets in another
     run's child is compared there, so a pair belongs to the first such run that
     it shares. A pair of deeper leaves belongs to none.
     """
@@ -170,7 +180,8 @@ class _Pairs:
         self.least, self.first = _alike(threshold), first
         self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(rows.num_rows, WIDTH)
         self.paths = rows.column("paths").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-        self.big, self.run, self.side = (rows.column(x).to_numpy() for x in ("big", "run", "side"))
+        self.run, self.side = (rows.column(x).to_numpy() for x in ("run", "side"))
+        self.big = rows.column("big").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         self.sid = np.frombuffer(b"".join(rows.column("sid").to_pylist()), "<u8").reshape(rows.num_rows, 2)
 
     def of(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,7 +195,8 @@ class _Pairs:
             keep = (i < j) & ~((self.side[i] == self.side[j]) & (self.side[i] > 0)) & (self.sid[i] != self.sid[j]).any(axis=1)
             i, j = i[keep], j[keep]
             if len(i):
-                whole = ((self.big[i, None] >> np.arange(runs)) & 1) == 0
+                run = np.arange(runs)
+                whole = ((self.big[i][:, run // _WORD] >> (run % _WORD)) & 1) == 0
                 fresh = ~((self.paths[i, :runs] == self.paths[j, :runs]) & whole).any(axis=1)
                 if fresh.any():
                     yield i[fresh], j[fresh]
@@ -278,15 +290,15 @@ def _linked(members: DataFrame, threshold: float, first: bool) -> DataFrame:
     return _by_leaf(members, work, LINK)
 
 
-def _children(members: DataFrame, depth: int) -> DataFrame:
+def _children(members: DataFrame, depth: int, further: int) -> DataFrame:
     """Every member of a large child, once for each of its next children, with the child they come from and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = batch.column(0).to_numpy().view(np.uint64)
             sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(len(leaf), WIDTH)
-            for k in range(FURTHER):
-                place = (_mix(leaf + np.uint64(depth * 64 + k + 1) * _M1) % np.uint64(WIDTH)).astype(np.int64)
+            for k in range(further):
+                place = (_mix(leaf + np.array([depth * 64 + k + 1], np.uint64) * _M1) % np.uint64(WIDTH)).astype(np.int64)
                 token = sig[np.arange(len(leaf)), place].astype(np.uint64)
                 child = _mix(leaf * _M3 + (token + np.uint64(1)) * _M2 + place.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(child), *[batch.column(i) for i in range(1, 5)], batch.column(0), batch.column(5)], names=["leaf", "run", "sid", "sig", "paths", "parent", "was"])
@@ -316,16 +328,16 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEA
     large, deep, split = members.where(F.col("n") > leaf), None, None
     if large.head(1):
         large = cut(large.join(known, "sid"))
-        tight, kids = _split(large, 0)
+        tight, kids = _split(large, 0, further_for(threshold))
         rows = rows.select(*names).unionByName(_blocks(large.join(tight, "leaf"), leaf).select(*names))
-        split = cut(large.join(tight, "leaf", "left_anti").groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, run)")).alias("big")))
+        split = cut(large.join(tight, "leaf", "left_anti").groupBy("sid").agg(F.array(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("run") / _WORD) == w, F.expr(f"shiftleft(1L, run % {_WORD})"))), F.lit(0).cast("long")) for w in range(WIDTH // _WORD)]).alias("big")))
         for depth in range(1, DEPTH + 1):
             kids = cut(kids)
             below = kids.where(F.col("n") <= leaf).withColumn("side", F.lit(0)).select(*names)
             large = kids.where(F.col("n") > leaf)
             more = bool(large.head(1))
             if more:
-                tight, kids = _split(large, depth)
+                tight, kids = _split(large, depth, further_for(threshold))
                 if depth == DEPTH:
                     tight = large.select("leaf").distinct()
                 below = below.unionByName(_blocks(large.join(tight, "leaf"), leaf).select(*names))
@@ -333,13 +345,14 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEA
             deep = own if deep is None else deep.unionByName(own)
             if not more:
                 break
-    rows = rows.withColumn("big", F.lit(0)) if split is None else rows.join(split, "sid", "left").withColumn("big", F.coalesce("big", F.lit(0)))
+    none = F.array(*[F.lit(0).cast("long")] * (WIDTH // _WORD))
+    rows = rows.withColumn("big", none) if split is None else rows.join(split, "sid", "left").withColumn("big", F.coalesce("big", none))
     return cut(_marked(rows, threshold, True)), deep
 
 
-def _split(large: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _split(large: DataFrame, depth: int, further: int) -> tuple[DataFrame, DataFrame]:
     """Large children that stay together when split (``leaf``, at most one for each ``leaf`` members of the input), and the members of the others' children."""
-    sizes = cut(large.select("leaf", "run", "sid", "sig", "paths", "n").transform(lambda x: _children(x, depth)))
+    sizes = cut(large.select("leaf", "run", "sid", "sig", "paths", "n").transform(lambda x: _children(x, depth, further)))
     counts = cut(sizes.groupBy("leaf", "parent", "was").agg(F.count("*").alias("n")))
     tight = cut(counts.groupBy("parent").agg(F.max("n").alias("most"), F.max("was").alias("was")).where("most * 2 > was").select(F.col("parent").alias("leaf")))
     loose = counts.where("n > 1").join(tight.withColumnRenamed("leaf", "of"), F.col("parent") == F.col("of"), "left_anti").select(F.col("leaf").alias("node"), "n")
@@ -356,7 +369,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, lea
     first, deep = candidates(classes, threshold, leaf)  # written
     wanted = first.select("sid") if deep is None else first.select("sid").unionByName(deep.select("sid"))
     wanted = cut(wanted.distinct().join(classes.select("sid", "doc", "copies"), "sid"))
-    rows = texts(docs).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("doc"))).select("sid", "copies", "text")
+    rows = texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("sid", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -417,7 +430,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     ``recall`` is that of pairs right at the threshold whose children aren't
     split further; each further split keeps such a pair with probability
-    ``1 - (1 - threshold) ** FURTHER`` in its run, so at the threshold of 0.8
+    ``KEPT`` in its run, so at the threshold of 0.8
     the eight runs together find 0.99999 of those split once and 0.9996 of
     those split ``DEPTH`` times in every run.
     """
@@ -437,7 +450,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     found = _joined(docs, threshold, recall, leaf)
     first = F.min_by(F.struct("doc_id", "tid"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tid"))).alias("at")
     heads = found.where("root IS NOT NULL").groupBy("root").agg(first).select("at.doc_id", "at.tid")
-    once = cut(heads.unionByName(found.where("root IS NULL").select("doc_id", "tid")).distinct().toDF("__id", "__t"))
-    tid = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    known = docs.withColumn("__tid", tid).join(once, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tid") == F.col("__t")), "left_semi")
-    return known.dropDuplicates(["doc_id", "__tid"]).select(*docs.columns)
+    own, theirs, mine = (unused(docs, x) for x in ("__id", "__t", "__tid"))
+    once = cut(heads.unionByName(found.where("root IS NULL").select("doc_id", "tid")).distinct().toDF(own, theirs))
+    known = docs.withColumn(mine, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    known = known.join(once, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mine) == F.col(theirs)), "left_semi")
+    return known.dropDuplicates(["doc_id", mine]).select(*docs.columns)

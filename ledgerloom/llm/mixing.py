@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -100,6 +100,7 @@ def emit(docs: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
     """
     mixed = mix(docs) if mixed is None else mixed
     # Several rows of one id have one draw, but may lie in different sources.
-    times = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    own, source, copies, copy = (unused(docs, x) for x in ("__id", "__source", "__copies", "__copy"))
+    times = mixed.groupBy(F.col("doc_id").alias(own), F.col("source").alias(source)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(source)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -51,7 +51,7 @@ def _shape(word: str) -> str:
             return "x"
         if word[0].isupper() and (len(word) == 1 or word[1:].islower()):
             return "Xx" if len(word) > 1 else "X"
-    out = "".join(["X" if m[1] else "x" if m[2] else "9" if m[3] else m[0] for m in _RUN.finditer(word[:64])])
+    out = "".join(["X" if m[1] else "x" if m[2] else "9" if m[3] else m[0] for m in _RUN.finditer(word)])
     return regex.sub(r"(.)\1{3,}", r"\1\1\1", out)
 
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, jaccard, mixing, quality, secrets
-from ledgerloom.llm.common import scratch, table
+from ledgerloom.llm.common import scratch, table, unused
 from ledgerloom.llm.queries import vocabulary
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good; it learns from the table's labels of documents still there."""
-    good = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__good")), "left_semi")
+    own = unused(docs, "__good")
+    good = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,22 +1,22 @@
-"""Forecasters fitted by Spark ML over all series, and per-series forecasters as grouped jobs behind a registry."""
+"""Forecasters fitted by Spark ML over all series; per-series forecasters of the registry in ``rolling``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import folds
+from . import folds, rolling, trees
 from .panel import by_series
+from .rolling import REGISTRY, ROLLING
 
 LAGS, WINDOWS = [1, 2, 5, 10, 20], [5, 20]
 #: Features that series are hashed to, however many there are.
@@ -104,31 +104,63 @@ def fold_forecasts(panel: DataFrame, folds: list[tuple], horizon: int, models: l
     return out
 
 
-def quantile_forest(panel: DataFrame, train_end, start, end, horizon: int, quantiles=(0.1, 0.5, 0.9), trees: int = 10, points: int = 100) -> DataFrame:
-    """Quantiles of the training targets that share a row's leaves; each tree weighs the same.
+def _folded(panel: DataFrame, folds: list[tuple], horizon: int) -> tuple[DataFrame, DataFrame, int]:
+    """``(training rows, rows to score, features)``, both stored with binned features.
 
-    Trees assign leaves to training and scored rows. The targets of a (tree,
-    leaf) are summed up by ``points`` quantiles, so the table that is joined
-    has at most ``trees`` times 64 rows of fixed size, whatever the input, and
-    the join a row for each scored row and tree.
+    ``folds``: ``(fold_id, train_end, eval_start, eval_end)``. Training rows have
+    a bit in ``fits`` for each fold whose training they belong to: labels end
+    before the fold's first scored origin. Rows to score are there once for each
+    fold, whose place in the list is ``part``. Bins are those of the rows that the earliest fold learns from.
     """
     rows, names = supervised(panel, horizon)
-    train, scored = _parted(rows.where("label IS NOT NULL"), train_end, start, end)
-    forest = RandomForestRegressor(numTrees=trees, maxDepth=6, minInstancesPerNode=10, seed=7, featuresCol="features", labelCol="label", predictionCol="raw", leafCol="leaves")
-    fitted = pipeline(names, forest).fit(train)
-    leaves = lambda df, *cols: fitted.transform(df).select(*cols, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
-    steps = F.array(*[F.lit((k + 0.5) / points) for k in range(points)])
-    pooled = leaves(train, "label").groupBy("tree", "leaf").agg(F.percentile_approx("label", steps, F.lit(1000)).alias("pool"))
-    joined = leaves(scored, *SCORED).join(F.broadcast(pooled), ["tree", "leaf"])  # bounded by the forest's leaves
-    flat = joined.groupBy(*SCORED).agg(F.array_sort(F.flatten(F.collect_list("pool"))).alias("pool"))
+    rows = rows.where("label IS NOT NULL").withColumn("series_mark", F.pmod(F.xxhash64("series_id"), F.lit(HASHED)))
+    names = [*names, "series_mark"]
+    inside = [F.col("target_date").between(F.lit(start), F.lit(end)) for _, _, start, end in folds]
+    found = rows.agg(*[F.min(F.when(c, F.col("origin_date"))).alias(f"o{k}") for k, c in enumerate(inside)], F.count("*").alias("n")).first()
+    ends = [min(fold[1], found[k]) if found[k] is not None else fold[1] for k, fold in enumerate(folds)]
+    bits = [F.when(F.col("target_date") <= F.lit(end), F.lit(1 << k)).otherwise(0).cast("long") for k, end in enumerate(ends)]
+    rows = rows.withColumns({"fits": reduce(lambda a, b: a + b, bits), "rid": F.xxhash64("series_id", "origin_date"), "parts": F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(inside)]))})
+    edges = trees.bin_edges(rows.where(F.col("target_date") <= F.lit(min(ends))), names)
+    binned = trees.stored(trees.with_bins(rows, names, edges, [*SCORED, "label", "fits", "rid", "parts"]), found["n"])
+    score = binned.withColumn("part", F.explode("parts")).select(*SCORED, "part", F.get(F.array(*[F.lit(f[0]) for f in folds]), F.col("part")).alias("fold_id"), "x")
+    return trees.stored(binned.where("fits > 0").select("rid", "x", "label", "fits"), found["n"]), score, len(names)
 
-    # Linear interpolation between the order statistics, as percentiles have it.
-    def at_q(q):
-        k = (F.size("pool") - 1) * F.lit(q)
-        lo, hi = F.get("pool", F.floor(k).cast("int")), F.get("pool", F.ceil(k).cast("int"))
-        return lo + (hi - lo) * (k - F.floor(k))
 
-    return flat.select(*SCORED, *[at_q(q).alias(f"p{int(q * 100)}") for q in quantiles])
+def _one_fold(many: Callable) -> Callable:
+    """The function of one fold, ``(panel, train_end, start, end, horizon, ...)``, without the fold's number."""
+
+    def one(panel: DataFrame, train_end, start, end, horizon: int, **more) -> DataFrame:
+        return many(panel, [(0, train_end, start, end)], horizon, **more).drop("fold_id")
+
+    one.__doc__ = many.__doc__
+    return one
+
+
+def quantile_forest_folds(panel: DataFrame, folds: list[tuple], horizon: int, quantiles=(0.1, 0.5, 0.9), n_trees: int = 30, depth: int = 6, points: int = 100) -> DataFrame:
+    """Quantiles of the training targets that share a row's leaves, by fold; each tree weighs the same.
+
+    The targets of a leaf are summed up by ``points`` quantiles, so the forest
+    has a fixed size, and goes to where rows are scored: in one projection,
+    without a row for each tree.
+    """
+    train, score, width = _folded(panel, folds, horizon)
+    forest = trees.grow_forest(train, width, list(range(len(folds))), n_trees, depth, least=10)
+    steps = [(k + 0.5) / points for k in range(points)]
+    pools = np.zeros((len(folds) * n_trees, 2**depth, points))
+    for r in trees.leaf_quantiles(train, forest, width, list(range(len(folds))), steps).collect():  # a row for each leaf
+        pools[divmod(r["cell"], 2**depth)] = r["at"]
+    shared = panel.sparkSession.sparkContext.broadcast((forest, pools))  # folds x trees x leaves x points numbers
+
+    def add(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        forest, pools = shared.value
+        mine = part[:, None] * n_trees + np.arange(n_trees)[None, :]
+        leaf = np.take_along_axis(forest.node(x, depth), mine, axis=1)
+        return np.quantile(pools[mine, leaf].reshape(len(x), -1), quantiles, axis=1).T
+
+    return trees.scored(score, width, add, [f"p{int(q * 100)}" for q in quantiles]).drop("part")
+
+
+quantile_forest = _one_fold(quantile_forest_folds)
 
 
 def monotone(columns: list[str]) -> dict[str, Column]:
@@ -136,68 +168,51 @@ def monotone(columns: list[str]) -> dict[str, Column]:
     return {c: F.greatest(*columns[: i + 1]) if i else F.col(c) for i, c in enumerate(columns)}
 
 
-def boosted_quantiles(panel: DataFrame, train_end, start, end, horizon: int, quantiles=(0.1, 0.5, 0.9), rounds: int = 8, rate: float = 0.3, depth: int = 3) -> DataFrame:
-    """Quantiles by gradient boosting under the pinball loss, in order.
+def boosted_quantile_folds(panel: DataFrame, folds: list[tuple], horizon: int, quantiles=(0.1, 0.5, 0.9), rounds: int = 100, rate: float = 0.1, depth: int = 3) -> DataFrame:
+    """Quantiles by gradient boosting under the pinball loss, in order, by fold; the models of all folds and quantiles are grown by the same jobs."""
+    train, score, width = _folded(panel, folds, horizon)
+    models = [(k, q) for k in range(len(folds)) for q in quantiles]
+    start, made = trees.boost(train, width, [k for k, _ in models], [q for _, q in models], rounds, rate, depth, least=10)
+    shared = panel.sparkSession.sparkContext.broadcast((start, made))
 
-    A model starts at the quantile of the training labels. In each round a tree
-    is fitted to the sign by which rows lie above (``q``) or below (``q - 1``)
-    the model so far; each of its leaves, of which there are at most
-    ``2**depth``, then moves by ``rate`` times the quantile of the residuals in
-    it. The models of the quantiles are fitted side by side.
-    """
-    rows, names = supervised(panel, horizon)
-    train, scored = _parted(rows.where("label IS NOT NULL"), train_end, start, end)
-    prepared = Pipeline(stages=pipeline(names, None).getStages()[:-1]).fit(train)
-    kept = [*SCORED, "label", "features"]
-    train, scored = prepared.transform(train).select(kept).persist(), prepared.transform(scored).select(kept)
-
-    def grown(q: float) -> Callable[[DataFrame], DataFrame]:
-        first = train.agg(F.percentile("label", F.lit(q))).first()[0]
-        steps, apply = [], lambda df: df.withColumn("f", F.lit(first))
-        for _ in range(rounds):
-            now = apply(train)
-            aim = now.withColumn("sign", F.when(F.col("label") >= F.col("f"), q).otherwise(q - 1))
-            tree = DecisionTreeRegressor(featuresCol="features", labelCol="sign", predictionCol="__raw", leafCol="__leaf", maxDepth=depth, minInstancesPerNode=10, seed=11).fit(aim)
-            by_leaf = tree.transform(now).groupBy("__leaf").agg(F.percentile(F.col("label") - F.col("f"), F.lit(q)).alias("move")).collect()  # as many rows as the tree has leaves
-            moves = F.create_map(*[F.lit(x) for r in by_leaf for x in (float(r["__leaf"]), rate * r["move"])])
-            steps.append((tree, moves))
-
-            def apply(df, own=tuple(steps)):
-                df = df.withColumn("f", F.lit(first))
-                for t, m in own:
-                    df = t.transform(df).withColumn("f", F.col("f") + F.coalesce(m[F.col("__leaf")], F.lit(0.0))).drop("__raw", "__leaf")
-                return df
-
-        return apply
-
-    made = together([lambda q=q: grown(q) for q in quantiles])
-    train.unpersist()
-    cols, out = [f"p{int(q * 100)}" for q in quantiles], scored
-    for c, apply in zip(cols, made):
-        out = apply(out).withColumnRenamed("f", c)
-    return out.withColumns(monotone(cols)).select(*SCORED, *cols)
+    def add(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        start, made = shared.value
+        f = np.tile(start, (len(x), 1))
+        for t in made:
+            f += t.predict(x)
+        own = f.reshape(len(x), len(folds), len(quantiles))[np.arange(len(x)), part]
+        return np.maximum.accumulate(own, axis=1)
+
+    return trees.scored(score, width, add, [f"p{int(q * 100)}" for q in quantiles]).drop("part")
+
+
+boosted_quantiles = _one_fold(boosted_quantile_folds)
 
 
-def out_of_bag_bands(panel: DataFrame, train_end, start, end, horizon: int, quantiles=(0.1, 0.5, 0.9), bags: int = 5) -> DataFrame:
-    """A forest's forecast moved by quantiles of residuals of rows that its trees didn't see, in order.
+def out_of_bag_band_folds(panel: DataFrame, folds: list[tuple], horizon: int, quantiles=(0.1, 0.5, 0.9), n_trees: int = 60, depth: int = 7) -> DataFrame:
+    """A forest's forecast moved by quantiles of its out-of-bag residuals, in order, by fold.
 
-    Rows are dealt to bags by a hash; each bag is scored by a forest grown on
-    the others, as Spark's forests don't say which rows a tree left out. In-sample
-    residuals would make the bands far too narrow.
+    Each tree draws rows by weights from a hash of row and tree, so it is known
+    of every row which trees haven't seen it; their mean gives its residual.
+    In-sample residuals would make the bands far too narrow.
     """
-    rows, names = supervised(panel, horizon)
-    train, scored = _parted(rows.where("label IS NOT NULL"), train_end, start, end)
-    train = train.withColumn("bag", F.pmod(F.xxhash64("series_id", "origin_date"), F.lit(bags))).persist()
-    forest = lambda: pipeline(names, estimators()["random_forest"])
-    *parts, whole = together([*[lambda k=k: forest().fit(train.where(F.col("bag") != k)) for k in range(bags)], lambda: forest().fit(train)])
-    cols, resid = [f"p{int(q * 100)}" for q in quantiles], None
-    for k, model in enumerate(parts):
-        own = model.transform(train.where(F.col("bag") == k)).select((F.col("label") - F.col("raw")).alias("e"))
-        resid = own if resid is None else resid.unionByName(own)
-    moves = resid.agg(*[F.percentile("e", F.lit(q)).alias(c) for q, c in zip(quantiles, cols)]).first()
-    train.unpersist()
-    out = whole.transform(scored).select(*SCORED, *[(F.col("raw") + F.lit(moves[c])).alias(c) for c in cols])
-    return out.withColumns(monotone(cols))
+    train, score, width = _folded(panel, folds, horizon)
+    bits = list(range(len(folds)))
+    forest = trees.grow_forest(train, width, bits, n_trees, depth, least=5)
+    steps = F.array(*[F.lit(q) for q in quantiles])
+    moves = np.zeros((len(folds), len(quantiles)))
+    for r in trees.out_of_bag(train, forest, width, bits).groupBy("part").agg(F.percentile_approx("e", steps, F.lit(10_000)).alias("at")).collect():  # a row for each fold
+        moves[r["part"]] = r["at"]
+    shared = panel.sparkSession.sparkContext.broadcast(forest)
+
+    def add(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        value = shared.value.predict(x).reshape(len(x), len(folds), n_trees)[np.arange(len(x)), part].mean(axis=1)
+        return np.maximum.accumulate(value[:, None] + moves[part], axis=1)
+
+    return trees.scored(score, width, add, [f"p{int(q * 100)}" for q in quantiles]).drop("part")
+
+
+out_of_bag_bands = _one_fold(out_of_bag_band_folds)
 
 
 def residual_bands(preds: DataFrame, calibration_end, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -265,179 +280,6 @@ def scaler_statistics(panel: DataFrame, train_end, horizon: int) -> DataFrame:
     return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("std"))
 
 
-# Per-series forecasters at many origins of one series: (values, horizon, ends, calendar, ahead) -> the forecast ``horizon`` steps on from each ``values[:end]``.
-# What a fit needs of the past is carried forward from origin to origin, so each value is visited once; the result is that of a refit.
-# ``calendar`` has a row for each value, ``ahead`` the rows of the steps after each origin; both may be None.
-
-Rolling = Callable[..., np.ndarray]
-ROLLING: dict[str, Rolling] = {}
-#: By name: (values, horizon) -> forecasts of the next steps. A plug-in needs no more than this.
-Forecaster = Callable[[np.ndarray, int], np.ndarray]
-REGISTRY: dict[str, Forecaster] = {}
-
-
-def register(name: str):
-    def add(f: Forecaster) -> Forecaster:
-        REGISTRY[name] = f
-        return f
-
-    return add
-
-
-def rolling(name: str):
-    """Register a forecaster in its rolling form; its plain one follows."""
-
-    def add(f: Rolling) -> Rolling:
-        ROLLING[name] = f
-        REGISTRY[name] = lambda y, h: np.array([f(y, k, np.array([len(y)]))[0] for k in range(1, h + 1)])
-        return f
-
-    return add
-
-
-def _mean_of_last(y: np.ndarray, n: int, season: int) -> float:
-    return y[max(0, n - season) : n].mean()
-
-
-@rolling("naive_last")
-def _naive(y, h, ends, calendar=None, ahead=None):
-    return y[ends - 1]
-
-
-@rolling("ets")
-def _ets(y, h, ends, calendar=None, ahead=None, season: int = 5):
-    """Exponential smoothing: level alone, with a damped trend, or with trend and additive season, each over a grid of weights, all side by side; at an origin that with the least AIC of its one-step errors so far is taken."""
-    grid = [(a, 0.0, 0.0, 0, 2) for a in (0.1, 0.3, 0.6, 0.9)]
-    grid += [(a, b, 0.0, 0, 5) for a in (0.1, 0.3, 0.6) for b in (0.05, 0.2)]
-    grid += [(a, b, g, 1, 6 + season) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.1) for g in (0.05, 0.1, 0.3)]
-    a, b, g, seasonal, params = (np.array(x) for x in zip(*grid))
-    damping = np.where(params > 2, 0.9, 0.0)
-    damped = np.array([sum(d**j for j in range(1, h + 1)) for d in damping])
-    found = {int(n): _mean_of_last(y, n, season) for n in ends if n < 3 * season}
-    wanted, first = {int(n) for n in ends}, y[:season].mean()
-    level, trend, sse = np.full(len(a), first), np.zeros(len(a)), np.zeros(len(a))
-    s = (y[:season] - first)[:, None] * seasonal
-    for t in range(season, int(max(ends, default=0))):
-        k = t % season
-        e = y[t] - (level + damping * trend + s[k])
-        sse += e * e
-        level, trend = level + damping * trend + a * e, damping * trend + a * b * e
-        s[k] += g * (1 - a) * e
-        if t + 1 in wanted and t + 1 >= 3 * season:
-            m = t + 1 - season
-            best = int((m * np.log(np.maximum(sse, 1e-12) / m) + 2 * params).argmin())
-            found[t + 1] = level[best] + trend[best] * damped[best] + s[(t + h) % season, best]
-    return np.array([found[int(n)] for n in ends])
-
-
-@rolling("theta")
-def _theta(y, h, ends, calendar=None, ahead=None, season: int = 5):
-    """Exponential smoothing of the deseasonalised values, with the weight of least squared errors so far, plus half of their linear trend and the season.
-
-    The season of a value is what the mean of its phase was above the mean of
-    all, as known before it.
-    """
-    phase, count = np.zeros(season), np.zeros(season)
-    off = lambda k: phase[k] / count[k] - phase.sum() / count.sum() if count[k] >= 2 else 0.0
-    z, ahead_of = np.empty(len(y)), {}
-    wanted = {int(n) for n in ends}
-    for t, v in enumerate(y[: int(max(ends, default=0))]):
-        z[t] = v - off(t % season)
-        phase[t % season] += v
-        count[t % season] += 1
-        if t + 1 in wanted:
-            ahead_of[t + 1] = off((t + h) % season)
-    weights = np.array([0.1, 0.2, 0.3, 0.5, 0.7])
-    level, sse, levels = np.full(len(weights), z[0]), np.zeros(len(weights)), {1: z[0]}
-    for t in range(1, len(ahead_of) and max(wanted)):
-        e = z[t] - level
-        sse += e * e
-        level = level + weights * e
-        if t + 1 in wanted:
-            levels[t + 1] = level[int(sse.argmin())]
-    n, at, own = ends.astype(float), np.arange(len(y), dtype=float), np.where(np.arange(len(y)) < max(wanted, default=0), z - z[0], 0.0)  # sums of what is left stay small
-    st, sy, sty, stt = (np.cumsum(x)[ends - 1] for x in (at, own, at * own, at * at))
-    spread = n * stt - st * st
-    slope = np.where(spread > 0, (n * sty - st * sy) / np.where(spread > 0, spread, 1), 0.0)
-    return np.array([levels[int(k)] + ahead_of[int(k)] for k in ends]) + 0.5 * slope * h
-
-
-@rolling("arx")
-def _arx(y, h, ends, calendar=None, ahead=None, orders: tuple[int, ...] = (1, 5), season: int = 5):
-    """Conditional least squares on lags and the calendar of each step (its phase of the season without one); of the numbers of lags that with the least AIC so far is taken."""
-    order, out, done = max(orders), [], np.argsort(ends, kind="stable")
-    if calendar is None:
-        calendar = np.eye(season)[np.arange(len(y)) % season]
-        ahead = np.eye(season)[(ends[:, None] + np.arange(h)) % season]
-    scale = max(1e-9, float(np.abs(y[:40]).mean()))  # known to all origins that are fitted
-    v = y / scale
-    width = order + calendar.shape[1]
-    xx, xy, yy, at = np.zeros((width, width)), np.zeros(width), 0.0, order
-    for n, future in zip(ends[done], ahead[done]):
-        if n < 40:
-            out.append(y[:n].mean())
-            continue
-        for t in range(at, n):
-            x = np.concatenate([v[t - order : t][::-1], calendar[t]])
-            xx += np.outer(x, x)
-            xy += x * v[t]
-            yy += v[t] * v[t]
-        at, m, best = max(at, int(n)), n - order, None
-        for p in orders:
-            use = np.r_[0:p, order:width]
-            part = xx[np.ix_(use, use)] + 1e-6 * np.eye(len(use))
-            coef = np.linalg.solve(part, xy[use])
-            sse = max(1e-12, float(yy - 2 * coef @ xy[use] + coef @ part @ coef))
-            aic = m * np.log(sse / m) + 2 * len(use)
-            if best is None or aic < best[0]:
-                best = aic, p, coef
-        _, p, coef = best
-        past = list(v[n - order : n])
-        for k in range(h):
-            past.append(float(np.concatenate([past[-1 : -p - 1 : -1], future[k]]) @ coef))
-        out.append(past[-1] * scale)
-    return np.array(out)[np.argsort(done, kind="stable")]
-
-
-@rolling("seasonal_ar")
-def _seasonal_ar(y, h, ends, calendar=None, ahead=None, season: int = 5, order: int = 3):
-    """Trend (mean of the last four seasons), season (mean of the last eight values of a phase less their trend), and an autoregression of what is left; trend and season stay as they are at the origin."""
-    total = np.concatenate([[0.0], np.cumsum(y)])
-    lo = np.maximum(0, np.arange(len(y) + 1) - 4 * season)
-    width = np.arange(len(y) + 1) - lo
-    trend = np.where(width > 0, (total - total[lo]) / np.maximum(1, width), y[0])  # of what comes after ``t`` values
-    d = y - trend[:-1]
-    rest = d - np.array([d[t - season :: -season][:8].mean() if t >= season else 0.0 for t in range(len(y))])
-    at, out, done = order, [], np.argsort(ends, kind="stable")
-    xx, xy = np.zeros((order, order)), np.zeros(order)
-    for n in ends[done]:
-        if n < 10 * season:
-            out.append(_mean_of_last(y, n, season))
-            continue
-        for t in range(at, n):
-            x = rest[t - order : t][::-1]
-            xx += np.outer(x, x)
-            xy += x * rest[t]
-        at = max(at, int(n))
-        coef = np.linalg.solve(xx + 1e-6 * np.eye(order) * max(1.0, float(np.trace(xx)) / (order * (n - order))), xy)
-        past = list(rest[n - order : n])
-        for _ in range(h):
-            past.append(float(np.dot(coef, past[-1 : -order - 1 : -1])))
-        last = n + h - 1 - season * (-(-h // season))  # of the same phase, before the origin ends
-        out.append(trend[n] + d[last::-season][:8].mean() + past[-1])
-    return np.array(out)[np.argsort(done, kind="stable")]
-
-
-def calendar_rows(days: np.ndarray) -> np.ndarray:
-    """Regressors of each day: its weekday, and whether it is the last business day of a month or quarter."""
-    d = days.astype("datetime64[D]")
-    weekday = (d.astype(int) + 3) % 7
-    following = d + np.where(weekday == 4, 3, 1)
-    month = d.astype("datetime64[M]")
-    ends = following.astype("datetime64[M]") != month
-    return np.column_stack([np.eye(7)[weekday], ends, ends & (month.astype(int) % 3 == 2)]).astype(float)
-
-
 def evaluation_start(panel: DataFrame, horizon: int) -> DataFrame:
     """``series_id, first``: start of each series' first yearly fold; of its last window where it has too few years for one."""
     yearly = folds.yearly_folds(panel).groupBy("series_id").agg(F.min("eval_start").alias("__y"))
@@ -446,36 +288,23 @@ def evaluation_start(panel: DataFrame, horizon: int) -> DataFrame:
     return short.join(yearly, "series_id", "left").select("series_id", F.coalesce("__y", "__w").alias("first"))
 
 
-def grouped_forecasts(panel: DataFrame, horizon: int, names: list[str] | None = None, since: str | None = None) -> DataFrame:
-    """Registry forecasters, refitted at every origin of the evaluation range on the whole history up to it, in parallel over series.
+def grouped_forecasts(panel: DataFrame, horizon: int, names: list[str] | None = None, since: str | None = None, block: int = rolling.BLOCK) -> DataFrame:
+    """Registry forecasters, refitted at every origin of the evaluation range on the whole history up to it, in parallel over series and blocks of ``block`` positions.
 
     The range has all targets from ``since`` on; None: those of all yearly
-    folds. A group is one series, a row for each day; forecasters with a form
-    in ``ROLLING`` visit each value once, others are refitted at each origin.
-    Null values are passed over, as history and as origins.
+    folds. Forecasters with a form in ``ROLLING`` visit each value once or
+    twice, in tasks of one block; others are refitted at each origin, in a task
+    for each series. Null values are passed over, as history and as origins.
     """
     chosen = names or sorted(REGISTRY)
     if since is None:
         rows = panel.join(evaluation_start(panel, horizon), "series_id")
     else:
         rows = panel.withColumn("first", F.lit(since).cast("date"))
-    single, many = dict(REGISTRY), dict(ROLLING)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        y, days = pdf["y"].to_numpy(dtype=float), pdf["ds"].to_numpy()
-        there = ~np.isnan(y)
-        at = np.array([i for i in range(len(y) - horizon) if there[i] and days[i + horizon] >= pdf["first"].iloc[0]], dtype=int)
-        values, ends, parts = y[there], np.cumsum(there)[at], []
-        calendar = calendar_rows(days)
-        ahead = calendar[at[:, None] + np.arange(1, horizon + 1)] if len(at) else None
-        for name in chosen if len(at) else []:
-            got = many[name](values, horizon, ends, calendar[there], ahead) if name in many else np.array([single[name](values[:n], horizon)[-1] for n in ends])
-            parts.append(pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "model": name, "horizon": horizon, "origin_date": days[at], "target_date": days[at + horizon], "origin_value": y[at], "y_true": [None if np.isnan(v) else v for v in y[at + horizon]], "y_pred": got}))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("series_id", "model", "horizon", "origin_date", "target_date", "origin_value", "y_true", "y_pred")})
-
-    cells = rows.select("series_id", "pos", "ds", "y", "first")
-    return cells.groupBy("series_id").applyInPandas(run, "series_id string, model string, horizon int, origin_date date, target_date date, origin_value double, y_true double, y_pred double")
+    rows = rows.select("series_id", "pos", "ds", "y", "first")
+    carried, plain = [n for n in chosen if n in ROLLING], [n for n in chosen if n not in ROLLING]
+    parts = [f(rows, horizon, own) for f, own in ((lambda *x: rolling.by_blocks(*x, block), carried), (rolling.by_series, plain)) if own]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def recursive_forecast(step: Callable[[DataFrame], DataFrame], panel: DataFrame, horizon: int, most: int = 20) -> DataFrame:

@@ -66,19 +66,19 @@ def residual_bands(spark, sf_dir):
 @query("quantile_forest")
 def quantile_forest(spark, sf_dir):
     panel = business_panel(spark, sf_dir)
-    return by_fold(panel, lambda *dates: models.quantile_forest(panel, *dates, HORIZON))
+    return models.quantile_forest_folds(panel, yearly(panel), HORIZON)
 
 
 @query("boosted_quantiles")
 def boosted_quantiles(spark, sf_dir):
     panel = business_panel(spark, sf_dir)
-    return by_fold(panel, lambda *dates: models.boosted_quantiles(panel, *dates, HORIZON))
+    return models.boosted_quantile_folds(panel, yearly(panel), HORIZON)
 
 
 @query("out_of_bag_bands")
 def out_of_bag_bands(spark, sf_dir):
     panel = business_panel(spark, sf_dir)
-    return by_fold(panel, lambda *dates: models.out_of_bag_bands(panel, *dates, HORIZON))
+    return models.out_of_bag_band_folds(panel, yearly(panel), HORIZON)
 
 
 _NEXT = "CAST(CASE WHEN isodow(ds) = 5 THEN ds + 3 ELSE ds + 1 END AS DATE)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.baselines import window_forecasts
 from ..operators.panel import business_index
+from ..operators.work import work_folder  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,15 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below ``spark.checkpoint.dir``; a temporary one where that is unset and Spark runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    shared = shared or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
-
-
 def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order value by day and priority, in whole units so that sums are exact in any order."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("ds"), F.round("o_totalprice").alias("y"))

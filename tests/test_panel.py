@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import calendar as cal
-from ledgerloom.operators import clean, ensemble, features, folds, integrity, metrics, models, panel as pn, runs
+from ledgerloom.operators import clean, ensemble, features, folds, integrity, metrics, models, panel as pn, rolling, runs
 from ledgerloom.sources import ledger, runlog
 from ledgerloom.streaming import rollup
 
@@ -259,7 +259,7 @@ def test_monotone(spark):
 def test_calendar_regressors():
     import numpy as np
 
-    got = models.calendar_rows(np.array(["2024-03-28", "2024-03-29", "2024-04-30", "2024-05-01"], "datetime64[D]"))
+    got = rolling.calendar_rows(np.array(["2024-03-28", "2024-03-29", "2024-04-30", "2024-05-01"], "datetime64[D]"))
     assert got[:, 7].tolist() == [0, 1, 1, 0] and got[:, 8].tolist() == [0, 1, 0, 0] and got[:, :7].argmax(axis=1).tolist() == [3, 4, 1, 2]
 
 

@@ -72,7 +72,7 @@ def together(work: list[Callable]) -> list:
         return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(lambda f: f()), work)
 
 
-def _parted(rows: DataFrame, train_end, start, end) -> tuple[DataFrame, DataFrame]:
+def parted(rows: DataFrame, train_end, start, end) -> tuple[DataFrame, DataFrame]:
     """Training and scored rows: labels end before the first scored origin."""
     scored = rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
     first = scored.agg(F.min("origin_date")).first()[0]
@@ -93,7 +93,7 @@ def fold_forecasts(panel: DataFrame, folds: list[tuple], horizon: int, models: l
     rows = rows.where("label IS NOT NULL")
     made, out = estimators(), None
     for fold_id, train_end, start, end in folds:
-        train, scored = _parted(rows, train_end, start, end)
+        train, scored = parted(rows, train_end, start, end)
         train = train.persist()
         fitted = together([lambda name=name: pipeline(names, made[name]).fit(train) for name in models])
         train.unpersist()

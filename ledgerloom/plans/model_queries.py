@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import folds, metrics, models, runs
+from ..functions import calendar as cal_fn
+from ..operators import folds, groups, metrics, models, runs
 from .feature_queries import rounded
 from .registry import BUSINESS, FORECASTS, HORIZON, business_panel, query, work_folder
 
@@ -146,6 +147,24 @@ def ablation(spark, sf_dir):
     return by_fold(panel, lambda *dates: runs.ablation(panel, *dates, HORIZON))
 
 
+@query("group_ablation")
+def group_ablation(spark, sf_dir):
+    """Groups A to E, and two exogenous blocks: the other order priorities, and the urgent ones."""
+    panel = business_panel(spark, sf_dir)
+    names = sorted(r["series_id"] for r in panel.select("series_id").distinct().collect())  # a row for each series of this panel
+    return groups.ablation(panel, cal_fn.calendar(spark, 1995, 2001), yearly(panel), HORIZON, blocks={"cross": names, "urgent": names[:2]})
+
+
+@query("exogenous_block", """SELECT series_id, ds, max(CASE WHEN place = 1 THEN l1 END) AS x1_lag1, max(CASE WHEN place = 1 THEN l5 END) AS x1_lag5, max(CASE WHEN place = 2 THEN l1 END) AS x2_lag1, max(CASE WHEN place = 2 THEN l5 END) AS x2_lag5
+  FROM (SELECT b.series_id, b.ds, c.place, l.l1, l.l5 FROM biz b JOIN c ON c.series_id = b.series_id AND c.place <= 2 JOIN l ON l.series_id = c.x AND l.ds = b.ds) GROUP BY 1, 2""", *BUSINESS,
+       "c AS (SELECT series_id, x, row_number() OVER (PARTITION BY series_id ORDER BY abs(r) DESC NULLS LAST, x) AS place FROM (SELECT a.series_id, b.series_id AS x, corr(a.y, b.y) AS r FROM biz a JOIN biz b ON a.ds = b.ds AND a.series_id <> b.series_id WHERE a.ds <= DATE '1999-12-31' GROUP BY 1, 2))",
+       "l AS (SELECT series_id, ds, lag(y, 1) OVER w AS l1, lag(y, 5) OVER w AS l5 FROM biz WINDOW w AS (PARTITION BY series_id ORDER BY pos))")
+def exogenous_block(spark, sf_dir):
+    panel = business_panel(spark, sf_dir)
+    names = [r["series_id"] for r in panel.select("series_id").distinct().collect()]
+    return groups.exogenous(panel, names, TRAIN_END, top=2)[0]
+
+
 @query("daily_run")
 def daily_run(spark, sf_dir):
     panel, since = business_panel(spark, sf_dir), date(2001, 1, 1)

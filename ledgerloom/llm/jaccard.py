@@ -314,11 +314,12 @@ def _blocks(members: DataFrame, leaf: int) -> DataFrame:
     return met.withColumns({"side": side, "leaf": F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other"))}).drop("own", "other")
 
 
-def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, runs: int = WIDTH) -> tuple[DataFrame, DataFrame | None]:
     """Members of leaves with candidate partners, of first leaves and of deeper ones (None without any).
 
-    ``classes``: ``sid, paths, sig``, one row for each set.
+    ``classes``: ``sid, paths, sig``, one row for each set; ``paths`` has ``runs`` entries at most.
     """
+    words = range(-(-runs // _WORD))
     at = classes.select("sid", F.posexplode("paths").alias("run", "leaf"))
     nodes = cut(at.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"))
     members = cut(at.join(nodes.withColumnRenamed("leaf", "node"), F.col("leaf") == F.col("node")).select("sid", "run", "leaf", "n"))
@@ -330,7 +331,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEA
         large = cut(large.join(known, "sid"))
         tight, kids = _split(large, 0, further_for(threshold))
         rows = rows.select(*names).unionByName(_blocks(large.join(tight, "leaf"), leaf).select(*names))
-        split = cut(large.join(tight, "leaf", "left_anti").groupBy("sid").agg(F.array(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("run") / _WORD) == w, F.expr(f"shiftleft(1L, run % {_WORD})"))), F.lit(0).cast("long")) for w in range(WIDTH // _WORD)]).alias("big")))
+        split = cut(large.join(tight, "leaf", "left_anti").groupBy("sid").agg(F.array(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("run") / _WORD) == w, F.expr(f"shiftleft(1L, run % {_WORD})"))), F.lit(0).cast("long")) for w in words]).alias("big")))
         for depth in range(1, DEPTH + 1):
             kids = cut(kids)
             below = kids.where(F.col("n") <= leaf).withColumn("side", F.lit(0)).select(*names)
@@ -345,7 +346,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEA
             deep = own if deep is None else deep.unionByName(own)
             if not more:
                 break
-    none = F.array(*[F.lit(0).cast("long")] * (WIDTH // _WORD))
+    none = F.array(*[F.lit(0).cast("long") for _ in words])
     rows = rows.withColumn("big", none) if split is None else rows.join(split, "sid", "left").withColumn("big", F.coalesce("big", none))
     return cut(_marked(rows, threshold, True)), deep
 
@@ -360,16 +361,16 @@ def _split(large: DataFrame, depth: int, further: int) -> tuple[DataFrame, DataF
     return tight, kids
 
 
-def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, runs: int = WIDTH) -> DataFrame:
     """Exact links between sets (``LINK``): counts of linked copies by set, and edges that connect what is linked.
 
     Sets are made again from whole texts, of candidates only; ``classes`` are
     ``sid, doc, copies, paths, sig``. Pairs stay inside a leaf's task.
     """
-    first, deep = candidates(classes, threshold, leaf)  # written
+    first, deep = candidates(classes, threshold, leaf, runs)  # written
     wanted = first.select("sid") if deep is None else first.select("sid").unionByName(deep.select("sid"))
     wanted = cut(wanted.distinct().join(classes.select("sid", "doc", "copies"), "sid"))
-    rows = texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("sid", "copies", "text")
+    rows = texts(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc"))).select("sid", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -397,10 +398,11 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, lea
 
 def _joined(docs: DataFrame, threshold: float, recall: float, leaf: int) -> DataFrame:
     """``doc_id, tid, sid, root, n_links, class_id`` of each row; ``root`` is a set that all rows of a class share (null for a text without words)."""
-    rows = cut(_signatures(docs, runs_for(threshold, recall)))
+    runs = runs_for(threshold, recall)
+    rows = cut(_signatures(docs, runs))
     full = rows.where("sid IS NOT NULL")
     classes = cut(full.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("sig").alias("sig")))
-    found = links(docs, classes, threshold, leaf)
+    found = links(docs, classes, threshold, leaf, runs)
     known = classes.select("sid", "doc", "copies")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     parts = cut(connected_components(found.where("b IS NOT NULL")))

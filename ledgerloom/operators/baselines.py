@@ -52,16 +52,23 @@ def months(panel: DataFrame) -> DataFrame:
 
 
 def monthly_baseline(panel: DataFrame, back: int = 3) -> DataFrame:
-    """``series_id, year, month, baseline``: mean of the prior full years' totals times the month's mean share of them.
+    """``series_id, year, month, total, baseline, n_years``: mean of the ``back`` prior years' totals times the month's mean share of them.
 
-    A year is full with twelve months. The prior years meet the month by an
-    equi-join on (series, year), each exploded to the years it serves.
+    All the prior years must be full (have twelve months); where one isn't, the
+    baseline is the last one known before, if there is any. Shares of years
+    whose total isn't above 0 don't count. Months without a row have a total of 0.
     """
-    m = months(panel)
-    full = m.groupBy("series_id", "year").agg(F.sum("total").alias("year_total"), F.count("*").alias("n")).where("n = 12 AND year_total <> 0")
-    share = m.join(full, ["series_id", "year"]).select("series_id", "month", "year_total", (F.col("total") / F.col("year_total")).alias("share"), F.explode(F.sequence(F.col("year") + 1, F.col("year") + back)).alias("year"))
-    base = share.groupBy("series_id", "year", "month").agg((F.avg("year_total") * F.avg("share")).alias("baseline"), F.count("*").alias("n_years"))
-    return m.join(base, ["series_id", "year", "month"], "left").select("series_id", "year", "month", "total", "baseline", "n_years")
+    found = months(panel)
+    at = F.make_date("year", "month", F.lit(1))
+    span = found.groupBy("series_id").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    every = span.select("series_id", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("m")).select("series_id", F.year("m").alias("year"), F.month("m").alias("month"))
+    m = every.join(found, ["series_id", "year", "month"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    full = m.groupBy("series_id", "year").agg(F.sum("total").alias("year_total"), F.count("*").alias("n")).where("n = 12")
+    share = F.when(F.col("year_total") > 0, F.col("total") / F.col("year_total"))
+    served = m.join(full, ["series_id", "year"]).select("series_id", "month", "year_total", share.alias("share"), F.explode(F.sequence(F.col("year") + 1, F.col("year") + back)).alias("year"))
+    base = served.groupBy("series_id", "year", "month").agg(F.count("*").alias("n_years"), F.when(F.count("*") == back, F.avg("year_total") * F.avg("share")).alias("own"))
+    known = F.last("own", ignorenulls=True).over(Window.partitionBy("series_id").orderBy("year", "month").rowsBetween(Window.unboundedPreceding, 0))
+    return m.join(base, ["series_id", "year", "month"], "left").withColumn("baseline", known).select("series_id", "year", "month", "total", "baseline", "n_years")
 
 
 def same_month_mean(panel: DataFrame, back: int = 3) -> DataFrame:
@@ -70,21 +77,32 @@ def same_month_mean(panel: DataFrame, back: int = 3) -> DataFrame:
     return months(panel).withColumn("fallback", F.avg("total").over(w))
 
 
-def spread_month(panel: DataFrame, monthly: DataFrame, back: int = 3) -> DataFrame:
-    """A month's baseline over its weekdays, by the mean share that the same day of the month took in prior years; evenly where there is none.
+def spread_month(panel: DataFrame, monthly: DataFrame, back: int = 3, method: str = "profile") -> DataFrame:
+    """A month's baseline over its weekdays; evenly where prior years tell nothing. ``panel`` lies on weekdays.
 
-    ``panel`` lies on weekdays. Shares are renormalised over the month's days.
+    ``profile``: by the mean share that the same day of the month took in prior
+    years, renormalised over the month's days. ``average``: by the mean value
+    that the same date had in prior years; a date that had none gets none.
     """
+    if method not in ("profile", "average"):
+        raise ValueError(f"no method {method!r}")
     rows = panel.select("series_id", "ds", "y", F.year("ds").alias("year"), F.month("ds").alias("month"), F.dayofmonth("ds").alias("dom"))
-    total = F.sum("y").over(Window.partitionBy("series_id", "year", "month"))
-    old = rows.withColumn("share", F.when(total != 0, F.col("y") / total)).select("series_id", "month", "dom", "share", F.explode(F.sequence(F.col("year") + 1, F.col("year") + back)).alias("year"))
-    profile = old.groupBy("series_id", "year", "month", "dom").agg(F.avg("share").alias("share"))
-    out = rows.join(profile, ["series_id", "year", "month", "dom"], "left").join(monthly.select("series_id", "year", "month", "baseline"), ["series_id", "year", "month"], "left")
     month = Window.partitionBy("series_id", "year", "month")
-    weight = F.coalesce("share", F.lit(0.0))
-    whole = F.sum(weight).over(month)
-    part = F.when(whole > 0, weight / whole).otherwise(1 / F.count("*").over(month))
-    return out.select("series_id", "ds", "y", (F.col("baseline") * part).alias("baseline"))
+    if method == "average":
+        asked = rows.select("series_id", "ds", F.explode(F.array(*[F.add_months("ds", -12 * k) for k in range(1, back + 1)])).alias("old"))
+        values = panel.select(F.col("series_id").alias("__s"), F.col("ds").alias("old"), F.col("y").alias("__v"))
+        weights = asked.join(values, (F.col("series_id") == F.col("__s")) & (asked["old"] == values["old"])).groupBy("series_id", "ds").agg(F.avg("__v").alias("weight"))
+        out, weight = rows.join(weights, ["series_id", "ds"], "left"), F.col("weight")
+        usable = F.sum("weight").over(month) != 0
+    else:
+        total = F.sum("y").over(month)
+        old = rows.withColumn("share", F.when(total != 0, F.col("y") / total)).select("series_id", "month", "dom", "share", F.explode(F.sequence(F.col("year") + 1, F.col("year") + back)).alias("year"))
+        profile = old.groupBy("series_id", "year", "month", "dom").agg(F.avg("share").alias("share"))
+        out, weight = rows.join(profile, ["series_id", "year", "month", "dom"], "left"), F.coalesce("share", F.lit(0.0))
+        usable = F.sum(weight).over(month) > 0
+    part = F.when(F.coalesce(usable, F.lit(False)), weight / F.sum(weight).over(month)).otherwise(1 / F.count("*").over(month))
+    out = out.withColumn("part", part).join(monthly.select("series_id", "year", "month", "baseline"), ["series_id", "year", "month"], "left")
+    return out.select("series_id", "ds", "y", (F.col("baseline") * F.col("part")).alias("baseline"))
 
 
 def history_before(panel: DataFrame, preds: DataFrame, days: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,17 @@ def causal_impute(panel: DataFrame, weeks: int = 8) -> DataFrame:
     return out.withColumns({"imputed": fill & F.col("__median").isNotNull(), "clean": F.when(fill, F.col("__median")).otherwise(F.col("y"))}).drop("__dow", "__seen", "__k", "__median")
 
 
-def validity_report(panel: DataFrame, factor: float = 10.0, examples: int = 10) -> DataFrame:
-    """Per series: negatives, and values above ``factor`` times the largest absolute value strictly before, with the first dates of each."""
+def validity_report(panel: DataFrame, cal: DataFrame, factor: float = 10.0, examples: int = 20) -> DataFrame:
+    """Per series, over business days: negatives, and values above ``factor`` times the largest absolute value before, with the first of each: dates, and date, value, prior maximum and ratio."""
+    rows = panel.where("y IS NOT NULL").join(F.broadcast(cal.where("is_bday = 1").select("ds")), "ds")
     before = F.max(F.abs("y")).over(by_series("ds").rowsBetween(Window.unboundedPreceding, -1))
-    rows = panel.withColumns({"neg": F.col("y") < 0, "jump": F.coalesce((before > 0) & (F.abs("y") > factor * before), F.lit(False))})
-    first = lambda c: F.slice(F.sort_array(F.collect_list(F.when(F.col(c), F.col("ds")))), 1, examples)
-    return rows.groupBy("series_id").agg(F.count_if("neg").alias("n_negative"), F.count_if("jump").alias("n_jumps"), first("neg").alias("negative_dates"), first("jump").alias("jump_dates"))
+    rows = rows.withColumn("before", before).withColumns({"neg": F.col("y") < 0, "jump": F.coalesce((F.col("before") > 0) & (F.col("y") > factor * F.col("before")), F.lit(False))})
+    # The first few of each are found by their place, so that no series' examples are gathered.
+    place = lambda c: F.when(F.col(c), F.sum(F.col(c).cast("int")).over(by_series("ds")))
+    rows = rows.withColumns({"n_neg": place("neg"), "n_jump": place("jump")})
+    first = lambda n, what: F.sort_array(F.collect_list(F.when(F.col(n) <= examples, what)))
+    jump = F.struct(F.col("ds").alias("date"), F.col("y").alias("value"), F.col("before").alias("prior_max"), (F.col("y") / F.col("before")).alias("ratio"))
+    return rows.groupBy("series_id").agg(F.count_if("neg").alias("n_negative"), first("n_neg", F.col("ds")).alias("negative_dates"), F.count_if("jump").alias("n_jumps"), first("n_jump", jump).alias("jumps"))
 
 
 def clip_mad(panel: DataFrame, k: float = 6.0) -> DataFrame:
@@ -77,15 +84,47 @@ def coverage_counters(panel: DataFrame) -> DataFrame:
     )
 
 
-def assertions(panel: DataFrame, cal: DataFrame) -> DataFrame:
-    """Violations by rule (0: holds): gaps in days, repeated days, weekend marks, holiday marks that aren't 0 or 1, values missing."""
-    rows = panel.join(F.broadcast(cal.select("ds", "is_weekend", "is_holiday")), "ds", "left")
-    gap = F.datediff("ds", F.lag("ds").over(by_series("ds")))
-    checked = rows.withColumns({"gap": gap}).agg(
-        F.count_if(F.col("gap") > 1).alias("daily_continuity"), F.count_if(F.col("gap") == 0).alias("repeated_days"), F.count_if((F.weekday("ds") >= 5) != (F.col("is_weekend") == 1)).alias("weekend_flag"),
-        F.count_if(~F.col("is_holiday").isin(0, 1)).alias("holiday_flag"), F.count_if(F.col("y").isNull()).alias("missing"),
-    )
-    return checked.unpivot([], ["daily_continuity", "repeated_days", "weekend_flag", "holiday_flag", "missing"], "rule", "violations")
+# Days that the movable feast makes holidays, and days near it that aren't.
+HOLIDAYS_KNOWN = ["2024-05-03", "2024-05-04", "2024-05-05", "2024-05-06", "2025-04-18", "2025-04-19", "2025-04-20", "2025-04-21", "2024-01-01", "2025-01-01"]
+WORKDAYS_KNOWN = ["2024-04-16", "2024-04-17", "2024-04-18", "2024-04-19"]
+
+
+@dataclasses.dataclass(frozen=True)
+class Rule:
+    """``violated`` must hold of ``allowed`` rows at most (of days, if ``by_day``) among those in ``scope``; both are SQL over ``series_id, ds, y, is_weekend, is_holiday, gap`` (days since the row before)."""
+
+    name: str
+    violated: str
+    scope: str = "true"
+    allowed: int = 0
+    by_day: bool = False
+
+
+def rules(holidays: list[str] | None = None, workdays: list[str] | None = None, missing_allowed: int = 0) -> list[Rule]:
+    """The rules that cleaned panels are held to; known days outside the panel say nothing."""
+    listed = lambda days: "ds IN (" + ", ".join(f"DATE '{d}'" for d in days) + ")" if days else "false"
+    business = "is_weekend = 0 AND is_holiday = 0"
+    return [
+        Rule("daily_continuity", "gap > 1"),
+        Rule("repeated_days", "gap = 0"),
+        Rule("weekend_flag", "is_weekend IS NULL OR (weekday(ds) >= 5) <> (is_weekend = 1)"),
+        Rule("holiday_flag", "is_holiday IS NULL OR is_holiday NOT IN (0, 1)"),
+        Rule("known_holidays", "coalesce(is_holiday, -1) <> 1", listed(HOLIDAYS_KNOWN if holidays is None else holidays)),
+        Rule("known_workdays", "coalesce(is_holiday, -1) <> 0", listed(WORKDAYS_KNOWN if workdays is None else workdays)),
+        Rule("missing_business_days", "y IS NULL", business, missing_allowed, by_day=True),
+        Rule("nonzero_other_days", "y <> 0", f"NOT ({business})"),
+    ]
+
+
+def assertions(rows: DataFrame, table: list[Rule] | None = None) -> DataFrame:
+    """``rule, violations, allowed, holds`` for each rule, by one aggregate over ``series_id, ds, y, is_weekend, is_holiday``."""
+    table = rules() if table is None else table
+    rows = rows.withColumn("gap", F.datediff("ds", F.lag("ds").over(by_series("ds"))))
+    broken = {r.name: F.expr(f"({r.scope}) AND ({r.violated})") for r in table}
+    counts = rows.agg(*[(F.count_distinct(F.when(broken[r.name], F.col("ds"))) if r.by_day else F.count_if(broken[r.name])).alias(r.name) for r in table])
+    allowed = F.create_map(*[x for r in table for x in (F.lit(r.name), F.lit(r.allowed))])
+    long = counts.unpivot([], [r.name for r in table], "rule", "violations").withColumn("allowed", allowed[F.col("rule")])
+    return long.withColumn("holds", F.col("violations") <= F.col("allowed"))
 
 
 def compare(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:

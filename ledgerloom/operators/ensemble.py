@@ -97,16 +97,16 @@ def model_checks(preds: DataFrame, most: int) -> DataFrame:
     return out.select(*KEYS, (F.col("n_leaks") > 0).alias("leaks"), (F.coalesce("__shift", F.lit(False)) | F.coalesce("is_copy", F.lit(False))).alias("shifted"))
 
 
-def family_summary(scores: DataFrame, families: dict[str, str], checks: DataFrame | None = None, quantile: tuple[str, ...] = ("quantile",)) -> DataFrame:
-    """Per family of models: count, best model, its skill and coverage, reasons against it and a verdict.
+def family_verdicts(scores: DataFrame, families: dict[str, str], checks: DataFrame | None = None, quantile: tuple[str, ...] = ("quantile",), trained: tuple[str, ...] = ("fitted", "quantile")) -> DataFrame:
+    """``series_id, horizon, family, n, best, best_skill, coverage, reasons, verdict``: a verdict where errors have one scale.
 
     :param checks: ``model_checks`` of the forecasts, with ``has_signal`` where the control was run.
 
     Best is the lowest MAE of models that aren't baselines. A family fails for
     a skill of its best below 5 (quantile families: a coverage outside 0.7 to
-    0.9 too), a leak, a target that shuffles as well as it is, or forecasts
-    that repeat the series. Without checks nothing has been verified, which
-    must not look like a pass.
+    0.9 too), a leak, forecasts that repeat the series, or, if it learns from
+    features, a target that shuffles as well as it is. Without checks nothing
+    has been verified, which must not look like a pass.
     """
     family = F.coalesce(F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col("model")], F.lit("other"))
     rows = scores.withColumn("family", family)
@@ -115,21 +115,44 @@ def family_summary(scores: DataFrame, families: dict[str, str], checks: DataFram
     for name in ("leaks", "shifted", "has_signal"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("boolean"))
-    order = F.struct(F.col("model").rlike("(?i)baseline"), "mae", "model", "series_id", "horizon")
+    order = F.struct(F.col("model").rlike("(?i)baseline"), "mae", "model")
     best = lambda c: F.min_by(c, order)
-    own = rows.groupBy("family").agg(
-        F.count("*").alias("n"), best("model").alias("best"), best("skill").alias("best_skill"), best("coverage").alias("coverage"), F.coalesce(F.bool_or("leaks"), F.lit(False)).alias("leaks"), F.coalesce(F.bool_or("shifted"), F.lit(False)).alias("shifted"), F.coalesce(~F.bool_or("has_signal"), F.lit(False)).alias("silent")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    own = rows.groupBy("series_id", "horizon", "family").agg(
+        F.count("*").alias("n"), best("model").alias("best"), best("skill").alias("best_skill"), best("coverage").alias("coverage"), some("leaks").alias("leaks"), some("shifted").alias("shifted"), F.coalesce(~F.bool_or("has_signal"), F.lit(False)).alias("silent")
     )
     covered = F.coalesce(F.col("coverage").between(0.7, 0.9), F.lit(False))
     failed = F.coalesce(F.col("best_skill") < 5, F.lit(True)) | (F.col("family").isin(*quantile) & ~covered)
-    reasons = F.array_compact(F.array(F.when(failed, "failed_quality"), F.when(F.col("leaks"), "leakage"), F.when(F.col("silent"), "no_signal"), F.when(F.col("shifted"), "persistence_like")))
+    reasons = F.array_compact(F.array(F.when(failed, "failed_quality"), F.when(F.col("leaks"), "leakage"), F.when(F.col("silent") & F.col("family").isin(*trained), "no_signal"), F.when(F.col("shifted"), "persistence_like")))
     verdict = F.when(F.col("reasons") != "", "fail").otherwise("pass" if checks is not None else "unverified")
     return own.withColumn("reasons", F.array_join(reasons, ",")).withColumn("verdict", verdict).drop("leaks", "shifted", "silent")
 
 
+#: Reasons against a family, in the order in which they are given.
+REASONS = ("failed_quality", "leakage", "no_signal", "persistence_like")
+
+
+def family_summary(scores: DataFrame, families: dict[str, str], checks: DataFrame | None = None, **more) -> DataFrame:
+    """``family, n, n_passed, best, best_skill, coverage, reasons, verdict``: how many series and horizons of a family pass (``family_verdicts``).
+
+    ``best`` is the model that is best most often (ties by name), ``best_skill``
+    the median skill of the best ones, ``coverage`` their mean, ``reasons`` how
+    often each was given. The verdict is ``pass`` where all pass, ``partial``
+    where some do, ``fail`` where none does, ``unverified`` without checks and reasons.
+    """
+    rows = family_verdicts(scores, families, checks, **more)
+    given = [F.count_if(F.array_contains(F.split("reasons", ","), r)) for r in REASONS]
+    out = rows.groupBy("family").agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == "pass").alias("n_passed"), F.count_if(F.col("verdict") == "fail").alias("__failed"), F.mode("best", True).alias("best"), F.median("best_skill").alias("best_skill"), F.avg("coverage").alias("coverage"),
+        F.array_join(F.array_compact(F.array(*[F.when(g > 0, F.concat(F.lit(f"{r}:"), g.cast("string"))) for r, g in zip(REASONS, given)])), ",").alias("reasons"),
+    )
+    verdict = F.when(F.col("__failed") == F.col("n"), "fail").when(F.col("n_passed") == F.col("n"), "pass").when((F.col("n_passed") > 0) | (F.col("__failed") > 0), "partial").otherwise("unverified")
+    return out.withColumn("verdict", verdict).drop("__failed")
+
+
 def best_by_run(preds: DataFrame) -> DataFrame:
     board = leaderboard(preds).where("rank > 0")
     return board.groupBy("series_id", "horizon").agg(F.min_by("model", F.struct("mae", "model")).alias("best"), F.min("mae").alias("mae"))
 
 
-__all__ = ["best_by_run", "ensembles", "family_summary", "interval_gate", "model_checks", "model_errors", "podium", "quality_gate", "recommend", "skill"]
+__all__ = ["best_by_run", "ensembles", "family_summary", "family_verdicts", "interval_gate", "model_checks", "model_errors", "podium", "quality_gate", "recommend", "skill"]

@@ -41,16 +41,15 @@ def shift_diagnostic(preds: DataFrame, most: int) -> DataFrame:
     """The shift with the least MAE and what it says, relative to the horizon.
 
     Shift 0 wins ties, then the earliest. ``ok``: within a step of 0;
-    ``persistence_like``: within a step of ``-h``; ``missing_lag_0``: within a
-    step of ``-(h + 1)``; ``backward``: before ``-h``; ``forward``: after 0;
-    any other is ``ok``. ``naive_equivalent``: the error lies within a tenth of
+    ``persistence_like``: ``-h``; ``missing_lag_0``: ``-(h + 1)``;
+    ``backward``: before that; ``forward``: after 0; any other is ``ok``. ``naive_equivalent``: the error lies within a tenth of
     that at shift ``-h``.
     """
     errors, h = shift_errors(preds, most), F.col("horizon")
     at = lambda k: F.max(F.when(F.col("shift") == k, F.col("mae")))
     best = errors.groupBy(*KEYS).agg(F.min_by("shift", F.struct("mae", F.col("shift") != 0, "shift")).alias("best_shift"), F.min("mae").alias("best_mae"), at(F.lit(0)).alias("mae_0"), at(-h).alias("mae_h"), at(-h - 1).alias("mae_h1"))
     s = F.col("best_shift")
-    kind = F.when(F.abs(s) <= 1, "ok").when(F.abs(s + h) <= 1, "persistence_like").when(F.abs(s + h + 1) <= 1, "missing_lag_0").when(s < -h, "backward").when(s > 0, "forward").otherwise("ok")
+    kind = F.when(F.abs(s) <= 1, "ok").when(s == -h, "persistence_like").when(s == -h - 1, "missing_lag_0").when(s < -h, "backward").when(s > 0, "forward").otherwise("ok")
     gain = F.when(F.col("mae_0") > 0, 100 * (F.col("mae_0") - F.col("best_mae")) / F.col("mae_0")).otherwise(0.0)
     close = F.abs(F.col("mae_0") - F.col("mae_h")) / F.greatest("mae_0", "mae_h", F.lit(1.0)) < 0.1
     return best.withColumns({"shift_class": kind, "improvement_pct": gain, "naive_equivalent": F.coalesce(close, F.lit(False))})

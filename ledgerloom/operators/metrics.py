@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import classify_kind
+
 EPS = 1e-9
 KEYS = ["series_id", "horizon", "model"]
 
@@ -23,13 +25,19 @@ def point() -> list[Column]:
     return [n.alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(spread > 0, 1 - F.sum(e * e) / spread).alias("r2")]
 
 
+def is_level(preds: DataFrame) -> Column:
+    """Whether a forecast is of a level: by ``kind``, which travels with forecasts, else by the series' name."""
+    kind = F.col("kind") if "kind" in preds.columns else classify_kind(F.col("series_id"))
+    return kind == "level"
+
+
 def percentage(level: Column | None = None) -> list[Column]:
-    """MAPE and sMAPE with a guard against 0; null for levels."""
+    """MAPE and sMAPE with a guard against 0; null for levels, whose zero is a convention."""
     e = F.abs(_error())
-    mape, smape = F.avg(e / F.greatest(F.abs("y_true"), F.lit(EPS))), F.avg(2 * e / (F.abs("y_true") + F.abs("y_pred") + EPS))
+    parts = [F.avg(e / F.greatest(F.abs("y_true"), F.lit(EPS))), F.avg(2 * e / (F.abs("y_true") + F.abs("y_pred") + EPS))]
     if level is not None:
-        mape = F.when(~F.max(level.cast("int")).cast("boolean"), mape)
-    return [(100 * mape).alias("mape"), (100 * smape).alias("smape")]
+        parts = [F.when(~F.coalesce(F.bool_or(level), F.lit(False)), p) for p in parts]
+    return [(100 * p).alias(n) for p, n in zip(parts, ("mape", "smape"))]
 
 
 def intervals() -> list[Column]:
@@ -51,23 +59,27 @@ def skill(model: str | Column, baseline: str | Column) -> Column:
 
 
 def monthly_tolerance(preds: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """Share of months whose sum is forecast within the tolerance."""
-    months = preds.groupBy(*KEYS, F.trunc("target_date", "month").alias("month")).agg(F.sum("y_true").alias("t"), F.sum("y_pred").alias("p"))
-    return months.groupBy(*KEYS).agg(F.avg((F.abs(F.col("p") - F.col("t")) <= tolerance * F.abs("t")).cast("double")).alias("monthly_tol10"))
+    """Share of months whose sum is forecast within the tolerance; of levels, whose last value is."""
+    level = F.bool_or(is_level(preds))
+    of = lambda c: F.when(level, F.max_by(c, "target_date")).otherwise(F.sum(c))
+    months = preds.groupBy(*KEYS, F.trunc("target_date", "month").alias("month")).agg(of("y_true").alias("t"), of("y_pred").alias("p"))
+    near = F.abs(F.col("p") - F.col("t")) / F.greatest(F.abs("t"), F.lit(EPS)) <= tolerance
+    return months.groupBy(*KEYS).agg(F.avg(near.cast("double")).alias("monthly_tol10"))
 
 
 def block(preds: DataFrame) -> DataFrame:
     """All scores of each series, horizon and model, with the skill over persistence."""
-    out = preds.groupBy(*KEYS).agg(*point(), *percentage(), *intervals(), *persistence())
+    out = preds.groupBy(*KEYS).agg(*point(), *percentage(is_level(preds)), *intervals(), *persistence())
     return out.withColumn("skill", skill("mae", "persistence_mae")).join(monthly_tolerance(preds), KEYS)
 
 
-def seasonal_naive(panel: DataFrame, season: int, horizon: int) -> DataFrame:
-    """MAE of the value one season before the target; null and flagged where season and horizon are equal (that is persistence)."""
-    before = F.lag("y", season).over(Window.partitionBy("series_id").orderBy("pos"))
-    out = panel.withColumn("__b", before).groupBy("series_id").agg(F.avg(F.abs(F.col("y") - F.col("__b"))).alias("mae"))
-    same = season == horizon
-    return out.select("series_id", (F.lit(None).cast("double") if same else F.col("mae")).alias("seasonal_naive_mae"), F.lit(same).alias("same_as_persistence"))
+def seasonal_naive(preds: DataFrame, season: int) -> DataFrame:
+    """MAE of the value ``season`` scored target dates before each, by series and horizon; null and flagged where season and horizon are equal (that is persistence)."""
+    once = preds.where("y_true IS NOT NULL").groupBy("series_id", "horizon", "target_date").agg(F.max("y_true").alias("y"))  # models share their targets
+    before = F.lag("y", season).over(Window.partitionBy("series_id", "horizon").orderBy("target_date"))
+    out = once.withColumn("__b", before).groupBy("series_id", "horizon").agg(F.avg(F.abs(F.col("y") - F.col("__b"))).alias("mae"), F.count("__b").alias("n"))
+    same = F.col("horizon") == season
+    return out.select("series_id", "horizon", F.when(~same, F.col("mae")).alias("seasonal_naive_mae"), F.when(~same, F.col("n")).alias("n"), same.alias("same_as_persistence"))
 
 
 def mase(preds: DataFrame, panel: DataFrame, train_end: str, season: int) -> DataFrame:

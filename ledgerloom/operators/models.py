@@ -237,13 +237,15 @@ def importances(panel: DataFrame, train_end, horizon: int, top: int = 10) -> Dat
     return table.withColumn("rank", place).where(F.col("rank") <= top)
 
 
-def signal_control(panel: DataFrame, train_end, horizon: int, seed: int = 5) -> DataFrame:
+def signal_control(panel: DataFrame, train_end, horizon: int, seed: int = 5, by: list[str] | None = None) -> DataFrame:
     """Whether features carry signal: error with a shuffled target over error with the true one, for a linear, a tree and a forest probe.
 
     The shuffle pairs the row numbers by position and by hash. A gap of
     ``horizon`` rows parts training and test. A ratio of 1.5 or more says
     signal; one of 20 or more is alarming, as a target that leaks looks so.
+    ``by``: columns (``series_id``) for each of which the ratio is told.
     """
+    by = by or []
     rows, names = supervised(panel, horizon)
     rows = rows.where("label IS NOT NULL")
     w = Window.partitionBy("series_id")
@@ -264,9 +266,9 @@ def signal_control(panel: DataFrame, train_end, horizon: int, seed: int = 5) ->
     train.unpersist()
     errors = None
     for (name, label), model in zip(cases, fitted):
-        own = model.transform(test.withColumn("label", F.col(label))).select(F.lit(name).alias("probe"), F.lit(label).alias("aim"), F.abs(F.col("label") - F.col("raw")).alias("e"))
+        own = model.transform(test.withColumn("label", F.col(label))).select(*by, F.lit(name).alias("probe"), F.lit(label).alias("aim"), F.abs(F.col("label") - F.col("raw")).alias("e"))
         errors = own if errors is None else errors.unionByName(own)
-    out = errors.groupBy("probe").agg(F.avg(F.when(F.col("aim") == "label", F.col("e"))).alias("mae_true"), F.avg(F.when(F.col("aim") == "shuffled", F.col("e"))).alias("mae_shuffled"))
+    out = errors.groupBy(*by, "probe").agg(F.avg(F.when(F.col("aim") == "label", F.col("e"))).alias("mae_true"), F.avg(F.when(F.col("aim") == "shuffled", F.col("e"))).alias("mae_shuffled"))
     ratio = F.when(F.col("mae_true") > 0, F.col("mae_shuffled") / F.col("mae_true")).otherwise(float("inf"))
     return out.withColumn("ratio", ratio).withColumns({"has_signal": F.col("ratio") >= 1.5, "alarm": F.col("ratio") >= 20})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,21 +104,17 @@ def daily_run(panel: DataFrame, horizon: int, since: str, out: str, params: dict
     board = metrics.leaderboard(preds)
     runlog.append_log(runlog.log_rows(board, params or {}), f"{out}/log")
     checks = ensemble.model_checks(preds, integrity.reach(horizon))
+    if folds:  # whether features tell anything, by series
+        signal = models.signal_control(panel, folds[0][1], horizon, by=["series_id"]).groupBy("series_id").agg(F.bool_or("has_signal").alias("has_signal"))
+        checks = checks.join(signal, "series_id", "left")
     return ensemble.family_summary(scores, FAMILIES | {f"ensemble_{n}": "ensemble" for n in ("median", "top", "weighted")}, checks)
 
 
-def report(summary: DataFrame, split: str = "", most: int = 50) -> str:
-    """The family summary as Markdown: a row for each family, those that fail struck through, and a bottom line."""
-    rows = summary.orderBy("family").limit(most).collect()
-    show = lambda v: "n/a" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
-    words = {"pass": "USABLE", "unverified": "UNVERIFIED"}
-    lines = ["# Backtest", *([f"Data split: {split}"] if split else []), "", "| family | models | best | skill | coverage | verdict |", "|---|---|---|---|---|---|"]
-    for r in rows:
-        best = f"~~{r['best']}~~" if r["verdict"] == "fail" else r["best"]
-        lines.append(f"| {r['family']} | {r['n']} | {best} | {show(r['best_skill'])} | {show(r['coverage'])} | {words.get(r['verdict'], 'NOT USABLE (' + r['reasons'].replace(',', '; ') + ')')} |")
-    named = lambda verdict: ", ".join(r["family"] for r in rows if r["verdict"] == verdict)
-    flags = lambda reason: sum(reason in r["reasons"].split(",") for r in rows)
-    lines += ["", f"- Passing the gate: {named('pass') or 'none'}"]
-    lines += [f"- Withheld: {named('fail')}"] if named("fail") else []
-    lines.append(f"- Flags: {flags('leakage')} leakage, {flags('persistence_like')} shift, {flags('failed_quality')} quality")
-    return "\n".join(lines)
+def report(summary: DataFrame, title: str = "Run") -> str:
+    """The family summary as a Markdown table, a row for each family with the summary's own columns, and how many families have each verdict."""
+    rows = [r.asDict() for r in summary.orderBy("family").collect()]  # a row for each family
+    show = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
+    lines = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
+    lines += ["| " + " | ".join(show(r[c]) for c in summary.columns) + " |" for r in rows]
+    counts = Counter(r["verdict"] for r in rows)
+    return "\n".join([*lines, "", ", ".join(f"{v}: {counts[v]}" for v in ("pass", "partial", "fail", "unverified"))])

@@ -130,11 +130,14 @@ def cleaning_variants(spark, sf_dir):
     return out.groupBy("variant", "series_id").agg(F.count("*").alias("n"), F.count("y").alias("n_known"), F.sum("y").alias("total"))
 
 
-@query("validity_report", """SELECT series_id, count(*) FILTER (y < 0) AS n_negative, count(*) FILTER (b > 0 AND abs(y) > 3 * b) AS n_jumps, CAST(min(CASE WHEN b > 0 AND abs(y) > 3 * b THEN ds END) AS VARCHAR) AS first_jump
-  FROM (SELECT *, max(abs(y)) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM panel) GROUP BY 1""", PANEL)
+@query("validity_report", """SELECT series_id, count(*) FILTER (y < 0) AS n_negative, count(*) FILTER (b > 0 AND y > 1.5 * b) AS n_jumps, string_agg(CAST(ds AS VARCHAR) || ' ' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(b AS BIGINT) AS VARCHAR), ';' ORDER BY ds) FILTER (jump AND nth <= 3) AS jumps
+  FROM (SELECT *, b > 0 AND y > 1.5 * b AS jump, count(*) FILTER (b > 0 AND y > 1.5 * b) OVER (PARTITION BY series_id ORDER BY ds) AS nth FROM (SELECT p.*, max(abs(y)) OVER (PARTITION BY series_id ORDER BY p.ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM moves p JOIN cal ON cal.ds = p.ds AND cal.is_bday = 1 WHERE y IS NOT NULL)) GROUP BY 1""", PANEL, "moves AS (SELECT series_id, ds, y - lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS y FROM panel)", CAL)
 def validity_report(spark, sf_dir):
-    out = clean.validity_report(order_panel(spark, sf_dir), 3.0)
-    return out.select("series_id", "n_negative", "n_jumps", F.get("jump_dates", F.lit(0)).cast("string").alias("first_jump"))
+    """Changes from day to day, which are of either sign; jumps over half as much again as any before, the first three."""
+    moves = pn.first_difference(order_panel(spark, sf_dir)).select("series_id", "ds", F.col("diff").alias("y"))
+    out = clean.validity_report(moves, cal_fn.calendar(spark, 1995, 2001), 1.5, 3)
+    shown = F.transform("jumps", lambda x: F.concat_ws(" ", x["date"].cast("string"), x["value"].cast("long").cast("string"), x["prior_max"].cast("long").cast("string")))
+    return out.select("series_id", "n_negative", "n_jumps", F.nullif(F.array_join(shown, ";"), F.lit("")).alias("jumps"))
 
 
 @query("clip_mad", """SELECT b.series_id, b.ds, round(greatest(least(y, CASE WHEN mad > 0 THEN med + 1.4826 * 6 * mad ELSE p99 END), CASE WHEN mad > 0 THEN med - 1.4826 * 6 * mad ELSE -p99 END), 4) AS clipped FROM biz b
@@ -149,10 +152,16 @@ def coverage_counters(spark, sf_dir):
     return clean.coverage_counters(pn.daily_reindex(order_panel(spark, sf_dir))).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("assertions", """SELECT 'daily_continuity' AS rule, count(*) FILTER (gap > 1) AS violations FROM g UNION ALL SELECT 'repeated_days', count(*) FILTER (gap = 0) FROM g UNION ALL SELECT 'weekend_flag', 0 FROM (SELECT 1)
-  UNION ALL SELECT 'holiday_flag', 0 FROM (SELECT 1) UNION ALL SELECT 'missing', count(*) FILTER (y IS NULL) FROM g""", PANEL, "g AS (SELECT *, ds - lag(ds) OVER (PARTITION BY series_id ORDER BY ds) AS gap FROM panel)")
+@query("assertions", """SELECT rule, violations, allowed, violations <= allowed AS holds FROM (SELECT 'daily_continuity' AS rule, count(*) FILTER (gap > 1) AS violations, 0 AS allowed FROM g UNION ALL SELECT 'repeated_days', count(*) FILTER (gap = 0), 0 FROM g
+  UNION ALL SELECT 'weekend_flag', count(*) FILTER (is_weekend IS NULL OR (isodow(ds) >= 6) <> (is_weekend = 1)), 0 FROM g UNION ALL SELECT 'holiday_flag', count(*) FILTER (is_holiday IS NULL OR is_holiday NOT IN (0, 1)), 0 FROM g
+  UNION ALL SELECT 'known_holidays', count(*) FILTER (is_holiday <> 1 AND ds IN (DATE '1996-04-14', DATE '2000-04-28', DATE '2000-05-01', DATE '1998-01-01', DATE '2000-06-01')), 0 FROM g UNION ALL SELECT 'known_workdays', count(*) FILTER (is_holiday <> 0 AND ds IN (DATE '2000-04-21', DATE '2000-04-24', DATE '1999-05-12')), 0 FROM g
+  UNION ALL SELECT 'missing_business_days', count(DISTINCT ds) FILTER (y IS NULL AND is_weekend = 0 AND is_holiday = 0), 100 FROM g UNION ALL SELECT 'nonzero_other_days', count(*) FILTER (y <> 0 AND NOT (is_weekend = 0 AND is_holiday = 0)), 0 FROM g)""", PANEL, DAYS, CAL,
+  "g AS (SELECT d.*, c.is_weekend, c.is_holiday, d.ds - lag(d.ds) OVER (PARTITION BY d.series_id ORDER BY d.ds) AS gap FROM daysp d LEFT JOIN cal c ON c.ds = d.ds)")
 def assertions(spark, sf_dir):
-    return clean.assertions(order_panel(spark, sf_dir), cal_fn.calendar(spark, 1995, 2001))
+    """Known days hold one of each sort that the calendar calls otherwise; orders come on all days of the week."""
+    flags = cal_fn.calendar(spark, 1995, 2001).select("ds", "is_weekend", "is_holiday")
+    rows = pn.daily_reindex(order_panel(spark, sf_dir)).join(F.broadcast(flags), "ds", "left")
+    return clean.assertions(rows, clean.rules(["1996-04-14", "2000-04-28", "2000-05-01", "1998-01-01", "2000-06-01"], ["2000-04-21", "2000-04-24", "1999-05-12"], 100))
 
 
 @query("compare_panels", """SELECT coalesce(a.series_id, b.series_id) AS series_id, count(*) FILTER (a.y IS NOT NULL AND b.y IS NOT NULL) AS n_common, count(*) FILTER ((a.y IS NULL) <> (b.y IS NULL)) AS n_one_side, max(abs(a.y - b.y)) AS max_diff, round(avg(abs(a.y - b.y)), 4) AS mean_diff,

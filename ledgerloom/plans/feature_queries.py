@@ -145,9 +145,10 @@ def one_step_backtest(spark, sf_dir):
 
 
 _MONTHLY = """mo AS (SELECT series_id, CAST(year(ds) AS INTEGER) AS year, CAST(month(ds) AS INTEGER) AS month, sum(y) AS total FROM biz GROUP BY 1, 2, 3),
-yr AS (SELECT series_id, year, sum(total) AS yt FROM mo GROUP BY 1, 2 HAVING count(*) = 12 AND sum(total) <> 0),
-mb AS (SELECT m.series_id, m.year, m.month, m.total, (SELECT avg(y.yt) * avg(p.total / y.yt) FROM mo p JOIN yr y ON y.series_id = p.series_id AND y.year = p.year WHERE p.series_id = m.series_id AND p.month = m.month AND p.year BETWEEN m.year - 3 AND m.year - 1) AS baseline,
-  (SELECT nullif(count(*), 0) FROM mo p JOIN yr y ON y.series_id = p.series_id AND y.year = p.year WHERE p.series_id = m.series_id AND p.month = m.month AND p.year BETWEEN m.year - 3 AND m.year - 1) AS n_years FROM mo m)"""
+yr AS (SELECT series_id, year, sum(total) AS yt FROM mo GROUP BY 1, 2 HAVING count(*) = 12),
+mb0 AS (SELECT m.series_id, m.year, m.month, m.total, count(y.yt) AS k, avg(y.yt) AS a, avg(CASE WHEN y.yt > 0 THEN p.total / y.yt END) AS s FROM mo m LEFT JOIN mo p ON p.series_id = m.series_id AND p.month = m.month AND p.year BETWEEN m.year - 3 AND m.year - 1
+  LEFT JOIN yr y ON y.series_id = p.series_id AND y.year = p.year GROUP BY 1, 2, 3, 4),
+mb AS (SELECT series_id, year, month, total, last_value(CASE WHEN k = 3 THEN a * s END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY year, month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS baseline, nullif(k, 0) AS n_years FROM mb0)"""
 
 
 @query("ops_monthly_baseline", "SELECT series_id, year, month, total, round(baseline, 2) AS baseline, n_years FROM mb", *BUSINESS, _MONTHLY)
@@ -171,6 +172,14 @@ def ops_daily_baseline(spark, sf_dir):
     return rounded(baselines.spread_month(panel, baselines.monthly_baseline(panel)), 2, "baseline")
 
 
+@query("ops_daily_average", """SELECT s.series_id, s.ds, s.y, round(m.baseline * CASE WHEN coalesce(t, 0) <> 0 THEN v / t ELSE 1.0 / n END, 2) AS baseline FROM (SELECT *, sum(v) OVER (PARTITION BY series_id, year(ds), month(ds)) AS t, count(*) OVER (PARTITION BY series_id, year(ds), month(ds)) AS n FROM
+  (SELECT b.series_id, b.ds, b.y, avg(o.y) AS v FROM biz b LEFT JOIN biz o ON o.series_id = b.series_id AND o.ds IN (CAST(b.ds - INTERVAL 1 YEAR AS DATE), CAST(b.ds - INTERVAL 2 YEAR AS DATE), CAST(b.ds - INTERVAL 3 YEAR AS DATE)) GROUP BY 1, 2, 3)) s
+  LEFT JOIN mb m ON m.series_id = s.series_id AND m.year = year(s.ds) AND m.month = month(s.ds)""", *BUSINESS, _MONTHLY)
+def ops_daily_average(spark, sf_dir):
+    panel = business_panel(spark, sf_dir)
+    return rounded(baselines.spread_month(panel, baselines.monthly_baseline(panel), method="average"), 2, "baseline")
+
+
 @query("iso_week_pivot", "SELECT CAST(weekofyear(ds) AS INTEGER) AS week, " + ", ".join(f"sum(y) FILTER (isodow(ds) = {k + 1}) AS d{k}" for k in range(5)) + " FROM biz GROUP BY 1", *BUSINESS)
 def iso_week_pivot(spark, sf_dir):
     rows = business_panel(spark, sf_dir).select(F.weekofyear("ds").alias("week"), F.concat(F.lit("d"), F.weekday("ds")).alias("d"), "y")

@@ -79,7 +79,7 @@ def _preds(series, shift):
     return rows.where("y_true IS NOT NULL AND y_pred IS NOT NULL").select("series_id", F.lit("m").alias("model"), F.lit(5).alias("horizon"), F.col("ds").alias("origin_date"), "target_date", F.col("y").alias("origin_value"), "y_true", "y_pred")
 
 
-@pytest.mark.parametrize("shift,kind", [(0, "ok"), (1, "ok"), (-1, "ok"), (-4, "persistence_like"), (-5, "persistence_like"), (-6, "persistence_like"), (-7, "missing_lag_0"), (-9, "backward"), (-2, "ok"), (3, "forward")])
+@pytest.mark.parametrize("shift,kind", [(0, "ok"), (1, "ok"), (-1, "ok"), (-4, "ok"), (-5, "persistence_like"), (-6, "missing_lag_0"), (-7, "backward"), (-9, "backward"), (-2, "ok"), (3, "forward")])
 def test_shift_classes(series, shift, kind):
     got = integrity.shift_diagnostic(_preds(series, shift), integrity.reach(5)).first()
     assert (got["best_shift"], got["shift_class"]) == (shift, kind)
@@ -175,10 +175,41 @@ def test_family_verdicts(spark):
     checks = scores.select("series_id", "horizon", "model", (F.col("model") == "leak").alias("leaks"), (F.col("model") == "copy").alias("shifted"), F.when(F.col("model") == "bad", False).alias("has_signal"))
     names = {"m": "fitted", "q": "quantile", "bad": "weak", "leak": "leaky", "copy": "lagged"}
     got = {r["family"]: (r["reasons"], r["verdict"]) for r in ensemble.family_summary(scores, names, checks).collect()}
-    assert got == {"fitted": ("", "pass"), "quantile": ("failed_quality", "fail"), "weak": ("failed_quality,no_signal", "fail"), "leaky": ("leakage", "fail"), "lagged": ("persistence_like", "fail")}
+    assert got == {"fitted": ("", "pass"), "quantile": ("failed_quality:1", "fail"), "weak": ("failed_quality:1", "fail"), "leaky": ("leakage:1", "fail"), "lagged": ("persistence_like:1", "fail")}
+    taught = {r["family"]: r["reasons"] for r in ensemble.family_verdicts(scores, names, checks, trained=("weak",)).collect()}
+    assert taught["weak"] == "failed_quality,no_signal"
     assert {r["family"]: r["verdict"] for r in ensemble.family_summary(scores, names).collect()}["fitted"] == "unverified"
     text = runs.report(ensemble.family_summary(scores, names, checks), "train to 1999")
-    assert "- Passing the gate: fitted" in text and "~~leak~~" in text and "1 leakage, 1 shift, 2 quality" in text and "Data split: train to 1999" in text
+    assert text.startswith("# train to 1999") and "| leaky | 1 | 0 | leak | 30.00 |  | leakage:1 | fail |" in text and text.endswith("pass: 1, partial: 0, fail: 4, unverified: 0")
+
+
+def test_verdicts_of_series_of_different_scale(spark):
+    """A small series doesn't decide for a large one, and one that fails doesn't fail the others."""
+    rows = [("small", 5, "m", 0.01, 40.0), ("small", 5, "n", 0.02, 30.0), ("large", 5, "m", 9e6, -3.0), ("large", 5, "n", 1e6, 20.0), ("third", 5, "m", 5.0, 1.0), ("third", 5, "n", 6.0, 0.5)]
+    scores = spark.createDataFrame([(*r, None) for r in rows], "series_id string, horizon int, model string, mae double, skill double, coverage double")
+    checks = scores.select("series_id", "horizon", "model", F.lit(False).alias("leaks"), F.lit(False).alias("shifted"))
+    own = {r["series_id"]: (r["best"], r["verdict"]) for r in ensemble.family_verdicts(scores, {"m": "f", "n": "f"}, checks).collect()}
+    assert own == {"small": ("m", "pass"), "large": ("n", "pass"), "third": ("m", "fail")}
+    s = ensemble.family_summary(scores, {"m": "f", "n": "f"}, checks).first()
+    assert (s["n"], s["n_passed"], s["best"], s["best_skill"], s["reasons"], s["verdict"]) == (3, 2, "m", 20.0, "failed_quality:1", "partial")
+
+
+def test_rules_find_what_is_planted(spark):
+    """Each rule counts its own violations, within a limit or beyond it."""
+    days = [date(2024, 4, 29) + timedelta(days=k) for k in range(14)]
+    holy = {date(2024, 5, k) for k in (1, 3, 4, 5, 6)}
+    good = [("a", d, 0.0 if d.weekday() > 4 or d in holy else 5.0, int(d.weekday() > 4), int(d in holy)) for d in days]
+    schema = "series_id string, ds date, y double, is_weekend int, is_holiday int"
+    count = lambda rows, **kw: {r["rule"]: (r["violations"], r["holds"]) for r in clean.assertions(spark.createDataFrame(rows, schema), clean.rules(**kw)).collect()}
+    assert all(v == (0, True) for v in count(good).values())
+    change = lambda at, k, v: [(*r[:k], v, *r[k + 1 :]) if r[1] == at else r for r in good]
+    for rows, rule in (
+        ([r for r in good if r[1] != days[1]], "daily_continuity"), ([*good, good[0]], "repeated_days"), (change(days[0], 3, 1), "weekend_flag"), (change(days[2], 4, 2), "holiday_flag"),
+        (change(date(2024, 5, 3), 4, 0), "known_holidays"), (change(days[1], 2, None), "missing_business_days"), (change(date(2024, 5, 5), 2, 7.0), "nonzero_other_days"),
+    ):
+        assert count(rows)[rule] == (1, False), rule
+    assert count(change(days[1], 4, 1), workdays=["2024-04-30"])["known_workdays"] == (1, False)
+    assert count(change(days[1], 2, None), missing_allowed=1)["missing_business_days"] == (1, True)
 
 
 def test_exact_ewma(spark):

@@ -22,6 +22,25 @@ def read_holdout(panel: DataFrame, first: str, last: str, reason: str | None, lo
     return panel.where(F.col("ds").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
+def check_documents(preds: DataFrame, panel: DataFrame, most: int, signal: DataFrame | None = None) -> DataFrame:
+    """All checks of a run, a nested document for each series (``runlog.REPORT``).
+
+    :param signal: ``series_id, has_signal`` of the control, if it was run.
+
+    A document lists a series' models and horizons, which are few, sorted.
+    """
+    keys = metrics.KEYS
+    shift = integrity.shift_diagnostic(preds, most).select(*keys, F.struct(F.col("best_shift").cast("int").alias("best"), F.col("shift_class").alias("class"), "naive_equivalent").alias("shift"))
+    copy = integrity.lagged_copy(preds).select(*keys, F.struct(F.col("best_shift").cast("int").alias("best"), "is_copy").alias("copy"))
+    checks = integrity.temporal_leaks(preds).join(shift, keys, "left").join(copy, keys, "left")
+    models_of = checks.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("model", F.col("horizon").cast("int").alias("horizon"), "shift", "copy", "n_leaks"))).alias("models"))
+    faulty = F.col("fault") != "ok"
+    at = integrity.alignment(preds, panel).groupBy("series_id").agg(F.struct(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(faulty, F.col("n"))), F.lit(0).cast("long")).alias("faulty"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("examples")))).alias("examples")).alias("aligned"))
+    out = models_of.join(at, "series_id", "left")
+    out = out.withColumn("has_signal", F.lit(None).cast("boolean")) if signal is None else out.join(signal.select("series_id", "has_signal"), "series_id", "left")
+    return out.select("series_id", "aligned", "has_signal", "models")
+
+
 def first_columns(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Keys and the first ``n`` other columns."""
     return rows.select(*keys, *[c for c in rows.columns if c not in keys][:n])
@@ -104,9 +123,11 @@ def daily_run(panel: DataFrame, horizon: int, since: str, out: str, params: dict
     board = metrics.leaderboard(preds)
     runlog.append_log(runlog.log_rows(board, params or {}), f"{out}/log")
     checks = ensemble.model_checks(preds, integrity.reach(horizon))
+    signal = None
     if folds:  # whether features tell anything, by series
         signal = models.signal_control(panel, folds[0][1], horizon, by=["series_id"]).groupBy("series_id").agg(F.bool_or("has_signal").alias("has_signal"))
         checks = checks.join(signal, "series_id", "left")
+    runlog.write_report(check_documents(preds, panel, integrity.reach(horizon), signal), f"{out}/checks")
     return ensemble.family_summary(scores, FAMILIES | {f"ensemble_{n}": "ensemble" for n in ("median", "top", "weighted")}, checks)
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import baselines, metrics
+from ..functions import calendar as cal_fn
+from ..operators import baselines, clean, integrity, metrics, runs
 from ..operators.panel import holiday_flag
-from ..sources import ledger, runlog
+from ..sources import guard, ledger, runlog
 from ..streaming import rollup
 from .feature_queries import _MONTHLY, _SPREAD, rounded
-from .forecast_queries import _OPS
-from .registry import BUSINESS, CAL, FORECASTS, PANEL, business_panel, forecasts, order_panel, query, table, work_folder
+from .cleaning_queries import _RAW
+from .forecast_queries import _BY, _COPIES, _DIAGNOSED, _OPS, _SHIFT
+from .registry import BUSINESS, CAL, DAYS, FORECASTS, PANEL, business_panel, forecasts, order_panel, query, table, work_folder
 
 
 @query("wide_ledger", "SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, sum(round(o_totalprice)) AS y FROM orders GROUP BY 1, 2")
@@ -116,11 +118,52 @@ def experiment_log(spark, sf_dir):
     return spark.read.parquet(path).groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("model").alias("n_models"))
 
 
-@query("integrity_report", "SELECT series_id, count(*) AS n FROM preds GROUP BY 1", *FORECASTS)
+@query("integrity_report", f"""SELECT d.series_id, d.model, d.horizon, d.best_shift, d.shift_class, d.naive_equivalent, c.best_shift AS copy_shift, c.is_copy, l.n_leaks, a.n AS n_aligned, a.faulty AS n_faulty FROM diagnosed d LEFT JOIN copies c ON c.series_id = d.series_id AND c.model = d.model AND c.horizon = d.horizon
+  JOIN (SELECT {_BY}, count(*) FILTER (origin_date >= target_date) AS n_leaks FROM preds GROUP BY 1, 2, 3) l ON l.series_id = d.series_id AND l.model = d.model AND l.horizon = d.horizon
+  JOIN (SELECT p.series_id, count(*) AS n, count(*) FILTER (t.pos IS DISTINCT FROM o.pos + p.horizon) AS faulty FROM preds p LEFT JOIN biz o ON o.series_id = p.series_id AND o.ds = p.origin_date LEFT JOIN biz t ON t.series_id = p.series_id AND t.ds = p.target_date GROUP BY 1) a ON a.series_id = d.series_id""", *FORECASTS, _SHIFT, _DIAGNOSED, _COPIES)
 def integrity_report(spark, sf_dir):
+    """All checks of all models as a nested JSON document for each series, written, read back and laid flat."""
     path = work_folder(spark) + "/report"
-    runlog.write_report(forecasts(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("n")), path)
-    return spark.read.schema("series_id string, n long").json(path)
+    runlog.write_report(runs.check_documents(forecasts(spark, sf_dir), business_panel(spark, sf_dir), integrity.reach(5)), path)
+    rows = runlog.read_report(spark, path).select("series_id", "aligned", F.explode("models").alias("m"))
+    return rows.select("series_id", "m.model", "m.horizon", F.col("m.shift.best").alias("best_shift"), F.col("m.shift.class").alias("shift_class"), "m.shift.naive_equivalent", F.col("m.copy.best").alias("copy_shift"), "m.copy.is_copy", "m.n_leaks", F.col("aligned.n").alias("n_aligned"), F.col("aligned.faulty").alias("n_faulty"))
+
+
+@query("variant_files", """SELECT v.variant, v.series_id, count(*) AS n, sum(v.y) AS total, count(*) FILTER (place <= 40) AS n_shown, min(v.ds) FILTER (place <= 40) AS first_shown FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY series_id, ds) AS place FROM (
+  SELECT 'raw' AS variant, series_id, ds, y FROM rawp UNION ALL SELECT 'conservative', series_id, ds, coalesce(y, 0.0) FROM daysp
+  UNION ALL SELECT 'treasury', r.series_id, r.ds, CASE WHEN i.ds IS NULL THEN r.y ELSE i.med END FROM rawp r LEFT JOIN imp i ON i.series_id = r.series_id AND i.ds = r.ds)) v GROUP BY 1, 2""", PANEL, DAYS, CAL, _RAW)
+def variant_files(spark, sf_dir):
+    """The three cleaned variants as files, and their previews: what is read back."""
+    path = work_folder(spark) + "/cleaned"
+    runlog.write_variants(clean.variants(order_panel(spark, sf_dir), cal_fn.calendar(spark, 1995, 2001)), path, 40)
+    shown = runlog.read_preview(spark, path).groupBy("variant", "series_id").agg(F.count("*").alias("n_shown"), F.min("ds").alias("first_shown"))
+    data = runlog.read_variants(spark, path).groupBy("variant", "series_id").agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+    return data.join(shown, ["variant", "series_id"], "left").withColumn("n_shown", F.coalesce("n_shown", F.lit(0))).select("variant", "series_id", "n", "total", "n_shown", "first_shown")
+
+
+#: Held back from everything but a final score.
+LOCKED = [("2001-01-01", "2001-12-31")]
+
+
+@query("unlocked_orders", "SELECT o_orderpriority AS series_id, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, sum(round(o_totalprice)) AS total FROM orders WHERE o_orderdate < DATE '2001-01-01' OR o_orderdate >= DATE '2002-01-01' GROUP BY 1, 2")
+def unlocked_orders(spark, sf_dir):
+    """What is read without a reason: no order of the locked year."""
+    rows = guard.read(spark, f"{sf_dir}/orders.parquet", "o_orderdate", LOCKED)
+    return rows.groupBy(F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice")).alias("total"))
+
+
+@query("logged_holdout_read", "SELECT '2001-01-01' AS first, '2001-12-31' AS last, 'final score' AS reason, count(*) AS n, sum(round(o_totalprice)) AS total FROM orders WHERE o_orderdate >= DATE '2001-01-01' AND o_orderdate < DATE '2002-01-01'")
+def logged_holdout_read(spark, sf_dir):
+    """A window that is refused without a reason, read with one: the log's entry beside what was read."""
+    log, path = work_folder(spark) + "/reads", f"{sf_dir}/orders.parquet"
+    try:
+        guard.read(spark, path, "o_orderdate", LOCKED, LOCKED[0])
+        raise AssertionError("a locked window was read without a reason")
+    except guard.LockedWindow:
+        rows = guard.read(spark, path, "o_orderdate", LOCKED, LOCKED[0], "final score", log)
+    found = rows.agg(F.lit("final score").alias("reason"), F.count("*").alias("n"), F.sum(F.round("o_totalprice")).alias("total"))
+    entry = guard.reads(spark, log).select(F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "reason")
+    return entry.join(found, "reason").select("first", "last", "reason", "n", "total")
 
 
 @query("provenance")

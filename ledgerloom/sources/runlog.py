@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG = "run_id string, target string, model string, horizon int, mae double, skill double, params map<string,string>, note string"
@@ -18,9 +18,37 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def preview(rows: DataFrame, n: int = 500) -> DataFrame:
+    """The first rows by all their columns, the same whatever order they are read in."""
     return rows.orderBy(*rows.columns).limit(n)
 
 
+def write_variants(variants: DataFrame, path: str, shown: int = 500) -> None:
+    """The cleaned data by variant (``data``, in a folder for each), and the first rows of each as one CSV file (``preview``)."""
+    write_table(variants, f"{path}/data", "variant")
+    place = F.row_number().over(Window.partitionBy("variant").orderBy("series_id", "ds"))
+    first = variants.withColumn("place", place).where(F.col("place") <= shown)  # a few from each task, as Spark pushes the limit below the shuffle
+    first.orderBy("variant", "place").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/preview")
+
+
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """``series_id, ds, y, is_reported, variant``."""
+    return spark.read.schema("series_id string, ds date, y double, is_reported boolean, variant string").parquet(f"{path}/data")
+
+
+def read_preview(spark: SparkSession, path: str) -> DataFrame:
+    """``variant, series_id, ds, y, is_reported, place``."""
+    return spark.read.schema("variant string, series_id string, ds date, y double, is_reported boolean, place int").option("header", True).csv(f"{path}/preview")
+
+
+#: A document for each series: how its forecasts are aligned, whether features tell anything, and the checks of each model.
+REPORT = """series_id string, aligned struct<n: long, faulty: long, examples: array<date>>, has_signal boolean,
+  models array<struct<model: string, horizon: int, shift: struct<best: int, class: string, naive_equivalent: boolean>, copy: struct<best: int, is_copy: boolean>, n_leaks: long>>"""
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT).json(path)
+
+
 def log_rows(scores: DataFrame, params: dict[str, str], note: str = "") -> DataFrame:
     """Rows for the log; ``run_id`` is a hash of all that describes the run."""
     given = F.create_map(*[F.lit(str(x)) for kv in sorted(params.items()) for x in kv]) if params else F.create_map().cast("map<string,string>")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baselines, ensemble, folds, integrity, metrics, panel as pn
@@ -166,6 +169,20 @@ def model_heatmap(spark, sf_dir):
     return rounded(wide.join(spread, "model"), 3, "urgent", "low", "p05", "p95")
 
 
+_HEAT = "heat AS (SELECT series_id, h, model, avg(abs(y_true - y_pred)) AS mae FROM (" + " UNION ALL ".join(f"SELECT series_id, {h} AS h, m.model, t AS y_true, CASE m.model WHEN 'naive_last' THEN y ELSE ma END AS y_pred FROM (SELECT series_id, y, lead(y, {h}) OVER w AS t, lead(ds, {h}) OVER w AS td, avg(y) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS ma FROM biz WINDOW w AS (PARTITION BY series_id ORDER BY pos)), (VALUES ('naive_last'), ('moving_average_20')) m(model) WHERE t IS NOT NULL AND td >= DATE '1999-01-01'" for h in (1, 5, 20)) + ") GROUP BY 1, 2, 3)"
+
+
+@query("horizon_heatmap", "SELECT model, " + ", ".join(f"round(avg(mae) FILTER (h = {h}), 3) AS h{h}" for h in (1, 5, 20)) + ", round(quantile_cont(mae, 0.05), 3) AS p05, round(quantile_cont(mae, 0.95), 3) AS p95 FROM heat GROUP BY 1", *BUSINESS, _HEAT)
+def horizon_heatmap(spark, sf_dir):
+    """Mean error by model and horizon, and the range of a model's cells."""
+    panel, horizons = business_panel(spark, sf_dir), [1, 5, 20]
+    preds = reduce(DataFrame.unionByName, [baselines.window_forecasts(panel, h) for h in horizons]).where("model <> 'weekday_mean' AND target_date >= DATE '1999-01-01'")
+    errors = ensemble.model_errors(preds)
+    wide = metrics.heatmap(errors, "mae", horizons).toDF("model", *[f"h{h}" for h in horizons])
+    spread = errors.groupBy("model").agg(F.percentile("mae", F.lit(0.05)).alias("p05"), F.percentile("mae", F.lit(0.95)).alias("p95"))
+    return rounded(wide.join(spread, "model"), 3, *[f"h{h}" for h in horizons], "p05", "p95")
+
+
 @query("history_context", """SELECT b.series_id, b.ds, b.y FROM biz b JOIN (SELECT series_id, min(target_date) AS f FROM preds GROUP BY 1) m ON m.series_id = b.series_id WHERE b.ds < m.f AND b.ds >= m.f - 60""", *FORECASTS)
 def history_context(spark, sf_dir):
     return baselines.history_before(business_panel(spark, sf_dir), forecasts(spark, sf_dir), 60)

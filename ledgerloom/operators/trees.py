@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import work_folder
+from .work import forget, work_folder
 
 #: Bins of a feature beside the one for nulls, which is the first.
 BINS = 63
@@ -155,7 +155,9 @@ def stored(rows: DataFrame, n: int | None = None) -> DataFrame:
     """``rows`` as a table in the shared folder, in partitions of about ``ROWS`` rows if their number is told."""
     path = work_folder(rows.sparkSession)
     (rows if n is None else rows.repartition(max(1, -(-n // ROWS)))).write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def boost(table: DataFrame, features: int, weight_bits: list[int], quantiles: list[float], rounds: int, rate: float, depth: int, least: float) -> tuple[np.ndarray, list[Trees]]:
@@ -223,7 +225,9 @@ def boost(table: DataFrame, features: int, weight_bits: list[int], quantiles: li
                     now, size = margins(batch, x, done).tobytes(), 8 * models
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([now[i * size : (i + 1) * size] for i in range(len(x))], pa.binary())], names=["x", "label", "fits", "margins"])
 
-            table, recent = stored(table.mapInArrow(move, table.schema)), []
+            before, table, recent = table, stored(table.mapInArrow(move, table.schema)), []
+            forget(before)  # not the caller's, which the first round reads
+    forget(table)
     return start, made
 
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored_bytes, unused
@@ -183,9 +183,11 @@ class ShardStore:
         if not placed:
             return rows
         own = ["run", "tier", "version"]
-        at = self.spark.createDataFrame([(r["run"], place, r["tier"]) for place, r in enumerate(live)], "of string, run long, tier int")
         found, place, of = (unused(rows, x) for x in ("__run", "__at", "__of"))
-        at = at.select(F.struct("run", "tier").alias(place), F.col("of").alias(of))
+        # The manifest has a row for each run; read from its file, Spark knows its size and broadcasts it while it is small.
+        at = self.spark.read.schema(MANIFEST).json(f"{self.root}/manifests/v{version:08d}")
+        nth = (F.row_number().over(Window.orderBy("run")) - 1).cast("long")
+        at = at.select(F.col("run").alias(of), F.struct(nth.alias("run"), "tier").alias(place))
         kept = [c for c in rows.columns if c not in own]
         rows = rows.withColumn(found, F.regexp_extract(F.col("_metadata.file_path"), "/runs/(.+)/[^/]+$", 1)).join(at, F.col(found) == F.col(of))
         return rows.select(*kept, F.col(f"{place}.run").alias("run"), F.col(f"{place}.tier").alias("tier"), F.lit(version).cast("long").alias("version"))

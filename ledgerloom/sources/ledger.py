@@ -12,6 +12,8 @@ from ..operators.panel import bucket_end
 # Names under which dates and values are found, exact first, then contained.
 DATE_NAMES = ["date", "ds", "day", "orderdate", "shipdate", "timestamp", "ts", "datum", "fecha", "дата"]
 VALUE_NAMES = ["balance", "value", "amount", "price", "y", "betrag", "importe", "сумма"]
+#: Names of columns that tell rows or other tables' rows apart.
+KEY_PATTERN = r"(key|(^|_)id)$"
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -66,13 +68,46 @@ def date_shares(rows: DataFrame, order: str) -> DataFrame:
     return long.withColumn("score", F.when(F.col("parsed") >= 0.6, 0.7 * F.col("parsed") + 0.3 * F.coalesce("rising", F.lit(0.0))))
 
 
+def percentiles(rows: DataFrame, columns: list[str], q: float, width: float = 2e-4) -> dict[str, float | None]:
+    """Exact percentile of each column, interpolated between ranks; None for a column of nulls.
+
+    A sketch tells bounds that hold it, rows below them are counted, and only
+    the values between them are taken exactly, so no task holds a column. Where the
+    ranks lie outside the bounds after all, these are widened tenfold.
+    """
+    todo, out = list(columns), dict.fromkeys(columns)
+    while todo:
+        steps = F.array(F.lit(max(0.0, q - width)), F.lit(min(1.0, q + width)))
+        found = rows.agg(*[x for i, c in enumerate(todo) for x in (F.count(c).alias(f"n{i}"), F.percentile_approx(c, steps, F.lit(10_000)).alias(f"at{i}"))]).first()
+        bounds = {c: (found[f"n{i}"], *found[f"at{i}"]) for i, c in enumerate(todo) if found[f"n{i}"]}
+        if width >= 1:  # all of it
+            bounds = {c: (n, float("-inf"), float("nan")) for c, (n, _, _) in bounds.items()}  # NaN is the largest
+        if not bounds:
+            break
+        inside = {c: F.col(c).between(F.lit(lo), F.lit(hi)) for c, (_, lo, hi) in bounds.items()}
+        counts = rows.agg(*[x for i, (c, (_, lo, _)) in enumerate(bounds.items()) for x in (F.count(F.when(F.col(c) < F.lit(lo), 1)).alias(f"below{i}"), F.count(F.when(inside[c], 1)).alias(f"in{i}"))]).first()
+        place = {c: (q * (n - 1) - counts[f"below{i}"], counts[f"in{i}"] - 1) for i, (c, (n, _, _)) in enumerate(bounds.items())}
+        held = {c: at / most if most else 0.0 for c, (at, most) in place.items() if 0 <= at <= most}
+        if held:
+            exact = rows.agg(*[F.percentile(F.when(inside[c], F.col(c)), F.lit(p)).alias(f"p{i}") for i, (c, p) in enumerate(held.items())]).first()
+            out |= {c: exact[f"p{i}"] for i, c in enumerate(held)}
+        todo, width = [c for c in bounds if c not in held], 10 * width
+    return out
+
+
 def value_shares(rows: DataFrame, least: float = 0.6) -> DataFrame:
-    """Of each column: share that reads as a number and the 90th percentile of absolute values; ``rank`` 1 is the guess."""
+    """Of each column: share that reads as a number and the 90th percentile of absolute values; ``rank`` 1 is the guess.
+
+    Columns named as keys come after other numeric ones: a key grows with the table, whatever the amounts are.
+    """
     columns = rows.columns
-    number = {c: F.expr(f"try_cast(cast(`{c}` AS string) AS double)") for c in columns}
-    one = rows.agg(*[F.struct(F.avg(x.isNotNull().cast("int")).alias("numeric"), F.percentile(F.abs(x), F.lit(0.9)).alias("p90")).alias(c) for c, x in number.items()])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`.numeric").alias("numeric"), F.col(f"`{c}`.p90").alias("p90")) for c in columns])).alias("x")).select("x.*")
-    place = F.row_number().over(Window.orderBy((F.col("numeric") >= least).desc(), F.col("p90").desc_nulls_last(), "column"))
+    own = [f"__v{i}" for i in range(len(columns))]
+    numbers = rows.select(*[F.abs(F.expr(f"try_cast(cast(`{c}` AS string) AS double)")).alias(v) for c, v in zip(columns, own)])
+    share = numbers.agg(*[F.avg(F.col(v).isNotNull().cast("int")).alias(v) for v in own])
+    p90 = percentiles(numbers, own, 0.9)
+    cells = [F.struct(F.lit(c).alias("column"), F.col(v).alias("numeric"), F.lit(p90[v]).cast("double").alias("p90")) for c, v in zip(columns, own)]
+    long = share.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    place = F.row_number().over(Window.orderBy((F.col("numeric") >= least).desc(), F.lower("column").rlike(KEY_PATTERN), F.col("p90").desc_nulls_last(), "column"))
     return long.withColumn("rank", place)
 
 

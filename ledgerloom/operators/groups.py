@@ -120,21 +120,25 @@ def ablation(panel: DataFrame, cal: DataFrame, folds: list[tuple], horizon: int,
 
     ``folds``: ``(fold_id, train_end, eval_start, eval_end)``. Everything that is
     chosen or fitted is so on the fold's training rows. A column without a value in them is left out.
+    The rows with their groups and each fold's rows are stored once; every fit reads those.
     """
     groups, blocks = list(GROUPS) if groups is None else groups, blocks or {}
+    panel = models.kept(panel)
     plain, names = models.supervised(panel, horizon)
     rows, made = with_groups(plain.where("label IS NOT NULL"), panel, cal, groups)
-    out = []
+    rows, out = models.kept(rows), []
     for fold_id, train_end, start, end in folds:
-        train, scored = models.parted(rows, train_end, start, end)
+        learnt, inside = models.parts_of(rows, train_end, start, end)
+        both = rows.withColumns({"__train": learnt, "__scored": inside}).where("__train OR __scored")
         own = {"nothing": [], **made, **({"all groups": [c for g in groups for c in made[g]]} if len(groups) > 1 else {})}
         for name, block in blocks.items():
             table, columns = exogenous(panel, block, train_end, top, lags)
             table = table.select(F.col("series_id").alias("__s"), F.col("ds").alias("__d"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
             at = (F.col("series_id") == F.col("__s")) & (F.col("origin_date") == F.col("__d"))
-            train, scored = (x.join(table, at, "left").drop("__s", "__d") for x in (train, scored))
+            both = both.join(table, at, "left").drop("__s", "__d")
             own[f"block {name}"] = [f"{name}_{c}" for c in columns]
-        train, scored = train.persist(), scored.persist()
+        both = models.kept(both) if blocks else both
+        train, scored = both.where("__train"), both.where("__scored")
         every = sorted({c for cols in own.values() for c in cols})
         there = train.agg(*[F.count(c).alias(c) for c in every]).first() if every else {}
         cases = {k: [*names, *[c for c in cols if there[c]]] for k, cols in own.items()}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from . import folds, rolling, trees
 from .panel import by_series
 from .rolling import REGISTRY, ROLLING
+from .work import forget
 
 LAGS, WINDOWS = [1, 2, 5, 10, 20], [5, 20]
 #: Features that series are hashed to, however many there are.
@@ -72,11 +73,25 @@ def together(work: list[Callable]) -> list:
         return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(lambda f: f()), work)
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written once, in partitions of about ``trees.ROWS`` rows, so that no fit makes them again from the tables they come from."""
+    once = trees.stored(rows)
+    out = trees.stored(once, once.count())
+    forget(once)
+    return out
+
+
+def parts_of(rows: DataFrame, train_end, start, end) -> tuple[Column, Column]:
+    """Which rows are trained on and which are scored: labels end before the first scored origin."""
+    inside = F.col("target_date").between(F.lit(start), F.lit(end))
+    first = rows.where(inside).agg(F.min("origin_date")).first()[0]
+    return F.col("target_date") <= F.lit(min(train_end, first) if first is not None else train_end), inside
+
+
 def parted(rows: DataFrame, train_end, start, end) -> tuple[DataFrame, DataFrame]:
-    """Training and scored rows: labels end before the first scored origin."""
-    scored = rows.where(F.col("target_date").between(F.lit(start), F.lit(end)))
-    first = scored.agg(F.min("origin_date")).first()[0]
-    return rows.where(F.col("target_date") <= F.lit(min(train_end, first) if first is not None else train_end)), scored
+    """Training and scored rows."""
+    learnt, inside = parts_of(rows, train_end, start, end)
+    return rows.where(learnt), rows.where(inside)
 
 
 SCORED = ["series_id", "origin_date", "target_date", "origin_value", "y_true"]
@@ -86,15 +101,15 @@ def fold_forecasts(panel: DataFrame, folds: list[tuple], horizon: int, models: l
     """Forecasts of each model for each fold's evaluation range: fitted once per fold, all origins scored in one pass.
 
     ``folds``: ``(fold_id, train_end, eval_start, eval_end)``. Training labels
-    end before the first scored origin, so nothing known later is learnt. A
-    fold's training rows are kept while its models are fitted, and released.
+    end before the first scored origin, so nothing known later is learnt.
+    Features are stored once, and a fold's training rows are kept while its models are fitted, and released.
     """
     rows, names = supervised(panel, horizon, delta)
-    rows = rows.where("label IS NOT NULL")
+    rows = kept(rows.where("label IS NOT NULL"))
     made, out = estimators(), None
     for fold_id, train_end, start, end in folds:
         train, scored = parted(rows, train_end, start, end)
-        train = train.persist()
+        train = train.select("series_id", "label", *names).persist()
         fitted = together([lambda name=name: pipeline(names, made[name]).fit(train) for name in models])
         train.unpersist()
         value = F.col("raw") + F.col("y") if delta else F.col("raw")

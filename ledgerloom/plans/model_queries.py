@@ -17,6 +17,11 @@ from .registry import BUSINESS, FORECASTS, HORIZON, business_panel, query, work_
 TRAIN_END = date(1999, 12, 31)
 
 
+def stored_panel(spark, sf_dir):
+    """The business panel, written once: what is fitted reads its panel many times, and the orders only here."""
+    return models.kept(business_panel(spark, sf_dir))
+
+
 def yearly(panel):
     """``(fold_id, train_end, eval_start, eval_end)`` of all yearly folds over the panel's series: a row for each year."""
     own = folds.yearly_folds(panel).groupBy("fold_id").agg(F.max("train_end").alias("t"), F.min("eval_start").alias("a"), F.max("eval_end").alias("b"))
@@ -24,7 +29,7 @@ def yearly(panel):
 
 
 def fitted(spark, sf_dir, names, **more):
-    panel = business_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir)
     return models.fold_forecasts(panel, yearly(panel), HORIZON, names, **more)
 
 
@@ -66,19 +71,19 @@ def residual_bands(spark, sf_dir):
 
 @query("quantile_forest")
 def quantile_forest(spark, sf_dir):
-    panel = business_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir)
     return models.quantile_forest_folds(panel, yearly(panel), HORIZON)
 
 
 @query("boosted_quantiles")
 def boosted_quantiles(spark, sf_dir):
-    panel = business_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir)
     return models.boosted_quantile_folds(panel, yearly(panel), HORIZON)
 
 
 @query("out_of_bag_bands")
 def out_of_bag_bands(spark, sf_dir):
-    panel = business_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir)
     return models.out_of_bag_band_folds(panel, yearly(panel), HORIZON)
 
 
@@ -143,14 +148,14 @@ def scaler_statistics(spark, sf_dir):
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    panel = business_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir)
     return by_fold(panel, lambda *dates: runs.ablation(panel, *dates, HORIZON))
 
 
 @query("group_ablation")
 def group_ablation(spark, sf_dir):
     """Groups A to E, and two exogenous blocks: the other order priorities, and the urgent ones."""
-    panel = business_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir)
     names = sorted(r["series_id"] for r in panel.select("series_id").distinct().collect())  # a row for each series of this panel
     return groups.ablation(panel, cal_fn.calendar(spark, 1995, 2001), yearly(panel), HORIZON, blocks={"cross": names, "urgent": names[:2]})
 
@@ -160,14 +165,14 @@ def group_ablation(spark, sf_dir):
        "c AS (SELECT series_id, x, row_number() OVER (PARTITION BY series_id ORDER BY abs(r) DESC NULLS LAST, x) AS place FROM (SELECT a.series_id, b.series_id AS x, corr(a.y, b.y) AS r FROM biz a JOIN biz b ON a.ds = b.ds AND a.series_id <> b.series_id WHERE a.ds <= DATE '1999-12-31' GROUP BY 1, 2))",
        "l AS (SELECT series_id, ds, lag(y, 1) OVER w AS l1, lag(y, 5) OVER w AS l5 FROM biz WINDOW w AS (PARTITION BY series_id ORDER BY pos))")
 def exogenous_block(spark, sf_dir):
-    panel = business_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir)
     names = [r["series_id"] for r in panel.select("series_id").distinct().collect()]
     return groups.exogenous(panel, names, TRAIN_END, top=2)[0]
 
 
 @query("daily_run")
 def daily_run(spark, sf_dir):
-    panel, since = business_panel(spark, sf_dir), date(2001, 1, 1)
+    panel, since = stored_panel(spark, sf_dir), date(2001, 1, 1)
     current = [f for f in yearly(panel) if f[3] >= since]
     return runs.daily_run(panel, HORIZON, since.isoformat(), work_folder(spark), {"horizon": str(HORIZON)}, current)
 

@@ -25,6 +25,8 @@ BINS = 63
 WRITTEN_EVERY = 10
 #: Rows for each partition of the binned table, about.
 ROWS = 200_000
+#: Partial sums that the driver adds up itself, at most; more are added up by a shuffle first.
+GATHERED = 2_000_000
 _BATCH = 8192
 
 
@@ -42,12 +44,15 @@ class Trees:
 
     def node(self, x: np.ndarray, levels: int) -> np.ndarray:
         """Of each row and tree, the node of that level, counted from its first."""
-        rows, trees = np.arange(len(x))[:, None], np.arange(len(self.feature))[None, :]
-        at = np.zeros((len(x), len(self.feature)), np.int64)
-        for _ in range(levels):
-            f = self.feature[trees, at]
-            at = 2 * at + 1 + ((f >= 0) & (x[rows, np.maximum(f, 0)] > self.bin[trees, at]))
-        return at - (2**levels - 1)
+        flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        feature, bound = np.maximum(self.feature, 0), np.where(self.feature < 0, 255, self.bin)  # no bin lies above 255
+        out = np.zeros((len(self.feature), len(x)), np.int64)
+        for t, at in enumerate(out):  # a tree's columns stay in the cache
+            for _ in range(levels):
+                right = flat.take(first + feature[t].take(at)) > bound[t].take(at)
+                at *= 2
+                at += 1 + right
+        return out.T - (2**levels - 1)
 
     @property
     def depth(self) -> int:
@@ -89,8 +94,11 @@ def _bytes(column: pa.Array, width: int, kind=np.uint8) -> np.ndarray:
 Work = Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def level_sums(table: DataFrame, trees: Trees, level: int, features: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and weighted targets by (tree, node, feature, bin) of a level. ``work`` tells a batch's weights and targets, (rows, trees) each."""
+def level_sums(table: DataFrame, trees: Trees, level: int, features: int, work: Work, parts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and weighted targets by (tree, node, feature, bin) of a level. ``work`` tells a batch's weights and targets, (rows, trees) each.
+
+    ``parts``: partitions of the table, if known. Where their sums are ``GATHERED`` numbers at most, no shuffle adds them up.
+    """
     bins, m, nodes = BINS + 1, len(trees.feature), 2**level
     shape = (m, nodes, features, bins)
 
@@ -101,12 +109,12 @@ def level_sums(table: DataFrame, trees: Trees, level: int, features: int, work:
                 batch = whole.slice(lo, _BATCH)
                 x = _bytes(batch.column(batch.schema.get_field_index("x")), features).astype(np.int64)
                 weight, target = work(batch, x)
-                base = trees.node(x, level) * bins
+                base, by_feature = trees.node(x, level) * bins, np.ascontiguousarray(x.T)
                 for t in range(m):
                     some = weight[:, t] > 0
                     w, wt, b = weight[some, t], weight[some, t] * target[some, t], base[some, t]
                     for f in range(features):
-                        cell = b + x[some, f]
+                        cell = b + by_feature[f][some]
                         n[t, f] += np.bincount(cell, w, nodes * bins)
                         g[t, f] += np.bincount(cell, wt, nodes * bins)
         n, g = (a.reshape(m, features, nodes, bins).transpose(0, 2, 1, 3).ravel() for a in (n, g))
@@ -115,11 +123,13 @@ def level_sums(table: DataFrame, trees: Trees, level: int, features: int, work:
             part = some[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part]), pa.array(g[part])], names=["cell", "n", "g"])
 
+    partial, size = table.mapInArrow(run, "cell long, n double, g double"), int(np.prod(shape))
+    if parts is None or parts * size > GATHERED:
+        partial = partial.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     # As many rows as trees, nodes, features and bins make, however many rows there are.
-    got = table.mapInArrow(run, "cell long, n double, g double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
-    out = np.zeros(int(np.prod(shape))), np.zeros(int(np.prod(shape)))
-    for a, c in zip(out, ("n", "g")):
-        a[got.column("cell").to_numpy()] = got.column(c).to_numpy()
+    got = partial.toArrow()
+    cell = got.column("cell").to_numpy()
+    out = [np.bincount(cell, got.column(c).to_numpy(), size) for c in ("n", "g")]
     return out[0].reshape(shape), out[1].reshape(shape)
 
 
@@ -176,7 +186,7 @@ def boost(table: DataFrame, features: int, weight_bits: list[int], quantiles: li
     start = np.array([0.0 if x is None else x for x in got], float)
     made: list[Trees] = []
     recent: list[Trees] = []
-    models = len(q)
+    models, parts = len(q), table.rdd.getNumPartitions()
     table = table.select("x", "label", "fits", F.lit(start.tobytes()).alias("margins"))
 
     def margins(batch: pa.RecordBatch, x: np.ndarray, since: list[Trees]) -> np.ndarray:
@@ -198,7 +208,7 @@ def boost(table: DataFrame, features: int, weight_bits: list[int], quantiles: li
 
         trees = Trees.blank(models, depth)
         for level in range(depth):
-            split(trees, level, *level_sums(table, trees, level, features, signs), least)
+            split(trees, level, *level_sums(table, trees, level, features, signs, parts), least)
 
         def residuals(batches: Iterator[pa.RecordBatch], since=since, trees=trees) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -226,6 +236,7 @@ def boost(table: DataFrame, features: int, weight_bits: list[int], quantiles: li
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([now[i * size : (i + 1) * size] for i in range(len(x))], pa.binary())], names=["x", "label", "fits", "margins"])
 
             before, table, recent = table, stored(table.mapInArrow(move, table.schema)), []
+            parts = table.rdd.getNumPartitions()
             forget(before)  # not the caller's, which the first round reads
     forget(table)
     return start, made

@@ -697,6 +697,27 @@ def test_suffix_dedup_production_length(docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_planted_passages(spark):
+    """A passage of over 50 words that two documents share goes from both of them if it has 400 bytes, and stays if it has one less; others are left alone."""
+
+    def passage(seed, n):
+        words = " ".join(f"{w}é" for w in prose(seed, 51).split())
+        return words + " " + "z" * (n - len(words.encode()) - 1)
+
+    lengths = {0: 399, 1: 400, 2: 399, 3: 400}
+    planted = {k: passage(700 + k, n) for k, n in lengths.items()}
+    assert all(len(x.split()) > 50 and len(x.encode()) == lengths[k] > len(x) for k, x in planted.items())
+    # What stands beside a passage differs, so no match is longer than it.
+    pairs = [(2 * k + i, f"{prose(800 + 2 * k + i, 60)} {'ab'[i]}{x}{'cd'[i]} {prose(900 + 2 * k + i, 40)}") for k, x in planted.items() for i in (0, 1)]
+    pairs += [(20 + i, prose(1000 + i, 150)) for i in range(8)]
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(rows_of(spark, pairs)).collect()}
+    texts = {i: t.encode() for i, t in pairs}
+    assert {i: r["n_bytes"] for i, r in got.items()} == {i: len(t) for i, t in texts.items()}
+    for i, r in got.items():
+        gone = planted[i // 2].encode() if i < 8 and lengths[i // 2] == 400 else b""
+        assert (r["n_removed"], r["n_spans"], r["kept"]) == (len(gone), len(gone) > 0, texts[i].replace(gone, b"") if gone else texts[i])
+
+
 def test_long_texts_are_cut_into_overlapping_slices(monkeypatch, spark):
     monkeypatch.setattr(suffix, "SLICE", 500)
     text = prose(77, 900)
